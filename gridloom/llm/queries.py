@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .language import op6_language_id
 from .packing import op5_packing
+from .quality import OP1_SQL, op1_quality_rules
 from .sharding import op10_sharding
 from .token_counts import op3_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op3_token_counts": op3_token_counts,
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
     "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": OP1_SQL,
+}
