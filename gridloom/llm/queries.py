@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard import op7_ngram_jaccard_join
 from .language import op6_language_id
 from .packing import op5_packing
 from .quality import OP1_SQL, op1_quality_rules
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op10_sharding": op10_sharding,
 }
 
