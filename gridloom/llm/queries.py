@@ -11,6 +11,7 @@ from .language import op6_language_id
 from .packing import op5_packing
 from .quality import OP1_SQL, op1_quality_rules
 from .sharding import op10_sharding
+from .substring import OP8_SQL, op8_substring_dedup
 from .token_counts import op3_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -19,9 +20,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_sharding": op10_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": OP1_SQL,
+    "op8_substring_dedup": OP8_SQL,
 }
