@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embedding import op9_embedding_near_dedup
 from .jaccard import op7_ngram_jaccard_join
 from .language import op6_language_id
 from .packing import op5_packing
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_sharding": op10_sharding,
 }
 
