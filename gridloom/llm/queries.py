@@ -11,6 +11,7 @@ from .jaccard import op7_ngram_jaccard_join
 from .language import op6_language_id
 from .packing import op5_packing
 from .quality import OP1_SQL, op1_quality_rules
+from .sentencepiece_codec import op4_sentencepiece
 from .sharding import op10_sharding
 from .substring import OP8_SQL, op8_substring_dedup
 from .token_counts import op3_token_counts
@@ -18,6 +19,7 @@ from .token_counts import op3_token_counts
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_token_counts": op3_token_counts,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
