@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .embedding import op9_embedding_near_dedup
 from .jaccard import op7_ngram_jaccard_join
 from .language import op6_language_id
+from .license import op2_license_scan
 from .packing import op5_packing
 from .quality import OP1_SQL, op1_quality_rules
 from .sentencepiece_codec import op4_sentencepiece
@@ -18,6 +19,7 @@ from .token_counts import op3_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_license_scan": op2_license_scan,
     "op3_token_counts": op3_token_counts,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_packing": op5_packing,
