@@ -15,7 +15,9 @@ import re
 import numpy as np
 
 _ENCODERS: dict[tuple[str, int], "Encoder"] = {}
+#: Line feeds to spaces; and the same with A-Z in lower case, for tokenizers that lower-case anyway.
 _BREAK = bytes.maketrans(b"\n", b" ")
+_FOLD = bytes.maketrans(b"\nABCDEFGHIJKLMNOPQRSTUVWXYZ", b" abcdefghijklmnopqrstuvwxyz")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -44,7 +46,7 @@ def _separable(spec: dict) -> bool:
 
 
 class Encoder:
-    """ids(texts): the ids of each text as little-endian unsigned 32-bit bytes, as the library gives them."""
+    """ids(text): the ids of a text as little-endian unsigned 32-bit bytes, as the library gives them."""
 
     def __init__(self, path: str, most: int) -> None:
         from tokenizers import Tokenizer
@@ -54,38 +56,76 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
-            self.separable = _separable(json.load(f))
+            spec = json.load(f)
+        self.separable = _separable(spec)
+        self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
+        kinds = {n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])}
+        self.folds = "Lowercase" in kinds
+        suffix = spec["model"].get("end_of_word_suffix")
+        vocab = spec["model"]["vocab"] if isinstance(spec["model"].get("vocab"), dict) else {}
+        #: ends[i]: token i ends a pre-token
+        self.ends = np.zeros(max(vocab.values(), default=0) + 2 + len(self.special), bool)
+        for token, i in vocab.items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
         self.most = most
         self.known: dict[bytes, bytes] = {}
 
     @staticmethod
-    def of(path: str, most: int = 300_000) -> "Encoder":
+    def of(path: str, most: int = 800_000) -> "Encoder":
         """One encoder for each file in a worker process."""
         if (path, most) not in _ENCODERS:
             _ENCODERS[path, most] = Encoder(path, most)
         return _ENCODERS[path, most]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for k in range(0, len(texts), 20_000):
-            out += [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts[k : k + 20_000], add_special_tokens=False)]
-        return out
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_chunks(self, chunks: list[bytes]) -> None:
+        """Adds chunks to what is known. Chunks of letters alone are encoded in one go and told apart by the tokens
+        that end a word; if their number differs from that of the chunks, and for all other chunks, one by one."""
+        known, letters, rest, tails = self.known, [], [], []
+        for c in chunks:
+            text = c.decode()
+            plain = text if c.isascii() else text.lower()  # some letters turn into a letter and a mark
+            if plain.isalpha():
+                letters.append((c, text))
+            elif c[-1:] in (b",", b".") and plain[:-1].isalpha() and self.ends.any():
+                tails.append((c, c[:-1]))
+                if c[:-1] not in known:
+                    letters.append((c[:-1], text[:-1]))
+            else:
+                rest.append((c, text))
+        if letters:
+            letters = list(dict(letters).items())
+            ids = np.array(self.library.encode_batch_fast([" ".join(t for _, t in letters)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(letters) and cuts[-1] == len(ids):
+                raw, at = ids.tobytes(), 0
+                for (c, _), to in zip(letters, (4 * cuts).tolist(), strict=True):
+                    known[c] = raw[at:to]
+                    at = to
+            else:
+                rest += letters
+        if rest:
+            known.update(zip([c for c, _ in rest], self._encode([t for _, t in rest]), strict=True))
+        for tail in (b",", b"."):
+            if tails and tail not in known:
+                known[tail] = self._encode([tail.decode()])[0]
+        for c, word in tails:
+            known[c] = known[word] + known[c[-1:]]
 
     def ids(self, text: bytes | None) -> bytes:
         if not text:
             return b""
         if not self.separable:
             return self._encode([text.decode()])[0]
-        chunks, known = text.translate(_BREAK).split(b" "), self.known
+        fold = self.folds and not any(t[:2] in text for t in self.special)
+        chunks, known = text.translate(_FOLD if fold else _BREAK).split(b" "), self.known
         try:
             return b"".join(map(known.__getitem__, chunks))
         except KeyError:
-            new = [c for c in set(chunks) if c not in known]
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = list(set(chunks))
-        known.update(zip(new, self._encode([c.decode() for c in new]), strict=True))
-        out = b"".join(map(known.__getitem__, chunks))
+            pass
         if len(known) > self.most:
             known.clear()
-        return out
+        self._encode_chunks([c for c in set(chunks) if c not in known])
+        return b"".join(map(known.__getitem__, chunks))
