@@ -88,17 +88,25 @@ def mix(values: np.ndarray) -> np.ndarray:
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """64-bit hashes of every run of `width` words, in order; no run, no hash."""
-    n = len(words) - width + 1
-    if n <= 0:
+    """64-bit hashes of every run of `width` words, in order; no run, no hash. Runs are hashed by halves."""
+    if len(words) < width:
         return np.zeros(0, np.uint64)
-    h = mix(words[:n])
-    for k in range(1, width):
-        h = mix(h * _MUL2 + words[k : k + n])
+    h, reach = mix(words), 1
+    while reach < width:
+        step = min(reach, width - reach)
+        h = mix(h[:-step] * _MUL2 + h[step:])
+        reach += step
     return h
 
 
-def batches_of(rows: list[tuple], schema: pa.Schema, size: int) -> Iterator[pa.RecordBatch]:
-    for k in range(0, len(rows), size):
-        part = rows[k : k + size]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), schema.types, strict=True)], schema=schema)
+def sliding_least(values: np.ndarray, span: int) -> np.ndarray:
+    """Where the least of each `span` neighbouring values is (by its upper 40 bits, then the leftmost)."""
+    if len(values) >= 1 << 24:
+        return np.arange(len(values) - span + 1) + np.lib.stride_tricks.sliding_window_view(values >> np.uint64(24), span).argmin(axis=1)
+    low = np.uint64((1 << 24) - 1)
+    m, reach = (values & ~low) | np.arange(len(values), dtype=np.uint64), 1
+    while reach < span:
+        step = min(reach, span - reach)
+        m = np.minimum(m[:-step], m[step:])
+        reach += step
+    return (m & low).astype(np.int64)

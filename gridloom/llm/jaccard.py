@@ -2,8 +2,9 @@
 
 1. A document becomes the set of its word n-gram hashes; equal sets become one.
 2. Prefix lists: in one order of all n-grams (those seen often last) two sets that link share one among their first
-   |x| - ceil(t |x|) + 1. Lists of sets by prefix n-gram say which sets may link at all; sets alone in all their lists
-   are done. The lists only serve to group sets, so they are contracted where they lie and no pair leaves a task.
+   |x| - ceil(t |x|) + 1. Two sets in a list may link if their sizes and their parity bitmaps (a bound on how much
+   the sets differ) allow it; sets without such a partner are done. Lists only serve to group sets, so these relations
+   are contracted where they lie and no pair leaves a task.
 3. Sets of a group meet in one task (in blocks, by pairs of blocks, where a group is large), which joins them exactly:
    index lists are skipped in blocks by size and position (a partner further on in its own order cannot have enough
    left in common), and answers are derived from those of similar sets: with the distances of some pivots to all sets,
@@ -13,6 +14,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,19 +23,29 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, byte_values, materialise, row_key, shingle_hashes, shuffle_partitions
-from .graph import components, stars
+from .common import WordHashes, byte_values, materialise, mix, row_key, shingle_hashes, shuffle_partitions
+from .graph import components
 
 _WORDS = WordHashes()
-_POSTING = np.dtype([("token", "<u8"), ("set", "<i8"), ("size", "<u4")])
 
 
-def shingle_set(text: bytes | None, width: int) -> np.ndarray:
-    """Sorted distinct hashes of the runs of `width` words, A-Z in lower case; fewer words are one run; none is empty."""
-    words = _WORDS.of(text.lower().split()) if text else np.zeros(0, "<u8")
-    if 0 < len(words) < width:
-        return shingle_hashes(words, len(words)) ^ np.uint64(len(words))
-    return np.unique(shingle_hashes(words, width))
+def shingle_sets(texts: list[bytes | None], width: int) -> Iterator[np.ndarray]:
+    """Of each text the sorted distinct hashes of its runs of `width` words, A-Z in lower case; fewer words are one
+    run; without a word there is none."""
+    words = [t.lower().split() if t else [] for t in texts]
+    start = 0
+    while start < len(words):
+        stop, total = start, 0
+        while stop < len(words) and total < 200_000:
+            total += len(words[stop])
+            stop += 1
+        flat = _WORDS.of([w for t in words[start:stop] for w in t])
+        runs, at = shingle_hashes(flat, width), 0
+        for t in words[start:stop]:
+            n = len(t)
+            yield np.unique(runs[at : at + n - width + 1]) if n >= width else shingle_hashes(flat[at : at + n], n) ^ np.uint64(n) if n else flat[:0]
+            at += n
+        start = stop
 
 
 def set_id(values: np.ndarray) -> int:
@@ -50,7 +62,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, width) for t in byte_values(batch.column(2))]
+            sets = list(shingle_sets(byte_values(batch.column(2)), width))
             names = [set_id(s) if len(s) else None for s in sets]
             n = len(sets)
             yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()), pa.array(names, pa.int64())], names=["kind", "doc_id", "row", "n_shingles", "set"])
@@ -76,63 +88,150 @@ def _prefix(values: np.ndarray, percent: int, often: np.ndarray, rank: np.ndarra
     return values[:take]
 
 
-def _postings(docs: DataFrame, width: int, percent: int, often: np.ndarray, rank: np.ndarray, heavy: np.ndarray, buckets: int, salts: int) -> DataFrame:
-    """bucket, payload: prefix postings of each batch's distinct sets, packed. N-grams in `heavy` are dealt over salts."""
+def parity_bits(values: np.ndarray) -> np.ndarray:
+    """A bitmap of about half a bit for each member, in 64-bit words, a power of two of them: each member flips one
+    bit. Two bitmaps differ in at most as many bits as their sets differ in members; halves fold onto each other."""
+    words = 1 << max(0, (len(values) // 128 - 1).bit_length()) if len(values) >= 128 else 1
+    bits = np.bincount((values >> np.uint64(20)).astype(np.int64) & (64 * words - 1), minlength=64 * words) & 1
+    # bit b of the set's bitmap lies in word b % words, so that folding keeps to words
+    return np.ascontiguousarray(np.packbits(bits.astype(np.uint8).reshape(64, words).T, axis=1, bitorder="little")).view("<u8").ravel()
+
+
+def _postings(docs: DataFrame, width: int, percent: int, often: np.ndarray, rank: np.ndarray, heavy: dict[int, int], buckets: int) -> DataFrame:
+    """bucket, payload: prefix postings of each batch's distinct sets with the sets' sizes and bitmaps, packed. An
+    n-gram in `heavy` has several lists, one for each pair of blocks of its sets."""
     shared = docs.sparkSession.sparkContext.broadcast((often, rank, heavy))  # bounded by most_often
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, rank, heavy = shared.value
+        hot = np.array(sorted(heavy), np.uint64)
         for batch in batches:
-            found: dict[int, np.ndarray] = {}
-            for text in byte_values(batch.column(0)):
-                values = shingle_set(text, width)
-                if len(values) and (name := set_id(values)) not in found:
-                    found[name] = np.concatenate([values[:0], _prefix(values, percent, often, rank), np.array([len(values)], np.uint64)])
-            if not found:
+            sets: dict[int, tuple[np.ndarray, int, np.ndarray]] = {}
+            for values in shingle_sets(byte_values(batch.column(0)), width):
+                if len(values) and (name := set_id(values)) not in sets:
+                    sets[name] = (_prefix(values, percent, often, rank), len(values), parity_bits(values))
+            if not sets:
                 continue
-            rows = np.empty(sum(len(v) - 1 for v in found.values()), _POSTING)
-            at = 0
-            for name, values in found.items():
-                part = rows[at : at + len(values) - 1]
-                part["token"], part["set"], part["size"] = values[:-1], name, values[-1]
-                at += len(values) - 1
-            key = rows["token"] % np.uint64(buckets)
-            if len(heavy):
-                near = np.minimum(np.searchsorted(heavy, rows["token"]), len(heavy) - 1)
-                hot = heavy[near] == rows["token"]
-                key[hot] = (rows["token"][hot] + (rows["set"][hot] % salts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)
+            names, size = np.array(list(sets), np.int64), np.array([n for _, n, _ in sets.values()], np.int64)
+            token, own = np.concatenate([p for p, *_ in sets.values()]), np.repeat(np.arange(len(sets)), [len(p) for p, *_ in sets.values()])
+            if len(hot):
+                split = np.isin(token, hot)
+                more_token, more_own = [token[~split]], [own[~split]]
+                for t, d in zip(token[split].tolist(), own[split].tolist(), strict=True):
+                    blocks = heavy[t]
+                    mine = int(names[d]) % blocks
+                    pairs = [min(mine, k) * blocks + max(mine, k) for k in range(blocks)]
+                    more_token.append(mix(np.array(pairs, np.uint64) ^ np.uint64(t)))
+                    more_own.append(np.full(blocks, d))
+                token, own = np.concatenate(more_token), np.concatenate(more_own)
+            key = (token % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(key, kind="stable")
-            rows, key = rows[order], key[order]
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            ends = np.append(starts[1:], len(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(key[starts].astype(np.int32), pa.int32()), pa.array([rows[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())], names=["bucket", "payload"])
+            token, own, key = token[order], own[order], key[order]
+            cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+            bits = [b for *_, b in sets.values()]
+            out = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                here, index = np.unique(own[a:b], return_inverse=True)
+                out.append(pickle.dumps((token[a:b], index.astype(np.int32), names[here], size[here], np.array([len(bits[i]) for i in here], np.int32), np.concatenate([bits[i] for i in here])), protocol=5))
+            yield pa.RecordBatch.from_arrays([pa.array(key[cuts[:-1]].astype(np.int32), pa.int32()), pa.array(out, pa.binary())], names=["bucket", "payload"])
 
     return docs.select("text").mapInArrow(run, "bucket int, payload binary")
 
 
-def _may_link(postings: DataFrame, percent: int, heavy: np.ndarray) -> DataFrame:
-    """kind 0: edges a, b between sets that share a prefix n-gram, contracted in each bucket; kind 1: n-gram a dealt
-    over several buckets, and b the least set in this bucket that has it."""
-    shared = postings.sparkSession.sparkContext.broadcast(heavy)
+class Bitmaps:
+    """Parity bitmaps of many sets, folded to every power of two of words they have."""
+
+    def __init__(self, words: np.ndarray, flat: np.ndarray) -> None:
+        self.level = np.array([int(w).bit_length() - 1 for w in words])
+        start = np.cumsum(words) - words
+        self.tables: list[np.ndarray] = [np.zeros((0, 1), np.uint64)] * (int(self.level.max(initial=0)) + 1)
+        above, rows_above = None, np.zeros(0, np.int64)
+        self.row = np.full((len(self.tables), len(words)), -1, np.int64)
+        for k in range(len(self.tables) - 1, -1, -1):
+            own = np.flatnonzero(self.level == k)
+            table = flat[start[own][:, None] + np.arange(1 << k)[None, :]] if len(own) else np.zeros((0, 1 << k), np.uint64)
+            rows = np.concatenate([rows_above, own])
+            if above is not None:
+                table = np.concatenate([above[:, : 1 << k] ^ above[:, 1 << k :], table])
+            self.tables[k], self.row[k, rows] = table, np.arange(len(rows))
+            above, rows_above = table, rows
+
+    def differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Bits in which the bitmaps of x and y differ: at most the number of members in which the sets do."""
+        out, level = np.empty(len(x), np.int64), np.minimum(self.level[x], self.level[y])
+        for k in np.unique(level).tolist():
+            at = np.flatnonzero(level == k)
+            for i in range(0, len(at), 1 << 18):
+                some = at[i : i + (1 << 18)]
+                table, row = self.tables[k], self.row[k]
+                out[some] = np.bitwise_count(table[row[x[some]]] ^ table[row[y[some]]]).sum(axis=1)
+        return out
+
+
+def _may_link(postings: DataFrame, percent: int, small: int = 64) -> DataFrame:
+    """Edges a, b between sets that share a prefix n-gram and whose sizes and bitmaps allow a link; contracted in
+    each bucket, so that at most one edge for each set leaves it."""
 
     def run(table: pa.Table) -> pa.Table:
-        heavy = shared.value
-        rows = np.concatenate([np.frombuffer(p, _POSTING) for p in table.column("payload").to_pylist()])
-        rows = rows[np.lexsort((rows["set"], rows["size"], rows["token"]))]
-        token, name, size = rows["token"], rows["set"], rows["size"].astype(np.int64)
-        same = token[1:] == token[:-1]
-        hot = np.isin(token, heavy) if len(heavy) else np.zeros(len(token), bool)
-        # sets on the two sides of a gap in size cannot link; dealt n-grams keep together, as others lie elsewhere
-        joined = same & (hot[1:] | (100 * size[:-1] >= percent * size[1:]))
-        starts = np.flatnonzero(np.concatenate([[True], ~joined]))
-        first = np.repeat(name[starts], np.diff(np.append(starts, len(rows))))
-        pairs = np.unique(np.stack([name, first], axis=1)[name != first], axis=0)
-        u, v = stars(map(tuple, pairs.tolist()))
-        at = starts[hot[starts]]
-        kind = np.concatenate([np.zeros(len(u), np.int32), np.ones(len(at), np.int32)])
-        return pa.table({"kind": pa.array(kind), "a": pa.array(np.concatenate([np.array(u, np.int64), token[at].view(np.int64)])), "b": pa.array(np.concatenate([np.array(v, np.int64), name[at]]))})
-
-    return postings.groupBy("bucket").applyInArrow(run, "kind int, a long, b long")
+        parts = [pickle.loads(p) for p in table.column("payload").to_pylist()]
+        shift = np.cumsum([0, *[len(p[2]) for p in parts[:-1]]])
+        token, own = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] + s for p, s in zip(parts, shift, strict=True)])
+        names, first, index = np.unique(np.concatenate([p[2] for p in parts]), return_index=True, return_inverse=True)
+        size, words = np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts])
+        begin = np.cumsum(words) - words
+        flat = np.concatenate([p[5] for p in parts])
+        flat = flat[np.concatenate([np.arange(begin[i], begin[i] + words[i]) for i in first.tolist()])]
+        bitmaps, size, own = Bitmaps(words[first], flat), size[first], index[own]
+        # one posting for each set and n-gram, lists in order of size, cut where sizes leave a gap too large to link
+        order = np.lexsort((own, size[own], token))
+        token, own = token[order], own[order]
+        fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (own[1:] != own[:-1])])
+        token, own = token[fresh], own[fresh]
+        far = (token[1:] != token[:-1]) | (100 * size[own[:-1]] < percent * size[own[1:]])
+        start = np.flatnonzero(np.concatenate([[True], far]))
+        length = np.diff(np.append(start, len(own)))
+        parent = np.arange(len(names))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = int(parent[x])
+            return x
+
+        def join(x: np.ndarray, y: np.ndarray) -> None:
+            good = 100 * size[x] >= percent * size[y]
+            x, y = x[good], y[good]
+            # |x ^ y| = |x| + |y| - 2 |x & y|, and a link asks for |x & y| >= percent / (100 + percent) * (|x| + |y|)
+            good = (100 + percent) * bitmaps.differ(x, y) <= (100 - percent) * (size[x] + size[y])
+            for a, b in zip(x[good].tolist(), y[good].tolist(), strict=True):
+                a, b = root(a), root(b)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+
+        # short lists all at once, a distance between the two places in the list at a time
+        pairs = [np.zeros((0, 2), np.int64)]
+        short = start[(length > 1) & (length <= small)], length[(length > 1) & (length <= small)]
+        for d in range(1, small):
+            s, n = short[0][short[1] > d], short[1][short[1] > d] - d
+            if not len(s):
+                break
+            at = np.arange(n.sum()) + np.repeat(s - (np.cumsum(n) - n), n)
+            pairs.append(np.unique(np.stack([own[at], own[at + d]], axis=1), axis=0))
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        join(*np.where((size[pairs[:, :1]] <= size[pairs[:, 1:]]), pairs, pairs[:, ::-1]).T)
+        for s, n in zip(start[length > small].tolist(), length[length > small].tolist(), strict=True):
+            members = own[s : s + n]
+            for k in range(1, n):
+                low = int(np.searchsorted(100 * size[members[:k]], percent * size[members[k]]))
+                ys = members[low:k]
+                mine = root(int(members[k]))
+                ys = ys[parent[ys] != mine]
+                if len(ys):
+                    join(ys, np.full(len(ys), members[k]))
+        nodes = [k for k in range(len(names)) if parent[k] != k]
+        return pa.table({"a": pa.array(names[nodes], pa.int64()), "b": pa.array(names[[root(k) for k in nodes]] if nodes else names[:0], pa.int64())})
+
+    return postings.groupBy("bucket").applyInArrow(run, "a long, b long")
 
 
 class GroupJoin:
@@ -261,17 +360,12 @@ def _join(sets: DataFrame, percent: int) -> DataFrame:
     return sets.groupBy("task", "left", "right").applyInArrow(run, "a long, b long")
 
 
-def components_of(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", most_often: int = 200_000, block: int = 1_500_000, salt_from: int = 20_000) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs: documents whose sets of `width`-word shingles have
-    100 * |x & y| >= percent * |x | y| are linked; component_id is the least id reachable by links.
-
-    Null texts and texts without a word have an empty set and link with nothing (component_id is the row's own id).
-    Rows with equal sets link. Null ids give rows; a component with null ids only has a null component_id. An empty
-    table gives an empty table. Shingles and sets are compared by 64-bit hashes.
+def _classes(docs: DataFrame, width: int, percent: int, doc_id: str, text: str, most_often: int = 200_000, block: int = 1_500_000, salt_from: int = 20_000) -> DataFrame:
+    """doc_id, row, n_shingles, component_id, first_row (the row that stands for the component).
 
     most_often bounds the list of frequent n-grams, which only orders prefixes: results do not depend on it. Groups of
-    more than `block` shingles are joined by pairs of blocks. N-grams in over salt_from sets of the prefix lists are
-    dealt over several tasks.
+    more than `block` shingles are joined by pairs of blocks. An n-gram in over salt_from sets has several
+    lists, one for each pair of blocks of its sets.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("row", row_key("doc_id", "text"))
@@ -279,16 +373,12 @@ def components_of(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: st
     sets = both.where("kind = 0").select("doc_id", "row", "n_shingles", "set")
     frequent = both.where("kind = 1").groupBy("set").agg(F.sum("n_shingles").alias("n")).where("n >= 8").orderBy(F.desc("n"), "set").limit(most_often).collect()
     often = np.array([r["set"] for r in frequent], np.int64).view(np.uint64)
-    heavy = np.sort(np.array([r["set"] for r in frequent if r["n"] >= salt_from], np.int64).view(np.uint64))
+    heavy = {r["set"] & ((1 << 64) - 1): -(-r["n"] // salt_from) for r in frequent if r["n"] > salt_from}
     order = np.argsort(often)
     rank = np.arange(len(often), 0, -1)[order]  # the most frequent comes last
     often = often[order]
-    partitions, salts = shuffle_partitions(spark), 16
-    may = materialise(_may_link(_postings(base, width, percent, often, rank, heavy, 2 * partitions, salts), percent, heavy), "may-link")
-    edges = may.where("kind = 0").select("a", "b")
-    if len(heavy):
-        dealt = may.where("kind = 1").select("a", "b").distinct()
-        edges = edges.unionByName(dealt.join(dealt.groupBy("a").agg(F.min("b").alias("least")), "a").where("b != least").select(F.col("b").alias("a"), F.col("least").alias("b")))
+    partitions = shuffle_partitions(spark)
+    edges = materialise(_may_link(_postings(base, width, percent, often, rank, heavy, max(8, partitions)), percent), "may-link")
     groups = materialise(components(edges), "groups")  # node: a set that may link
     # the sets of each group meet: one row stands for each set
     one = sets.where("set is not null").groupBy("set").agg(F.min("row").alias("row"), F.max("n_shingles").alias("n"))
@@ -302,7 +392,7 @@ def components_of(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: st
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [shingle_set(t, width).tobytes() for t in byte_values(batch.column(0))]
+            values = [s.tobytes() for s in shingle_sets(byte_values(batch.column(0)), width)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(values, pa.large_binary()).cast(pa.binary())], names=["set", "cluster", "blocks", "side", "shingles"])
 
     full = got.select("text", "set", "cluster", "blocks", "side").mapInArrow(again, "set long, cluster long, blocks int, side int, shingles binary")
@@ -311,14 +401,39 @@ def components_of(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: st
     met = met.withColumn("task", F.when(F.col("large"), -1 - F.pmod(F.xxhash64("cluster", F.lit(7)), F.lit(1 << 30)).cast("int")).otherwise(F.col("task"))).drop("large")
     links = materialise(_join(met, percent), "links")
     joined = components(links)
-    least = sets.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("first"))
+    # the first document of a set and of a component: the least id that is not null, then the least row
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id"), F.col("row"))
+    least = sets.where("set is not null").groupBy("set").agg(F.min(first).alias("first"))
     named = materialise(joined.join(least, F.col("node") == F.col("set")).select("set", "component", "first"), "linked-sets")
-    roots = materialise(named.groupBy("component").agg(F.min("first").alias("component_id")), "roots")
-    linked = named.join(roots.hint("merge"), "component").select("set", "component_id")
-    alone = least.join(named, "set", "left_anti").select("set", F.col("first").alias("component_id"))
+    roots = materialise(named.groupBy("component").agg(F.min("first").alias("root")), "roots")
+    linked = named.join(roots.hint("merge"), "component").select("set", "root")
+    alone = least.join(named, "set", "left_anti").select("set", F.col("first").alias("root"))
     of_set = materialise(linked.unionByName(alone), "set-components")
-    found = sets.where("set is not null").select("doc_id", "n_shingles", "set").join(of_set.hint("merge"), "set").select("doc_id", "n_shingles", "component_id")
-    return found.unionByName(sets.where("set is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    found = sets.where("set is not null").select("doc_id", "row", "n_shingles", "set").join(of_set.hint("merge"), "set")
+    found = found.select("doc_id", "row", "n_shingles", F.col("root.doc_id").alias("component_id"), F.col("root.row").alias("first_row"))
+    return found.unionByName(sets.where("set is null").select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"), F.col("row").alias("first_row")))
+
+
+def components_of(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs: documents whose sets of `width`-word shingles have
+    100 * |x & y| >= percent * |x | y| are linked; component_id is the least id reachable by links.
+
+    Null texts and texts without a word have an empty set and link with nothing (component_id is the row's own id).
+    Rows with equal sets link. Null ids give rows; a component with null ids only has a null component_id. An empty
+    table gives an empty table. Shingles and sets are compared by 64-bit hashes.
+    """
+    return _classes(docs, width, percent, doc_id, text, **options).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
+    """The rows of docs, with their own columns, less all but the first of each component (the least id, then the
+    least hash of id and text). Of rows that agree in id and text one stays; rows without words all stay."""
+    classes = _classes(docs, width, percent, doc_id, text, **options)
+    first = classes.where((F.col("n_shingles") > 0) & (F.col("row") == F.col("first_row"))).select(F.col("row").alias("_kept")).distinct()
+    rows = docs.withColumn("_row", F.xxhash64(F.col(doc_id).cast("long"), F.col(text)))
+    one = rows.join(materialise(first, "kept-rows").hint("shuffle_hash"), F.col("_row") == F.col("_kept"), "left_semi").dropDuplicates(["_row"])
+    wordless = rows.where(F.coalesce(~F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(True)))
+    return one.select(*docs.columns).unionByName(wordless.select(*docs.columns))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
