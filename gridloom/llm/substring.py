@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -23,24 +24,43 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, byte_values, materialise, row_key, shingle_hashes, shuffle_partitions
+from .common import WordHashes, byte_values, materialise, row_key, shingle_hashes, shuffle_partitions, sliding_least
 from .fm_index import FMIndex, repeated_windows
 
 _WORDS = WordHashes()
 _OCCURRENCE = np.dtype([("key", "<u8"), ("row", "<i8")])
 _MARK = np.dtype([("at", "<u4"), ("mask", "<u8")])
 GRAM = 8
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+\s*")
 
 
-def minimizers(words: np.ndarray, width: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each run of windows with one minimizer: its hash, its first window and its number of windows."""
+def minimizers(words: np.ndarray, lengths: np.ndarray, width: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each run of windows with one minimizer in texts that lie one after the other: the minimizer's hash, the
+    text's number, the run's first window in that text, and its number of windows."""
     grams = shingle_hashes(words, gram)
     span = width - gram + 1
     if len(grams) < span:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    least = np.arange(len(grams) - span + 1) + np.lib.stride_tricks.sliding_window_view(grams, span).argmin(axis=1)
-    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    return grams[least[first]], first, np.diff(np.append(first, len(least)))
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, none
+    starts = np.cumsum(lengths) - lengths
+    own = np.repeat(np.arange(len(lengths)), lengths)
+    inside = np.arange(len(words)) - starts[own] <= lengths[own] - width  # windows that end in their own text
+    at = np.flatnonzero(inside)
+    least = sliding_least(grams, span)[at]
+    if not len(at):
+        return np.zeros(0, np.uint64), at, at, at
+    first = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (own[at[1:]] != own[at[:-1]])]))
+    return grams[least[first]], own[at[first]], at[first] - starts[own[at[first]]], np.diff(np.append(first, len(at)))
+
+
+def _chunks(texts: list[list[bytes]], most: int = 200_000) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about `most` words, so that arrays stay in cache."""
+    start = total = 0
+    for k, words in enumerate(texts):
+        total += len(words)
+        if total >= most or k == len(texts) - 1:
+            yield start, k + 1
+            start, total = k + 1, 0
 
 
 def _split(text: bytes | None) -> list[bytes]:
@@ -59,13 +79,14 @@ def _occurrences(base: DataFrame, width: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
-            for row, text in zip(batch.column(0).to_pylist(), byte_values(batch.column(1)), strict=True):
-                words = _split(text)
-                if len(words) >= width:
-                    keys = minimizers(_WORDS.of(words), width)[0]
-                    part = np.empty(len(keys), _OCCURRENCE)
-                    part["key"], part["row"] = keys, row
-                    parts.append(part)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            texts = [_split(t) for t in byte_values(batch.column(1))]
+            for a, b in _chunks(texts):
+                words = _WORDS.of([w for t in texts[a:b] for w in t])
+                keys, own, _, _ = minimizers(words, np.array([len(t) for t in texts[a:b]]), width)
+                part = np.empty(len(keys), _OCCURRENCE)
+                part["key"], part["row"] = keys, ids[a + own]
+                parts.append(part)
             if parts:
                 rows = np.concatenate(parts)
                 out = list(_packed(rows["key"] % np.uint64(buckets), rows))
@@ -102,7 +123,7 @@ def _marks(found: dict[int, list[tuple[int, int]]]) -> tuple[list[int], list[byt
 _STEP = "kind int, doc_id long, row long, text string, n_words long, kept_sha256 string, bucket int, payload binary"
 
 
-def _segments(joined: DataFrame, width: int, shards: int, buckets: int) -> DataFrame:
+def _segments(joined: DataFrame, width: int, shards: int, buckets: int, results: bool) -> DataFrame:
     """kind 0: results of rows without candidates; 1: rows with candidates; 2: segments for a shard; 3: window digests
     for a bucket; 4: marks already certain, as a segment or window occurs twice in a batch."""
 
@@ -118,13 +139,16 @@ def _segments(joined: DataFrame, width: int, shards: int, buckets: int) -> DataF
             for k, text in enumerate(byte_values(texts)):
                 words = _split(text)
                 if not lists[k]:
+                    if not results:
+                        continue
                     rows.append((0, own[k], None, None, len(words), hashlib.sha256(b" ".join(words)).hexdigest(), None, None))
                     continue
-                rows.append((1, own[k], ids[k], texts[k].as_py(), len(words), None, None, None))
+                if results:
+                    rows.append((1, own[k], ids[k], texts[k].as_py(), len(words), None, None, None))
                 wanted, heat = np.frombuffer(b"".join(lists[k]), "<u8"), np.frombuffer(b"".join(heats[k]), bool)
                 order = np.argsort(wanted)
                 wanted, heat = wanted[order], heat[order]
-                keys, firsts, counts = minimizers(_WORDS.of(words), width)
+                keys, _, firsts, counts = minimizers(_WORDS.of(words), np.array([len(words)]), width)
                 at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
                 for i in np.flatnonzero(wanted[at] == keys).tolist():
                     first, count = int(firsts[i]), int(counts[i])
@@ -185,7 +209,7 @@ def _search(parts: DataFrame, width: int) -> DataFrame:
         masks = (np.uint64(1) << counts.astype(np.uint64)) - np.uint64(1)
         once = np.flatnonzero(times == 1)
         if len(once):
-            masks[once] = repeated_windows(FMIndex(text, width + 58), starts[once], counts[once], width)
+            masks[once] = repeated_windows(FMIndex(text, int(lengths.max()) + 2), starts[once], counts[once], width)
         found: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for mask, (_, _, _, *places) in zip(masks.tolist(), bodies.values(), strict=True):
             if mask:
@@ -237,24 +261,20 @@ def covered(n_words: int, marks: list[bytes], width: int) -> np.ndarray:
     return np.cumsum(change[:n_words]) > 0
 
 
-def find_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str = "text", hot_from: int = 20_000) -> tuple[DataFrame, DataFrame]:
-    """(rows without a candidate window: doc_id, n_words, kept_sha256; the others: doc_id, text, n_words, marks)."""
-    spark = docs.sparkSession
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("row", row_key("doc_id", "text"))
-    buckets = 2 * shuffle_partitions(spark)
+def _find(base: DataFrame, width: int, hot_from: int, results: bool) -> tuple[DataFrame, DataFrame]:
+    """(_segments' table, the marks of each row that has some: row, marks); base: doc_id, text, row."""
+    buckets = 2 * shuffle_partitions(base.sparkSession)
     keys = materialise(_repeated_keys(_occurrences(base, width, buckets), hot_from), "repeated-keys")
-    shards = int(max(buckets, (keys.agg(F.sum("n")).first()[0] or 0) * 1.5 * width // 400_000))
+    shards = int(max(buckets, (keys.agg(F.sum("n")).first()[0] or 0) * 1.5 * width // 1_600_000))
     by_row = keys.groupBy("row").agg(F.collect_list("keys").alias("keys"), F.collect_list("hot").alias("hot"))
-    joined = base.join(by_row.hint("shuffle_hash"), "row", "left")
-    step = materialise(_segments(joined, width, shards, buckets), "segments")
+    joined = base.join(by_row.hint("shuffle_hash"), "row", "left" if results else "inner")
+    step = materialise(_segments(joined, width, shards, buckets, results), "segments")
     marks = _search(step.where("kind = 2").select("bucket", "payload"), width)
     marks = marks.unionByName(_count_windows(step.where("kind = 3").select("bucket", "payload"))).unionByName(step.where("kind = 4").select("row", "payload"))
-    marks = materialise(marks, "marks").groupBy("row").agg(F.collect_list("payload").alias("marks"))
-    some = step.where("kind = 1").select("doc_id", "row", "text", "n_words").join(marks.hint("shuffle_hash"), "row", "left").select("doc_id", "text", "n_words", "marks")
-    return step.where("kind = 0").select("doc_id", "n_words", "kept_sha256"), some
+    return step, materialise(marks, "marks").groupBy("row").agg(F.collect_list("payload").alias("marks"))
 
 
-def dedup(docs: DataFrame, width: int = 50, **options: object) -> DataFrame:
+def dedup(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str = "text", hot_from: int = 20_000) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row of docs.
 
     A word goes if a window of `width` words around it starts anywhere else too, in the same document or another;
@@ -263,7 +283,10 @@ def dedup(docs: DataFrame, width: int = 50, **options: object) -> DataFrame:
     null or equal ids give rows of their own. An empty table gives an empty table. Words are compared by 64-bit
     hashes in the index and rows told apart by a 64-bit hash of id and text.
     """
-    none, some = find_repeats(docs, width, **options)
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("row", row_key("doc_id", "text"))
+    step, marks = _find(base, width, hot_from, True)
+    none = step.where("kind = 0").select("doc_id", "n_words", "kept_sha256")
+    some = step.where("kind = 1").select("doc_id", "row", "text", "n_words").join(marks.hint("shuffle_hash"), "row", "left").select("doc_id", "text", "n_words", "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,6 +302,40 @@ def dedup(docs: DataFrame, width: int = 50, **options: object) -> DataFrame:
     return none.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256").unionByName(cut)
 
 
+def cut(text: bytes, out: np.ndarray) -> bytes:
+    """text without the words marked in `out` and the white space after each; all else stays as it is."""
+    kept, at = [], 0
+    for gone, word in zip(out.tolist(), _WORD.finditer(text), strict=True):
+        if gone:
+            kept.append(text[at : word.start()])
+            at = word.end()
+    kept.append(text[at:])
+    return b"".join(kept)
+
+
+def cut_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str = "text", hot_from: int = 20_000) -> DataFrame:
+    """docs with repeated words (as dedup() finds them) cut out of the text column; all rows and columns stay."""
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("row", row_key("doc_id", "text"))
+    _, marks = _find(base, width, hot_from, False)
+    rows = docs.withColumn("_row", F.xxhash64(F.col(doc_id).cast("long"), F.col(text)))
+    marked = rows.join(materialise(marks, "row-marks").hint("shuffle_hash"), F.col("_row") == F.col("row"), "left").select(*docs.columns, F.col("marks").alias("_marks"))
+    at, n = docs.columns.index(text), len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for value, marks in zip(byte_values(batch.column(at)), batch.column(n).to_pylist(), strict=True):
+                if marks and value:
+                    value = cut(value, covered(len(value.split()), marks, width))
+                texts.append(None if value is None else value.decode())
+            columns = list(batch.columns[:n])
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=docs_names)
+
+    docs_names = docs.columns
+    return marked.mapInArrow(run, docs.schema)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=35)
 
