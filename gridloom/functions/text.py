@@ -41,7 +41,7 @@ def general(v: Column | str, digits: int) -> Column:
     raw = F.format_string(f"%.{digits - 1}e", v)
     mantissa, power = F.regexp_replace(F.split(raw, "e")[0], r"\.?0+$", ""), F.split(raw, "e")[1].cast("int")
     sign = F.when(power < 0, F.lit("-")).otherwise(F.lit("+"))
-    exponent = F.concat(mantissa, F.lit("e"), sign, F.lpad(F.abs(power).cast("string"), 2, "0"))
+    exponent = F.concat(mantissa, F.lit("e"), sign, F.when(F.abs(power) < 10, F.lit("0")).otherwise(F.lit("")), F.abs(power).cast("string"))
     plain = F.lit(None).cast("string")
     for p in range(-4, digits):
         shown = F.format_string(f"%.{max(0, digits - 1 - p)}f", v)

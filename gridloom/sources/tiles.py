@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
@@ -108,7 +109,11 @@ class TileArchive(DataSource):
 def read_tiles(spark: SparkSession, path: str, task_bytes: int = 8 << 20) -> DataFrame:
     """One row for each addressed tile, unpacked. Filters on z, x, y and tile_id are applied to the directory."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(TileArchive)
+    try:
+        spark.dataSource.register(TileArchive)
+    except AnalysisException as e:  # another session of this application has registered it
+        if "ALREADY_EXISTS" not in str(e):
+            raise
     return spark.read.format("tilearchive").option("path", path).option("taskBytes", task_bytes).load()
 
 
