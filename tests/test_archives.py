@@ -84,7 +84,7 @@ def test_pyramid(spark, built, tmp_path):
     out = str(tmp_path / "p")
     kept = commands.build_pyramid(spark, source, out, 0, max_tile_features=25)
     assert kept[3] == N + 1 and kept[2] <= kept[3] and kept[0] <= 25 and all(kept[z] > 0 for z in range(4))
-    again = commands.build_pyramid(spark.newSession(), source, str(tmp_path / "q"), 0, max_tile_features=25)
+    again = commands.build_pyramid(spark, source, str(tmp_path / "q"), 0, max_tile_features=25)
     assert again == kept and (tmp_path / "p").read_bytes() == (tmp_path / "q").read_bytes()
     found = archive.open_archive(out)
     assert found.header["min_zoom"] == 0 and found.header["clustered"] == 0 and found.metadata["vector_layers"][0]["minzoom"] == 0
