@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import count_value
@@ -98,10 +98,15 @@ def export(spark: SparkSession, path: str, zoom: int = -1, xmin: float | None =
     return points.select("gx", "gy", *[F.col(f"`{c}`") for c in names])
 
 
-def export_polygon(spark: SparkSession, path: str, columns: list[str] | None = None, layer_name: str | None = None, remove_columns: tuple[str, ...] = ("lat", "lon"), missing_value: str = "NA", write_vertices: bool = False, zoom: int = -1, xmin: float | None = None, xmax: float | None = None, ymin: float | None = None, ymax: float | None = None, polygon: str | list[Ring] | None = None, precision: int = 3) -> DataFrame:
+def export_polygon(spark: SparkSession, path: str, columns: list[str] | None = None, layer_name: str | None = None, remove_columns: tuple[str, ...] = ("lat", "lon"), missing_value: str = "NA", write_vertices: bool = False, zoom: int = -1, xmin: float | None = None, xmax: float | None = None, ymin: float | None = None, ymax: float | None = None, polygon: str | list[Ring] | None = None, precision: int = 3, unique_by: str | None = None) -> DataFrame:
     """Polygon rows as text: mean vertex, vertices if asked for, and columns. A polygon cut by tile edges gives a row
-    for each tile."""
+    for each tile; with unique_by one row for each value of that column stays (rows without a value all stay)."""
     archive, box, rings = open_archive(path), Box(xmin, ymin, xmax, ymax), _regions(polygon)
     z, names = _zoom(archive, zoom), columns or [c for c in _fields(archive) if c not in remove_columns]
     polygons = read_polygons(prune_tiles(read_tiles(spark, path), z, box, rings), archive.codec, layer_name)
-    return polygon_rows(typed(filter_polygons(polygons, box, rings), names), names, missing_value, write_vertices, precision)
+    rows = typed(filter_polygons(polygons, box, rings), names)
+    if unique_by:
+        first = Window.partitionBy(unique_by).orderBy("tx", "ty", "fidx")
+        named = rows.where(F.col(unique_by).isNotNull()).withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
+        rows = named.unionByName(rows.where(F.col(unique_by).isNull()))
+    return polygon_rows(rows, names, missing_value, write_vertices, precision)

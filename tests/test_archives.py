@@ -168,6 +168,7 @@ def test_polygons(spark, tmp_path):
     first = next(r for r in rows if r["cell"] == "a")
     assert first["area"] == "NA" and first["Vertices"].count("[") == 5 and abs(float(first["X"]) - (-HALF + 500 * scale(0))) < 0.1
     assert commands.export_polygon(spark, str(path), xmin=0, missing_value="-").collect()[0]["cell"] == "-"
+    assert commands.export_polygon(spark, str(path), unique_by="cell").count() == 2
     with pytest.raises(mvt.TileError):
         tiles.read_polygons(tiles.read_tiles(spark, str(path)), "mlt")
     with pytest.raises(Exception, match="not a single point"):
