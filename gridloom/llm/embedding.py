@@ -207,3 +207,14 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.8, recall: float = 0.99,
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.9, recall=0.995)
+
+
+OP9_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () rid, vec_id, embedding::DOUBLE[] e FROM embeddings),
+u AS (SELECT * FROM v WHERE e IS NOT NULL AND len(e) > 0 AND list_count(e) = len(e) AND len(list_filter(e, lambda x: NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: abs(x))) > 0),
+l AS (SELECT a.rid x, b.rid y FROM u a JOIN u b ON a.rid <> b.rid AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT rid, rid AS o FROM v UNION SELECT r.rid, l.y FROM r JOIN l ON l.x = r.o),
+c AS (SELECT r.rid, min(t.vec_id) component_id FROM r JOIN v t ON t.rid = r.o GROUP BY r.rid),
+n AS (SELECT x rid, count(*) n FROM l GROUP BY x)
+SELECT vec_id, coalesce(n, 0)::BIGINT n_links, component_id, vec_id = component_id AS kept FROM v JOIN c USING (rid) LEFT JOIN n USING (rid)
+"""

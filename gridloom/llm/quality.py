@@ -145,8 +145,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", doc_id:
     measured = materialise(measured, "quality")
     strata = materialise(strata_of(measured, "stratum_value"), "strata")
     cutoffs = fit(measured, labels, strata)
-    again = features(docs.withColumn("stratum_value", F.col(stratum).cast("string")), text)
-    return judge(again, strata, cutoffs).where("kept").select(*docs.columns)
+    # under names of our own, whatever the columns of docs are called
+    own = {c: f"_doc{k}" for k, c in enumerate(docs.columns)}
+    again = features(docs.toDF(*own.values()).withColumn("stratum_value", F.col(own[stratum]).cast("string")), own[text])
+    return judge(again, strata, cutoffs).where("kept").select(*[F.col(n).alias(c) for c, n in own.items()])
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

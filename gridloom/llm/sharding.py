@@ -92,3 +92,17 @@ def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, doc_id: st
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP10_SQL = """
+WITH RECURSIVE t AS (SELECT list(list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) tab FROM range(256) r(n)),
+d AS (SELECT row_number() OVER () rid, doc_id, encode(coalesce(text, '')) raw FROM documents),
+h AS (SELECT rid, doc_id, octet_length(raw)::BIGINT + 1 size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(raw), '..'), lambda p: ('0x' || p)::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)::BIGINT text_crc32 FROM d, t),
+r AS (SELECT *, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || text_crc32::VARCHAR || '|' || size::VARCHAR), 1, 8))::BIGINT % 8192)::INTEGER virtual_slot FROM h),
+z AS (SELECT virtual_slot, sum(size)::BIGINT bytes, count(*) n, row_number() OVER (ORDER BY sum(size) DESC, virtual_slot) k FROM r GROUP BY virtual_slot),
+m AS (SELECT 0::BIGINT k, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[] loads, 0 AS to_ UNION ALL
+  SELECT z.k, list_transform(loads, lambda x, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN x + bytes ELSE x END), list_position(loads, list_min(loads)) FROM m JOIN z ON z.k = m.k + 1),
+p AS (SELECT virtual_slot, to_ - 1 AS shard, coalesce(sum(n) OVER (PARTITION BY to_ ORDER BY virtual_slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m JOIN z USING (k))
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard::INTEGER shard, (before + row_number() OVER (PARTITION BY r.virtual_slot ORDER BY doc_id, text_crc32, size) - 1)::BIGINT AS slot, NULL::INTEGER grown_shard, r.virtual_slot, 1 AS map_version
+FROM r JOIN p ON r.virtual_slot = p.virtual_slot
+"""
