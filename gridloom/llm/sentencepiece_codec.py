@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import byte_values
 from .tokens import tokenizer_path
@@ -58,7 +59,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class Model:
     """Pieces of a .model file, and the search over them."""
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 800_000) -> None:
         with open(path, "rb") as f:
             top = list(_fields(f.read()))
         self.pieces: list[tuple[str, float, int]] = []
@@ -78,6 +79,8 @@ class Model:
         self.bytes_of = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.pieces) if kind == BYTE}
         self.unknown = next((i for i, (*_, kind) in enumerate(self.pieces) if kind == UNKNOWN), 0)
         self.longest = max(map(len, self.vocab))
+        #: whatever a piece can end with
+        self.tails = {p[k:] for p in self.vocab for k in range(len(p))}
         self.least = min((self.score[i] for i in self.vocab.values()), default=0.0) - 10.0
         self.adjacent = {p[k : k + 2] for p in self.vocab for k in range(len(p) - 1)}
         self.blanks_begin = not any(len(p) > 1 and p[1] == _BLANK and p[0] != _BLANK for p in self.adjacent)
@@ -123,32 +126,33 @@ class Model:
 
     def search(self, text: str) -> Iterator[list[str]]:
         """Pieces of text, in committed runs; holds a window of about twice the longest piece."""
-        vocab, longest = self.vocab, self.longest
+        vocab, longest, tails = self.vocab, self.longest, self.tails
         base, last, best = 0, [""], [0.0]  # base: committed up to here; last[k]: the last piece of text[:base + k]
         before = ""  # the piece that ends at base
         n = len(text)
         for i in range(1, n + 1):
             choice, value = None, 0.0
-            for length in range(min(longest, i - base), 0, -1):
+            ends_here, length, most = [], 1, i - base
+            while length <= most:
                 piece = text[i - length : i]
-                at = i - length - base
+                if piece not in tails:
+                    break
                 if piece in vocab:
-                    if self.bpe:
-                        ahead = last[at] if at else before
-                        if self._whole(piece) and (not ahead or self._fit(ahead, piece)):
-                            choice, value = piece, 0.0
-                            break
-                        continue
-                    total = best[at] + self.score[vocab[piece]]
-                elif length == 1:
-                    if self.bpe:
+                    ends_here.append(piece)
+                length += 1
+            if not ends_here or len(ends_here[0]) > 1:
+                ends_here.insert(0, text[i - 1])  # an unknown character stands alone
+            for piece in reversed(ends_here):
+                at = i - len(piece) - base
+                if self.bpe:
+                    ahead = last[at] if at else before
+                    if len(piece) == 1 and piece not in vocab or self._whole(piece) and (not ahead or self._fit(ahead, piece)):
                         choice = piece
                         break
-                    total = best[at] + self.least
                 else:
-                    continue
-                if choice is None or total > value:
-                    choice, value = piece, total
+                    total = best[at] + (self.score[vocab[piece]] if piece in vocab else self.least)
+                    if choice is None or total > value:
+                        choice, value = piece, total
             last.append(choice if choice is not None else text[i - 1])
             best.append(value)
             if i - base >= 2 * longest or i == n:
@@ -253,7 +257,7 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text", into:
             ids = [memoryview(found.encode(t)).cast("I").tolist() for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in names], pa.array(ids, pa.list_(pa.int32()))], names=[*names, into])
 
-    return docs.mapInArrow(run, docs.select(*names).schema.add(into, "array<int>"))
+    return docs.mapInArrow(run, docs.select(*names).schema.add(into, T.ArrayType(T.IntegerType())))
 
 
 def decode(rows: DataFrame, model: str | None = None, ids: str = "ids", into: str = "text") -> DataFrame:
