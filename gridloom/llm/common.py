@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +36,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_base(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of documents hold so many rows at most, in this session from now on: the default of 10,000 is
+    meant for narrow rows, and takes tens of MB a task on both sides of the socket for texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, rows)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: cuts the lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of materialise() that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -51,6 +72,25 @@ def byte_values(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return pc.cast(column, pa.large_binary()).to_pylist()
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of so many rows (one part of an empty one): what is made from a part is small against the batch."""
+    for batch in batches:
+        for k in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(k, rows)
+
+
+def split_chunks(texts: list[bytes | None], lower: bool = False, most: int = 1_500_000) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """(number of the first text, words of each text) for runs of texts of about `most` bytes: the words of a whole
+    batch at once would take many times its own size."""
+    start = total = 0
+    for k, text in enumerate(texts):
+        total += len(text or b"")
+        if total >= most or k == len(texts) - 1:
+            part = [t or b"" for t in texts[start : k + 1]]
+            yield start, [(t.lower() if lower else t).split() for t in part]
+            start, total = k + 1, 0
+
+
 def row_key(*columns: str) -> Column:
     """A 64-bit key of a row's content, independent of where the row lies; equal rows have equal keys."""
     return F.xxhash64(*[F.col(c) for c in columns])
@@ -59,7 +99,7 @@ def row_key(*columns: str) -> Column:
 class WordHashes(dict):
     """word bytes -> its 64-bit hash as 8 little-endian bytes; forgets everything at a bound on its size."""
 
-    def __init__(self, most: int = 400_000) -> None:
+    def __init__(self, most: int = 250_000) -> None:
         super().__init__()
         self.most = most
 
@@ -74,6 +114,30 @@ class WordHashes(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u8")
 
 
+#: Of all word hashes in a worker.
+WORDS = WordHashes()
+
+_HELD: dict[str, Callable[[], object]] = {}
+
+
+def hold_only(name: str, drop: Callable[[], object]) -> None:
+    """Workers serve one operator after another; the caches of earlier ones go when another begins."""
+    others = [n for n in _HELD if n != name]
+    for n in others:
+        _HELD.pop(n)()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library can
+            ctypes.CDLL(None).malloc_trim(0)
+    _HELD[name] = drop
+
+
+def words_only() -> WordHashes:
+    hold_only("words", WORDS.clear)
+    return WORDS
+
+
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MUL2 = np.uint64(0xC2B2AE3D27D4EB4F)
 

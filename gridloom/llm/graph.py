@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 class UnionFind:
@@ -66,10 +66,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least.hint("merge"), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = materialise(large, "large")
+        discard(now, least)
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = materialise(down.groupBy("u").agg(F.min("v").alias("m")), "least")
         joined = down.join(least.hint("merge"), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialise(joined.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+        discard(large, least)
         seen = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (seen["n"], seen["h"]) == mark or not seen["n"]:
             break

@@ -23,29 +23,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, byte_values, materialise, mix, row_key, shingle_hashes, shuffle_partitions
+from .common import byte_values, materialise, mix, row_key, shingle_hashes, shuffle_partitions, slices, small_batches, split_chunks, words_only
 from .graph import components
 
-_WORDS = WordHashes()
 
 
 def shingle_sets(texts: list[bytes | None], width: int) -> Iterator[np.ndarray]:
     """Of each text the sorted distinct hashes of its runs of `width` words, A-Z in lower case; fewer words are one
     run; without a word there is none."""
-    words = [t.lower().split() if t else [] for t in texts]
-    start = 0
-    while start < len(words):
-        stop, total = start, 0
-        while stop < len(words) and total < 200_000:
-            total += len(words[stop])
-            stop += 1
-        flat = _WORDS.of([w for t in words[start:stop] for w in t])
+    for _, words in split_chunks(texts, lower=True):
+        flat = words_only().of([w for t in words for w in t])
         runs, at = shingle_hashes(flat, width), 0
-        for t in words[start:stop]:
+        for t in words:
             n = len(t)
             yield np.unique(runs[at : at + n - width + 1]) if n >= width else shingle_hashes(flat[at : at + n], n) ^ np.uint64(n) if n else flat[:0]
             at += n
-        start = stop
 
 
 def set_id(values: np.ndarray) -> int:
@@ -61,20 +53,34 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, row, n_shingles, set (null if empty); and with doc_id null and kind 1: n-grams seen often in one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = list(shingle_sets(byte_values(batch.column(2)), width))
-            names = [set_id(s) if len(s) else None for s in sets]
-            n = len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()), pa.array(names, pa.int64())], names=["kind", "doc_id", "row", "n_shingles", "set"])
-            distinct = list({k: s for k, s in zip(names, sets, strict=True) if k is not None}.values())
-            if distinct:
-                token, count = np.unique(np.concatenate(distinct), return_counts=True)
-                often = np.flatnonzero(count >= 4)
-                if len(often) > 20_000:
-                    often = often[np.argsort(-count[often], kind="stable")[:20_000]]
-                k = len(often)
-                yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(count[often], pa.int64()), pa.array(token[often].view(np.int64), pa.int64())], names=["kind", "doc_id", "row", "n_shingles", "set"])
-
+        seen: dict[int, np.ndarray] = {}
+        total = 0
+
+        def often() -> pa.RecordBatch:
+            token, count = np.unique(np.concatenate([*seen.values(), np.zeros(0, np.uint64)]), return_counts=True)
+            at = np.flatnonzero(count >= 4)
+            if len(at) > 20_000:
+                at = at[np.argsort(-count[at], kind="stable")[:20_000]]
+            k = len(at)
+            return pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(count[at], pa.int64()), pa.array(token[at].view(np.int64), pa.int64())], names=names)
+
+        for batch in slices(batches):
+            sizes, ids = [], []
+            for values in shingle_sets(byte_values(batch.column(2)), width):
+                name = set_id(values) if len(values) else None
+                sizes.append(len(values))
+                ids.append(name)
+                if name is not None and name not in seen:
+                    seen[name] = values
+                    total += len(values)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(ids), pa.int32()), batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], names=names)
+            if total > 2_000_000:
+                yield often()
+                seen.clear()
+                total = 0
+        yield often()
+
+    names = ["kind", "doc_id", "row", "n_shingles", "set"]
     return docs.select("doc_id", "row", "text").mapInArrow(run, "kind int, doc_id long, row long, n_shingles long, set long")
 
 
@@ -105,7 +111,7 @@ def _postings(docs: DataFrame, width: int, percent: int, often: np.ndarray, rank
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, rank, heavy = shared.value
         hot = np.array(sorted(heavy), np.uint64)
-        for batch in batches:
+        for batch in slices(batches, 4000):
             sets: dict[int, tuple[np.ndarray, int, np.ndarray]] = {}
             for values in shingle_sets(byte_values(batch.column(0)), width):
                 if len(values) and (name := set_id(values)) not in sets:
@@ -161,8 +167,8 @@ class Bitmaps:
         out, level = np.empty(len(x), np.int64), np.minimum(self.level[x], self.level[y])
         for k in np.unique(level).tolist():
             at = np.flatnonzero(level == k)
-            for i in range(0, len(at), 1 << 18):
-                some = at[i : i + (1 << 18)]
+            for i in range(0, len(at), 1 << 15):
+                some = at[i : i + (1 << 15)]
                 table, row = self.tables[k], self.row[k]
                 out[some] = np.bitwise_count(table[row[x[some]]] ^ table[row[y[some]]]).sum(axis=1)
         return out
@@ -368,6 +374,7 @@ def _classes(docs: DataFrame, width: int, percent: int, doc_id: str, text: str,
     lists, one for each pair of blocks of its sets.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("row", row_key("doc_id", "text"))
     both = materialise(_sets(base, width), "jaccard-sets")
     sets = both.where("kind = 0").select("doc_id", "row", "n_shingles", "set")
@@ -391,7 +398,7 @@ def _classes(docs: DataFrame, width: int, percent: int, doc_id: str, text: str,
     got = base.select("row", "text").join(materialise(asked, "asked").hint("shuffle_hash"), "row")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             values = [s.tobytes() for s in shingle_sets(byte_values(batch.column(0)), width)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(values, pa.large_binary()).cast(pa.binary())], names=["set", "cluster", "blocks", "side", "shingles"])
 
@@ -438,3 +445,16 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components_of(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, percent=85)
+
+
+OP7_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws FROM documents),
+s AS (SELECT DISTINCT rid, CASE WHEN len(ws) < 4 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i+3], ' ') END g FROM (SELECT rid, ws, unnest(range(1, greatest(len(ws) - 2, 2))) i FROM d WHERE len(ws) > 0)),
+z AS (SELECT rid, count(*) n FROM s GROUP BY rid),
+c AS (SELECT a.rid x, b.rid y, count(*) n FROM s a JOIN s b USING (g) WHERE a.rid < b.rid GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN z p ON p.rid = x JOIN z q ON q.rid = y WHERE 100 * c.n >= 85 * (p.n + q.n - c.n)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT rid, rid AS o FROM d UNION SELECT r.rid, e.y FROM r JOIN e ON e.x = r.o)
+SELECT d.doc_id, coalesce(any_value(z.n), 0)::BIGINT n_shingles, min(t.doc_id) component_id
+FROM d JOIN r ON r.rid = d.rid JOIN d t ON t.rid = r.o LEFT JOIN z ON z.rid = d.rid GROUP BY d.rid, d.doc_id
+"""

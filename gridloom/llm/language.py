@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import hold_only, slices, small_batches
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Bits of a packed counter: phrases of one language in one text.
@@ -77,7 +77,7 @@ class Parser:
 
     kept: dict[int, "Parser"] = {}
 
-    def __init__(self, samples: list[tuple[str, str]], most: int = 300_000) -> None:
+    def __init__(self, samples: list[tuple[str, str]], most: int = 100_000) -> None:
         self.langs = [lang for lang, _ in samples]
         self.automata = [SuffixAutomaton(text) for _, text in samples]
         self.weights = [math.log2(max(2, len(text))) for _, text in samples]
@@ -86,6 +86,7 @@ class Parser:
 
     @classmethod
     def of(cls, samples: list[tuple[str, str]]) -> "Parser":
+        hold_only("language", cls.kept.clear)
         key = hash(tuple(samples))
         if key not in cls.kept:
             cls.kept.clear()
@@ -104,7 +105,7 @@ class Parser:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = _WORD.findall(text.lower()) if text else []
-        if not words or not self.langs:
+        if not self.langs or not any(map(str.isalpha, words)) and not any(c.isalpha() for w in words for c in w):
             return "und", 0.0
         known, parse = self.known, self.word
         total = sum([known[w] if w in known else parse(w) for w in words])
@@ -121,7 +122,7 @@ def remainder(doc_id: str = "doc_id") -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(4)).cast("int")
 
 
-def sample_texts(docs: DataFrame, letters: int = 60_000, per_lang: int = 400, held_out: int = 2, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most_langs: int = 256) -> list[tuple[str, str]]:
+def sample_texts(docs: DataFrame, letters: int = 30_000, per_lang: int = 400, held_out: int = 2, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most_langs: int = 256) -> list[tuple[str, str]]:
     """A bounded sample to fit on: for each of the `most_langs` most frequent labels, whole documents in the order
     of a hash of their id until `letters` letters are reached, at most per_lang documents. Rows of the held-out
     remainder, null labels and null texts take no part."""
@@ -148,13 +149,14 @@ def classify(docs: DataFrame, samples: list[tuple[str, str]], text: str = "text"
     Only the text is looked at. `und` with score 0 if the text is null, has no letter, or nothing was learned.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(samples)  # bounded by sample_texts
     at = docs.columns.index(text)
     names = [c for c in docs.columns if c not in into]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser.of(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             found = [parser.predict(t) for t in batch.column(at).to_pylist()]
             columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())], names=[*names, *into])

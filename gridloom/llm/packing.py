@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_values, materialise
+from .common import byte_values, materialise, slices, small_batches
 from .tokens import Encoder, tokenizer_path
 
 
@@ -88,11 +88,12 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def cut_pieces(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each piece of each document: the ids of its text, then end_id, cut every `capacity` ids."""
+    small_batches(docs.sparkSession)
     path, end = tokenizer or tokenizer_path(), np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, width = Encoder.of(path), 4 * capacity
-        for batch in batches:
+        for batch in slices(batches):
             out: tuple[list, ...] = ([], [], [], [], [])
             for own, value in zip(batch.column(0).to_pylist(), byte_values(batch.column(1)), strict=True):
                 ids = encoder.ids(value) + end
@@ -126,7 +127,7 @@ def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: str
     keys = (plan[:, 0] << 48) | plan[:, 1]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             length, rank = batch.column(3).to_numpy(zero_copy_only=False), batch.column(5).to_numpy(zero_copy_only=False)
             row = plan[np.searchsorted(keys, (length << 48) | rank, side="right") - 1] if len(rank) else plan[:0]
             nth = rank - row[:, 1]

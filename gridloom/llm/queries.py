@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .embedding import op9_embedding_near_dedup
-from .jaccard import op7_ngram_jaccard_join
+from .embedding import OP9_SQL, op9_embedding_near_dedup
+from .jaccard import OP7_SQL, op7_ngram_jaccard_join
 from .language import op6_language_id
 from .license import op2_license_scan
 from .packing import op5_packing
 from .quality import OP1_SQL, op1_quality_rules
 from .sentencepiece_codec import op4_sentencepiece
-from .sharding import op10_sharding
+from .sharding import OP10_SQL, op10_sharding
 from .substring import OP8_SQL, op8_substring_dedup
 from .token_counts import op3_token_counts
 
@@ -32,5 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": OP1_SQL,
+    "op7_ngram_jaccard_join": OP7_SQL,
     "op8_substring_dedup": OP8_SQL,
+    "op9_embedding_near_dedup": OP9_SQL,
+    "op10_sharding": OP10_SQL,
 }

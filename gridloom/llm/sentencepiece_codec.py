@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_values
+from .common import byte_values, hold_only, slices, small_batches
 from .tokens import tokenizer_path
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -241,6 +241,7 @@ _MODELS: dict[str, Model] = {}
 
 
 def model_of(path: str) -> Model:
+    hold_only("pieces", _MODELS.clear)
     if path not in _MODELS:
         _MODELS[path] = Model(path)
     return _MODELS[path]
@@ -253,7 +254,7 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text", into:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = model_of(path)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [memoryview(found.encode(t)).cast("I").tolist() for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in names], pa.array(ids, pa.list_(pa.int32()))], names=[*names, into])
 
@@ -267,7 +268,7 @@ def decode(rows: DataFrame, model: str | None = None, ids: str = "ids", into: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = model_of(path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [None if x is None else found.decode(struct.pack(f"<{len(x)}I", *x)) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in names], pa.array(texts, pa.string())], names=[*names, into])
 
@@ -281,10 +282,11 @@ def digest_ids(docs: DataFrame, model: str | None = None, doc_id: str = "doc_id"
     table gives an empty table. Texts longer than a batch's share are encoded whole.
     """
     path = model or tokenizer_path("piece_bpe_32k.model")
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = model_of(path)
-        for batch in batches:
+        for batch in slices(batches):
             n, crc, same = [], [], []
             for raw in byte_values(batch.column(1)):
                 value = (raw or b"").decode()

@@ -24,10 +24,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, byte_values, materialise, row_key, shingle_hashes, shuffle_partitions, sliding_least
+from .common import byte_values, materialise, row_key, shingle_hashes, shuffle_partitions, slices, sliding_least, small_batches, split_chunks, words_only
 from .fm_index import FMIndex, repeated_windows
 
-_WORDS = WordHashes()
 _OCCURRENCE = np.dtype([("key", "<u8"), ("row", "<i8")])
 _MARK = np.dtype([("at", "<u4"), ("mask", "<u8")])
 GRAM = 8
@@ -53,16 +52,6 @@ def minimizers(words: np.ndarray, lengths: np.ndarray, width: int, gram: int = G
     return grams[least[first]], own[at[first]], at[first] - starts[own[at[first]]], np.diff(np.append(first, len(at)))
 
 
-def _chunks(texts: list[list[bytes]], most: int = 200_000) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about `most` words, so that arrays stay in cache."""
-    start = total = 0
-    for k, words in enumerate(texts):
-        total += len(words)
-        if total >= most or k == len(texts) - 1:
-            yield start, k + 1
-            start, total = k + 1, 0
-
-
 def _split(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
@@ -77,15 +66,14 @@ def _packed(key: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, bytes]]:
 
 def _occurrences(base: DataFrame, width: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             parts = []
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = [_split(t) for t in byte_values(batch.column(1))]
-            for a, b in _chunks(texts):
-                words = _WORDS.of([w for t in texts[a:b] for w in t])
-                keys, own, _, _ = minimizers(words, np.array([len(t) for t in texts[a:b]]), width)
+            for start, texts in split_chunks(byte_values(batch.column(1))):
+                words = words_only().of([w for t in texts for w in t])
+                keys, own, _, _ = minimizers(words, np.array([len(t) for t in texts]), width)
                 part = np.empty(len(keys), _OCCURRENCE)
-                part["key"], part["row"] = keys, ids[a + own]
+                part["key"], part["row"] = keys, ids[start + own]
                 parts.append(part)
             if parts:
                 rows = np.concatenate(parts)
@@ -129,7 +117,7 @@ def _segments(joined: DataFrame, width: int, shards: int, buckets: int, results:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in slices(batches, 4000):
             rows: list[tuple] = []
             segments: dict[bytes, list] = {}
             windows: dict[bytes, list] = {}
@@ -148,7 +136,7 @@ def _segments(joined: DataFrame, width: int, shards: int, buckets: int, results:
                 wanted, heat = np.frombuffer(b"".join(lists[k]), "<u8"), np.frombuffer(b"".join(heats[k]), bool)
                 order = np.argsort(wanted)
                 wanted, heat = wanted[order], heat[order]
-                keys, _, firsts, counts = minimizers(_WORDS.of(words), np.array([len(words)]), width)
+                keys, _, firsts, counts = minimizers(words_only().of(words), np.array([len(words)]), width)
                 at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
                 for i in np.flatnonzero(wanted[at] == keys).tolist():
                     first, count = int(firsts[i]), int(counts[i])
@@ -200,7 +188,7 @@ def _search(parts: DataFrame, width: int) -> DataFrame:
                 seen.append((row, p, times))
         words = [b.split() for _, b, *_ in bodies.values()]
         lengths = np.array([len(w) for w in words])
-        hashes = _WORDS.of([x for w in words for x in w])
+        hashes = words_only().of([x for w in words for x in w])
         starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
         text = np.zeros(int((lengths + 1).sum()), np.int64)
         text[np.arange(len(hashes)) + np.repeat(np.arange(len(words)), lengths)] = np.unique(hashes, return_inverse=True)[1] + 1
@@ -263,6 +251,7 @@ def covered(n_words: int, marks: list[bytes], width: int) -> np.ndarray:
 
 def _find(base: DataFrame, width: int, hot_from: int, results: bool) -> tuple[DataFrame, DataFrame]:
     """(_segments' table, the marks of each row that has some: row, marks); base: doc_id, text, row."""
+    small_batches(base.sparkSession)
     buckets = 2 * shuffle_partitions(base.sparkSession)
     keys = materialise(_repeated_keys(_occurrences(base, width, buckets), hot_from), "repeated-keys")
     shards = int(max(buckets, (keys.agg(F.sum("n")).first()[0] or 0) * 1.5 * width // 1_600_000))
@@ -289,7 +278,7 @@ def dedup(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str =
     some = step.where("kind = 1").select("doc_id", "row", "text", "n_words").join(marks.hint("shuffle_hash"), "row", "left").select("doc_id", "text", "n_words", "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             gone, digests = [], []
             for text, marks in zip(byte_values(batch.column(1)), batch.column(3).to_pylist(), strict=True):
                 words = _split(text)
@@ -318,11 +307,12 @@ def cut_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text:
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("row", row_key("doc_id", "text"))
     _, marks = _find(base, width, hot_from, False)
     rows = docs.withColumn("_row", F.xxhash64(F.col(doc_id).cast("long"), F.col(text)))
-    marked = rows.join(materialise(marks, "row-marks").hint("shuffle_hash"), F.col("_row") == F.col("row"), "left").select(*docs.columns, F.col("marks").alias("_marks"))
+    found = materialise(marks, "row-marks").toDF("_marked", "_marks")
+    marked = rows.join(found.hint("shuffle_hash"), F.col("_row") == F.col("_marked"), "left").select(*docs.columns, "_marks")
     at, n = docs.columns.index(text), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = []
             for value, marks in zip(byte_values(batch.column(at)), batch.column(n).to_pylist(), strict=True):
                 if marks and value:

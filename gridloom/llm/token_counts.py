@@ -12,15 +12,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_values, materialise, scratch_path
-from .tokens import Encoder, tokenizer_digest, tokenizer_path
+from .common import byte_values, materialise, scratch_path, slices, small_batches
+from .tokens import Encoder, drops_space, tokenizer_digest, tokenizer_path
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
 
-def _normalised(text: str) -> F.Column:
-    """Content up to what cannot change a count: runs of spaces and line feeds count as one space, ends are cut off."""
-    return F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[ \n]{2,}|\n", " "))
+def _normalised(text: str, folds: bool) -> F.Column:
+    """Content up to what cannot change a count: where the tokenizer drops white space, runs of spaces and line feeds
+    count as one space and ends are cut off; else the text itself."""
+    value = F.coalesce(F.col(text), F.lit(""))
+    return F.trim(F.regexp_replace(value, "[ \n]{2,}|\n", " ")) if folds else value
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
@@ -40,21 +42,22 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str | None = None, limi
     while appending can leave counts twice: they are equal, and reading takes one of each.
     """
     spark, path = docs.sparkSession, tokenizer or tokenizer_path()
-    version = tokenizer_digest(path)
+    version, folds = tokenizer_digest(path), drops_space(path)
+    small_batches(spark)
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    keyed = base.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.unhex(F.sha2(_normalised("text"), 256)).alias("digest"))
+    keyed = base.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.unhex(F.sha2(_normalised("text", folds), 256)).alias("digest"))
     keyed = materialise(keyed, "token-digests")
     stored = read_cache(spark, cache).where(F.col("tokenizer") == version)
     # one row of each distinct miss: its digest, and the least id that carries it
     misses = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(stored, "digest", "left_anti")
     misses = misses.select(F.col("digest").alias("miss"), F.col("doc_id").alias("miss_id"))
-    texts = base.withColumn("digest", F.unhex(F.sha2(_normalised("text"), 256)))
+    texts = base.withColumn("digest", F.unhex(F.sha2(_normalised("text", folds), 256)))
     # ids are spread evenly, so joining on id and digest spreads copies of a hot text as well
     found = texts.join(misses.hint("shuffle_hash"), (F.col("digest") == F.col("miss")) & F.col("doc_id").eqNullSafe(F.col("miss_id"))).select("digest", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = Encoder.of(path), set()
-        for batch in batches:
+        for batch in slices(batches):
             digests, counts = [], []
             for digest, value in zip(batch.column(0).to_pylist(), byte_values(batch.column(1)), strict=True):
                 if digest not in seen:

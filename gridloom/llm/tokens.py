@@ -14,6 +14,8 @@ import re
 
 import numpy as np
 
+from .common import hold_only
+
 _ENCODERS: dict[tuple[str, int], "Encoder"] = {}
 #: Line feeds to spaces; and the same with A-Z in lower case, for tokenizers that lower-case anyway.
 _BREAK = bytes.maketrans(b"\n", b" ")
@@ -45,6 +47,12 @@ def _separable(spec: dict) -> bool:
     return bool(split and bytelevel and kinds <= {"NFC", "Replace", "Lowercase", None} and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in spec.get("added_tokens", [])))
 
 
+def drops_space(path: str) -> bool:
+    """True if the ids of a text are those of its chunks between spaces and line feeds."""
+    with open(path, encoding="utf-8") as f:
+        return _separable(json.load(f))
+
+
 class Encoder:
     """ids(text): the ids of a text as little-endian unsigned 32-bit bytes, as the library gives them."""
 
@@ -71,8 +79,9 @@ class Encoder:
         self.known: dict[bytes, bytes] = {}
 
     @staticmethod
-    def of(path: str, most: int = 800_000) -> "Encoder":
+    def of(path: str, most: int = 500_000) -> "Encoder":
         """One encoder for each file in a worker process."""
+        hold_only("tokens", _ENCODERS.clear)
         if (path, most) not in _ENCODERS:
             _ENCODERS[path, most] = Encoder(path, most)
         return _ENCODERS[path, most]

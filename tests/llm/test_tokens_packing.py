@@ -53,6 +53,14 @@ def test_counts_and_cache(spark, make_docs, odd_rows, library, tmp_path):
     assert token_counts.count_tokens(make_docs([]), cache).count() == 0
 
 
+def test_counts_where_space_matters(spark, make_docs, tmp_path):
+    path = tokens.tokenizer_path("byte_bpe_50k.json")
+    whole = tokenizers.Tokenizer.from_file(path)
+    rows = [(1, "a b"), (2, " a  b "), (3, "a\nb"), (4, "a\n\n\nb")]
+    found = token_counts.count_tokens(make_docs(rows), f"file://{tmp_path}/other", path)
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in found.collect()) == [(i, len(whole.encode(t, add_special_tokens=False).ids)) for i, t in rows]
+
+
 def brute_best_fit(lengths, capacity):
     rooms, bins = [], 0
     for n in sorted(lengths, reverse=True):
