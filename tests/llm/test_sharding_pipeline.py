@@ -62,7 +62,7 @@ def test_registered(spark, duck, sf, name):
     if name in queries.ORACLE_SQL:
         b = duck.sql(queries.ORACLE_SQL[name]).df()
         columns = sorted(a.columns)
-        show = lambda x: x[columns].astype(str).sort_values(columns).reset_index(drop=True)
+        show = lambda x: x[columns].astype(object).where(x[columns].notna(), None).astype(str).sort_values(columns).reset_index(drop=True)
         assert columns == sorted(b.columns) and show(a).equals(show(b))
 
 
