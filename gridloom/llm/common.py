@@ -99,7 +99,7 @@ def row_key(*columns: str) -> Column:
 class WordHashes(dict):
     """word bytes -> its 64-bit hash as 8 little-endian bytes; forgets everything at a bound on its size."""
 
-    def __init__(self, most: int = 250_000) -> None:
+    def __init__(self, most: int = 150_000) -> None:
         super().__init__()
         self.most = most
 

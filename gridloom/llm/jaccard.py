@@ -74,7 +74,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                     seen[name] = values
                     total += len(values)
             yield pa.RecordBatch.from_arrays([pa.array([0] * len(ids), pa.int32()), batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], names=names)
-            if total > 2_000_000:
+            if total > 1_000_000:
                 yield often()
                 seen.clear()
                 total = 0
@@ -95,12 +95,13 @@ def _prefix(values: np.ndarray, percent: int, often: np.ndarray, rank: np.ndarra
 
 
 def parity_bits(values: np.ndarray) -> np.ndarray:
-    """A bitmap of about half a bit for each member, in 64-bit words, a power of two of them: each member flips one
-    bit. Two bitmaps differ in at most as many bits as their sets differ in members; halves fold onto each other."""
-    words = 1 << max(0, (len(values) // 128 - 1).bit_length()) if len(values) >= 128 else 1
-    bits = np.bincount((values >> np.uint64(20)).astype(np.int64) & (64 * words - 1), minlength=64 * words) & 1
-    # bit b of the set's bitmap lies in word b % words, so that folding keeps to words
-    return np.ascontiguousarray(np.packbits(bits.astype(np.uint8).reshape(64, words).T, axis=1, bitorder="little")).view("<u8").ravel()
+    """A bitmap of about one bit for each member (0.7 to 1.3), in 64-bit words, a power of two of them: each member
+    flips one bit. Two bitmaps differ in at most as many bits as their sets differ in members; halves fold onto each other."""
+    words = 1 << (len(values) // 96 - 1).bit_length() if len(values) >= 96 else 1
+    # the bit within a word does not depend on the number of words, so that folding keeps to words
+    place = ((values >> np.uint64(26)).astype(np.int64) & (words - 1)) * 64 + ((values >> np.uint64(20)).astype(np.int64) & 63)
+    bits = np.bincount(place, minlength=64 * words) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<u8")
 
 
 def _postings(docs: DataFrame, width: int, percent: int, often: np.ndarray, rank: np.ndarray, heavy: dict[int, int], buckets: int) -> DataFrame:
@@ -111,7 +112,7 @@ def _postings(docs: DataFrame, width: int, percent: int, often: np.ndarray, rank
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, rank, heavy = shared.value
         hot = np.array(sorted(heavy), np.uint64)
-        for batch in slices(batches, 4000):
+        for batch in slices(batches):
             sets: dict[int, tuple[np.ndarray, int, np.ndarray]] = {}
             for values in shingle_sets(byte_values(batch.column(0)), width):
                 if len(values) and (name := set_id(values)) not in sets:
@@ -186,6 +187,7 @@ def _may_link(postings: DataFrame, percent: int, small: int = 64) -> DataFrame:
         size, words = np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts])
         begin = np.cumsum(words) - words
         flat = np.concatenate([p[5] for p in parts])
+        del parts
         flat = flat[np.concatenate([np.arange(begin[i], begin[i] + words[i]) for i in first.tolist()])]
         bitmaps, size, own = Bitmaps(words[first], flat), size[first], index[own]
         # one posting for each set and n-gram, lists in order of size, cut where sizes leave a gap too large to link
@@ -385,7 +387,7 @@ def _classes(docs: DataFrame, width: int, percent: int, doc_id: str, text: str,
     rank = np.arange(len(often), 0, -1)[order]  # the most frequent comes last
     often = often[order]
     partitions = shuffle_partitions(spark)
-    edges = materialise(_may_link(_postings(base, width, percent, often, rank, heavy, max(8, partitions)), percent), "may-link")
+    edges = materialise(_may_link(_postings(base, width, percent, often, rank, heavy, max(64, partitions)), percent), "may-link")
     groups = materialise(components(edges), "groups")  # node: a set that may link
     # the sets of each group meet: one row stands for each set
     one = sets.where("set is not null").groupBy("set").agg(F.min("row").alias("row"), F.max("n_shingles").alias("n"))

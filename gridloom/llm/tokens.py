@@ -79,7 +79,7 @@ class Encoder:
         self.known: dict[bytes, bytes] = {}
 
     @staticmethod
-    def of(path: str, most: int = 500_000) -> "Encoder":
+    def of(path: str, most: int = 250_000) -> "Encoder":
         """One encoder for each file in a worker process."""
         hold_only("tokens", _ENCODERS.clear)
         if (path, most) not in _ENCODERS:
