@@ -3,8 +3,8 @@
 A multinomial logistic regression over the presence of word 1- and 2-grams is trained on the driver from notice
 templates (whole and with words left out) against a bounded sample of the corpus's own paragraphs as the class
 `unknown`. Half of the sample is held out: the probability a family must reach is set so that no held-out paragraph
-without license words would reach it. Scoring looks at paragraphs that hold one of the model's anchor words, weighs their n-grams
-by a map of weights, and confirms a family by comparing the paragraph with that family's templates.
+without license words would reach it. Every paragraph (line) that is not blank is scored: its n-grams that the model
+knows are weighed by a map of weights, and a family is confirmed by comparing the paragraph with its templates.
 """
 
 from __future__ import annotations
@@ -47,9 +47,6 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Unlicense", "Released under the Unlicense."),
 ]
 
-#: A paragraph is scored only if it holds one of these words.
-ANCHORS = ("license", "licensed", "licenses", "licence", "licenced", "gplv2", "gplv3", "gpl", "lgpl", "unlicense", "permission", "redistribution", "redistribute", "unencumbered", "apache", "mozilla", "copyleft")
-
 WORD = r"[a-z0-9]+"
 
 
@@ -130,10 +127,12 @@ def _score(model: LicenseModel, paragraph: Column) -> Column:
     n = len(model.families)
     table = F.create_map(*[x for g, w in model.weights.items() for x in (F.lit(g), F.array(*[F.lit(v) for v in w]))])
     names = F.array(*[F.lit(f) for f in model.families])
+    vocabulary = F.array(*[F.lit(g) for g in model.weights])
 
     def with_grams(grams: Column) -> Column:
         start = F.array(*[F.lit(v) for v in model.bias])
-        known = F.filter(F.transform(grams, lambda g: F.try_element_at(table, g)), lambda w: w.isNotNull())
+        # a map is searched from its start for each key, so only n-grams that it holds are looked up
+        known = F.transform(F.array_intersect(grams, vocabulary), lambda g: F.try_element_at(table, g))
         total = F.aggregate(known, start, lambda a, w: F.zip_with(a, w, lambda p, q: p + q))
 
         def verdict(z: Column) -> Column:
@@ -148,12 +147,13 @@ def _score(model: LicenseModel, paragraph: Column) -> Column:
                 share = both / F.least(F.lit(len(own)), F.greatest(F.size(grams), F.lit(1)))
                 likeness = F.greatest(likeness, F.when(family == f, share).otherwise(F.lit(0.0)))
             probability = F.exp(F.array_max(z) - top) / mass
-            return F.struct(F.when(probability >= model.threshold, family).otherwise(F.lit(UNKNOWN)).alias("family"), probability.alias("probability"), (likeness >= 0.6).alias("confirmed"))
+            known_family = probability >= model.threshold
+            return F.struct(F.when(known_family, family).otherwise(F.lit(UNKNOWN)).alias("family"), probability.alias("probability"), F.when(known_family, likeness >= 0.6).otherwise(F.lit(False)).alias("confirmed"))
 
         return let(total, verdict)
 
     assert n
-    return let(_grams_of(_words(paragraph)), with_grams)
+    return let(_words(paragraph), lambda words: let(_grams_of(words), with_grams))
 
 
 def sample_paragraphs(docs: DataFrame, text: str = "text", most: int = 2000) -> list[str]:
@@ -168,10 +168,10 @@ def sample_paragraphs(docs: DataFrame, text: str = "text", most: int = 2000) ->
 
 def scan(docs: DataFrame, model: LicenseModel, text: str = "text") -> DataFrame:
     """docs with `licenses`: an array of struct(paragraph, family, probability, confirmed), one for each paragraph
-    (line) that holds an anchor word. Null and empty texts have none."""
-    anchors = F.array(*[F.lit(a) for a in ANCHORS])
+    (line) that is not blank; a paragraph of family `unknown` is not compared with templates. Null, empty and blank
+    texts have none."""
     lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda p, i: F.struct(i.alias("at"), p.alias("p")))
-    seen = F.filter(lines, lambda x: F.arrays_overlap(_words(x["p"]), anchors))
+    seen = F.filter(lines, lambda x: F.trim(x["p"]) != "")
     with_lines = docs.withColumn("_lines", seen)
     scored = F.transform("_lines", lambda x: F.struct(x["at"].alias("paragraph"), _score(model, x["p"]).alias("s")))
     flat = F.transform("_scored", lambda x: F.struct(x["paragraph"].alias("paragraph"), x["s"]["family"].alias("family"), x["s"]["probability"].alias("probability"), x["s"]["confirmed"].alias("confirmed")))
@@ -181,10 +181,12 @@ def scan(docs: DataFrame, model: LicenseModel, text: str = "text") -> DataFrame:
 def families_of(docs: DataFrame, model: LicenseModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_candidates, n_licenses, family, probability for each row of docs: the confirmed paragraph of the
     highest probability (the first, if equal) names the family; `unknown` with probability 0 if none is confirmed.
+    Candidates are the paragraphs in which the model finds a family, licenses those that a template confirms too.
     Equal rows and null ids give a row each; an empty table gives an empty table."""
     rows = scan(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), model)
-    sure = F.filter("licenses", lambda x: (x["family"] != UNKNOWN) & x["confirmed"])
-    rows = rows.select("doc_id", F.size("licenses").cast("long").alias("n_candidates"), sure.alias("sure"))
+    found = F.filter("licenses", lambda x: x["family"] != UNKNOWN)
+    rows = rows.select("doc_id", found.alias("found")).withColumn("sure", F.filter("found", lambda x: x["confirmed"]))
+    rows = rows.select("doc_id", F.size("found").cast("long").alias("n_candidates"), "sure")
     best = F.array_max(F.transform("sure", lambda x: F.struct(x["probability"].alias("probability"), (-x["paragraph"]).alias("before"), x["family"].alias("family"))))
     rows = rows.withColumn("best", best)
     return rows.select("doc_id", "n_candidates", F.size("sure").cast("long").alias("n_licenses"), F.coalesce("best.family", F.lit(UNKNOWN)).alias("family"), F.round(F.coalesce("best.probability", F.lit(0.0)), 9).alias("probability"))

@@ -129,3 +129,15 @@ def test_licenses(spark, make_docs, odd_rows):
         for x in row["licenses"]:
             assert x["probability"] == pytest.approx(max(license.probabilities(model, row["text"].split("\n")[x["paragraph"]])[:-1]), abs=1e-9)
     assert license.families_of(make_docs([]), model).count() == 0
+
+
+def test_licenses_without_an_anchor_word(spark, make_docs):
+    """Notices that are no templates and hold none of the words that scans once asked for."""
+    rng = random.Random(8)
+    plain = [prose(rng, 40) for _ in range(200)]
+    model = license.train(plain)
+    notices = [("CC-BY-SA", "Distributed under CC BY-SA 4.0"), ("CC-BY", "Creative Commons Attribution 4.0 International"), ("BSD", "BSD-3-Clause"), ("CC-BY-NC", "Terms: CC BY-NC 4.0"), ("Unlicense", "Released into the public domain.")]
+    docs = make_docs([(k, f"{plain[k]}\n\n \n{text}") for k, (_, text) in enumerate(notices)])
+    got = {r["doc_id"]: r for r in license.families_of(docs, model).collect()}
+    assert [(got[k]["family"], got[k]["n_licenses"]) for k in range(len(notices))] == [(f, 1) for f, _ in notices]
+    assert {tuple(x["paragraph"] for x in r["licenses"]) for r in license.scan(docs, model).collect()} == {(0, 3)}
