@@ -141,3 +141,15 @@ def test_licenses_without_an_anchor_word(spark, make_docs):
     got = {r["doc_id"]: r for r in license.families_of(docs, model).collect()}
     assert [(got[k]["family"], got[k]["n_licenses"]) for k in range(len(notices))] == [(f, 1) for f, _ in notices]
     assert {tuple(x["paragraph"] for x in r["licenses"]) for r in license.scan(docs, model).collect()} == {(0, 3)}
+
+
+def test_language_sample_is_whole_and_kept_small(spark, make_docs):
+    """60,000 letters are learned where there are as many; repeated words take no memory and change no parse."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 9))) for _ in range(900)]
+    ((lang, sample),) = language.sample_texts(make_docs([(k, prose(rng, 200, words)) for k in range(120)]))
+    assert lang == "en" and len(sample) >= 60_000
+    whole, parser = language.SuffixAutomaton(sample), language.Parser([(lang, sample)])
+    assert len(parser.automata[0].next) < len(whole.next) / 2
+    for word in words[:50] + ["".join(rng.choice("abcdef") for _ in range(12)) for _ in range(200)]:
+        assert parser.word(word) == whole.phrases(f" {word} ") == brute_phrases(sample, f" {word} ")
