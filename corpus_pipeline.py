@@ -13,8 +13,11 @@ from gridloom.llm import common, jaccard, language, packing, quality, substring
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language is recognised (no letters at all) go."""
+    """Documents in which no language is recognised (no letters at all) go. Where nothing was learned, since no row
+    outside the held-out remainder has a label, nothing can be judged and all documents stay."""
     samples = language.sample_texts(docs)
+    if not samples:
+        return docs
     found = language.classify(docs, samples, into=("_lang_pred", "_lang_score"))
     return found.where(F.col("_lang_pred") != "und").select(*docs.columns)
 

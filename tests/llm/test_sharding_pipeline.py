@@ -93,3 +93,10 @@ def test_stages_take_odd_rows(spark, make_docs, odd_rows, sf):
         assert stage(spark, docs, sf).columns == docs.columns
         assert stage(spark, docs.limit(0), sf).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf).count() == 0
+
+
+def test_language_stage_without_labels_keeps_documents(spark, make_docs):
+    docs = make_docs([(k, f"some words of document {k}", None) for k in range(40)])
+    assert corpus_pipeline.language_stage(spark, docs, "").count() == 40
+    labelled = make_docs([(k, f"some words of document {k}", "en") for k in range(40)] + [(50, "123 ...", "en")])
+    assert corpus_pipeline.language_stage(spark, labelled, "").count() == 40
