@@ -3,7 +3,7 @@
 A multinomial logistic regression over the presence of word 1- and 2-grams is trained on the driver from notice
 templates (whole and with words left out) against a bounded sample of the corpus's own paragraphs as the class
 `unknown`. Half of the sample is held out: the probability a family must reach is set so that no held-out paragraph
-without license words would reach it. Every paragraph (line) that is not blank is scored: its n-grams that the model
+without license words would reach it, but never below 0.6 or above 0.95. Every paragraph (line) that is not blank is scored: its n-grams that the model
 knows are weighed by a map of weights, and a family is confirmed by comparing the paragraph with its templates.
 """
 
