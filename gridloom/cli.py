@@ -69,10 +69,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 0
     spark = spark or SparkSession.builder.appName("gridloom").getOrCreate()
     if a.verb == "count-tiles":
-        sinks.write_tsv(counts.count_text(commands.count_tiles(spark, a.source, a.zoom)), a.out_tsv, single=True)
+        sinks.write_tsv(counts.count_text(commands.count_tiles(spark, a.source, a.zoom)), a.out_tsv)
     elif a.verb.startswith("tile-density-stats"):
         run = commands.tile_density_stats_mt if a.verb.endswith("-mt") else commands.tile_density_stats
-        sinks.write_tsv(density.density_text(run(spark, a.source, a.count, a.feature, a.compact, a.zoom)), a.out, single=True)
+        sinks.write_tsv(density.density_text(run(spark, a.source, a.count, a.feature, a.compact, a.zoom)), a.out)
     elif a.verb == "export":
         if not (a.out_tsv or a.out_json):
             raise SystemExit("--out-tsv or --out-json is needed")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.projection import in_plane, latitude, local_x, local_y, longitude, pixel, tile_x, tile_y
 from ..functions.text import MISSING, prefix_double
-from ..functions.tileid import id_of, tile_id, zxy_of
+from ..functions.tileid import id_of, with_tile_id, zxy_of
 from ..sources import mlt, mvt
 from ..sources.archive import TILE_TYPES, compress
 from ..sources.delimited import read_delimited
@@ -37,15 +37,16 @@ def is_float(v: Column, name: str) -> Column:
 def infer_types(rows: DataFrame, columns: list[str]) -> DataFrame:
     """column, type (INT, FLOAT or STRING), nullable: the narrowest type that all values of a column fit.
 
-    One pass with three aggregates a column. A column without values is a nullable INT.
+    Each value is looked at once (0 missing, 1 whole, 2 number, 3 other); then one pass with two aggregates a column.
+    A column without values is a nullable INT.
     """
-    parts = []
-    for c in columns:
+    kinds = []
+    for k, c in enumerate(columns):
         v = F.col(f"`{c}`")
-        own = [F.coalesce(F.bool_and(is_int(v) | is_missing(v)), F.lit(True)), F.coalesce(F.bool_and(is_float(v, c) | is_missing(v)), F.lit(True)), F.coalesce(F.bool_or(is_missing(v)), F.lit(False))]
-        parts.append(F.struct(F.lit(c).alias("column"), *[a.alias(n) for a, n in zip(own, ("i", "f", "nullable"), strict=True)]))
-    found = rows.agg(F.array(*parts).alias("r")).select(F.explode("r").alias("r"))
-    kind = F.when(F.col("r.i"), F.lit("INT")).when(F.col("r.f"), F.lit("FLOAT")).otherwise(F.lit("STRING"))
+        kinds.append(F.when(is_missing(v), 0).when(is_int(v), 1).when(is_float(v, c), 2).otherwise(3).alias(f"k{k}"))
+    parts = [F.struct(F.lit(c).alias("column"), F.coalesce(F.max(f"k{k}"), F.lit(0)).alias("kind"), F.coalesce(F.min(f"k{k}") == 0, F.lit(False)).alias("nullable")) for k, c in enumerate(columns)]
+    found = rows.select(*kinds).agg(F.array(*parts).alias("r")).select(F.explode("r").alias("r"))
+    kind = F.when(F.col("r.kind") <= 1, F.lit("INT")).when(F.col("r.kind") == 2, F.lit("FLOAT")).otherwise(F.lit("STRING"))
     return found.select(F.col("r.column").alias("column"), kind.alias("type"), F.col("r.nullable").alias("nullable"))
 
 
@@ -67,8 +68,8 @@ def value_of(c: str, kind: str) -> Column:
 def place(rows: DataFrame, zoom: int, x: str = "gx", y: str = "gy") -> DataFrame:
     """rows with tx, ty, px, py, tile_id; rows outside the plane are left out (see outside())."""
     inside = rows.where(in_plane(x, y, zoom)).withColumns({"tx": tile_x(x, zoom), "ty": tile_y(y, zoom)})
-    own = {"px": pixel(local_x(x, "tx", zoom)).cast("int"), "py": pixel(local_y(y, "ty", zoom)).cast("int"), "tile_id": tile_id("tx", "ty", zoom)}
-    return inside.withColumns(own)
+    own = {"px": pixel(local_x(x, "tx", zoom)).cast("int"), "py": pixel(local_y(y, "ty", zoom)).cast("int")}
+    return with_tile_id(inside.withColumns(own), "tx", "ty", zoom)
 
 
 def outside(rows: DataFrame, zoom: int, x: str = "gx", y: str = "gy") -> DataFrame:

@@ -6,20 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import general
-from ..functions.tileid import tile_id
-
-
-def _id_by_zoom(z: str, x: str, y: str, levels: range) -> F.Column:
-    out = F.lit(None).cast("long")
-    for k in levels:
-        out = F.when(F.col(z) == k, tile_id(x, y, k)).otherwise(out)
-    return out
+from ..functions.tileid import first_id, with_tile_id
 
 
 def count_zoom(counts: DataFrame, zoom: int) -> DataFrame:
     """zoom, x, y, tile_id, tile_count at one zoom. counts: z, x, y, n (one row or more for a tile)."""
     own = counts.where(F.col("z") == zoom).groupBy("x", "y").agg(F.sum("n").cast("long").alias("tile_count"))
-    return own.select(F.lit(zoom).alias("zoom"), "x", "y", tile_id("x", "y", zoom).alias("tile_id"), "tile_count")
+    return with_tile_id(own, "x", "y", zoom).select(F.lit(zoom).alias("zoom"), "x", "y", "tile_id", "tile_count")
 
 
 def count_all(counts: DataFrame, min_zoom: int, max_zoom: int) -> DataFrame:
@@ -36,7 +29,11 @@ def count_all(counts: DataFrame, min_zoom: int, max_zoom: int) -> DataFrame:
     total = up.groupBy("zoom", "x", "y").agg(F.sum("n").cast("long").alias("total_count"))
     own = per_tile.select(F.col("z").alias("zoom"), "x", "y", F.col("n").alias("tile_count"))
     out = total.join(own, ["zoom", "x", "y"], "left").withColumn("tile_count", F.coalesce("tile_count", F.lit(0).cast("long")))
-    number = _id_by_zoom("zoom", "x", "y", range(min_zoom, max_zoom + 1))
+    # the descendants of a tile at the highest zoom follow each other on the curve, the first one has its place times 4**levels
+    shift = F.lit(max_zoom) - F.col("zoom")
+    deep = {"_x": F.call_function("shiftleft", F.col("x"), shift), "_y": F.call_function("shiftleft", F.col("y"), shift)}
+    out = with_tile_id(out.withColumns(deep), "_x", "_y", max_zoom, "_id").withColumn("_first", F.element_at(F.array(*[F.lit(first_id(k)).cast("long") for k in range(max_zoom + 1)]), F.col("zoom") + 1))
+    number = F.call_function("shiftright", F.col("_id") - F.lit(first_id(max_zoom)), 2 * shift) + F.col("_first")
     return out.select("zoom", "x", "y", number.alias("tile_id"), "total_count", "tile_count", F.expr("try_divide(cast(tile_count as double), cast(total_count as double))").alias("frac_in_tile"))
 
 

@@ -22,16 +22,18 @@ def bin_sums(points: DataFrame, widths: int, positive: bool, count: str = "cnt",
     return wide.select(*key, "i", shift("px").alias("bx"), shift("py").alias("by"), "s").groupBy(*key, "i", "bx", "by").agg(F.sum("s").alias("s"))
 
 
-def density(points: DataFrame, widths: int = 13, positive: bool = True, count: str = "cnt", compact: bool = False) -> DataFrame:
+def density(points: DataFrame, widths: int = 13, positive: bool = True, count: str = "cnt", compact: bool = False, tiles_only: bool = False) -> DataFrame:
     """zoom, tile_x, tile_y, width, num_pts, num_grids: per tile, and over all tiles (tile_x and tile_y null).
 
-    compact: only the rows over all tiles.
+    compact: only the rows over all tiles; tiles_only: only those of tiles.
     """
     sums = bin_sums(points, widths, positive, count).withColumn("width", F.call_function("shiftleft", F.lit(1), F.col("i")).cast("long"))
     if compact:
         found = sums.groupBy("z", "width", "s").agg(F.count(F.lit(1)).alias("num_grids")).withColumns({"tx": F.lit(None).cast("long"), "ty": F.lit(None).cast("long")})
     else:
         per_tile = sums.groupBy("z", "tx", "ty", "width", "s").agg(F.count(F.lit(1)).alias("num_grids"))
+        if tiles_only:
+            return per_tile.select(F.col("z").alias("zoom"), F.col("tx").alias("tile_x"), F.col("ty").alias("tile_y"), "width", F.col("s").alias("num_pts"), "num_grids")
         grouped = per_tile.groupingSets([["z", "tx", "ty", "width", "s"], ["z", "width", "s"]], "z", "tx", "ty", "width", "s")
         found = grouped.agg(F.sum("num_grids").cast("long").alias("num_grids"))
     return found.select(F.col("z").alias("zoom"), F.col("tx").alias("tile_x"), F.col("ty").alias("tile_y"), "width", F.col("s").alias("num_pts"), "num_grids")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import centroid, in_any_region, in_box, ring_box, row_in_regions
+from ..functions.geometry import centroid, in_any_region, in_box, in_ring, ring_box, row_in_regions
 from ..functions.projection import HALF, _c, tile_width
 from ..functions.text import filled, fixed
 from ..sources.regions import Ring, boxes_of
@@ -69,22 +69,32 @@ def filter_points(points: DataFrame, box: Box | None = None, rings: list[Ring] |
     return out.where(in_any_region(x, y, rings)) if rings else out
 
 
-def points_in_regions(points: DataFrame, edges: DataFrame, key: str, x: str = "gx", y: str = "gy") -> DataFrame:
-    """Points in any of many regions given as an edge table (region_id, xi, yi, xj, yj, box of the region).
+def points_in_regions(points: DataFrame, regions: DataFrame, x: str = "gx", y: str = "gy") -> DataFrame:
+    """Points in any of many regions, given as a table with a column `ring` (closed or not).
 
-    For region sets too large for literal expressions: points meet the regions whose covering cells they lie in (an
-    equi-join on cells), then edges are counted by parity.
+    For region sets too large for literal expressions. Each region is put on the grid of a zoom level at which its box
+    is no wider or higher than a tile, so at most four tiles cover it; points meet regions on the tiles of each level in use (an
+    equi-join), and the even-odd test runs once for each point and region near it. No edges are multiplied, nothing
+    is grouped; a semi-join leaves each point once.
     """
-    cell = F.lit(tile_width(6))
-    at = lambda v: F.floor((_c(v) + F.lit(HALF)) / cell).cast("int")
-    cover = edges.select("region_id", "xmin", "ymin", "xmax", "ymax").distinct()
-    cover = cover.select("*", F.explode(F.sequence(at("xmin"), at("xmax"))).alias("cx")).select("*", F.explode(F.sequence(at("ymin"), at("ymax"))).alias("cy"))
-    near = points.select(key, F.col(x).alias("_x"), F.col(y).alias("_y"), at(x).alias("cx"), at(y).alias("cy")).join(cover, ["cx", "cy"])
-    near = near.where(F.col("_x").between(F.col("xmin"), F.col("xmax")) & F.col("_y").between(F.col("ymin"), F.col("ymax"))).select(key, "_x", "_y", "region_id")
-    spans = (F.col("yi") > F.col("_y")) != (F.col("yj") > F.col("_y"))
-    hit = F.when(spans & (F.col("_x") < F.when(spans, (F.col("xj") - F.col("xi")) * (F.col("_y") - F.col("yi")) / (F.col("yj") - F.col("yi")) + F.col("xi"))), 1).otherwise(0)
-    inside = near.join(edges.select("region_id", "xi", "yi", "xj", "yj"), "region_id").groupBy(key, "region_id").agg(F.sum(hit).alias("n")).where("n % 2 = 1")
-    return points.join(inside.select(key).distinct(), key, "left_semi")
+    box = regions.select("ring", ring_box("ring").alias("b")).select("ring", "b.*")
+    extent = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"), F.lit(1e-3))
+    level = F.least(F.lit(20), F.greatest(F.lit(0), F.floor(F.log2(F.lit(2 * HALF) / extent)).cast("int")))
+    cell = lambda v, z: F.floor((_c(v) + F.lit(HALF)) / (F.lit(2 * HALF) / F.call_function("shiftleft", F.lit(1).cast("long"), z))).cast("long")
+    cover = box.withColumn("cz", level)
+    for c, low, high in (("cx", "xmin", "xmax"), ("cy", "ymin", "ymax")):
+        cover = cover.withColumn(c, F.explode(F.sequence(cell(low, F.col("cz")), cell(high, F.col("cz")))))
+    levels = [r["cz"] for r in cover.select("cz").distinct().collect()]  # 21 at most
+    if not levels:
+        return points.limit(0)
+    names = {c: f"_point{k}" for k, c in enumerate(points.columns)}
+    px, py = names[x], names[y]
+    near = points.toDF(*names.values()).withColumn("_row", F.monotonically_increasing_id()) if len(levels) > 1 else points.toDF(*names.values())
+    near = near.withColumn("_z", F.explode(F.array(*[F.lit(z) for z in sorted(levels)]))).withColumns({"_cx": cell(px, F.col("_z")), "_cy": cell(py, F.col("_z"))})
+    inside = F.col(px).between(F.col("xmin"), F.col("xmax")) & F.col(py).between(F.col("ymin"), F.col("ymax")) & in_ring(px, py, "ring")
+    found = near.join(cover, (F.col("_z") == F.col("cz")) & (F.col("_cx") == F.col("cx")) & (F.col("_cy") == F.col("cy")) & inside, "left_semi")
+    found = found.dropDuplicates(["_row"]) if len(levels) > 1 else found  # a point may lie in regions of several levels
+    return found.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def filter_polygons(polygons: DataFrame, box: Box | None = None, rings: list[Ring] | None = None, ring: str = "ring") -> DataFrame:

@@ -6,18 +6,23 @@ tile, finds one ratio for the level, and keeps the first points of a seeded hash
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.projection import origin_x, origin_y, scale
-from ..functions.tileid import tile_id
-from ..sources import mvt
-from ..sources.archive import TILE_TYPES, open_archive
+from ..functions.tileid import with_tile_id
+from ..sources import mlt, mvt
+from ..sources.archive import COMPRESSION as PACKINGS
+from ..sources.archive import TILE_TYPES, compress, open_archive
 from ..sources.scratch import materialise
-from ..sources.tiles import read_points, read_tiles, typed
+from ..sources.tiles import read_stored_points, read_tiles, stored_schema, unpacked_value
 from ..sources.writer import write_archive
-from .build import encode_tiles
+
+GZIP = PACKINGS["gzip"]
 
 #: Fixed values of the size model.
 MAX_BYTES, MAX_FEATURES, COMPRESSION, BYTES_COLUMN, BYTES_POINT, DAMPING = 500_000, 50_000, 10.0, 8, 20, 0.95
@@ -56,85 +61,114 @@ def sample(points: DataFrame, z: int, cap: str, key: tuple[str, str] = ("tx", "t
     return points.withColumn("pick", rank).where(F.col("pick") <= F.col(cap))
 
 
-def _row_sizes(layer: str, columns: list[str]) -> str:
-    return "tx long, ty long, keep long"
-
-
-def _row_cap(points: DataFrame, layer: str, columns: list[str], budget: float) -> DataFrame:
+def _row_cap(points: DataFrame, budget: float) -> DataFrame:
     """tx, ty, keep: how many of a tile's picks fit the size estimate of row-oriented tiles."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("pick")
-        values = [table.column(f"c{k}").to_pylist() for k in range(len(columns))]
+        layers, rows = table.column("layer").to_pylist(), table.column("attrs").to_pylist()
         cur = table.num_rows
         while cur > 1:
-            seen, total, tags = set(), 50 + len(layer), 0
-            for name, own in zip(columns, values, strict=True):
-                there = [v for v in own[:cur] if v is not None]
-                if there:
-                    total += len(name) + 2
-                tags += 2 * len(there)
-                seen |= {(type(v), v) for v in there}
-            total += sum(len(mvt.text_of(v).encode()) + 2 for _, v in seen) + 10 * cur + tags
+            keys, values, tags = set(), set(), 0
+            for layer, own in zip(layers[:cur], rows[:cur], strict=True):
+                keys |= {(layer, k) for k, _ in own}
+                values |= {(layer, v) for _, v in own}
+                tags += 2 * len(own)
+            total = sum(50 + len(n) for n in set(layers[:cur])) + sum(len(k) + 2 for _, k in keys) + sum(len(v) + 2 for _, v in values) + 10 * cur + tags
             if total <= budget:
                 break
             smaller = int(cur * (budget / total) * DAMPING)
             cur = max(1, smaller if smaller < cur else cur - 1)
-        return pa.table({"tx": pa.array([table.column("tx")[0].as_py()], pa.int64()), "ty": pa.array([table.column("ty")[0].as_py()], pa.int64()), "keep": pa.array([cur], pa.int64())})
+        return pa.table({"tx": table.column("tx")[:1], "ty": table.column("ty")[:1], "keep": pa.array([cur], pa.int64())})
+
+    return points.select("tx", "ty", "pick", "layer", "attrs").groupBy("tx", "ty").applyInArrow(run, "tx long, ty long, keep long")
 
-    own = points.select("tx", "ty", "pick", *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)])
-    return own.groupBy("tx", "ty").applyInArrow(run, _row_sizes(layer, columns))
 
+def _encoded(level: DataFrame, codec: str, schema: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
+    """tile_id, tx, ty, n, data: packed tiles of a level, layer by layer, with values and types as they were stored."""
 
-def level_up(points: DataFrame, tiles: DataFrame, z: int, codec: str, layer: str, types: dict[str, str], max_bytes: int = MAX_BYTES, max_features: int = MAX_FEATURES, compression: float = COMPRESSION, per_column: int = BYTES_COLUMN, per_point: int = BYTES_POINT) -> DataFrame:
-    """Points kept at zoom z, from those of z + 1 (tx, ty, seq, gx, gy, columns) and their packed tiles (tx, ty, n, bytes)."""
+    def columns(rows: list[dict[str, object]], layer: str) -> tuple[dict[str, list], dict[str, str], dict[str, bool]]:
+        own = schema[layer]
+        cast = {"int": lambda v: v, "float": float, "string": mlt.text_of}
+        values = {c: [None if r.get(c) is None else cast[own[c][0]](r[c]) for r in rows] for c in own}
+        return values, {c: t for c, (t, _) in own.items()}, {c: n for c, (_, n) in own.items()}
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("layer", "ascending"), ("seq", "ascending")])
+        names, xs, ys, attrs = (table.column(c).to_pylist() for c in ("layer", "px", "py", "attrs"))
+        out, at = [], 0
+        for name, n in Counter(names).items():
+            part = slice(at, at + n)
+            if codec == "mlt":
+                values, types, nulls = columns([{k: unpacked_value(v) for k, v in row} for row in attrs[part]], name)
+                out.append(mlt.encode_layer(name, xs[part], ys[part], values, types, nulls))
+            else:
+                out.append(mvt.encode_raw(name, xs[part], ys[part], attrs[part]))
+            at += n
+        return pa.table({"tile_id": table.column("tile_id")[:1], "tx": table.column("tx")[:1], "ty": table.column("ty")[:1], "n": pa.array([len(xs)], pa.int64()), "data": pa.array([compress(b"".join(out))], pa.binary())})
+
+    own = level.select("tile_id", "tx", "ty", "layer", "seq", "px", "py", "attrs")
+    return own.groupBy("tile_id").applyInArrow(run, "tile_id long, tx long, ty long, n long, data binary")
+
+
+def level_up(points: DataFrame, tiles: DataFrame, z: int, codec: str, n_columns: int, max_bytes: int = MAX_BYTES, max_features: int = MAX_FEATURES, compression: float = COMPRESSION, per_column: int = BYTES_COLUMN, per_point: int = BYTES_POINT) -> DataFrame:
+    """Points kept at zoom z, from those of z + 1 (tx, ty, layer, seq, gx, gy, attrs) and their packed tiles (tx, ty, n, bytes)."""
     up = lambda c: F.shiftright(F.col(c), 1).alias(c)
     parents = tiles.select(up("tx"), up("ty"), "n", "bytes").groupBy("tx", "ty").agg(F.sum("n").cast("long").alias("n"), (F.sum("bytes") * F.lit(float(compression))).cast("long").alias("est"))
     parents = materialise(parents, "parents")
     ratio = level_ratio(parents, max_bytes, max_features, compression).first()["ratio"]
     if ratio is None:
-        return points.limit(0)
+        ratio = 1.0
     caps = parents.withColumn("cap", tile_cap(F.col("n"), F.lit(float(ratio))))
     if codec == "mlt":
-        caps = caps.withColumn("cap", column_cap(F.col("cap"), len(types), max_bytes, compression, per_column, per_point))
+        caps = caps.withColumn("cap", column_cap(F.col("cap"), n_columns, max_bytes, compression, per_column, per_point))
     # the place of a point among its parent's: lower half first, then left, then its own place
     quarter = (F.col("ty").bitwiseAND(1) * 2 + F.col("tx").bitwiseAND(1)).cast("long")
     moved = points.withColumn("idx", quarter * F.lit(1 << 40) + F.col("seq")).withColumns({"tx": F.shiftright("tx", 1), "ty": F.shiftright("ty", 1)})
     kept = sample(moved.join(caps.select("tx", "ty", "cap"), ["tx", "ty"]), z, "cap")
     if codec == "mvt":
         kept = materialise(kept, "picked")
-        fits = _row_cap(kept, layer, list(types), max_bytes * compression)
-        kept = kept.join(fits, ["tx", "ty"]).where("pick <= keep").drop("keep")
+        kept = kept.join(_row_cap(kept, max_bytes * compression), ["tx", "ty"]).where("pick <= keep").drop("keep")
     s = F.lit(scale(z))
-    kept = kept.withColumn("seq", F.row_number().over(Window.partitionBy("tx", "ty").orderBy("idx")).cast("long") - 1)
-    place = {"px": F.round((F.col("gx") - origin_x("tx", z)) / s).cast("int"), "py": F.round((origin_y("ty", z) - F.col("gy")) / s).cast("int"), "tile_id": tile_id("tx", "ty", z)}
-    return kept.withColumns(place).drop("idx", "pick", "cap")
+    kept = kept.withColumn("seq", F.row_number().over(Window.partitionBy("tx", "ty").orderBy("layer", "idx")).cast("long") - 1)
+    place = {"px": F.round((F.col("gx") - origin_x("tx", z)) / s).cast("int"), "py": F.round((origin_y("ty", z) - F.col("gy")) / s).cast("int")}
+    return with_tile_id(kept.withColumns(place).drop("idx", "pick", "cap"), "tx", "ty", z)
 
 
 def build_pyramid(spark: SparkSession, source: str, out: str, min_zoom: int = 0, max_tile_bytes: int = MAX_BYTES, max_tile_features: int = MAX_FEATURES, scale_factor_compression: float = COMPRESSION, est_bytes_per_column: int = BYTES_COLUMN, est_offset_per_point: int = BYTES_POINT) -> dict[int, int]:
-    """Adds all zoom levels from the highest one's parents down to min_zoom; returns points kept by zoom. Tiles of the
-    highest zoom are encoded anew from their points."""
+    """Adds all zoom levels from the highest one's parents down to min_zoom; returns points kept by zoom.
+
+    Tiles of the highest zoom are copied as they are. Below it, layers stay apart and values keep their stored form:
+    the messages of row-oriented tiles, the column types of columnar ones.
+    """
     archive = open_archive(source)
     codec, top = archive.codec, archive.header["max_zoom"]
     low = min(min_zoom, top)
-    layer = (archive.metadata.get("vector_layers") or [{"id": "layer"}])[0]
-    fields = layer.get("fields", {})
-    types = {c: "STRING" if k == "String" else "FLOAT" for c, k in fields.items()}
-    points = typed(read_points(read_tiles(spark, source).where(F.col("z") == top), codec), fields)
-    points = points.withColumns({"seq": F.col("fidx").cast("long"), "tile_id": tile_id("tx", "ty", top)})
-    level = materialise(points.select("tx", "ty", "tile_id", "seq", "px", "py", "gx", "gy", *[F.col(f"`{c}`") for c in fields]), "level")
-    every, kept = None, {}
-    for z in range(top, low - 1, -1):
-        tiles = materialise(encode_tiles(level, codec, layer["id"], types, ids=z < top), "encoded")
+    at_top = read_tiles(spark, source).where(F.col("z") == top)
+    schema = stored_schema(at_top) if codec == "mlt" else {}
+    n_columns = max(map(len, schema.values()), default=0)
+    level = materialise(read_stored_points(at_top, codec), "level")
+    counts = level.groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n"))
+    copied = read_tiles(spark, source, stored=True).where(F.col("z") == top).select("tile_id", F.col("x").alias("tx"), F.col("y").alias("ty"), "data")
+    if archive.header["tile_compression"] != GZIP:
+        copied = copied.mapInArrow(_compressed, copied.schema)
+    tiles = materialise(copied.join(counts, ["tx", "ty"], "left").select("tile_id", "tx", "ty", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "data"), "copied")
+    every, kept = tiles, {top: tiles.agg(F.sum("n")).first()[0] or 0}
+    for z in range(top - 1, low - 1, -1):
+        sizes = tiles.where("n > 0").select("tx", "ty", "n", F.length("data").cast("long").alias("bytes"))
+        level = materialise(level_up(level, sizes, z, codec, n_columns, max_tile_bytes, max_tile_features, scale_factor_compression, est_bytes_per_column, est_offset_per_point), "level")
+        tiles = materialise(_encoded(level, codec, schema), "encoded")
         kept[z] = tiles.agg(F.sum("n")).first()[0] or 0
-        every = tiles if every is None else every.unionByName(tiles)
-        if z > low:
-            sizes = level.select("tile_id", "tx", "ty").distinct().join(tiles.select("tile_id", "n", F.length("data").alias("bytes")), "tile_id")
-            level = materialise(level_up(level, sizes, z - 1, codec, layer["id"], types, max_tile_bytes, max_tile_features, scale_factor_compression, est_bytes_per_column, est_offset_per_point), "level")
+        every = every.unionByName(tiles)
     metadata = dict(archive.metadata)
     for part in [*metadata.get("vector_layers", []), *metadata.get("tilestats", {}).get("layers", [])]:
         if "minzoom" in part:
             part["minzoom"] = low
-    header = archive.header | {"min_zoom": low, "clustered": 0, "tile_type": TILE_TYPES[codec], "tile_compression": 2}
+    header = archive.header | {"min_zoom": low, "clustered": 0, "tile_type": TILE_TYPES[codec], "tile_compression": GZIP}
     write_archive(every, out, header, metadata)
     return kept
+
+
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([compress(d) for d in batch.column(3).to_pylist()], pa.binary())], names=batch.schema.names)

@@ -153,3 +153,22 @@ from tot join ids on ids.zoom = tot.zoom and x0 = tot.x and y0 = tot.y left join
 
 
 ORACLE_SQL["count_tiles_all"] = _count_all()
+
+
+def _pyramid(top: int, most: int) -> str:
+    """Points kept by level: a level's ratio is what its fullest tile may keep, each tile keeps that share, at least one."""
+    levels = []
+    for z in range(top - 1, -1, -1):
+        levels.append(f"""u{z} as (select tx >> 1 tx, ty >> 1 ty, cast(sum(n) as bigint) n from k{z + 1} group by tx >> 1, ty >> 1),
+k{z} as (select tx, ty, least(n, greatest(cast(trunc((select least(cast(1 as double), {_d(float(most))} / max(n)) from u{z}) * n) as bigint), 1)) n from u{z})""")
+    ids = ",\n".join(_hilbert(z, f"k{z}", f"h{z}_") for z in range(1, top + 1))
+    every = " union all ".join(["select 0 zoom, 0::bigint x, 0::bigint y, 0::bigint d, n from k0", *[f"select {z}, tx, ty, d, n from k{z} join h{z}_ on tx = x0 and ty = y0" for z in range(1, top + 1)]])
+    return f"""with recursive {_placed(top)}, k{top} as (select tx, ty, count(*) n from p group by all), {", ".join(levels)},
+{ids}, every as ({every}), total as (select z zoom, tx >> ({top} - z) x, ty >> ({top} - z) y, cast(sum(n) as bigint) total_count from k{top}, range({top + 1}) t(z) group by all)
+select cast(zoom as integer) zoom, x, y, d tile_id, total_count, n tile_count, n::double / total_count::double frac_in_tile from every join total using (zoom, x, y)"""
+
+
+# an archive gives back every point within half a pixel; its tiles are those of the points
+ORACLE_SQL["archive_roundtrip_mlt"] = ORACLE_SQL["archive_roundtrip_mvt"] = f"with p as ({data.POINTS_SQL}) select count(*) n, cast(0 as bigint) far from p"
+ORACLE_SQL["archive_summary"] = f"with recursive {_placed(3)}, {_hilbert(3, 'p')} select 3 z, x0 x, y0 y, d tile_id from h"
+ORACLE_SQL["archive_pyramid"] = _pyramid(3, 500)

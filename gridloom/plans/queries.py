@@ -84,12 +84,10 @@ def wgs84_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """z, x, y, n of a small pyramid: the highest zoom has all points, each lower one those whose id's low bits are 0."""
-    found = None
-    for z in range(ROLL + 1):
-        own = _placed(spark, sf_dir, z).where(F.col("id") % (1 << (ROLL - z)) == 0)
-        own = own.groupBy(F.col("tx").alias("x"), F.col("ty").alias("y")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(z).alias("z"), "x", "y", "n")
-        found = own if found is None else found.unionByName(own)
-    return found
+    tiles = _placed(spark, sf_dir, ROLL).groupBy("tx", "ty").agg(*[F.sum((F.col("id") % (1 << (ROLL - z)) == 0).cast("long")).alias(f"n{z}") for z in range(ROLL + 1)])
+    shift = lambda c, z: F.shiftright(F.col(c), ROLL - z)
+    each = F.array(*[F.struct(F.lit(z).alias("z"), shift("tx", z).alias("x"), shift("ty", z).alias("y"), F.col(f"n{z}").alias("n")) for z in range(ROLL + 1)])
+    return tiles.select(F.explode(each).alias("r")).select("r.*").where("n > 0").groupBy("z", "x", "y").agg(F.sum("n").alias("n"))
 
 
 @query
@@ -109,12 +107,12 @@ def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def density_mt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return density.density(_dense(spark, sf_dir), **density.THREADED).where("tile_x is not null")
+    return density.density(_dense(spark, sf_dir), **density.THREADED, tiles_only=True)
 
 
 @query
 def density_st(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return density.density(_dense(spark, sf_dir), **density.SINGLE).where("tile_x is not null")
+    return density.density(_dense(spark, sf_dir), **density.SINGLE, tiles_only=True)
 
 
 @query
@@ -152,18 +150,11 @@ def export_polygon_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pick(export.filter_points(data.points(spark, sf_dir), rings=[data.CONCAVE]))
 
 
-def _edges(spark: SparkSession, rings: list[regions.Ring]) -> DataFrame:
-    rows = []
-    for k, (ring, box) in enumerate(zip(rings, regions.boxes_of(rings), strict=True)):
-        rows += [(k, *a, *b, *box) for a, b in zip(ring, [ring[-1], *ring[:-1]], strict=True)]
-    return spark.createDataFrame(rows, "region_id int, xi double, yi double, xj double, yj double, xmin double, ymin double, xmax double, ymax double")
-
-
 @query
 def export_multipolygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = {"type": "Feature", "geometry": {"type": "MultiPolygon", "coordinates": [[[list(p) for p in r]] for r in data.PARTS]}}
-    rings = regions.rings_of(json.loads(json.dumps(shape)))
-    return _pick(export.points_in_regions(data.points(spark, sf_dir), _edges(spark, rings), "id"))
+    rings = spark.createDataFrame([([tuple(p) for p in r],) for r in regions.rings_of(json.loads(json.dumps(shape)))], "ring array<struct<x:double,y:double>>")
+    return _pick(export.points_in_regions(data.points(spark, sf_dir), rings))
 
 
 @query
@@ -339,7 +330,7 @@ def attr_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.withColumn("code", F.row_number().over(Window.partitionBy("tx", "ty").orderBy("first")) - 1).select("tx", "ty", "gene", F.col("code").cast("long").alias("code"))
 
 
-# --- archives (no SQL form) -------------------------------------------------------------------------------------
+# --- archives -------------------------------------------------------------------------------------
 
 
 def _archive(spark: SparkSession, sf_dir: str, codec: str, zoom: int = 3) -> str:
@@ -353,7 +344,7 @@ def _roundtrip(spark: SparkSession, sf_dir: str, codec: str) -> DataFrame:
     found = commands.export(spark, _archive(spark, sf_dir, codec))
     own = data.points(spark, sf_dir).select(F.col("id").cast("string").alias("id"), F.col("gx").alias("x0"), F.col("gy").alias("y0"))
     near = projection.scale(3) * 0.51 + 0.01
-    return found.join(own, "id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when((F.abs(F.col("gx") - F.col("x0")) <= near) & (F.abs(F.col("gy") - F.col("y0")) <= near), 0).otherwise(1)).alias("far"))
+    return found.join(own, "id").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when((F.abs(F.col("gx") - F.col("x0")) <= near) & (F.abs(F.col("gy") - F.col("y0")) <= near), 0).otherwise(1)), F.lit(0)).cast("long").alias("far"))
 
 
 @query

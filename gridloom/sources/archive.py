@@ -6,17 +6,22 @@ Layout: 127-byte header, root directory, metadata (JSON), leaf directories, tile
 from __future__ import annotations
 
 import gzip
+import http.client
 import json
 import struct
 import time
 import urllib.error
 import urllib.request
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import TypeVar
 
 from ..functions.tileid import id_of, zxy_of
 from .wire import WireError, get_varint, put_varint
 
+T = TypeVar("T")
+
 #: Fixed values of the format, version 3.
 MAGIC, VERSION, HEADER_SIZE = b"PMTiles", 3, 127
 LAYOUT = "<7sB11Q6B4iB2i"
@@ -146,7 +151,8 @@ def split_directory(entries: list[Entry], kind: int = COMPRESSION["gzip"]) -> tu
 
 
 class RangeReader:
-    """Reads bytes [offset, offset + length) of a local file, an http(s) address or an s3 object (anonymously)."""
+    """Reads bytes [offset, offset + length) of a local file, an http(s) address, an s3 object (anonymously), or a file
+    of another file system that pyarrow opens by its address (hdfs://, gs://, ...)."""
 
     ATTEMPTS, WAIT = 4, 0.15
 
@@ -156,7 +162,15 @@ class RangeReader:
             path = f"https://{bucket}.s3.amazonaws.com/{key}"
         self.path = path.removeprefix("file://") if path.startswith("file:") else path
         self.remote = path.startswith(("http://", "https://"))
-        self.file = None if self.remote else open(self.path, "rb")  # noqa: SIM115
+        if self.remote:
+            self.file, self.size = None, self._size()
+        elif "://" in self.path:
+            from pyarrow.fs import FileSystem
+
+            system, place = FileSystem.from_uri(self.path)
+            self.file = system.open_input_file(place)
+        else:
+            self.file = open(self.path, "rb")  # noqa: SIM115
 
     def read(self, offset: int, length: int) -> bytes:
         if self.file:
@@ -168,18 +182,31 @@ class RangeReader:
             raise ArchiveError(f"{self.path}: {length} bytes at {offset} asked for, {len(data)} read")
         return data
 
+    def _size(self) -> int:
+        size = int(self._ask(urllib.request.Request(self.path, method="HEAD"), lambda answer: answer.headers.get("Content-Length") or 0))
+        if size <= 0:
+            raise ArchiveError(f"{self.path} does not tell its size")
+        return size
+
     def _get(self, offset: int, length: int) -> bytes:
-        ask = urllib.request.Request(self.path, headers={"Range": f"bytes={offset}-{offset + length - 1}"})
+        def take(answer: http.client.HTTPResponse) -> bytes:
+            # a server that ignores ranges sends the whole: right only if the whole was asked for
+            if answer.status == 200 and (offset or length != self.size):
+                raise ArchiveError(f"{self.path} gives no ranges")
+            return answer.read(length + 1)
+
+        return self._ask(urllib.request.Request(self.path, headers={"Range": f"bytes={offset}-{offset + length - 1}"}), take)
+
+    def _ask(self, ask: urllib.request.Request, take: Callable[[http.client.HTTPResponse], T]) -> T:
         for attempt in range(self.ATTEMPTS):
             try:
                 with urllib.request.urlopen(ask, timeout=60) as answer:
-                    data = answer.read()
-                    return data if answer.status == 206 else data[offset : offset + length]
+                    return take(answer)
             except urllib.error.HTTPError as e:
                 if e.code not in (429, 503) or attempt == self.ATTEMPTS - 1:
                     raise
                 time.sleep(self.WAIT * 2**attempt)
-        return b""
+        raise ArchiveError(f"{self.path} was not read")
 
     def close(self) -> None:
         if self.file:
@@ -192,8 +219,9 @@ class RangeReader:
         self.close()
 
 
-def open_archive(path: str) -> Archive:
-    """Header, metadata and the whole directory (leaves followed)."""
+def open_archive(path: str, first: int = 0, last: int = (1 << 63) - 1) -> Archive:
+    """Header, metadata and the directory: all of it, or the part in which the tile ids first to last lie. Leaves that
+    hold none of them are not read."""
     with RangeReader(path) as reader:
         header = decode_header(reader.read(0, HEADER_SIZE))
         kind = header["internal_compression"]
@@ -202,10 +230,12 @@ def open_archive(path: str) -> Archive:
         def walk(offset: int, length: int, depth: int) -> None:
             if depth > 4:
                 raise ArchiveError("directories are nested too deeply")
-            for e in decode_directory(decompress(reader.read(offset, length), kind)):
+            here = decode_directory(decompress(reader.read(offset, length), kind))
+            for e, after in zip(here, [*[n.tile_id for n in here[1:]], 1 << 63], strict=True):
                 if e.run:
-                    found.append(e)
-                else:
+                    if e.tile_id <= last and e.tile_id + e.run > first:
+                        found.append(e)
+                elif e.tile_id <= last and after > first:
                     walk(header["leaf_dirs_offset"] + e.offset, e.length, depth + 1)
 
         walk(header["root_dir_offset"], header["root_dir_bytes"], 0)

@@ -21,6 +21,7 @@ class MltLayer:
     ys: np.ndarray
     types: dict[str, str]
     columns: dict[str, list]
+    nullable: dict[str, bool]
 
 
 def _stream(head: bytes, n: int, body: bytes) -> bytes:
@@ -110,6 +111,7 @@ def decode(data: bytes) -> MltLayer | None:
         xs = ys = np.zeros(0, np.int64)
         types: dict[str, str] = {}
         columns: dict[str, list] = {}
+        nullable: dict[str, bool] = {}
         n = 0
         for code, column in kinds:
             if code == GEOMETRY:
@@ -137,12 +139,12 @@ def decode(data: bytes) -> MltLayer | None:
                 else:
                     ends = np.cumsum(lengths)
                     own = [raw[e - k : e].decode() for e, k in zip(ends.tolist(), lengths.tolist(), strict=True)]
-            types[column] = kind
+            types[column], nullable[column] = kind, bool(code % 2)
             if there is not None:
                 rest = iter(own)
                 own = [next(rest, None) if t else None for t in there.tolist()]
             columns[column] = own
-        return MltLayer(name, extent, xs, ys, types, columns)
+        return MltLayer(name, extent, xs, ys, types, columns, nullable)
     return None
 
 

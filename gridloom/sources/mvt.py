@@ -91,34 +91,35 @@ def geometry(commands: np.ndarray) -> list[list[tuple[int, int]]]:
     return out
 
 
-def decode(data: bytes) -> list[Layer]:
-    """Layers in order of name, the first of a name; each needs a version, an extent and a name."""
+def decode(data: bytes, raw: bool = False) -> list[Layer]:
+    """Layers in order of name, the first of a name; each needs a version, an extent and a name. raw: values stay the
+    bytes of their messages."""
     found: dict[str, Layer] = {}
     for number, _, body in fields(data):
         if number != 3:
             continue
         name, extent, version, keys, values, features = None, None, None, [], [], []
-        for n, _, raw in fields(body):
+        for n, _, value in fields(body):
             if n == 1:
-                name = raw.decode()
+                name = value.decode()
             elif n == 2:
-                features.append(raw)
+                features.append(value)
             elif n == 3:
-                keys.append(raw.decode())
+                keys.append(value.decode())
             elif n == 4:
-                values.append(raw)
+                values.append(value)
             elif n == 5:
-                extent = raw
+                extent = value
             elif n == 15:
-                version = raw
+                version = value
         if name is None or extent is None or version is None:
             raise TileError("a layer needs a name, an extent and a version")
         if name in found:
             continue
-        layer, known = Layer(name, extent), [_value(v) for v in values]
-        for raw in features:
+        layer, known = Layer(name, extent), values if raw else [_value(v) for v in values]
+        for message in features:
             kind, tags, shape = 0, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-            for n, _, value in fields(raw):
+            for n, _, value in fields(message):
                 if n == 2:
                     tags = get_varints(value)
                 elif n == 3:
@@ -176,6 +177,19 @@ def encode_layer(name: str, xs: list[int], ys: list[int], columns: dict[str, lis
     return wire_field(3, 2, b"".join(body))
 
 
+def encode_raw(name: str, xs: list[int], ys: list[int], rows: list[list[tuple[str, bytes]]], extent: int = 4096) -> bytes:
+    """A layer of points whose values are messages already; keys and values in use are stored once, ids count from 1."""
+    keys: dict[str, int] = {}
+    values: dict[bytes, int] = {}
+    body = [wire_field(15, 0, b"\x02"), wire_field(1, 2, name.encode())]
+    for k, (x, y, own) in enumerate(zip(xs, ys, rows, strict=True)):
+        tags = [t for key, value in own for t in (keys.setdefault(key, len(keys)), values.setdefault(value, len(values)))]
+        shape = put_varints([9, zigzag(x), zigzag(y)])
+        body.append(wire_field(2, 2, wire_field(1, 0, put_varint(k + 1)) + (wire_field(2, 2, put_varints(tags)) if tags else b"") + wire_field(3, 0, b"\x01") + wire_field(4, 2, shape)))
+    body += [wire_field(3, 2, k.encode()) for k in keys] + [wire_field(4, 2, v) for v in values]
+    return wire_field(3, 2, b"".join([*body, wire_field(5, 0, put_varint(extent))]))
+
+
 def encode_polygons(name: str, rings: list[list[list[tuple[int, int]]]], attrs: list[dict[str, object]], extent: int = 4096) -> bytes:
     """A tile with one layer of polygons; rings come without a closing vertex."""
     keys, values, body = {}, {}, [wire_field(15, 0, b"\x02"), wire_field(1, 2, name.encode())]

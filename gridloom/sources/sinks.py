@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import gzip
+import uuid
+
+from pyspark.sql import Column, DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 from ..functions.text import fixed
@@ -29,12 +32,41 @@ def vertices_text(ring: Column | str, digits: int = 3) -> Column:
     return F.concat(F.lit("["), F.array_join(each, ","), F.lit("]"))
 
 
-def write_tsv(rows: DataFrame, path: str, single: bool = False) -> None:
-    """A folder of tab-separated parts, compressed if the path ends in .gz; single: one part only."""
-    writer = (rows.coalesce(1) if single else rows).write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "")
-    (writer.option("compression", "gzip") if path.endswith(".gz") else writer).csv(path)
+def write_tsv(rows: DataFrame, path: str, folder: bool = False) -> None:
+    """One tab-separated file with a head line, compressed if the path ends in .gz; folder: a folder of parts instead."""
+    writer = rows.write.option("sep", "\t").option("header", folder).option("quote", "").option("emptyValue", "")
+    _write(writer, path, "csv", folder, "\t".join(rows.columns) + "\n")
+
+
+def write_lines(rows: DataFrame, path: str, folder: bool = False) -> None:
+    """One text file of lines (see write_tsv)."""
+    _write(rows.write, path, "text", folder, "")
 
 
-def write_lines(rows: DataFrame, path: str) -> None:
-    writer = rows.write.mode("overwrite")
-    (writer.option("compression", "gzip") if path.endswith(".gz") else writer).text(path)
+def _write(writer: DataFrameWriter, path: str, kind: str, folder: bool, head: str) -> None:
+    """Tasks write parts in order beside the target; their bytes are then joined (members of gzip files may follow one
+    another), so that no task holds the whole and no order is lost."""
+    packed = path.endswith(".gz")
+    writer = writer.mode("overwrite").option("compression", "gzip" if packed else "none")
+    if folder:
+        getattr(writer, kind)(path)
+        return
+    spark = writer._spark
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    parts = jvm.org.apache.hadoop.fs.Path(f"{path}.parts-{uuid.uuid4().hex}")
+    getattr(writer, kind)(parts.toString())
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(conf)
+    if files.exists(target):
+        files.delete(target, True)
+    names = sorted(f.getPath().getName() for f in files.listStatus(parts) if f.getPath().getName().startswith("part-"))
+    out = files.create(target, True)
+    try:
+        out.write(bytearray(gzip.compress(head.encode(), mtime=0) if packed else head.encode()))
+        for name in names:
+            part = files.open(jvm.org.apache.hadoop.fs.Path(parts, name))
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+            part.close()
+    finally:
+        out.close()
+        files.delete(parts, True)

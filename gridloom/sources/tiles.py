@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
+from ..functions.tileid import first_id
 from . import mlt, mvt
-from .archive import RangeReader, decompress, open_archive
+from .archive import COMPRESSION, RangeReader, decompress, open_archive
 
 TILES = "z int, x long, y long, tile_id long, offset long, length long, data binary"
 POINTS = "z int, tx long, ty long, layer string, fidx int, px int, py int, gx double, gy double, attrs map<string,string>"
+#: Points with their values as stored: messages of row-oriented tiles, packed values of columnar ones.
+STORED = "tx long, ty long, layer string, seq long, gx double, gy double, attrs map<string,binary>"
 POLYGONS = "z int, tx long, ty long, layer string, fidx int, ring array<struct<x:double,y:double>>, attrs map<string,string>"
 _COLUMNS = {"z": 0, "x": 1, "y": 2, "tile_id": 3}
 
@@ -30,6 +34,7 @@ class TileArchiveReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path = options["path"]
         self.task_bytes = int(options.get("taskbytes", 8 << 20))
+        self.stored = str(options.get("stored", "false")).lower() == "true"
         self.limits: list[tuple[int, str, object]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
@@ -48,8 +53,21 @@ class TileArchiveReader(DataSourceReader):
                 return False
         return True
 
+    def _span(self) -> tuple[int, int]:
+        """The least and largest tile id that the filters on zoom and id leave."""
+        first, last = 0, (1 << 63) - 1
+        for at, kind, value in self.limits:
+            if at in (0, 3):
+                low = min(value) if kind == "in" else value
+                high = max(value) if kind == "in" else value
+                if kind in ("=", "in", ">", ">="):
+                    first = max(first, low if at == 3 else first_id(min(32, max(0, low))))
+                if kind in ("=", "in", "<", "<="):
+                    last = min(last, high if at == 3 else first_id(min(31, max(-1, high) + 1)) - 1)
+        return first, last
+
     def partitions(self) -> list[InputPartition]:
-        rows = sorted((r for r in open_archive(self.path).tiles() if self._wanted(r)), key=lambda r: r[4])
+        rows = sorted((r for r in open_archive(self.path, *self._span()).tiles() if self._wanted(r)), key=lambda r: r[4])
         out, part, size = [], [], 0
         for r in rows:
             if part and size + r[5] > self.task_bytes:
@@ -63,7 +81,7 @@ class TileArchiveReader(DataSourceReader):
         rows = partition.rows
         if not rows:
             return
-        kind = open_header(self.path)["tile_compression"]
+        kind = COMPRESSION["none"] if self.stored else open_header(self.path)["tile_compression"]
         with RangeReader(self.path) as reader:
             start, chunk = 0, 1 << 20
             while start < len(rows):
@@ -105,11 +123,12 @@ class TileArchive(DataSource):
         return TileArchiveReader(self.options)
 
 
-def read_tiles(spark: SparkSession, path: str, task_bytes: int = 8 << 20) -> DataFrame:
-    """One row for each addressed tile, unpacked. Filters on z, x, y and tile_id are applied to the directory."""
+def read_tiles(spark: SparkSession, path: str, task_bytes: int = 8 << 20, stored: bool = False) -> DataFrame:
+    """One row for each addressed tile, unpacked, or with the bytes as stored. Filters on z, x, y and tile_id are
+    applied to the directory; that needs spark.sql.python.filterPushdown.enabled in the session, which is set here."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(TileArchive)
-    return spark.read.format("tilearchive").option("path", path).option("taskBytes", task_bytes).load()
+    return spark.read.format("tilearchive").option("path", path).option("taskBytes", task_bytes).option("stored", stored).load()
 
 
 def _origin(z: int, tx: int, ty: int) -> tuple[float, float, float]:
@@ -158,6 +177,69 @@ def _points_of(data: bytes, codec: str, keep: set[str] | None, strict: bool) ->
         yield layer.name, px, py, rows
 
 
+#: How values of columnar tiles are packed, by type.
+PACKED = {"int": ("<q", b"i"), "float": ("<f", b"f")}
+
+
+def packed_value(value: object, kind: str) -> bytes:
+    return b"s" + str(value).encode() if kind == "string" else PACKED[kind][1] + struct.pack(PACKED[kind][0], value)
+
+
+def unpacked_value(data: bytes) -> object:
+    return data[1:].decode() if data[:1] == b"s" else struct.unpack("<q" if data[:1] == b"i" else "<f", data[1:])[0]
+
+
+def read_stored_points(tiles: DataFrame, codec: str) -> DataFrame:
+    """Points of tiles, layer by layer, with nothing lost of their values; seq counts through a tile's layers. Features
+    that are not points are left out, of several points in one feature the first counts."""
+
+    def layers(data: bytes) -> Iterator[tuple]:
+        if codec == "mlt":
+            own = mlt.decode(data)
+            if own:
+                rows = [[(c, packed_value(v[i], own.types[c])) for c, v in own.columns.items() if v[i] is not None] for i in range(len(own.xs))]
+                yield own.name, own.xs.tolist(), own.ys.tolist(), rows
+            return
+        for layer in mvt.decode(data, raw=True):
+            points = [f for f in layer.features if f.kind == mvt.POINT and f.rings]
+            yield layer.name, [f.rings[0][0][0] for f in points], [f.rings[0][0][1] for f in points], [list(f.attrs.items()) for f in points]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for z, tx, ty, data in zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True):
+                (ox, oy, s), first = _origin(z, tx, ty), 0
+                for name, px, py, rows in layers(data):
+                    n = len(px)
+                    arrays = [pa.array(np.full(n, tx)), pa.array(np.full(n, ty)), pa.array([name] * n, pa.string()), pa.array(np.arange(first, first + n)), pa.array(ox + s * np.array(px, float)), pa.array(oy - s * np.array(py, float)), pa.array(rows, pa.map_(pa.string(), pa.binary()))]
+                    yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in STORED.split(", ")])
+                    first += n
+
+    return tiles.select("z", "x", "y", "data").mapInArrow(run, STORED)
+
+
+def stored_schema(tiles: DataFrame) -> dict[str, dict[str, tuple[str, bool]]]:
+    """layer -> column -> (type, nullable) of columnar tiles, in order. A column with several types takes the widest;
+    one that some tiles lack is nullable. Comes to the driver as one row for each layer and column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [own for own in map(mlt.decode, batch.column(0).to_pylist()) if own]
+            rows = [(own.name, k, c, ("int", "float", "string").index(own.types[c]), own.nullable[c], len(found)) for own in found for k, c in enumerate(own.columns)]
+            rows += [(own.name, -1, "", 0, False, 0) for own in found]
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
+            types = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["layer", "k", "name", "kind", "nulls", "n"])
+
+    rows = tiles.select("data").mapInArrow(run, "layer string, k int, name string, kind int, nulls boolean, n long")
+    found = rows.groupBy("layer", "name").agg(F.min("k").alias("k"), F.max("kind").alias("kind"), F.bool_or("nulls").alias("nulls"), F.count(F.lit(1)).alias("n")).orderBy("layer", "k", "name").collect()
+    every = {r["layer"]: r["n"] for r in found if r["k"] < 0}
+    out: dict[str, dict[str, tuple[str, bool]]] = {layer: {} for layer in every}
+    for r in found:
+        if r["k"] >= 0:
+            out[r["layer"]][r["name"]] = ("int", "float", "string")[r["kind"]], r["nulls"] or r["n"] < every[r["layer"]]
+    return out
+
+
 def read_polygons(tiles: DataFrame, codec: str = "mvt", layer_name: str | None = None) -> DataFrame:
     """Polygons with one ring (others are left out), closed, in the plane's coordinates."""
     if codec != "mvt":
@@ -200,5 +282,5 @@ def typed(points: DataFrame, fields: dict[str, str] | list[str]) -> DataFrame:
     """points with a column for each attribute, in the given order; Number attributes as doubles, missing ones null."""
     names = list(fields)
     kinds = fields if isinstance(fields, dict) else dict.fromkeys(names, "String")
-    own = [F.try_element_at("attrs", F.lit(n)).alias(n) if kinds[n] != "Number" else F.expr(f"try_cast(try_element_at(attrs, '{n}') as double)").alias(n) for n in names]
+    own = [F.try_element_at("attrs", F.lit(n)).alias(n) if kinds[n] != "Number" else F.try_element_at("attrs", F.lit(n)).try_cast("double").alias(n) for n in names]
     return points.select(*[c for c in points.columns if c != "attrs"], *own)

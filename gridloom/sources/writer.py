@@ -1,13 +1,12 @@
 """The archive sink: packed tiles of a DataFrame into one file.
 
-Executors pack tiles and write them, sorted by tile id, as a table in the shared folder. The driver needs the lengths
-of all tiles for the directory, and then streams the tiles' bytes one partition at a time.
+Executors pack tiles and write them as a table in the shared folder. The driver needs the lengths of all tiles for the
+directory, and then streams the tiles' bytes one partition at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from .archive import Entry, front_of
@@ -36,24 +35,30 @@ class _Output:
 
 
 def write_archive(tiles: DataFrame, path: str, header: dict[str, int], metadata: dict) -> list[Entry]:
-    """tiles: tile_id, data (packed bytes). Returns the directory."""
+    """tiles: tile_id, data (packed bytes). Returns the directory.
+
+    The directory takes 16 bytes a tile on the driver. Tiles of a local file are written at their offsets as partitions
+    arrive; other file systems only append, so there the table is read in order.
+    """
     spark = tiles.sparkSession
-    table = materialise(tiles.select("tile_id", "data").repartitionByRange("tile_id").sortWithinPartitions("tile_id"), "tiles")
-    ordered = table.selectExpr("tile_id", "cast(length(data) as long) as length").orderBy("tile_id").toArrow()  # 16 bytes a tile
-    entries, at = [], 0
-    for tile_id, length in zip(ordered.column(0).to_pylist(), ordered.column(1).to_pylist(), strict=True):
-        entries.append(Entry(tile_id, at, length))
-        at += length
+    table = materialise(tiles.select("tile_id", "data"), "tiles")
+    sizes = table.selectExpr("tile_id", "cast(length(data) as long) as length").toArrow()
+    ids, lengths = (sizes.column(c).to_numpy() for c in ("tile_id", "length"))
+    order = np.argsort(ids, kind="stable")
+    offsets = np.cumsum(lengths[order]) - lengths[order]
+    entries = [Entry(*e) for e in zip(ids[order].tolist(), offsets.tolist(), lengths[order].tolist(), strict=True)]
     out = _Output(spark, path)
     try:
-        out.write(front_of(header, metadata, entries))
-        for data in _in_order(table):
-            out.write(data)
+        front = front_of(header, metadata, entries)
+        out.write(front)
+        if out.local:
+            place = dict(zip(ids[order].tolist(), offsets.tolist(), strict=True))
+            for row in table.toLocalIterator(prefetchPartitions=True):
+                out.local.seek(len(front) + place[row["tile_id"]])
+                out.write(bytes(row["data"]))
+        else:
+            for row in table.orderBy("tile_id").toLocalIterator(prefetchPartitions=True):
+                out.write(bytes(row["data"]))
     finally:
         out.close()
     return entries
-
-
-def _in_order(table: DataFrame) -> Iterator[bytes]:
-    for row in table.orderBy("tile_id").toLocalIterator(prefetchPartitions=True):
-        yield bytes(row["data"])

@@ -144,7 +144,7 @@ class Ranged(http.server.SimpleHTTPRequestHandler):
         pass
 
 
-def test_remote_ranges(built):
+def test_remote_ranges(built, monkeypatch):
     out = built[0]
     folder, _, name = out.rpartition("/")
     server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), functools.partial(Ranged, directory=folder))
@@ -152,6 +152,7 @@ def test_remote_ranges(built):
     Ranged.busy = 2
     found = archive.open_archive(f"http://127.0.0.1:{server.server_port}/{name}")
     assert found.entries == archive.open_archive(out).entries
+    monkeypatch.setattr(archive.RangeReader, "_size", lambda self: 1)
     assert archive.RangeReader("s3://b/k/x").path == "https://b.s3.amazonaws.com/k/x"
     server.shutdown()
 
@@ -196,3 +197,92 @@ def test_pyramid_arithmetic(spark):
     caps = [x[0] for x in parents.select(pyramid.tile_cap(F.col("n"), F.lit(r["ratio"]))).collect()]
     assert caps == [400, 4]
     assert spark.range(1).select(pyramid.column_cap(F.lit(1000).cast("long"), 3, 1000, 10.0)).first()[0] == int(10_000 / 44 * 0.95)
+
+
+def _archive_of(spark, path, codec, blobs, zoom, fields):
+    from gridloom.sources.writer import write_archive
+
+    rows = spark.createDataFrame([(k, bytearray(archive.compress(d))) for k, d in blobs.items()], "tile_id long, data binary")
+    header = {"tile_compression": 2, "tile_type": archive.TILE_TYPES[codec], "min_zoom": zoom, "max_zoom": zoom}
+    write_archive(rows, path, header, {"name": "n", "vector_layers": [{"id": "cells", "fields": fields, "minzoom": zoom, "maxzoom": zoom}]})
+
+
+def _tile_bytes(path):
+    found = archive.open_archive(path)
+    with archive.RangeReader(path) as reader:
+        return {(z, x, y): reader.read(at, n) for z, x, y, _, at, n in found.tiles()}
+
+
+def test_pyramid_keeps_layers_and_values(spark, tmp_path):
+    """Two layers with fields of their own, whole numbers above 2**24 and doubles come through as they are."""
+    from gridloom.functions.tileid import id_of
+    from gridloom.sources.wire import field, put_varint
+
+    def double(v):
+        import struct
+
+        return field(3, 1, struct.pack("<d", v))
+
+    def long(v):
+        return field(4, 0, put_varint(v))
+
+    big = [16777217, 16777219, 16777221]
+    cells = mvt.encode_raw("cells", [1, 2, 3], [5, 6, 7], [[("c", long(v)), ("d", double(0.1 + v))] for v in big])
+    genes = mvt.encode_raw("genes", [9, 10], [9, 10], [[("g", field(1, 2, b"a"))], [("g", field(1, 2, b"b"))]])
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    _archive_of(spark, source, "mvt", {id_of(2, 1, 2): cells + genes, id_of(2, 0, 3): genes}, 2, {"c": "Number", "d": "Number"})
+    assert commands.build_pyramid(spark, source, out, 0) == {2: 7, 1: 7, 0: 7}
+    before, after = _tile_bytes(source), _tile_bytes(out)
+    assert all(after[k] == v for k, v in before.items())
+    for z, x, y in after:
+        layers = {layer.name: layer for layer in mvt.decode(archive.decompress(after[z, x, y], 2))}
+        if "cells" in layers:
+            assert [f.attrs for f in layers["cells"].features] == [{"c": v, "d": 0.1 + v} for v in big]
+    root = {layer.name: layer for layer in mvt.decode(archive.decompress(after[0, 0, 0], 2))}
+    assert sorted(f.attrs["g"] for f in root["genes"].features) == ["a", "a", "b", "b"] and len(root) == 2
+
+
+def test_pyramid_keeps_column_types(spark, tmp_path):
+    from gridloom.functions.tileid import id_of
+    from gridloom.sources import mlt
+
+    big = [16777217, 16777219, 16777221]
+    columns, types = {"i": big, "f": [0.5, None, 2.5], "s": ["é", None, ""], "none": [None] * 3}, {"i": "int", "f": "float", "s": "string", "none": "int"}
+    tile = mlt.encode_layer("cells", [1, 2, 3], [4, 5, 6], columns, types)
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    _archive_of(spark, source, "mlt", {id_of(2, 1, 2): tile, id_of(2, 3, 3): tile}, 2, {"i": "Number"})
+    commands.build_pyramid(spark, source, out, 0)
+    for (z, _, _), raw in _tile_bytes(out).items():
+        layer = mlt.decode(archive.decompress(raw, 2))
+        times = 2 if z == 0 else 1
+        assert layer.types == types and list(layer.columns) == list(types) and layer.nullable == {"i": False, "f": True, "s": True, "none": True}
+        assert layer.columns["i"] == big * times and layer.columns["s"] == ["é", None, ""] * times and layer.columns["f"] == [0.5, None, 2.5] * times
+
+
+def test_single_files(spark, built, tmp_path):
+    import gzip
+
+    out = built[0]
+    cli.main(["export", "--in", out, "--out-tsv", str(tmp_path / "t.tsv.gz")], spark)
+    lines = gzip.decompress((tmp_path / "t.tsv.gz").read_bytes()).decode().splitlines()
+    assert lines[0].startswith("X\tY\tgene") and len(lines) == N + 2
+    cli.main(["count-tiles", "--in", out, "--out-tsv", str(tmp_path / "c.tsv")], spark)
+    rows = [tuple(map(int, line.split("\t")[:3])) for line in (tmp_path / "c.tsv").read_text().splitlines()[1:]]
+    assert rows == sorted(rows) and rows
+
+
+def test_leaves_outside_the_filter_are_not_read(spark, tmp_path, monkeypatch):
+    sizes = [k * k % 997 + 1 for k in range(30_000)]
+    entries = [Entry(k, sum(sizes[max(0, k - 1) : k]) + 2000 * k, n) for k, n in enumerate(sizes)]
+    monkeypatch.setattr(archive, "ROOT_LIMIT", 200)
+    path = str(tmp_path / "many")
+    with open(path, "wb") as f:
+        f.write(archive.front_of({"tile_type": 1, "tile_compression": 1, "max_zoom": 9}, {}, entries))
+    reads = []
+    real = archive.RangeReader.read
+    monkeypatch.setattr(archive.RangeReader, "read", lambda self, at, n: reads.append(n) or real(self, at, n))
+    assert len(archive.open_archive(path).entries) == 30_000
+    every = len(reads)
+    reads.clear()
+    assert [e.tile_id for e in archive.open_archive(path, 100, 103).entries] == [100, 101, 102, 103]
+    assert len(reads) < every
