@@ -52,8 +52,9 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
-    """node, component (the least node reachable) for every node of an edge.
+def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 200) -> DataFrame:
+    """node, component (the least node reachable) for every node of an edge. The rounds needed grow with the logarithm
+    of the longest path; more than most_rounds are an error, never an unfinished result.
 
     Large-star and small-star steps in turn, each written to the shared folder. Joins are between written tables, so
     that adaptive execution can split the edges of a node with very many neighbours.
@@ -76,5 +77,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         if (seen["n"], seen["h"]) == mark or not seen["n"]:
             break
         mark = (seen["n"], seen["h"])
+    else:
+        raise RuntimeError(f"components are not settled after {most_rounds} rounds")
     nodes = now.groupBy("u").agg(F.min("v").alias("v"))
     return nodes.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(nodes.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

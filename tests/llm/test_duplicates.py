@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,15 +208,15 @@ def test_covered():
 # --- vectors ----------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("block", [4096, 30])
-def test_vectors(spark, block):
+@pytest.mark.parametrize("options", [{}, {"block": 30}, {"block": 30, "whole": 40}])
+def test_vectors(spark, options):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(40, 32))
     rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([base, *[base[i] + rng.normal(size=(40, 32)) * 0.12 for i in (1, 2)], rng.normal(size=(150, 32))]))]
     rows += [(1000, rows[3][1]), (1001, [2 * x for x in rows[3][1]]), (1002, rows[3][1]), (1002, rows[3][1]), (None, rows[4][1])]
     bad = [(2000, None), (2001, []), (2002, [0.0] * 32), (2003, [float("nan")] * 32), (2004, [float("inf"), *[1.0] * 31]), (2005, [None, *[1.0] * 31]), (2006, [1.0, 2.0])]
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in [*rows, *bad]], "vec_id long, embedding array<float>, label int, key string")
-    found = embedding.near_duplicates(df, 0.9, recall=0.9999, block=block).collect()
+    found = embedding.near_duplicates(df, 0.9, recall=0.9999, **options).collect()
     v = np.array([r[1] for r in rows], np.float32).astype(np.float64)
     v /= np.linalg.norm(v, axis=1)[:, None]
     close = v @ v.T >= 0.9
@@ -229,3 +230,23 @@ def test_vectors(spark, block):
 def test_no_vectors(spark):
     assert embedding.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert embedding.near_duplicates(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).first()["component_id"] == 1
+
+
+def test_recall_of_vectors(spark):
+    """50,000 vectors, 4,000 planted pairs just above the threshold, against brute force."""
+    rng = np.random.default_rng(12)
+    n, dim = 46_000, 64
+    base = rng.normal(size=(n, dim))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    side = rng.normal(size=(4000, dim))
+    side -= (side * base[:4000]).sum(axis=1)[:, None] * base[:4000]
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    cosine = rng.uniform(0.9005, 0.91, 4000)[:, None]
+    v = np.concatenate([base, cosine * base[:4000] + np.sqrt(1 - cosine**2) * side])
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(v)), "embedding": list(v)}))
+    found = embedding.near_duplicates(df, 0.9, recall=0.995).select("vec_id", "n_links").toPandas().set_index("vec_id")["n_links"].sort_index().to_numpy()
+    links = 0
+    for a in range(0, len(v), 2000):
+        links += int((v[a : a + 2000] @ v.T >= 0.9).sum())
+    links = (links - len(v)) // 2
+    assert links >= 4000 and 0.99 <= found.sum() / 2 / links <= 1
