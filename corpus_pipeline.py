@@ -13,33 +13,38 @@ from gridloom.llm import common, jaccard, language, packing, quality, substring
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language is recognised (no letters at all) go. Where nothing was learned, since no row
-    outside the held-out remainder has a label, nothing can be judged and all documents stay."""
+    """Documents in which no language is recognised (null, empty or blank texts, and texts without a letter) go. Where
+    nothing was learned, since no row outside the held-out remainder has a label, nothing can be judged and all
+    documents stay. Repeated rows are judged alike, ties between languages do not matter here."""
     samples = language.sample_texts(docs)
     if not samples:
         return docs
-    found = language.classify(docs, samples, into=("_lang_pred", "_lang_score"))
-    return found.where(F.col("_lang_pred") != "und").select(*docs.columns)
+    predicted, score = common.unused(docs.columns, "lang_pred", "lang_score")
+    found = language.classify(docs, samples, into=(predicted, score))
+    return found.where(F.col(predicted) != "und").select(*common.columns_of(docs.columns))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or a certified cutoff go."""
+    """Documents that fail the base rules or a certified cutoff go: null, empty and short texts among them. Equal rows
+    share their verdict, null languages form the stratum 'other', an id labelled good and bad counts as bad."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more. It is the one of the
+    least id (of equal ids the least hash), repeated rows become one, texts without words all stay."""
     return jaccard.keep_one(docs, width=5, percent=80)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words inside any 50-word window that occurs more than once are cut out of the texts."""
+    """Words inside any 50-word window that occurs more than once are cut out of the texts. All rows stay, those that
+    were nulls too; a text may become empty."""
     cut = substring.cut_repeats(docs, width=50)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's token ids packed into sequences of 4096."""
+    """Every document's token ids packed into sequences of 4096; null and empty texts are one end token each."""
     return packing.pack(docs)
 
 

@@ -7,7 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +36,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_base(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
 
 
+def columns_of(names: Iterable[str]) -> list[Column]:
+    """Top-level columns by their names, whatever characters those hold."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def unused(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names, with strokes added until no column is called so (in whatever case)."""
+    known, out = {n.lower() for n in taken}, []
+    for name in wanted:
+        while name.lower() in known:
+            name += "_"
+        known.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Arrow batches of documents hold so many rows at most, in this session from now on: the default of 10,000 is
-    meant for narrow rows, and takes tens of MB a task on both sides of the socket for texts."""
+    meant for narrow rows, and takes tens of MB a task on both sides of the socket for texts. Results are lazy and the
+    setting is read when they run, so it cannot be put back here."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, rows)

@@ -1,122 +1,138 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton of a bounded sample of labelled text gives, from any place of a text, the
-longest match with what that language was seen to write. A text is parsed greedily into such matches (phrases); a text
-of N letters that takes c phrases against a sample of n letters has c * log2(n) / N bits a letter, and the language
-with the fewest wins. Letters are lower-cased and all else separates words; a parse starts anew at every word (with a
-blank on both sides), so a word's phrases depend on the word alone and frequent words are parsed once in a worker.
+longest match with what that language was seen to write, over as many words as it lasts. A text is parsed greedily
+into such matches (phrases); a text of N letters that takes c phrases against a sample of n letters has
+c * log2(n) / N bits a letter, and the language with the fewest wins. Letters are lower-cased; all else is one blank.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hold_only, slices, small_batches
+from .common import columns_of, hold_only, slices, small_batches
 
 _WORD = re.compile(r"[^\W\d_]+")
-#: Bits of a packed counter: phrases of one language in one text.
-_FIELD = 48
+#: Symbol 0 is any letter no sample holds, 1 stands between the texts of a sample; neither takes part in a match.
+_UNSEEN, _BETWEEN = 0, 1
+
+
+def normalise(text: str) -> str:
+    """Lower-case letters with one blank for all else, and one at each end; empty without a letter."""
+    words = _WORD.findall(text.lower())
+    return f" {' '.join(words)} " if any(c.isalpha() for w in words for c in w) else ""
+
+
+class Alphabet(dict):
+    """Letter -> symbol."""
+
+    def __init__(self, samples: list[list[str]]) -> None:
+        letters = sorted({c for texts in samples for text in texts for c in text})
+        super().__init__({c: k + 2 for k, c in enumerate(letters)})
+        self.width = len(letters) + 2
+
+    def __missing__(self, letter: str) -> int:
+        return _UNSEEN
+
+    def codes(self, text: str) -> list[int]:
+        return list(map(self.__getitem__, text))
+
+
+class _Sparse(dict):
+    def __missing__(self, key: int) -> int:
+        return 0
 
 
 class SuffixAutomaton:
-    """All substrings of a text. next[s * width + symbol] is the state after s and symbol."""
-
-    def __init__(self, text: str) -> None:
-        self.symbols = {c: k for k, c in enumerate(sorted(set(text)))}
-        self.width = width = len(self.symbols) or 1
-        link, length, edges, last = [-1], [0], [{}], 0
-        for c in text:
-            x = self.symbols[c]
+    """All substrings of some texts. A state is a multiple of the number of symbols; step[state + symbol] is the state
+    after that symbol, 0 if there is none. A flat array for alphabets of letters, a dictionary for very large ones."""
+
+    DENSE = 1 << 23
+
+    def __init__(self, texts: list[list[int]], width: int) -> None:
+        sample = [x for text in texts for x in (*text, _BETWEEN)]
+        most = 2 * (len(sample) + 1)
+        dense = most * width <= self.DENSE
+        self.step = step = array("i", bytes(4 * most * width)) if dense else _Sparse()
+        out: list[list[int]] = [[]]  # symbols that leave a state
+        link, length, last = [-1], [0], 0
+        for x in sample:
             cur = len(link)
             link.append(0)
             length.append(length[last] + 1)
-            edges.append({})
+            out.append([])
             p = last
-            while p >= 0 and x not in edges[p]:
-                edges[p][x] = cur
+            while p >= 0 and not step[p * width + x]:
+                step[p * width + x] = cur * width
+                out[p].append(x)
                 p = link[p]
             if p >= 0:
-                q = edges[p][x]
+                q = step[p * width + x] // width
                 if length[q] == length[p] + 1:
                     link[cur] = q
                 else:
                     copy = len(link)
                     link.append(link[q])
                     length.append(length[p] + 1)
-                    edges.append(dict(edges[q]))
-                    while p >= 0 and edges[p].get(x) == q:
-                        edges[p][x] = copy
+                    out.append(list(out[q]))
+                    for y in out[q]:
+                        step[copy * width + y] = step[q * width + y]
+                    while p >= 0 and step[p * width + x] == q * width:
+                        step[p * width + x] = copy * width
                         p = link[p]
                     link[q] = link[cur] = copy
             last = cur
-        self.next = {s * width + x: t for s, e in enumerate(edges) for x, t in e.items()}
-
-    def phrases(self, text: str) -> int:
-        """Longest matches, one after the other, that cover text; a character never seen is a phrase of its own."""
-        symbols, step, width, state, count = self.symbols, self.next, self.width, 0, 1
-        for c in text:
-            x = symbols.get(c, -1)
-            to = step.get(state * width + x, 0) if x >= 0 else 0
-            if not to and state:
-                count += 1
-                to = step.get(x, 0) if x >= 0 else 0
+        if dense:
+            del step[len(link) * width :]
+
+    def phrases(self, text: list[int]) -> int:
+        """Longest matches, one after the other, that cover text; a symbol never seen is a phrase of its own."""
+        step, state, count = self.step, 0, 0
+        for x in text:
+            to = step[state + x]
             if not to:
-                count += 1
+                if state:
+                    count += 1
+                to = step[x]
+                if not to:
+                    count += 1
             state = to
-        return count - (state == 0 and count > 1)
-
-
-def _once(sample: str) -> str:
-    """Each word of a sample once. Parses stay within a word and its two blanks, and so do all matches; what lies
-    there is the same, but the automaton takes far less memory."""
-    return " " + "".join(f"{w} " for w in dict.fromkeys(sample.split()))
+        return count + (state != 0)
 
 
 class Parser:
-    """Phrase counts of texts against each language, packed into one integer for each word."""
+    """Phrase counts of texts against each language."""
 
     kept: dict[int, "Parser"] = {}
 
-    def __init__(self, samples: list[tuple[str, str]], most: int = 100_000) -> None:
+    def __init__(self, samples: list[tuple[str, list[str]]]) -> None:
         self.langs = [lang for lang, _ in samples]
-        self.automata = [SuffixAutomaton(_once(text)) for _, text in samples]
-        self.weights = [math.log2(max(2, len(text))) for _, text in samples]
-        self.known: dict[str, int] = {}
-        self.most = most
+        self.alphabet = Alphabet([texts for _, texts in samples])
+        self.automata = [SuffixAutomaton([self.alphabet.codes(t) for t in texts], self.alphabet.width) for _, texts in samples]
+        self.weights = [math.log2(max(2, sum(map(len, texts)))) for _, texts in samples]
 
     @classmethod
-    def of(cls, samples: list[tuple[str, str]]) -> "Parser":
+    def of(cls, samples: list[tuple[str, list[str]]]) -> "Parser":
         hold_only("language", cls.kept.clear)
-        key = hash(tuple(samples))
+        key = hash(tuple((lang, *texts) for lang, texts in samples))
         if key not in cls.kept:
             cls.kept.clear()
             cls.kept[key] = cls(samples)
         return cls.kept[key]
 
-    def word(self, word: str) -> int:
-        padded, total = f" {word} ", 0
-        for k, automaton in enumerate(self.automata):
-            total |= automaton.phrases(padded) << (_FIELD * k)
-        if len(word) <= 64:
-            if len(self.known) >= self.most:
-                self.known.clear()
-            self.known[word] = total
-        return total
-
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = _WORD.findall(text.lower()) if text else []
-        if not self.langs or not any(map(str.isalpha, words)) and not any(c.isalpha() for w in words for c in w):
+        letters = normalise(text) if text and self.langs else ""
+        if not letters:
             return "und", 0.0
-        known, parse = self.known, self.word
-        total = sum([known[w] if w in known else parse(w) for w in words])
-        letters = sum(map(len, words)) + len(words) + 1
-        bits = [((total >> (_FIELD * k)) & ((1 << _FIELD) - 1)) * self.weights[k] / letters for k in range(len(self.langs))]
+        codes = self.alphabet.codes(letters)
+        bits = [a.phrases(codes) * w / len(codes) for a, w in zip(self.automata, self.weights, strict=True)]
         order = sorted(range(len(bits)), key=lambda k: (bits[k], self.langs[k]))
         best = order[0]
         second = bits[order[1]] if len(order) > 1 else 2 * bits[best] + 1
@@ -128,10 +144,11 @@ def remainder(doc_id: str = "doc_id") -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(4)).cast("int")
 
 
-def sample_texts(docs: DataFrame, letters: int = 60_000, per_lang: int = 400, held_out: int = 2, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most_langs: int = 256) -> list[tuple[str, str]]:
-    """A bounded sample to fit on: for each of the `most_langs` most frequent labels, whole documents in the order
+def sample_texts(docs: DataFrame, letters: int = 60_000, per_lang: int = 400, held_out: int = 2, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most_langs: int = 256) -> list[tuple[str, list[str]]]:
+    """language and texts: a bounded sample to fit on: for each of the `most_langs` most frequent labels, whole documents in the order
     of a hash of their id until `letters` letters are reached, at most per_lang documents. Rows of the held-out
-    remainder, null labels and null texts take no part."""
+    remainder, null labels and null texts take no part. Of labels beyond `most_langs` none is learned: that number,
+    like the others, bounds the sample that every task holds."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.where((remainder() != held_out) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     ids = rows.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(1)).alias("order"), F.length("text").alias("n"))
@@ -142,17 +159,21 @@ def sample_texts(docs: DataFrame, letters: int = 60_000, per_lang: int = 400, he
     run = Window.partitionBy("lang").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     few = few.withColumn("sofar", F.coalesce(F.sum("n").over(run), F.lit(0))).where(F.col("sofar") < letters).select("doc_id", "lang")
     got = rows.join(F.broadcast(few.distinct()), ["doc_id", "lang"]).select("lang", "doc_id", "text").collect()  # at most most_langs * per_lang rows
-    out: dict[str, str] = {}
+    out: dict[str, list[str]] = {}
+    sizes: dict[str, int] = {}
     for r in sorted(got, key=lambda r: (r["lang"], str(r["doc_id"]), r["text"])):
-        if len(out.get(r["lang"], "")) < letters:
-            out[r["lang"]] = out.get(r["lang"], " ") + " ".join(_WORD.findall(r["text"].lower())) + " "
-    return sorted((k, v[: 2 * letters]) for k, v in out.items() if v.strip())
+        text = normalise(r["text"])[: 2 * letters]
+        if text and sizes.get(r["lang"], 0) < letters:
+            out.setdefault(r["lang"], []).append(text)
+            sizes[r["lang"]] = sizes.get(r["lang"], 0) + len(text)
+    return sorted(out.items())
 
 
-def classify(docs: DataFrame, samples: list[tuple[str, str]], text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def classify(docs: DataFrame, samples: list[tuple[str, list[str]]], text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs with a predicted language and a score (0 to 1: how much fewer bits the best takes than the second best).
 
-    Only the text is looked at. `und` with score 0 if the text is null, has no letter, or nothing was learned.
+    Only the text is looked at. `und` with score 0 if the text is null, has no letter, or nothing was learned. Equal
+    rows give a row each. Columns of docs that are called as `into` says are replaced.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -167,7 +188,7 @@ def classify(docs: DataFrame, samples: list[tuple[str, str]], text: str = "text"
             columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())], names=[*names, *into])
 
-    schema = docs.select(*[F.col(f"`{c}`") for c in names]).schema.add(into[0], "string").add(into[1], "double")
+    schema = docs.select(*columns_of(names)).schema.add(into[0], "string").add(into[1], "double")
     return docs.mapInArrow(run, schema)
 
 

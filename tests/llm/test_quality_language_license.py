@@ -78,12 +78,15 @@ def brute_phrases(sample, text):
 
 def test_automaton_parses_greedily():
     rng = random.Random(4)
-    for _ in range(60):
-        sample = "".join(rng.choice("ab c") for _ in range(rng.randint(1, 80)))
-        automaton = language.SuffixAutomaton(sample)
-        for _ in range(20):
-            text = "".join(rng.choice("ab cz") for _ in range(rng.randint(1, 30)))
-            assert automaton.phrases(text) == brute_phrases(sample, text), (sample, text)
+    for dense in (1 << 23, 0):
+        for _ in range(40):
+            texts = ["".join(rng.choice("ab c") for _ in range(rng.randint(1, 60))) for _ in range(rng.randint(1, 3))]
+            alphabet = language.Alphabet([texts])
+            kind = type("Kind", (language.SuffixAutomaton,), {"DENSE": dense})
+            automaton = kind([alphabet.codes(t) for t in texts], alphabet.width)
+            for _ in range(20):
+                text = "".join(rng.choice("ab cz") for _ in range(rng.randint(1, 30)))
+                assert automaton.phrases(alphabet.codes(text)) == brute_phrases("\n".join(texts), text), (texts, text)
 
 
 LANGS = {"en": ["the", "thing", "with", "another", "house", "under"], "de": ["der", "schön", "über", "nicht", "haus", "zwischen"], "fr": ["être", "dans", "maison", "où", "leçon", "avec"]}
@@ -143,13 +146,24 @@ def test_licenses_without_an_anchor_word(spark, make_docs):
     assert {tuple(x["paragraph"] for x in r["licenses"]) for r in license.scan(docs, model).collect()} == {(0, 3)}
 
 
-def test_language_sample_is_whole_and_kept_small(spark, make_docs):
-    """60,000 letters are learned where there are as many; repeated words take no memory and change no parse."""
+def test_language_is_the_one_with_the_fewest_phrases(spark, make_docs):
+    """Whole texts across words, against a parse by plain search in the sample."""
+    rng = random.Random(9)
+    rows = [(k, prose(rng, rng.randint(1, 40), LANGS[lang] + LANGS["en"][:2]) + rng.choice(["", " 7, ", "ß"]), lang) for k, lang in enumerate(rng.choices(list(LANGS), k=150))]
+    docs = make_docs(rows, clash=True)
+    samples = language.sample_texts(docs, letters=900)
+    got = {r["doc_id"]: r for r in language.classify(docs, samples).collect()}
+    import math
+
+    for k, text, _ in rows:
+        own = " " + " ".join(re.findall(r"[^\W\d_]+", text.lower())) + " "
+        bits = sorted((brute_phrases("\n".join(texts), own) * math.log2(sum(map(len, texts))) / len(own), lang) for lang, texts in samples)
+        assert got[k]["lang_pred"] == bits[0][1] and got[k]["score"] == pytest.approx(1 - bits[0][0] / bits[1][0], abs=1e-12)
+
+
+def test_language_sample_is_whole(spark, make_docs):
+    """60,000 letters are learned where there are as many."""
     rng = random.Random(9)
     words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 9))) for _ in range(900)]
-    ((lang, sample),) = language.sample_texts(make_docs([(k, prose(rng, 200, words)) for k in range(120)]))
-    assert lang == "en" and len(sample) >= 60_000
-    whole, parser = language.SuffixAutomaton(sample), language.Parser([(lang, sample)])
-    assert len(parser.automata[0].next) < len(whole.next) / 2
-    for word in words[:50] + ["".join(rng.choice("abcdef") for _ in range(12)) for _ in range(200)]:
-        assert parser.word(word) == whole.phrases(f" {word} ") == brute_phrases(sample, f" {word} ")
+    ((lang, texts),) = language.sample_texts(make_docs([(k, prose(rng, 200, words)) for k in range(120)]))
+    assert lang == "en" and 60_000 <= sum(map(len, texts)) < 70_000
