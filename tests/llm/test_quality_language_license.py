@@ -117,33 +117,63 @@ def test_prediction_looks_at_text_alone(spark, make_docs):
     assert a.exceptAll(b).count() == 0
 
 
-def test_licenses(spark, make_docs, odd_rows):
+@pytest.fixture(scope="module")
+def plain():
     rng = random.Random(7)
-    plain = [prose(rng, 40) for _ in range(200)]
-    model = license.train(plain)
+    return [prose(rng, 40) for _ in range(300)]
+
+
+@pytest.fixture(scope="module")
+def model(plain):
+    return license.train(plain)
+
+
+#: Notices that are no templates.
+OTHERS = [
+    ("CC-BY-SA", "Distributed under CC BY-SA 4.0"), ("CC-BY", "Terms: Creative Commons Attribution 4.0 International."), ("BSD", "BSD-3-Clause"), ("Unlicense", "Released into the public domain as free and unencumbered software."),
+    ("GPL", "Licensed under the GNU General Public License version 2 or any later version"), ("AGPL", "This server is licensed under the GNU Affero General Public License, version 3"), ("MIT", "This package is under the MIT License"),
+    ("Apache-2.0", "Code is licensed under the Apache License, Version 2.0"), ("LGPL", "Released under the GNU Lesser General Public License version 3"), ("MPL-2.0", "Subject to the terms of the Mozilla Public License 2.0"),
+    ("EPL", "Made available under the terms of the Eclipse Public License 2.0"), ("ISC", "This package is released under the ISC License"), ("CC0", "The data are dedicated to the public domain under CC0 1.0 Universal"), ("MIT", "AS IS: the software is provided without warranty of any kind, express or implied, including the warranties of merchantability, fitness for a particular purpose and noninfringement"),
+]
+
+
+def test_licenses(spark, make_docs, odd_rows, plain, model):
+    """Families of templates and of other notices, against plain arithmetic for each line."""
     rows = [(100 + k, f"{plain[k]}\n{text}\n{plain[k + 1]}") for k, (_, text) in enumerate(license.TEMPLATES)]
-    clean = ["The license plate was stolen.", "Permission to land was granted.", "a fishing licence costs money"]
-    docs = make_docs([*rows, *odd_rows, *[(200 + k, t) for k, t in enumerate(clean)]], clash=True)
+    clean = [(500 + k, t) for k, t in enumerate(["The license plate was stolen.", "Permission to land was granted.", "a fishing licence costs money"])]
+    others = [(600 + k, f"{plain[k]}\n\n \n{text}") for k, (_, text) in enumerate(OTHERS)]
+    every = [*rows, *odd_rows, *clean, *others]
+    docs = make_docs(every, clash=True)
     got = {r["doc_id"]: r for r in license.families_of(docs, model).collect()}
-    assert [got[100 + k]["family"] for k in range(len(rows))] == [f for f, _ in license.TEMPLATES]
-    assert all(got[200 + k]["family"] == license.UNKNOWN for k in range(len(clean)))
-    assert got[1]["family"] == license.UNKNOWN and got[1]["n_candidates"] == 0
-    for row in license.scan(docs, model).where(F.size("licenses") > 0).collect():
-        for x in row["licenses"]:
-            assert x["probability"] == pytest.approx(max(license.probabilities(model, row["text"].split("\n")[x["paragraph"]])[:-1]), abs=1e-9)
+    right = sum(got[100 + k]["family"] == f for k, (f, _) in enumerate(license.TEMPLATES))
+    assert right == len(license.TEMPLATES)
+    assert sum(got[600 + k]["family"] == f for k, (f, _) in enumerate(OTHERS)) >= len(OTHERS) - 1
+    assert all(got[i]["family"] == license.UNKNOWN for i, _ in clean) and got[1]["family"] == license.UNKNOWN and got[1]["n_candidates"] == 0
+    for row in license.scan(docs, model).collect():
+        expected = [(k, *license.judge(model, line)) for k, line in enumerate((row["text"] or "").split("\n"))]
+        expected = [e for e in expected if e[1] != license.UNKNOWN]
+        assert [(x["paragraph"], x["family"], x["confirmed"]) for x in row["licenses"]] == [(k, f, c) for k, f, _, c in expected]
+        assert all(x["probability"] == pytest.approx(p, abs=1e-9) for x, (_, _, p, _) in zip(row["licenses"], expected, strict=True))
     assert license.families_of(make_docs([]), model).count() == 0
+    named = docs.withColumn("lines", F.lit(1)).withColumn("a.b", F.lit(2))
+    assert license.scan(named, model).columns == [*named.columns, "licenses"]
 
 
-def test_licenses_without_an_anchor_word(spark, make_docs):
-    """Notices that are no templates and hold none of the words that scans once asked for."""
-    rng = random.Random(8)
-    plain = [prose(rng, 40) for _ in range(200)]
-    model = license.train(plain)
-    notices = [("CC-BY-SA", "Distributed under CC BY-SA 4.0"), ("CC-BY", "Creative Commons Attribution 4.0 International"), ("BSD", "BSD-3-Clause"), ("CC-BY-NC", "Terms: CC BY-NC 4.0"), ("Unlicense", "Released into the public domain.")]
-    docs = make_docs([(k, f"{plain[k]}\n\n \n{text}") for k, (_, text) in enumerate(notices)])
-    got = {r["doc_id"]: r for r in license.families_of(docs, model).collect()}
-    assert [(got[k]["family"], got[k]["n_licenses"]) for k in range(len(notices))] == [(f, 1) for f, _ in notices]
-    assert {tuple(x["paragraph"] for x in r["licenses"]) for r in license.scan(docs, model).collect()} == {(0, 3)}
+def test_notices_in_the_sample_are_no_negatives(plain, model):
+    poisoned = license.train(plain[:180] + ["Released under the MIT License."] * 60 + ["Licensed under the Apache License, Version 2.0."] * 60)
+    for line, family in (("Released under the MIT License.", "MIT"), ("Licensed under the Apache License, Version 2.0.", "Apache-2.0")):
+        assert license.judge(poisoned, line)[0] == license.judge(model, line)[0] == family
+    assert poisoned.false_share < 0.05
+
+
+def test_words_that_every_notice_holds(plain, model):
+    """Without a telling word no paragraph reaches a threshold, whatever else of the vocabulary it holds."""
+    telling = set(model.telling_words())
+    rest = [g for g in model.weights if not telling & set(g.split())]
+    for k, t in enumerate(model.thresholds):
+        z = model.bias[k] + sum(max(0.0, model.weights[g][k]) for g in rest)
+        assert 1 / (1 + 2.718281828459045**-z) < t
+    assert telling and not telling & license.COMMON
 
 
 def test_language_is_the_one_with_the_fewest_phrases(spark, make_docs):
