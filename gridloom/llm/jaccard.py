@@ -1,14 +1,16 @@
 """Exact n-gram Jaccard join of documents by set-relation skipping; returns connected components.
 
 1. A document becomes the set of its word n-gram hashes; equal sets become one.
-2. Prefix lists: in one order of all n-grams (those seen often last) two sets that link share one among their first
-   |x| - ceil(t |x|) + 1. Two sets in a list may link if their sizes and their parity bitmaps (a bound on how much
-   the sets differ) allow it; sets without such a partner are done. Lists only serve to group sets, so these relations
-   are contracted where they lie and no pair leaves a task.
-3. Sets of a group meet in one task (in blocks, by pairs of blocks, where a group is large), which joins them exactly:
-   index lists are skipped in blocks by size and position (a partner further on in its own order cannot have enough
-   left in common), and answers are derived from those of similar sets: with the distances of some pivots to all sets,
-   the triangle inequality of the Jaccard distance accepts or rules out most pairs, and the rest are compared.
+2. Index lists: in one order of all n-grams (those seen often last) two sets that link share one among their first
+   |x| - ceil(t |x|) + 1. A list holds blocks of sets of one size, in order of the n-gram's position in them. Where two
+   sets meet at their first common n-gram, what is left of the shorter rest bounds their overlap; so of each block only
+   the entries up to a position are looked at, the rest and blocks of sizes too far apart are skipped. Sets that may
+   link also by their parity bitmaps (a bound on how much they differ) form groups. Lists only serve to group sets, so
+   these relations are contracted where they lie and no pair leaves a task.
+3. Sets of a group meet in one task (in blocks, by pairs of blocks, where a group is large), which joins them exactly.
+   A leader's answers come from lists skipped in the same way, down to a lower threshold: a set that links with the
+   leader finds all its own answers among those (triangle inequality of the Jaccard distance), and its overlaps with
+   them follow from the leader's by the few n-grams in which the two differ.
    Only links that join two components leave the task.
 """
 
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_values, materialise, mix, row_key, shingle_hashes, shuffle_partitions, slices, small_batches, split_chunks, words_only
+from .common import byte_values, columns_of, materialise, mix, row_key, shingle_hashes, shuffle_partitions, slices, small_batches, split_chunks, unused, words_only
 from .graph import components
 
 
@@ -120,26 +122,29 @@ def _postings(docs: DataFrame, width: int, percent: int, often: np.ndarray, rank
             if not sets:
                 continue
             names, size = np.array(list(sets), np.int64), np.array([n for _, n, _ in sets.values()], np.int64)
-            token, own = np.concatenate([p for p, *_ in sets.values()]), np.repeat(np.arange(len(sets)), [len(p) for p, *_ in sets.values()])
+            counts = np.array([len(p) for p, *_ in sets.values()])
+            token, own = np.concatenate([p for p, *_ in sets.values()]), np.repeat(np.arange(len(sets)), counts)
+            pos = np.arange(len(token)) - np.repeat(np.cumsum(counts) - counts, counts)
             if len(hot):
                 split = np.isin(token, hot)
-                more_token, more_own = [token[~split]], [own[~split]]
-                for t, d in zip(token[split].tolist(), own[split].tolist(), strict=True):
+                more_token, more_own, more_pos = [token[~split]], [own[~split]], [pos[~split]]
+                for t, d, i in zip(token[split].tolist(), own[split].tolist(), pos[split].tolist(), strict=True):
                     blocks = heavy[t]
                     mine = int(names[d]) % blocks
                     pairs = [min(mine, k) * blocks + max(mine, k) for k in range(blocks)]
                     more_token.append(mix(np.array(pairs, np.uint64) ^ np.uint64(t)))
                     more_own.append(np.full(blocks, d))
-                token, own = np.concatenate(more_token), np.concatenate(more_own)
+                    more_pos.append(np.full(blocks, i))
+                token, own, pos = np.concatenate(more_token), np.concatenate(more_own), np.concatenate(more_pos)
             key = (token % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(key, kind="stable")
-            token, own, key = token[order], own[order], key[order]
+            token, own, pos, key = token[order], own[order], pos[order].astype(np.int32), key[order]
             cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
             bits = [b for *_, b in sets.values()]
             out = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 here, index = np.unique(own[a:b], return_inverse=True)
-                out.append(pickle.dumps((token[a:b], index.astype(np.int32), names[here], size[here], np.array([len(bits[i]) for i in here], np.int32), np.concatenate([bits[i] for i in here])), protocol=5))
+                out.append(pickle.dumps((token[a:b], index.astype(np.int32), pos[a:b], names[here], size[here], np.array([len(bits[i]) for i in here], np.int32), np.concatenate([bits[i] for i in here])), protocol=5))
             yield pa.RecordBatch.from_arrays([pa.array(key[cuts[:-1]].astype(np.int32), pa.int32()), pa.array(out, pa.binary())], names=["bucket", "payload"])
 
     return docs.select("text").mapInArrow(run, "bucket int, payload binary")
@@ -175,26 +180,54 @@ class Bitmaps:
         return out
 
 
+class Blocks:
+    """An index list in order of size and position: entries of one size are a block."""
+
+    def __init__(self, size: np.ndarray, pos: np.ndarray, percent: int) -> None:
+        self.percent, self.n = percent, len(size)
+        self.sizes, self.starts = np.unique(size, return_index=True)
+        self.key = size.astype(np.int64) << 32 | pos
+
+    def open(self, size: int, pos: int, upto: int | None = None, larger: bool = False) -> np.ndarray:
+        """Places of the entries that may link with a set of that size which has the n-gram at that position, if it is
+        the first in common. Blocks of other sizes and the ends of blocks are never touched. upto: only places before."""
+        low = -(-self.percent * size // 100)
+        high = size * 100 // self.percent if larger else size
+        a, b = np.searchsorted(self.sizes, [low, high + 1])
+        if a == b:
+            return np.zeros(0, np.int64)
+        sizes = self.sizes[a:b]
+        need = -(-self.percent * (sizes + size) // (100 + self.percent))
+        begin = self.starts[a:b]
+        stop = np.searchsorted(self.key, sizes.astype(np.int64) << 32 | np.maximum(sizes - need, 0), side="right")
+        stop = np.where((need <= size - pos) & (need <= sizes), stop, begin)
+        if upto is not None:
+            stop = np.minimum(stop, upto)
+        n = np.maximum(stop - begin, 0)
+        return np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
+
+
 def _may_link(postings: DataFrame, percent: int, small: int = 64) -> DataFrame:
     """Edges a, b between sets that share a prefix n-gram and whose sizes and bitmaps allow a link; contracted in
     each bucket, so that at most one edge for each set leaves it."""
 
     def run(table: pa.Table) -> pa.Table:
         parts = [pickle.loads(p) for p in table.column("payload").to_pylist()]
-        shift = np.cumsum([0, *[len(p[2]) for p in parts[:-1]]])
+        shift = np.cumsum([0, *[len(p[3]) for p in parts[:-1]]])
         token, own = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] + s for p, s in zip(parts, shift, strict=True)])
-        names, first, index = np.unique(np.concatenate([p[2] for p in parts]), return_index=True, return_inverse=True)
-        size, words = np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts])
+        pos = np.concatenate([p[2] for p in parts])
+        names, first, index = np.unique(np.concatenate([p[3] for p in parts]), return_index=True, return_inverse=True)
+        size, words = np.concatenate([p[4] for p in parts]), np.concatenate([p[5] for p in parts])
         begin = np.cumsum(words) - words
-        flat = np.concatenate([p[5] for p in parts])
+        flat = np.concatenate([p[6] for p in parts])
         del parts
         flat = flat[np.concatenate([np.arange(begin[i], begin[i] + words[i]) for i in first.tolist()])]
         bitmaps, size, own = Bitmaps(words[first], flat), size[first], index[own]
-        # one posting for each set and n-gram, lists in order of size, cut where sizes leave a gap too large to link
-        order = np.lexsort((own, size[own], token))
-        token, own = token[order], own[order]
+        # one posting for each set and n-gram, lists in order of size and position, cut where sizes leave a gap too large to link
+        order = np.lexsort((own, pos, size[own], token))
+        token, own, pos = token[order], own[order], pos[order]
         fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (own[1:] != own[:-1])])
-        token, own = token[fresh], own[fresh]
+        token, own, pos = token[fresh], own[fresh], pos[fresh]
         far = (token[1:] != token[:-1]) | (100 * size[own[:-1]] < percent * size[own[1:]])
         start = np.flatnonzero(np.concatenate([[True], far]))
         length = np.diff(np.append(start, len(own)))
@@ -224,18 +257,20 @@ def _may_link(postings: DataFrame, percent: int, small: int = 64) -> DataFrame:
             if not len(s):
                 break
             at = np.arange(n.sum()) + np.repeat(s - (np.cumsum(n) - n), n)
-            pairs.append(np.unique(np.stack([own[at], own[at + d]], axis=1), axis=0))
+            x, y = own[at], own[at + d]
+            rest = np.minimum(size[x] - pos[at], size[y] - pos[at + d])
+            good = (100 + percent) * rest >= percent * (size[x] + size[y])
+            pairs.append(np.unique(np.stack([x[good], y[good]], axis=1), axis=0))
         pairs = np.unique(np.concatenate(pairs), axis=0)
         join(*np.where((size[pairs[:, :1]] <= size[pairs[:, 1:]]), pairs, pairs[:, ::-1]).T)
         for s, n in zip(start[length > small].tolist(), length[length > small].tolist(), strict=True):
-            members = own[s : s + n]
+            blocks = Blocks(size[own[s : s + n]], pos[s : s + n], percent)
             for k in range(1, n):
-                low = int(np.searchsorted(100 * size[members[:k]], percent * size[members[k]]))
-                ys = members[low:k]
-                mine = root(int(members[k]))
-                ys = ys[parent[ys] != mine]
+                at = blocks.open(int(size[own[s + k]]), int(pos[s + k]), upto=k)
+                ys = own[s + at]
+                ys = ys[parent[ys] != root(int(own[s + k]))]
                 if len(ys):
-                    join(ys, np.full(len(ys), members[k]))
+                    join(ys, np.full(len(ys), own[s + k]))
         nodes = [k for k in range(len(names)) if parent[k] != k]
         return pa.table({"a": pa.array(names[nodes], pa.int64()), "b": pa.array(names[[root(k) for k in nodes]] if nodes else names[:0], pa.int64())})
 
@@ -245,32 +280,48 @@ def _may_link(postings: DataFrame, percent: int, small: int = 64) -> DataFrame:
 class GroupJoin:
     """Exact join of a group of sets (sorted hashes): links(x, y) that connect what was not connected before."""
 
-    PIVOTS = 24
-
     def __init__(self, names: list[int], sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> None:
         order = np.argsort([len(s) for s in sets], kind="stable")
         self.names, self.percent = [names[i] for i in order], percent
         self.side = None if side is None else side[order]
+        #: per cent down to which a leader's answers go, so that they hold those of all sets it links with
+        self.lower = max(1, 2 * percent - 100) if side is None else percent
         self.size = np.array([len(sets[i]) for i in order], np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.size)])
         _, token, count = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
         own = np.repeat(np.arange(len(order)), self.size)
         # rarest n-grams first, in every set
         token = token[np.lexsort((token, count[token], own))]
-        self.token, self.own, self.n_tokens = token, own, len(count)
-        self.pos = np.arange(len(token)) - self.start[own]
-        take = self.size - -(-percent * self.size // 100) + 1
-        prefix = self.pos < take[own]
-        listed = np.argsort(token[prefix], kind="stable")  # within a list by size, as sets are in order of size
-        self.list_own, self.list_pos = own[prefix][listed], self.pos[prefix][listed]
-        self.list_start = np.searchsorted(token[prefix][listed], np.arange(self.n_tokens + 1))
-        self.take = take
+        self.token, self.n_tokens = token, len(count)
+        pos = np.arange(len(token)) - self.start[own]
+        self.take = self.size - -(-self.lower * self.size // 100) + 1
+        listed = np.flatnonzero(pos < self.take[own])
+        listed = listed[np.lexsort((pos[listed], self.size[own[listed]], token[listed]))]
+        self.list_own, self.list_pos = own[listed], pos[listed]
+        self.list_start = np.searchsorted(token[listed], np.arange(self.n_tokens + 1))
+        self.lists: dict[int, Blocks] = {}
         self.mark = np.zeros(self.n_tokens, bool)
+        #: sets whose answers were looked up, and derived
+        self.looked = self.derived = 0
+
+    def members(self, x: int) -> np.ndarray:
+        return self.token[self.start[x] : self.start[x + 1]]
+
+    def candidates(self, x: int) -> np.ndarray:
+        """Sets that may be as similar to x as `lower`, from the parts of index lists that sizes and positions leave."""
+        found = []
+        for i, t in enumerate(self.members(x)[: self.take[x]].tolist()):
+            a, b = int(self.list_start[t]), int(self.list_start[t + 1])
+            if b - a < 2:
+                continue
+            if t not in self.lists:
+                self.lists[t] = Blocks(self.size[self.list_own[a:b]], self.list_pos[a:b], self.lower)
+            found.append(self.list_own[a + self.lists[t].open(int(self.size[x]), i, larger=True)])
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
     def overlaps(self, x: int, ys: np.ndarray) -> np.ndarray:
         """Sizes of the intersections of x with each of ys."""
-        mine = self.token[self.start[x] : self.start[x + 1]]
-        self.mark[mine] = True
+        self.mark[self.members(x)] = True
         out = np.empty(len(ys), np.int64)
         at = 0
         while at < len(ys):  # some at a time, to bound memory
@@ -281,19 +332,35 @@ class GroupJoin:
             index = np.arange(ends[-1]) + np.repeat(self.start[part] - (ends - lengths), lengths)
             out[at:stop] = np.add.reduceat(self.mark[self.token[index]].astype(np.int64), ends - lengths)
             at = stop
-        self.mark[mine] = False
+        self.mark[self.members(x)] = False
         return out
 
-    def distances(self, x: int) -> np.ndarray:
-        ys = np.arange(len(self.names))
-        both = self.overlaps(x, ys)
-        return 1 - both / (self.size + self.size[x] - both)
+    def similar(self, x: int, ys: np.ndarray, both: np.ndarray, percent: int) -> np.ndarray:
+        return 100 * both >= percent * (self.size[x] + self.size[ys] - both)
+
+    def derive(self, leader: int, followers: np.ndarray, ys: np.ndarray, both: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(follower, sizes of its intersections with ys), from the leader's and the n-grams in which the two differ."""
+        lengths = self.size[ys]
+        ends = np.cumsum(lengths)
+        token = self.token[np.arange(ends[-1]) + np.repeat(self.start[ys] - (ends - lengths), lengths)]
+        order = np.argsort(token, kind="stable")
+        token, own = token[order], np.repeat(np.arange(len(ys)), lengths)[order]
+        mine = self.members(leader)
+        for f in followers.tolist():
+            other = self.members(f)
+            more, less = np.setdiff1d(other, mine), np.setdiff1d(mine, other)
+            change = np.zeros(len(ys), np.int64)
+            for part, sign in ((more, 1), (less, -1)):
+                lo, hi = np.searchsorted(token, part), np.searchsorted(token, part, side="right")
+                n = hi - lo
+                at = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+                change += sign * np.bincount(own[at], minlength=len(ys))
+            yield f, both + change
 
     def links(self) -> list[tuple[int, int]]:
-        n, percent, size = len(self.names), self.percent, self.size
+        n, percent = len(self.names), self.percent
         parent = np.arange(n)
-        limit, eps = 1 - percent / 100, 1e-9
-        pivots: list[np.ndarray] = []
+        answered = np.zeros(n, bool)
         out: list[tuple[int, int]] = []
 
         def root(x: int) -> int:
@@ -302,49 +369,44 @@ class GroupJoin:
                 x = int(parent[x])
             return x
 
-        def link(x: int, y: int) -> None:
-            a, b = root(x), root(y)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                out.append((self.names[x], self.names[y]))
+        def link(x: int, ys: np.ndarray) -> None:
+            for y in ys.tolist():
+                a, b = root(x), root(y)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    out.append((self.names[x], self.names[y]))
+
+        def apart(x: int, ys: np.ndarray) -> np.ndarray:
+            mine = root(x)
+            return np.fromiter((root(int(y)) != mine for y in ys), bool, len(ys))
 
         for x in range(n):
-            least = -(-percent * size[x] // 100)
-            found = []
-            for i, t in enumerate(self.token[self.start[x] : self.start[x] + self.take[x]].tolist()):
-                a, b = self.list_start[t], self.list_start[t + 1]
-                if b - a < 2:
-                    continue
-                # block skip by size: sets before x in order, from the first that is large enough
-                hi = a + int(np.searchsorted(self.list_own[a:b], x))
-                lo = a + int(np.searchsorted(size[self.list_own[a:hi]], least))
-                if lo >= hi:
-                    continue
-                ys, js = self.list_own[lo:hi], self.list_pos[lo:hi]
-                # skip by position: what is left after this n-gram in either set bounds the rest of the overlap
-                bound = np.minimum(i, js) + np.minimum(size[x] - i, size[ys] - js)
-                found.append(ys[(100 + percent) * bound >= percent * (size[x] + size[ys])])
-            if not found:
+            if answered[x]:
                 continue
-            ys = np.unique(np.concatenate(found))
+            answered[x] = True
+            self.looked += 1
+            ys = self.candidates(x)
             if self.side is not None:
                 ys = ys[self.side[ys] != self.side[x]]
-            mine = root(x)
-            ys = ys[np.fromiter((root(int(y)) != mine for y in ys), bool, len(ys))]
-            if len(ys) > 8 and pivots:
-                table = np.stack(pivots)
-                far = np.abs(table[:, ys] - table[:, [x]]).max(axis=0)
-                near = (table[:, ys] + table[:, [x]]).min(axis=0)
-                for y in ys[near <= limit - eps].tolist():
-                    link(x, y)
-                ys = ys[(far <= limit + eps) & (near > limit - eps)]
+            ys = ys[apart(x, ys)]
             if not len(ys):
                 continue
             both = self.overlaps(x, ys)
-            for y in ys[(100 + percent) * both >= percent * (size[x] + size[ys])].tolist():
-                link(x, y)
-            if len(ys) > 64 and len(pivots) < self.PIVOTS and n > 128:
-                pivots.append(self.distances(x))
+            near = self.similar(x, ys, both, self.lower)
+            ys, both = ys[near], both[near]
+            linked = self.similar(x, ys, both, percent)
+            link(x, ys[linked])
+            if self.side is not None:
+                continue
+            followers = ys[linked & ~answered[ys]]
+            answered[followers] = True
+            self.derived += len(followers)
+            # a follower is linked with its leader, so only answers in other components are left to find
+            rest = apart(x, ys)
+            if len(followers) and rest.any():
+                ys, both = ys[rest], both[rest]
+                for f, own in self.derive(x, followers, ys, both):
+                    link(f, ys[self.similar(f, ys, own, percent)])
         return out
 
 
@@ -368,12 +430,12 @@ def _join(sets: DataFrame, percent: int) -> DataFrame:
     return sets.groupBy("task", "left", "right").applyInArrow(run, "a long, b long")
 
 
-def _classes(docs: DataFrame, width: int, percent: int, doc_id: str, text: str, most_often: int = 200_000, block: int = 1_500_000, salt_from: int = 20_000) -> DataFrame:
+def _classes(docs: DataFrame, width: int, percent: int, doc_id: str, text: str, most_often: int = 200_000, block: int = 1_500_000, salt_from: int = 20_000, bucket_bytes: int = 64_000_000) -> DataFrame:
     """doc_id, row, n_shingles, component_id, first_row (the row that stands for the component).
 
     most_often bounds the list of frequent n-grams, which only orders prefixes: results do not depend on it. Groups of
     more than `block` shingles are joined by pairs of blocks. An n-gram in over salt_from sets has several
-    lists, one for each pair of blocks of its sets.
+    lists, one for each pair of blocks of its sets. Buckets of lists hold about bucket_bytes, however large the input.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -387,7 +449,11 @@ def _classes(docs: DataFrame, width: int, percent: int, doc_id: str, text: str,
     rank = np.arange(len(often), 0, -1)[order]  # the most frequent comes last
     often = often[order]
     partitions = shuffle_partitions(spark)
-    edges = materialise(_may_link(_postings(base, width, percent, often, rank, heavy, max(64, partitions)), percent), "may-link")
+    # 20 bytes a posting, and once in most of its buckets a set's name, size and bitmap
+    length = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
+    weight = sets.where("set is not null").agg(F.sum(length * (36 + F.col("n_shingles") / 8))).first()[0] or 0
+    buckets = max(64, partitions, int(weight // bucket_bytes) + 1)
+    edges = materialise(_may_link(_postings(base, width, percent, often, rank, heavy, buckets), percent), "may-link")
     groups = materialise(components(edges), "groups")  # node: a set that may link
     # the sets of each group meet: one row stands for each set
     one = sets.where("set is not null").groupBy("set").agg(F.min("row").alias("row"), F.max("n_shingles").alias("n"))
@@ -439,10 +505,12 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "
     least hash of id and text). Of rows that agree in id and text one stays; rows without words all stay."""
     classes = _classes(docs, width, percent, doc_id, text, **options)
     first = classes.where((F.col("n_shingles") > 0) & (F.col("row") == F.col("first_row"))).select(F.col("row").alias("_kept")).distinct()
-    rows = docs.withColumn("_row", F.xxhash64(F.col(doc_id).cast("long"), F.col(text)))
-    one = rows.join(materialise(first, "kept-rows").hint("shuffle_hash"), F.col("_row") == F.col("_kept"), "left_semi").dropDuplicates(["_row"])
-    wordless = rows.where(F.coalesce(~F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(True)))
-    return one.select(*docs.columns).unionByName(wordless.select(*docs.columns))
+    row, kept = unused(docs.columns, "row", "kept")
+    key, value = columns_of([doc_id, text])
+    rows = docs.withColumn(row, F.xxhash64(key.cast("long"), value))
+    one = rows.join(materialise(first.toDF(kept), "kept-rows").hint("shuffle_hash"), F.col(row) == F.col(kept), "left_semi").dropDuplicates([row])
+    wordless = rows.where(F.coalesce(~value.rlike(r"[^\x20\x09-\x0D]"), F.lit(True)))
+    return one.select(*columns_of(docs.columns)).unionByName(wordless.select(*columns_of(docs.columns)))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,7 +80,7 @@ def copies(odd_rows):
     return [r for r in odd_rows if r[0] not in (6, 7)] + [(100 + k, t) for k, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("options", [{}, {"block": 2000, "salt_from": 3, "most_often": 5}])
+@pytest.mark.parametrize("options", [{}, {"block": 2000, "salt_from": 3, "most_often": 5, "bucket_bytes": 20_000}])
 def test_jaccard_is_exact(spark, make_docs, copies, options):
     docs = make_docs(copies, clash=True).repartition(6)
     found = jaccard.components_of(docs, 4, 85, **options).collect()
@@ -96,9 +96,9 @@ def test_jaccard_of_nothing(spark, make_docs):
 
 
 def test_keep_one(spark, make_docs, copies):
-    docs = make_docs(copies, clash=True)
+    docs = make_docs(copies, clash=True).withColumns({"_row": F.lit(1), "a.b": F.lit(2)})
     kept = jaccard.keep_one(docs, 4, 85)
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and kept.where("_row != 1 or `a.b` != 2").count() == 0
     expected, sizes = brute_jaccard(copies, 4, 85)
     groups = {c for c, n in zip(expected, sizes, strict=True) if n and c is not None}
     blank = sum(1 for n in sizes if not n)
@@ -106,9 +106,10 @@ def test_keep_one(spark, make_docs, copies):
     assert sorted(x for x in named if x is not None) == sorted(groups) and kept.count() == len(named) + blank
 
 
-def test_group_join_with_pivots_is_exact():
+@pytest.mark.parametrize("edits", [2, 12, 30])
+def test_group_join_derives_answers(edits):
     rng = random.Random(9)
-    texts = near_copies(rng, prose(rng, 120), 500, 30)
+    texts = near_copies(rng, prose(rng, 120), 400, edits)
     sets = {jaccard.set_id(s): s for s in jaccard.shingle_sets([t.encode() for t in texts], 4)}
     names = list(sets)
     join = jaccard.GroupJoin(names, [sets[n] for n in names], 85)
@@ -117,6 +118,32 @@ def test_group_join_with_pivots_is_exact():
     every = [(i, j) for i in range(len(names)) for j in range(i) if 185 * len(np.intersect1d(sets[names[i]], sets[names[j]])) >= 85 * (len(sets[names[i]]) + len(sets[names[j]]))]
     ids = list(range(len(names)))
     assert brute_components(ids, [(index[a], index[b]) for a, b in links]) == brute_components(ids, every) and len(links) < len(names)
+    assert join.looked + join.derived == len(names) and join.derived > (len(names) // 8 if edits == 2 else 0)
+
+
+def test_skipped_blocks_hold_no_links():
+    rng = np.random.default_rng(2)
+    size, pos = rng.integers(5, 60, 400), rng.integers(0, 8, 400)
+    order = np.lexsort((pos, size))
+    size, pos = size[order], pos[order]
+    blocks = jaccard.Blocks(size, pos, 80)
+    for s, p in ((20, 0), (33, 5), (59, 2), (6, 1)):
+        for larger in (False, True):
+            need = -(-80 * (size + s) // 180)
+            fits = (np.minimum(size - pos, s - p) >= need) & (100 * size >= 80 * s) & ((80 * size <= 100 * s) if larger else (size <= s))
+            assert blocks.open(s, p, larger=larger).tolist() == np.flatnonzero(fits).tolist()
+    assert (blocks.open(33, 0, upto=100) < 100).all()
+
+
+def test_one_shingle_in_all_documents(spark, make_docs):
+    """A common line is in every document; only near copies link."""
+    rng = random.Random(21)
+    line = "this very line is in all of them"
+    rows = [(k, line + " " + prose(rng, 30)) for k in range(600)]
+    rows += [(1000 + k, rows[k][1]) for k in range(50)] + [(2000 + k, rows[k][1].replace("w1", "w2", 1)) for k in range(50)]
+    found = jaccard.components_of(make_docs(rows).repartition(7), 4, 85, salt_from=100).collect()
+    expected, sizes = brute_jaccard(rows, 4, 85)
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == Counter((r[0], n, c) for r, n, c in zip(rows, sizes, expected, strict=True))
 
 
 def test_bitmaps_bound_the_difference():
