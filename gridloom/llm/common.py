@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Runs of these six bytes separate words: [\x20\x09-\x0D]. bytes.split() splits on the same set.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -41,6 +42,17 @@ def columns_of(names: Iterable[str]) -> list[Column]:
     return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
+def map_columns(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[list[pa.Array]]], schema: StructType) -> DataFrame:
+    """mapInArrow for columns of any names: run gets batches and yields arrays by place, in the order of schema."""
+    plain = StructType([StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(schema.fields)])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for arrays in run(batches):
+            yield pa.RecordBatch.from_arrays(arrays, names=plain.names)
+
+    return rows.toDF(*[f"c{k}" for k in range(len(rows.columns))]).mapInArrow(named, plain).toDF(*schema.names)
+
+
 def unused(taken: Iterable[str], *wanted: str) -> list[str]:
     """The wanted names, with strokes added until no column is called so (in whatever case)."""
     known, out = {n.lower() for n in taken}, []

@@ -64,37 +64,40 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Counts of stretches of `text` (numbers from 0; 0 separates), exact for stretches of up to `depth` symbols."""
-
-    def __init__(self, text: np.ndarray, depth: int) -> None:
-        self.text = text.astype(np.int64)
-        sigma = int(self.text.max(initial=0)) + 1
-        order = suffix_order(self.text, depth)
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.text, minlength=sigma))])
-        self.matrix = WaveletMatrix(self.text[order - 1], sigma)
+    """How often stretches of words occur in a text (numbers from 0; 0 separates), exact for stretches of up to `depth`
+    symbols. Holds the wavelet matrix and, in suffix order, the running sum of the places' weights: a text may stand
+    for several equal ones. The text itself is not kept; what is searched for comes from outside, in streams."""
+
+    def __init__(self, text: np.ndarray, depth: int, weight: np.ndarray | None = None) -> None:
+        sigma = int(text.max(initial=0)) + 1
+        order = suffix_order(text, depth)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
+        self.matrix = WaveletMatrix(text[order - 1], sigma)
         self.shift = self.first[:-1] - self.matrix.run_start[:sigma]
+        self.upto = np.arange(len(text) + 1) if weight is None else np.concatenate([[0], np.cumsum(weight[order])])
 
-    def repeated_from(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """For each stretch text[start:end] the least j for which text[j:end] occurs twice or more in the text
-        (end itself if no symbol does), by backward search from its end."""
+    def repeated_from(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """For each stretch text[start:end] of a stream the least j for which text[j:end] occurs twice or more in the
+        indexed text (end itself if no symbol does), by backward search from its end."""
         out = ends.copy()
         lane = np.flatnonzero(ends > starts)
         at = ends[lane] - 1
-        symbol = self.text[at]
+        symbol = text[at]
         lo, hi = self.first[symbol], self.first[symbol + 1]
         while len(lane):
-            good = hi - lo >= 2
+            good = self.upto[hi] - self.upto[lo] >= 2
             out[lane[good]] = at[good]
             good &= at > starts[lane]
             lane, at, lo, hi = lane[good], at[good] - 1, lo[good], hi[good]
-            symbol = self.text[at]
+            symbol = text[at]
             both = self.matrix.descend(np.concatenate([symbol, symbol]), np.concatenate([lo, hi]))
             lo, hi = self.shift[symbol] + both[: len(lane)], self.shift[symbol] + both[len(lane) :]
         return out
 
 
-def repeated_windows(index: FMIndex, starts: np.ndarray, windows: np.ndarray, width: int) -> np.ndarray:
-    """Bit masks: bit i of a stretch is set if the window of `width` symbols at start + i occurs twice or more.
+def repeated_windows(index: FMIndex, text: np.ndarray, starts: np.ndarray, windows: np.ndarray, width: int) -> np.ndarray:
+    """Bit masks: bit i of a stretch of the streamed text is set if the window of `width` symbols at start + i occurs
+    twice or more in the index.
 
     Takes the longest repeated stretch that ends where the last open window ends; where it breaks off at a symbol f,
     every window that holds f and some symbols after it is out, and the search goes on with windows that end sooner.
@@ -104,18 +107,18 @@ def repeated_windows(index: FMIndex, starts: np.ndarray, windows: np.ndarray, wi
     lane = np.arange(len(starts))
     while len(lane):
         s, e = starts[lane], ends[lane]
-        j = index.repeated_from(s, e)
+        j = index.repeated_from(text, s, e)
         # windows that start in [j, e - width]
         count = np.maximum(e - width - j + 1, 0).astype(np.uint64)
         run = np.where(count >= 64, ~np.uint64(0), (_ONE << np.minimum(count, np.uint64(63))) - _ONE)
         mask[lane] |= np.where(count > 0, run << np.minimum(j - s, 63).astype(np.uint64), np.uint64(0))
-        open_ = (j > s) & (j - 1 + 1 > s)
+        open_ = j > s
         lane, s, e, f = lane[open_], s[open_], e[open_], j[open_] - 1
         # the shortest doubled stretch from f that does not repeat
         stop, left, reach = np.minimum(f + 1, e), np.arange(len(lane)), 1
         while len(left):
             stop[left] = np.minimum(f[left] + reach, e[left])
-            bad = index.repeated_from(f[left], stop[left]) > f[left]
+            bad = index.repeated_from(text, f[left], stop[left]) > f[left]
             left = left[~bad & (stop[left] < e[left])]
             reach *= 2
         ends[lane] = stop - 1

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import columns_of, hold_only, slices, small_batches
+from .common import columns_of, hold_only, map_columns, slices, small_batches
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Symbol 0 is any letter no sample holds, 1 stands between the texts of a sample; neither takes part in a match.
@@ -180,16 +180,16 @@ def classify(docs: DataFrame, samples: list[tuple[str, list[str]]], text: str =
     shared = spark.sparkContext.broadcast(samples)  # bounded by sample_texts
     at = docs.columns.index(text)
     names = [c for c in docs.columns if c not in into]
+    places = [docs.columns.index(c) for c in names]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         parser = Parser.of(shared.value)
         for batch in slices(batches):
             found = [parser.predict(t) for t in batch.column(at).to_pylist()]
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())], names=[*names, *into])
+            yield [*[batch.column(k) for k in places], pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())]
 
     schema = docs.select(*columns_of(names)).schema.add(into[0], "string").add(into[1], "double")
-    return docs.mapInArrow(run, schema)
+    return map_columns(docs, run, schema)
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", held_out: int = 2, **sampling: int) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_values, hold_only, slices, small_batches
+from .common import byte_values, columns_of, hold_only, map_columns, slices, small_batches
 from .tokens import tokenizer_path
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -248,31 +248,35 @@ def model_of(path: str) -> Model:
 
 
 def encode(docs: DataFrame, model: str | None = None, text: str = "text", into: str = "ids") -> DataFrame:
-    """docs with the column `into`: the ids (array<int>) of each text. Null and empty texts have no ids."""
+    """docs with the column `into`: the ids (array<int>) of each text. Null and empty texts have no ids, equal rows give
+    a row each, an empty table gives an empty table. A column of docs that is called `into` is replaced."""
     path = model or tokenizer_path("piece_bpe_32k.model")
     at, names = docs.columns.index(text), [c for c in docs.columns if c != into]
+    places = [docs.columns.index(c) for c in names]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         found = model_of(path)
         for batch in slices(batches):
             ids = [memoryview(found.encode(t)).cast("I").tolist() for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in names], pa.array(ids, pa.list_(pa.int32()))], names=[*names, into])
+            yield [*[batch.column(k) for k in places], pa.array(ids, pa.list_(pa.int32()))]
 
-    return docs.mapInArrow(run, docs.select(*names).schema.add(into, T.ArrayType(T.IntegerType())))
+    return map_columns(docs, run, docs.select(*columns_of(names)).schema.add(into, T.ArrayType(T.IntegerType())))
 
 
 def decode(rows: DataFrame, model: str | None = None, ids: str = "ids", into: str = "text") -> DataFrame:
-    """rows with the column `into`: the text of each array of ids. Null arrays give null, empty ones an empty text."""
+    """rows with the column `into`: the text of each array of ids. Null arrays give null, empty ones an empty text,
+    equal rows a row each, an empty table an empty table. A column of rows that is called `into` is replaced."""
     path = model or tokenizer_path("piece_bpe_32k.model")
     at, names = rows.columns.index(ids), [c for c in rows.columns if c != into]
+    places = [rows.columns.index(c) for c in names]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         found = model_of(path)
         for batch in slices(batches):
             texts = [None if x is None else found.decode(struct.pack(f"<{len(x)}I", *x)) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in names], pa.array(texts, pa.string())], names=[*names, into])
+            yield [*[batch.column(k) for k in places], pa.array(texts, pa.string())]
 
-    return rows.mapInArrow(run, rows.select(*names).schema.add(into, "string"))
+    return map_columns(rows, run, rows.select(*columns_of(names)).schema.add(into, "string"))
 
 
 def digest_ids(docs: DataFrame, model: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

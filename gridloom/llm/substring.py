@@ -4,9 +4,11 @@
    a window share it. A minimizer seen once in the corpus proves its windows unique; the rest are candidates.
 2. The windows of one minimizer occurrence form a segment (under 2 * width words). Segments go to the shard of their
    minimizer, equal ones of a batch as one, so all copies of a window meet in one shard. No other text is moved.
-3. Each shard builds an FM-index over its distinct segments and searches backward from every segment's end for the
-   longest stretches that occur twice; windows inside them are repeated. Windows of minimizers with very many
-   occurrences (they could fill a shard) are instead dealt out and counted by a 128-bit digest of the window.
+3. Each shard builds an FM-index over its distinct segments, each with the number of its copies, and streams all of
+   them through it: backward search from a segment's end gives the longest stretches that occur twice, and windows
+   inside them are repeated. Copies within a batch are repeated by themselves; one of them goes to the shard for all.
+   Windows of minimizers with very many occurrences (they could fill a shard) are instead dealt out and counted by a
+   128-bit digest of the window.
 """
 
 from __future__ import annotations
@@ -24,12 +26,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_values, materialise, row_key, shingle_hashes, shuffle_partitions, slices, sliding_least, small_batches, split_chunks, words_only
+from .common import byte_values, columns_of, map_columns, materialise, row_key, shingle_hashes, shuffle_partitions, slices, sliding_least, small_batches, split_chunks, unused, words_only
 from .fm_index import FMIndex, repeated_windows
 
 _OCCURRENCE = np.dtype([("key", "<u8"), ("row", "<i8")])
 _MARK = np.dtype([("at", "<u4"), ("mask", "<u8")])
 GRAM = 8
+#: Segments that are searched for at a time.
+STREAM = 50_000
+#: Occurrences of minimizers that meet in a task, about.
+BUCKET_BYTES = 32_000_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+\s*")
 
 
@@ -190,14 +196,16 @@ def _search(parts: DataFrame, width: int) -> DataFrame:
         lengths = np.array([len(w) for w in words])
         hashes = words_only().of([x for w in words for x in w])
         starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-        text = np.zeros(int((lengths + 1).sum()), np.int64)
+        text = np.zeros(int((lengths + 1).sum()), np.int32)
         text[np.arange(len(hashes)) + np.repeat(np.arange(len(words)), lengths)] = np.unique(hashes, return_inverse=True)[1] + 1
+        del words, hashes
         counts = np.array([c for c, *_ in bodies.values()])
         times = np.array([t for _, _, t, *_ in bodies.values()])
-        masks = (np.uint64(1) << counts.astype(np.uint64)) - np.uint64(1)
-        once = np.flatnonzero(times == 1)
-        if len(once):
-            masks[once] = repeated_windows(FMIndex(text, int(lengths.max()) + 2), starts[once], counts[once], width)
+        index = FMIndex(text, int(lengths.max()) + 2, np.repeat(times, lengths + 1))
+        masks = np.zeros(len(counts), np.uint64)
+        for k in range(0, len(counts), STREAM):
+            part = slice(k, k + STREAM)
+            masks[part] = repeated_windows(index, text, starts[part], counts[part], width)
         found: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for mask, (_, _, _, *places) in zip(masks.tolist(), bodies.values(), strict=True):
             if mask:
@@ -252,7 +260,9 @@ def covered(n_words: int, marks: list[bytes], width: int) -> np.ndarray:
 def _find(base: DataFrame, width: int, hot_from: int, results: bool) -> tuple[DataFrame, DataFrame]:
     """(_segments' table, the marks of each row that has some: row, marks); base: doc_id, text, row."""
     small_batches(base.sparkSession)
-    buckets = 2 * shuffle_partitions(base.sparkSession)
+    # an occurrence of a minimizer takes 16 bytes and comes about every (width - GRAM) / 2 words
+    letters = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(2 * shuffle_partitions(base.sparkSession), int(letters / 6 * 32 / (width - GRAM + 2) / BUCKET_BYTES) + 1)
     keys = materialise(_repeated_keys(_occurrences(base, width, buckets), hot_from), "repeated-keys")
     shards = int(max(buckets, (keys.agg(F.sum("n")).first()[0] or 0) * 1.5 * width // 1_600_000))
     by_row = keys.groupBy("row").agg(F.collect_list("keys").alias("keys"), F.collect_list("hot").alias("hot"))
@@ -305,13 +315,15 @@ def cut(text: bytes, out: np.ndarray) -> bytes:
 def cut_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str = "text", hot_from: int = 20_000) -> DataFrame:
     """docs with repeated words (as dedup() finds them) cut out of the text column; all rows and columns stay."""
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("row", row_key("doc_id", "text"))
-    _, marks = _find(base, width, hot_from, False)
-    rows = docs.withColumn("_row", F.xxhash64(F.col(doc_id).cast("long"), F.col(text)))
-    found = materialise(marks, "row-marks").toDF("_marked", "_marks")
-    marked = rows.join(found.hint("shuffle_hash"), F.col("_row") == F.col("_marked"), "left").select(*docs.columns, "_marks")
+    _, found = _find(base, width, hot_from, False)
+    row, marked, marks = unused(docs.columns, "row", "marked", "marks")
+    key, value = columns_of([doc_id, text])
+    rows = docs.withColumn(row, F.xxhash64(key.cast("long"), value))
+    found = materialise(found, "row-marks").toDF(marked, marks)
+    both = rows.join(found.hint("shuffle_hash"), F.col(row) == F.col(marked), "left").select(*columns_of(docs.columns), marks)
     at, n = docs.columns.index(text), len(docs.columns)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         for batch in slices(batches):
             texts = []
             for value, marks in zip(byte_values(batch.column(at)), batch.column(n).to_pylist(), strict=True):
@@ -320,10 +332,9 @@ def cut_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text:
                 texts.append(None if value is None else value.decode())
             columns = list(batch.columns[:n])
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=docs_names)
+            yield columns
 
-    docs_names = docs.columns
-    return marked.mapInArrow(run, docs.schema)
+    return map_columns(both, run, docs.schema)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

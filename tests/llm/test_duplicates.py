@@ -197,7 +197,7 @@ def test_substrings_are_exact(spark, make_docs, passages, hot_from):
 
 
 def test_cut_texts(spark, make_docs, passages):
-    docs = make_docs(passages, clash=True)
+    docs = make_docs(passages, clash=True).withColumns({"_row": F.lit(1), "_marks": F.lit(1), "a.b": F.lit(2)})
     found = substring.cut_repeats(docs, 35)
     assert found.columns == docs.columns
     got = Counter((r["doc_id"], hashlib.sha256(b" ".join((r["text"] or "").encode().split())).hexdigest()) for r in found.collect())
@@ -206,6 +206,14 @@ def test_cut_texts(spark, make_docs, passages):
     assert same.count() == 1
 
 
+def test_one_passage_in_all_documents(spark, make_docs):
+    rng = random.Random(31)
+    passage = prose(rng, 60)
+    rows = [(k, prose(rng, rng.randint(0, 40)) + " " + passage + " " + prose(rng, 20)) for k in range(500)]
+    found = substring.dedup(make_docs(rows).repartition(5), 35, hot_from=100_000).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found) == Counter(brute_repeats(rows, 35))
+
+
 def test_substrings_of_nothing(spark, make_docs):
     assert substring.dedup(make_docs([])).count() == 0 and substring.cut_repeats(make_docs([])).count() == 0
 
@@ -218,11 +226,15 @@ def test_fm_index_counts(seed):
     starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
     for s, n in zip(starts, lengths, strict=True):
         text[s : s + n] = rng.integers(1, 4, n)
-    index = fm_index.FMIndex(text, 32)
+    times = rng.integers(1, 3, len(lengths)) if seed % 2 else np.ones(len(lengths), int)
+    index = fm_index.FMIndex(text, 32, np.repeat(times, lengths + 1))
     width = 6
     use = np.flatnonzero(lengths >= width)
-    masks = fm_index.repeated_windows(index, starts[use], lengths[use] - width + 1, width)
-    count = Counter(tuple(text[s + k : s + k + width]) for s, n in zip(starts, lengths, strict=True) for k in range(n - width + 1))
+    masks = fm_index.repeated_windows(index, text, starts[use], lengths[use] - width + 1, width)
+    count = Counter()
+    for s, n, t in zip(starts, lengths, times, strict=True):
+        for k in range(n - width + 1):
+            count[tuple(text[s + k : s + k + width])] += t
     for m, s, n in zip(masks.tolist(), starts[use], lengths[use], strict=True):
         assert m == sum(1 << k for k in range(n - width + 1) if count[tuple(text[s + k : s + k + width])] > 1)
 

@@ -70,3 +70,17 @@ def test_tables(spark, make_docs, odd_rows, library):
     back = codec.decode(codec.encode(docs), into="again")
     assert back.where("text != again").count() == 0 and back.count() == docs.count()
     assert codec.digest_ids(make_docs([])).count() == 0
+
+
+def test_columns_of_any_name(spark, make_docs):
+    """Dots in names, and inner names, do no harm."""
+    from pyspark.sql import functions as F
+
+    from gridloom.llm import language, sentencepiece_codec
+
+    docs = make_docs([(1, "the house"), (2, None), (2, None)]).withColumns({"a.b": F.lit(3), "score": F.lit("own"), "c0": F.lit(1)})
+    ids = sentencepiece_codec.encode(docs)
+    back = sentencepiece_codec.decode(ids, into="again")
+    assert back.columns == [*docs.columns, "ids", "again"] and [r["again"] for r in back.orderBy("doc_id").collect()] == ["the house", "", ""]
+    found = language.classify(docs, [("en", [" the house "])], into=("guess", "sure"))
+    assert found.columns == [*docs.columns, "guess", "sure"] and {(r["a.b"], r["score"]) for r in found.collect()} == {(3, "own")}
