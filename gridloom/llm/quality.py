@@ -5,7 +5,9 @@ on labelled good documents (the holdout) each stratum and rule tests its cutoffs
 exact binomial tail P(Bin(n, alpha) <= k) for k false rejections among n; it keeps the strictest cutoff before the
 first that fails. That fixed order needs no correction within a stratum and rule; over all strata and rules the level
 is divided by their number (Bonferroni), and the rules of a stratum share its alpha. So with probability 1 - delta
-at once for all strata, the rules reject at most the share alpha of good documents.
+at once for all strata, the rules reject at most the share alpha of good documents. Every value with so many labels
+that some cutoff could be certified is a stratum, however many there are; the others, whose holdouts are too small for
+any, form one stratum `other` together, and its guarantee holds for them together.
 """
 
 from __future__ import annotations
@@ -16,12 +18,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, SPACES, materialise
+from .common import SPACE_CLASS, SPACES, columns_of, materialise
 
 SYMBOLS = "#*$%&|<>"
 RULES = ("symbols", "dup_lines", "repeats")
 CUTOFFS = (900, 800, 700, 600, 500, 450, 400, 350, 300, 250, 200, 150, 120, 100, 80, 60, 50, 40, 30, 20, 10)
-MOST_STRATA = 64
+OTHER = "other"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -59,8 +61,10 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     bare = F.translate(value, SPACES, "")
     q = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).cast("long").alias("n_repeat_words")))
     by_line = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
+    # an exploded array of one: filters and columns that use the measures afterwards do not take them anew
     out = docs.withColumns({"_w": q, "_l": by_line, "_c": F.length(bare).cast("long"), "_s": (F.length(value) - F.length(F.translate(value, SYMBOLS, ""))).cast("long")})
-    return out.withColumn("_q", F.struct(F.col("_w.n_words"), F.col("_c").alias("word_chars"), F.col("_s").alias("n_symbols"), F.col("_l.n_lines"), F.col("_l.n_dup_lines"), F.col("_w.n_repeat_words"))).drop("_w", "_l", "_c", "_s")
+    measures = F.struct(F.col("_w.n_words"), F.col("_c").alias("word_chars"), F.col("_s").alias("n_symbols"), F.col("_l.n_lines"), F.col("_l.n_dup_lines"), F.col("_w.n_repeat_words"))
+    return out.withColumn("_q", F.explode(F.array(measures))).drop("_w", "_l", "_c", "_s")
 
 
 def base_failed(q: str = "_q") -> Column:
@@ -87,10 +91,9 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k > n * p, F.lit(1.0)).otherwise(F.exp(summed))
 
 
-def strata_of(docs: DataFrame, stratum: str) -> DataFrame:
-    """The most frequent values of a column, MOST_STRATA at most; all others form the stratum 'other'."""
-    named = docs.where(F.col(stratum).isNotNull()).groupBy(F.col(stratum).cast("string").alias("stratum")).count()
-    return named.orderBy(F.desc("count"), "stratum").limit(MOST_STRATA).select("stratum")
+def least_holdout(alpha: float, delta: float) -> int:
+    """Good documents without which no cutoff of a stratum can be certified, even with no false rejection."""
+    return math.ceil(math.log(delta / len(RULES)) / math.log1p(-alpha / len(RULES)))
 
 
 def thresholds(holdout: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
@@ -107,19 +110,27 @@ def thresholds(holdout: DataFrame, alpha: float = 0.01, delta: float = 0.05) ->
     return rows.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"{r}_cutoff") for r in RULES])
 
 
-def fit(measured: DataFrame, labels: DataFrame, strata: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
-    """thresholds from measured documents (doc_id, stratum_value, _q) and labels (doc_id, quality). An id labelled
-    more than once counts as good only if all its labels say so; documents that fail the base rules take no part."""
-    good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).where(F.col("quality") == 1).select("doc_id")
-    held = measured.where(~base_failed()).join(good, "doc_id").join(F.broadcast(strata), F.col("stratum_value") == F.col("stratum"), "left")
-    held = held.select(F.coalesce("stratum", F.lit("other")).alias("stratum"), *[c.alias(r) for r, c in ratios().items()])
-    return materialise(thresholds(held, alpha, delta), "thresholds")
+def fit(measured: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """(strata, thresholds) from measured documents (doc_id, stratum_value, _q) and labels (doc_id, quality). An id
+    labelled more than once counts as good only if all its labels say so; documents that fail the base rules take no
+    part. Strata are chosen by the sizes of their holdouts alone, so the choice does not touch the guarantee."""
+    held = measured.where(~base_failed()).join(good_ids(labels), "doc_id").select("stratum_value", *[c.alias(r) for r, c in ratios().items()])
+    held = materialise(held, "holdout")
+    strata = held.where("stratum_value is not null").groupBy(F.col("stratum_value").alias("stratum")).count().where(F.col("count") >= least_holdout(alpha, delta)).select("stratum")
+    strata = materialise(strata, "strata")
+    named = held.join(strata, F.col("stratum_value") == F.col("stratum"), "left").withColumn("stratum", F.coalesce("stratum", F.lit(OTHER)))
+    return strata, materialise(thresholds(named, alpha, delta), "thresholds")
+
+
+def good_ids(labels: DataFrame) -> DataFrame:
+    return labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).where(F.col("quality") == 1).select("doc_id")
 
 
 def judge(measured: DataFrame, strata: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """measured with base_failed and kept. Strata and cutoffs are MOST_STRATA + 1 rows at most."""
-    named = measured.join(F.broadcast(strata), F.col("stratum_value") == F.col("stratum"), "left").withColumn("stratum", F.coalesce("stratum", F.lit("other")))
-    named = named.join(F.broadcast(cutoffs), "stratum", "left")
+    """measured with stratum, base_failed and kept. Strata and cutoffs are written tables, whose sizes are known: they
+    are broadcast if small, and joined by sorting otherwise."""
+    named = measured.join(strata, F.col("stratum_value") == F.col("stratum"), "left").withColumn("stratum", F.coalesce("stratum", F.lit(OTHER)))
+    named = named.join(cutoffs, "stratum", "left")
     rejected = F.lit(False)
     for rule, ratio in ratios().items():
         rejected = rejected | F.coalesce(ratio > F.col(f"{rule}_cutoff"), F.lit(False))
@@ -129,26 +140,25 @@ def judge(measured: DataFrame, strata: DataFrame, cutoffs: DataFrame) -> DataFra
 def assess(docs: DataFrame, labels: DataFrame, stratum: str = "lang", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, stratum for each row.
 
-    Null text counts as empty and fails the base rules; null strata are the stratum 'other'; equal rows and null ids
+    Null text counts as empty and fails the base rules; null strata are in the stratum 'other'; equal rows and null ids
     each give a row; without labels or with few, no cutoff is certified and kept is the base rules' verdict.
     """
     measured = features(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(stratum).cast("string").alias("stratum_value"))).drop("text")
     measured = materialise(measured, "quality")
-    strata = materialise(strata_of(measured, "stratum_value"), "strata")
-    found = judge(measured, strata, fit(measured, labels, strata))
+    found = judge(measured, *fit(measured, labels))
     return found.select("doc_id", *[F.col(f"_q.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept", "stratum")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that assess() keeps, with their own columns."""
-    measured = features(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(stratum).cast("string").alias("stratum_value"))).drop("text")
-    measured = materialise(measured, "quality")
-    strata = materialise(strata_of(measured, "stratum_value"), "strata")
-    cutoffs = fit(measured, labels, strata)
+    """The rows of docs that assess() keeps, with their own columns. Only documents labelled good are measured for the
+    cutoffs, and then every document once for its verdict."""
+    key, value, own_stratum = columns_of([doc_id, text, stratum])
+    thin = docs.select(key.alias("doc_id"), value.alias("text"), own_stratum.cast("string").alias("stratum_value"))
+    strata, cutoffs = fit(features(thin.join(materialise(good_ids(labels), "good-ids"), "doc_id", "left_semi")).drop("text"), labels)
     # under names of our own, whatever the columns of docs are called
     own = {c: f"_doc{k}" for k, c in enumerate(docs.columns)}
-    again = features(docs.toDF(*own.values()).withColumn("stratum_value", F.col(own[stratum]).cast("string")), own[text])
-    return judge(again, strata, cutoffs).where("kept").select(*[F.col(n).alias(c) for c, n in own.items()])
+    every = features(docs.toDF(*own.values()).withColumn("stratum_value", F.col(own[stratum]).cast("string")), own[text])
+    return judge(every, strata, cutoffs).where("kept").select(*[F.col(n).alias(c) for c, n in own.items()])
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,9 +178,9 @@ c AS (SELECT rid, count(DISTINCT i + k)::BIGINT n_repeat_words FROM r, (VALUES (
 m AS (SELECT f.* EXCLUDE ws, coalesce(n_repeat_words, 0) n_repeat_words FROM f LEFT JOIN c USING (rid)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols * 1000 // greatest(word_chars, 1) AS symbols,
   n_dup_lines * 1000 // greatest(n_lines, 1) AS dup_lines, n_repeat_words * 1000 // greatest(n_words, 1) AS repeats FROM m),
-s AS (SELECT lang AS stratum FROM b WHERE lang IS NOT NULL GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 64),
-t AS (SELECT b.*, coalesce(s.stratum, 'other') stratum FROM b LEFT JOIN s ON b.lang = s.stratum),
 good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+s AS (SELECT lang AS stratum FROM b JOIN good USING (doc_id) WHERE NOT base_failed AND lang IS NOT NULL GROUP BY lang HAVING count(*) >= ceil(ln(0.05/3) / ln(1 - 0.01/3))),
+t AS (SELECT b.*, coalesce(s.stratum, 'other') stratum FROM b LEFT JOIN s ON b.lang = s.stratum),
 h AS (UNPIVOT (SELECT t.stratum, t.symbols, t.dup_lines, t.repeats FROM t JOIN good USING (doc_id) WHERE NOT base_failed) ON symbols, dup_lines, repeats INTO NAME rule VALUE ratio),
 cut AS (SELECT unnest([900,800,700,600,500,450,400,350,300,250,200,150,120,100,80,60,50,40,30,20,10]) AS cutoff),
 k AS (SELECT stratum, rule, cutoff, count(*) n, sum(CASE WHEN ratio > cutoff THEN 1 ELSE 0 END)::BIGINT k FROM h, cut GROUP BY ALL),

@@ -58,6 +58,16 @@ def test_cutoffs_are_certified(spark, make_docs):
     assert stage.columns == make_docs(rows, clash=True).columns and stage.count() == 3040
 
 
+def test_small_strata_are_pooled(spark, make_docs):
+    """Strata with too few labels for any cutoff share one; there is no bound on the number of strata."""
+    rng = random.Random(33)
+    rows = [(k, prose(rng, 60), f"lang{k % 90}") for k in range(3000)] + [(10_000 + k, prose(rng, 60).replace(" ", " ### "), f"lang{k}") for k in range(90)]
+    labels = spark.createDataFrame([(r[0], int("###" not in r[1]), 0) for r in rows], "doc_id long, quality int, toxic int")
+    found = quality.assess(make_docs(rows), labels)
+    assert {r[0] for r in found.select("stratum").distinct().collect()} == {"other"}
+    assert found.where("kept").agg(F.max("doc_id"), F.count("*")).first()[:] == (2999, 3000)
+
+
 def test_false_rejections_stay_below_the_level(spark):
     """With 1.5 % of good documents above every cutoff and alpha 1 %, no cutoff is certified."""
     hold = spark.range(20_000).select(F.lit("en").alias("stratum"), F.when(F.col("id") % 67 == 0, 950).otherwise(0).alias("symbols"), F.lit(0).alias("dup_lines"), F.lit(0).alias("repeats"))
