@@ -1,7 +1,8 @@
 """Sharding over fixed virtual slots, with a versioned slot-to-shard map.
 
 A record's hash gives its slot, for good. Bytes are summed for each slot, and a map says which shard holds each slot.
-Rebalancing edits the map (a new version): records move only with a slot whose shard changes.
+Rebalancing edits the map (a new version): records move only with a slot whose shard changes. Maps are stored under a
+path, a folder for each version, and a stored version is never changed.
 Everything here is DataFrame expressions; the map has as many rows as there are slots.
 """
 
@@ -28,13 +29,15 @@ def slot_sizes(records: DataFrame, slot: str = "virtual_slot", size: str = "size
 def build_map(sizes: DataFrame, shards: int = SHARDS, version: int = 1) -> DataFrame:
     """version, virtual_slot, shard, bytes, rows: slots from the largest on, each to the shard with the fewest bytes.
 
-    Ties go to the lower shard and the lower slot. One row holds the whole map on the way, which the number of slots bounds.
+    Ties go to the lower shard and the lower slot; slots without bytes go to the shards in turn. One row holds the whole
+    map on the way, which the number of slots bounds.
     """
     slots = F.array_sort(F.collect_list(F.struct((-F.col("bytes")).alias("less"), F.col("virtual_slot"), F.col("rows"))))
     start = F.struct(F.array_repeat(F.lit(0).cast("long"), shards).alias("loads"), F.array().cast("array<int>").alias("shards"))
 
     def put(state: F.Column, slot: F.Column) -> F.Column:
-        to = (F.array_position(state["loads"], F.array_min(state["loads"])) - 1).cast("int")
+        least = F.array_position(state["loads"], F.array_min(state["loads"])) - 1
+        to = F.when(slot["less"] == 0, F.pmod(slot["virtual_slot"], F.lit(shards))).otherwise(least).cast("int")
         loads = F.transform(state["loads"], lambda x, i: F.when(i == to, x - slot["less"]).otherwise(x))
         return F.struct(loads.alias("loads"), F.concat(state["shards"], F.array(to)).alias("shards"))
 
@@ -65,29 +68,89 @@ def rebalance(slot_map: DataFrame, shards: int) -> DataFrame:
     return kept.select(*pick).unionByName(placed.select(*pick))
 
 
+def with_all_slots(sizes: DataFrame, slots: int) -> DataFrame:
+    """sizes with a row for each slot: a map made from them places whatever comes later."""
+    every = sizes.sparkSession.range(slots).select(F.col("id").cast("int").alias("virtual_slot"))
+    filled = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("bytes", "rows")]
+    return every.join(sizes, "virtual_slot", "left").select("virtual_slot", *filled)
+
+
+def stored_versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions stored under path, in order. Folders of writes that never finished do not count."""
+    marks = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
+    found = marks.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(marks)
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or [])
+
+
+def save_map(slot_map: DataFrame, path: str) -> int:
+    """Stores a map as a version of its own under path, and returns its number. A version that is stored already is an
+    error, since records may lie where it says; what an unfinished write left is replaced. One writer at a time."""
+    version = slot_map.agg(F.max("version")).first()[0]
+    if version is None:
+        raise ValueError("a map without slots has no version to store")
+    if version in stored_versions(slot_map.sparkSession, path):
+        raise ValueError(f"version {version} is stored already under {path}")
+    slot_map.drop("version").coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")  # as many rows as slots
+    return version
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A stored map: the version asked for, or the latest one. One that is not stored is an error."""
+    known = stored_versions(spark, path)
+    wanted = version if version is not None else max(known, default=None)
+    if wanted is None or wanted not in known:
+        raise ValueError(f"no version {'' if version is None else version} of a map under {path}")
+    rows = spark.read.schema("virtual_slot int, shard int, bytes long, rows long").parquet(f"{path}/version={wanted}")
+    return rows.select(F.lit(wanted).alias("version"), "virtual_slot", "shard", "bytes", "rows")
+
+
+def moved_slots(old: DataFrame, new: DataFrame) -> DataFrame:
+    """virtual_slot, old_shard, new_shard, bytes, rows of each slot that two maps place differently. A slot that only
+    one of them holds has a null on the other side; bytes and rows are the new map's, if it has the slot."""
+    a = old.select("virtual_slot", F.col("shard").alias("old_shard"), F.col("bytes").alias("old_bytes"), F.col("rows").alias("old_rows"))
+    b = new.select("virtual_slot", F.col("shard").alias("new_shard"), "bytes", "rows")
+    both = a.join(b, "virtual_slot", "full").where(~F.col("old_shard").eqNullSafe(F.col("new_shard")))
+    return both.select("virtual_slot", "old_shard", "new_shard", F.coalesce("bytes", "old_bytes").alias("bytes"), F.coalesce("rows", "old_rows").alias("rows"))
+
+
 def shard_records(records: DataFrame, slot_map: DataFrame, order: list[str]) -> DataFrame:
-    """records (with virtual_slot) and their shard and place in it, gapless from 0: what lies in the shard's slots
-    before, then the rank within the slot by `order`."""
+    """records (with virtual_slot), their shard and place in it, gapless from 0 (what lies in the shard's slots
+    before, then the rank within the slot by `order`), and the map's version. `rows` of the map are those of records."""
     run = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = slot_map.select("virtual_slot", "shard", F.coalesce(F.sum("rows").over(run), F.lit(0)).alias("before"))
+    starts = slot_map.select("virtual_slot", "shard", F.col("version").alias("map_version"), F.coalesce(F.sum("rows").over(run), F.lit(0)).alias("before"))
     nth = F.row_number().over(Window.partitionBy("virtual_slot").orderBy(*order))
     placed = records.withColumn("nth", nth).join(F.broadcast(starts), "virtual_slot")  # as many rows as slots
     return placed.withColumn("slot", (F.col("before") + F.col("nth") - 1).cast("long")).drop("nth", "before")
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, doc_id: str = "doc_id", text: str = "text", maps: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version for each row of docs.
 
     Law `bytes`: the shards' sums of size are near equal. Equal texts of different ids lie in different slots, so a
     large group of copies is spread. Null text: size 1, checksum 0. Null ids hash by checksum and size. Equal rows
     share a slot and take successive places. An empty table gives an empty table.
+
+    maps: a path of stored maps in a shared folder. If one is there, the latest says where slots lie, whatever
+    `shards` is, so records of later tables go where those of earlier ones are, and the law holds as far as sizes are
+    spread as they were; `rebalance` and `save_map` make the next one. If there is none, or without maps, a new map is
+    made from these sizes (and stored as version 1). A stored map of another number of slots is an error.
     """
     value = F.coalesce(F.col(text), F.lit(""))
     thin = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (F.octet_length(value).cast("long") + 1).alias("size"), F.crc32(value.cast("binary")).alias("text_crc32"))
     thin = materialise(thin.withColumn("virtual_slot", slot_of(F.col("doc_id"), F.col("text_crc32"), F.col("size"), slots=slots)), "records")
-    slot_map = materialise(build_map(slot_sizes(thin), shards), "slot-map")
+    spark, sizes = docs.sparkSession, with_all_slots(slot_sizes(thin), slots)
+    if maps is None or not stored_versions(spark, maps):
+        slot_map = materialise(build_map(sizes, shards), "slot-map")
+        if maps is not None:
+            save_map(slot_map, maps)
+    else:
+        latest = load_map(spark, maps).select("version", "virtual_slot", "shard")
+        held = latest.agg(F.count(F.lit(1)), F.max("virtual_slot")).first()
+        if tuple(held) != (slots, slots - 1):
+            raise ValueError(f"the latest map under {maps} is not one of {slots} slots")
+        slot_map = materialise(latest.join(sizes, "virtual_slot"), "slot-map")
     placed = shard_records(thin, slot_map, ["doc_id", "text_crc32", "size"])
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(1).alias("map_version"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

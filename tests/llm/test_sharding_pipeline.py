@@ -45,6 +45,39 @@ def test_rebalancing_moves_little(spark):
     assert {r[0] for r in third.select("shard").distinct().collect()} == set(range(6)) and third.count() == 1000
 
 
+def test_maps_are_stored_in_versions(spark, make_docs, tmp_path):
+    """Later tables follow the stored map; a rebalanced map is the next version, and only its moved slots move rows."""
+    path = f"file://{tmp_path}/maps"
+    assert sharding.stored_versions(spark, path) == []
+    with pytest.raises(ValueError, match="no version"):
+        sharding.load_map(spark, path)
+    docs = make_docs([(k, "word " * (k % 37)) for k in range(600)])
+    plain = sharding.assign(docs, slots=256)
+    first = common.materialise(sharding.assign(docs, slots=256, maps=path), "first")
+    assert first.exceptAll(plain).count() == 0 and plain.exceptAll(first).count() == 0
+    assert sharding.stored_versions(spark, path) == [1] and sharding.load_map(spark, path).count() == 256
+    later = sharding.assign(make_docs([(k, "word " * (k % 37)) for k in range(300, 900)]), slots=256, maps=path).toPandas()
+    before = {r["doc_id"]: r["shard"] for r in first.collect()}
+    assert len(later) == 600 and all(before[d] == s for d, s in zip(later["doc_id"], later["shard"], strict=True) if d in before)
+    assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in later.groupby("shard"))
+    one = sharding.load_map(spark, path, 1)
+    assert sharding.save_map(sharding.rebalance(one, 9), path) == 2
+    two = sharding.load_map(spark, path)
+    moved = {r["virtual_slot"]: (r["old_shard"], r["new_shard"]) for r in sharding.moved_slots(one, two).collect()}
+    old, new = ({r["virtual_slot"]: r["shard"] for r in m.collect()} for m in (one, two))
+    assert moved == {s: (old[s], new[s]) for s in old if old[s] != new[s]} and moved and set(old) == set(new)
+    again = sharding.assign(docs, slots=256, maps=path).toPandas()
+    assert set(again["map_version"]) == {2}
+    assert all(before[d] == s for d, s, v in zip(again["doc_id"], again["shard"], again["virtual_slot"], strict=True) if v not in moved)
+    with pytest.raises(ValueError, match="stored already"):
+        sharding.save_map(one, path)
+    (tmp_path / "maps" / "version=3").mkdir()  # a write that never finished
+    assert sharding.stored_versions(spark, path) == [1, 2]
+    assert sharding.save_map(sharding.rebalance(two, 8), path) == 3
+    with pytest.raises(ValueError, match="slots"):
+        sharding.assign(docs, slots=128, maps=path)
+
+
 @pytest.fixture(scope="module")
 def duck(sf):
     c = duckdb.connect()
