@@ -210,7 +210,15 @@ class Model:
         """Ids as the library gives them, without begin and end, as little-endian 32-bit bytes."""
         if not text:
             return b""
-        text = self.normalise(text)
+        ids = self._ids_of_text(self.normalise(text))
+        if self.bytes_of:
+            return ids
+        found = memoryview(ids).cast("I").tolist()
+        # a run of unknown characters is one unknown piece
+        found = [i for k, i in enumerate(found) if i != self.unknown or not k or found[k - 1] != self.unknown]
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def _ids_of_text(self, text: str) -> bytes:
         if not self.blanks_begin:
             return self._stretch(text)
         if len(self.known) > self.most:

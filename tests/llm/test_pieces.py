@@ -62,6 +62,16 @@ def test_unigram_search_is_viterbi(model):
         assert [p for r in toy.search(text) for p in r] == best(text)
 
 
+def test_unknown_characters_without_byte_pieces():
+    """A run of unknown characters is one id, in a stretch and across cuts; known neighbours end it."""
+    toy = codec.Model(tokenizer_path("piece_bpe_32k.model"))
+    toy.bytes_of, toy.known = {}, {}
+    unknown = toy.unknown
+    assert ids(toy.encode("a\ue000\ue001\ue002a\ue000"))[-3:] == [unknown, toy.vocab["a"], unknown]
+    found = ids(toy.encode("\ue000\ue001 \ue002\ue003a"))
+    assert found.count(unknown) == 2 and all(x != unknown or y != unknown for x, y in zip(found, found[1:]))
+
+
 def test_tables(spark, make_docs, odd_rows, library):
     found = codec.digest_ids(make_docs(odd_rows, clash=True))
     got = sorted((r["doc_id"] or -1, r["n_ids"], r["round_trip"]) for r in found.collect())
