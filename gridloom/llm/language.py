@@ -147,21 +147,26 @@ def remainder(doc_id: str = "doc_id") -> F.Column:
 def sample_texts(docs: DataFrame, letters: int = 60_000, per_lang: int = 400, held_out: int = 2, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most_langs: int = 256) -> list[tuple[str, list[str]]]:
     """language and texts: a bounded sample to fit on: for each of the `most_langs` most frequent labels, whole documents in the order
     of a hash of their id until `letters` letters are reached, at most per_lang documents. Rows of the held-out
-    remainder, null labels and null texts take no part. Of labels beyond `most_langs` none is learned: that number,
-    like the others, bounds the sample that every task holds."""
+    remainder, null labels and null texts take no part; rows of one id and label (null ids are one) count as one
+    document, with the least of their texts. Of labels beyond `most_langs` none is learned: that number, like the
+    others, bounds the sample that every task holds."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.where((remainder() != held_out) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(1)).alias("order"), F.length("text").alias("n"))
-    langs = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).select("lang")
-    ids = ids.join(F.broadcast(langs), "lang").withColumn("part", F.pmod("order", F.lit(256)))
-    few = ids.withColumn("k", F.row_number().over(Window.partitionBy("lang", "part").orderBy("order", "doc_id"))).where(F.col("k") <= per_lang)
-    few = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))).where(F.col("k") <= per_lang)
-    run = Window.partitionBy("lang").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    few = few.withColumn("sofar", F.coalesce(F.sum("n").over(run), F.lit(0))).where(F.col("sofar") < letters).select("doc_id", "lang")
-    got = rows.join(F.broadcast(few.distinct()), ["doc_id", "lang"]).select("lang", "doc_id", "text").collect()  # at most most_langs * per_lang rows
+    rows = rows.select("lang", F.xxhash64("doc_id", F.lit(1)).alias("order"), "text")
+    ids = rows.select("lang", "order", F.length("text").alias("n"))
+    langs = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("order").alias("ids"))
+    langs = langs.orderBy(F.desc("rows"), "lang").limit(most_langs)
+    # the first per_lang ids lie in the first 8 * per_lang / ids of all hashes, so others leave where they are read
+    ahead = (F.col("order") / F.lit(2.0**64) + 0.5) * F.col("ids") < 8 * per_lang
+    few = ids.join(F.broadcast(langs), "lang").where(ahead).groupBy("lang", "order").agg(F.max("n").alias("n"))
+    by_hash = Window.partitionBy("lang").orderBy("order")
+    few = few.withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= per_lang)
+    sofar = F.coalesce(F.sum("n").over(by_hash.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    few = few.withColumn("sofar", sofar).where(F.col("sofar") < letters).select("lang", "order")
+    got = rows.join(F.broadcast(few), ["lang", "order"]).groupBy("lang", "order").agg(F.min("text").alias("text")).collect()  # at most most_langs * per_lang rows
     out: dict[str, list[str]] = {}
     sizes: dict[str, int] = {}
-    for r in sorted(got, key=lambda r: (r["lang"], str(r["doc_id"]), r["text"])):
+    for r in sorted(got, key=lambda r: (r["lang"], r["order"])):
         text = normalise(r["text"])[: 2 * letters]
         if text and sizes.get(r["lang"], 0) < letters:
             out.setdefault(r["lang"], []).append(text)

@@ -207,3 +207,15 @@ def test_language_sample_is_whole(spark, make_docs):
     words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 9))) for _ in range(900)]
     ((lang, texts),) = language.sample_texts(make_docs([(k, prose(rng, 200, words)) for k in range(120)]))
     assert lang == "en" and 60_000 <= sum(map(len, texts)) < 70_000
+
+
+def test_language_sample_is_first_by_hash(spark, make_docs):
+    """The first ids by hash, one document for each, though one id is repeated very often and others are null."""
+    rows = [(k, f"word number {k}", "en" if k % 3 else "de") for k in range(30_000)] + [(7, "again and again", "en")] * 5000 + [(None, f"none {k}", "fr") for k in range(50)]
+    docs = make_docs(rows)
+    samples = dict(language.sample_texts(docs, letters=10**6, per_lang=20))
+    ids = spark.range(30_000).select("id", F.xxhash64("id", F.lit(1)).alias("h"), language.remainder("id").alias("r")).where("r != 2").orderBy("h").collect()
+    for lang, rest in (("en", (1, 2)), ("de", (0,))):
+        first = [r["id"] for r in ids if r["id"] % 3 in rest][:20]
+        assert samples[lang] == [language.normalise("again and again" if k == 7 else f"word number {k}") for k in first]
+    assert samples["fr"] == [" none "]
