@@ -13,6 +13,7 @@ import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,6 +45,13 @@ class Alphabet(dict):
     def codes(self, text: str) -> list[int]:
         return list(map(self.__getitem__, text))
 
+    def arrays(self, texts: list[str]) -> np.ndarray:
+        """The codes of all texts, one after the other."""
+        if not hasattr(self, "by_point"):
+            self.by_point = np.full(0x110000, _UNSEEN, np.int32)
+            self.by_point[[ord(c) for c in self]] = list(self.values())
+        return self.by_point[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")]
+
 
 class _Sparse(dict):
     def __missing__(self, key: int) -> int:
@@ -92,9 +100,10 @@ class SuffixAutomaton:
         if dense:
             del step[len(link) * width :]
 
-    def phrases(self, text: list[int]) -> int:
-        """Longest matches, one after the other, that cover text; a symbol never seen is a phrase of its own."""
-        step, state, count = self.step, 0, 0
+    def phrases(self, text: list[int], state: int = 0, count: int = 0) -> int:
+        """Longest matches, one after the other, that cover text; a symbol never seen is a phrase of its own. A parse
+        can go on from a state and a count."""
+        step = self.step
         for x in text:
             to = step[state + x]
             if not to:
@@ -106,6 +115,33 @@ class SuffixAutomaton:
             state = to
         return count + (state != 0)
 
+    #: So many texts at least go in step; fewer are parsed one by one.
+    FEW = 64
+
+    def phrases_of(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """phrases() of texts within flat, ordered from the longest on: a symbol of each at a time, while enough of
+        them last."""
+        n = len(starts)
+        state, count, done = np.zeros(n, np.int32), np.zeros(n, np.int64), 0
+        if n >= self.FEW and not isinstance(self.step, dict):
+            step, at, done = np.frombuffer(self.step, np.int32), starts.copy(), int(lengths[self.FEW - 1])
+            for lasting in np.searchsorted(-lengths, -np.arange(done)).tolist():
+                x, before = flat[at[:lasting]], state[:lasting]
+                after = step[before + x]
+                (ended,) = np.nonzero(after == 0)
+                if len(ended):
+                    anew = step[x[ended]]
+                    count[ended] += (before[ended] != 0).astype(np.int64) + (anew == 0)
+                    after[ended] = anew
+                state[:lasting] = after
+                at[:lasting] += 1
+        longer = int(np.searchsorted(-lengths, -done))
+        count[longer:] += state[longer:] != 0
+        for k in range(longer):
+            rest = flat[starts[k] + done : starts[k] + lengths[k]].tolist()
+            count[k] = self.phrases(rest, int(state[k]), int(count[k]))
+        return count
+
 
 class Parser:
     """Phrase counts of texts against each language."""
@@ -127,12 +163,33 @@ class Parser:
             cls.kept[key] = cls(samples)
         return cls.kept[key]
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        letters = normalise(text) if text and self.langs else ""
-        if not letters:
-            return "und", 0.0
-        codes = self.alphabet.codes(letters)
-        bits = [a.phrases(codes) * w / len(codes) for a, w in zip(self.automata, self.weights, strict=True)]
+    def predict(self, texts: list[str | None], most: int = 2_000_000) -> list[tuple[str, float]]:
+        """Language and score of each text; runs of texts of about `most` letters are parsed together."""
+        out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+        run: list[tuple[int, str]] = []
+        total = 0
+        for k, text in enumerate(texts):
+            letters = normalise(text) if text and self.langs else ""
+            if letters:
+                run.append((k, letters))
+                total += len(letters)
+            if run and (total >= most or k == len(texts) - 1):
+                for (place, _), found in zip(run, self._best([t for _, t in run]), strict=True):
+                    out[place] = found
+                run, total = [], 0
+        return out
+
+    def _best(self, texts: list[str]) -> list[tuple[str, float]]:
+        lengths = np.array([len(t) for t in texts], np.int64)
+        flat, starts = self.alphabet.arrays(texts), np.cumsum(lengths) - lengths
+        order = np.argsort(-lengths, kind="stable")
+        counts = np.zeros((len(texts), len(self.langs)), np.int64)
+        for j, a in enumerate(self.automata):
+            counts[order, j] = a.phrases_of(flat, starts[order], lengths[order])
+        return [self._choose(c, n) for c, n in zip(counts.tolist(), lengths.tolist(), strict=True)]
+
+    def _choose(self, counts: list[int], n: int) -> tuple[str, float]:
+        bits = [c * w / n for c, w in zip(counts, self.weights, strict=True)]
         order = sorted(range(len(bits)), key=lambda k: (bits[k], self.langs[k]))
         best = order[0]
         second = bits[order[1]] if len(order) > 1 else 2 * bits[best] + 1
@@ -190,7 +247,7 @@ def classify(docs: DataFrame, samples: list[tuple[str, list[str]]], text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         parser = Parser.of(shared.value)
         for batch in slices(batches):
-            found = [parser.predict(t) for t in batch.column(at).to_pylist()]
+            found = parser.predict(batch.column(at).to_pylist())
             yield [*[batch.column(k) for k in places], pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())]
 
     schema = docs.select(*columns_of(names)).schema.add(into[0], "string").add(into[1], "double")

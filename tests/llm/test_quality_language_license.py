@@ -99,6 +99,20 @@ def test_automaton_parses_greedily():
                 assert automaton.phrases(alphabet.codes(text)) == brute_phrases("\n".join(texts), text), (texts, text)
 
 
+def test_texts_in_step_parse_alike():
+    """Many texts at once, of all lengths, against one by one; dense and sparse automata, few texts and none."""
+    rng = random.Random(14)
+    samples = [(lang, ["".join(rng.choice("abc dé") for _ in range(rng.randint(1, 400))) for _ in range(3)]) for lang in ("x", "y", "z")]
+    parser = language.Parser(samples)
+    for n in (0, 1, 63, 64, 65, 400):
+        texts = ["".join(rng.choice("abc dé\U0001d4b3z") for _ in range(rng.choice([0, 1, 5, 80, 3000 if n < 400 else 200]))) for _ in range(n)] + [None, "", "1 2"]
+        one_by_one = []
+        for t in texts:
+            own = language.normalise(t or "")
+            one_by_one.append(parser._choose([a.phrases(parser.alphabet.codes(own)) for a in parser.automata], len(own)) if own else ("und", 0.0))
+        assert parser.predict(texts) == one_by_one and parser.predict(texts, most=500) == one_by_one
+
+
 LANGS = {"en": ["the", "thing", "with", "another", "house", "under"], "de": ["der", "schön", "über", "nicht", "haus", "zwischen"], "fr": ["être", "dans", "maison", "où", "leçon", "avec"]}
 
 
