@@ -51,20 +51,36 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, row, n_shingles, set (null if empty); and with doc_id null and kind 1: n-grams seen often in one batch."""
+#: So many of an n-gram's chosen places at least tell how often it is found.
+LEAST_CHOSEN = 5
+
+
+def chosen_places(token: np.ndarray, one_in: int, salt: int) -> np.ndarray:
+    """The n-grams at about every one_in-th place, chosen by a hash of n-gram, place and salt."""
+    return token[mix(token + mix(np.arange(len(token), dtype=np.uint64) + (np.uint64(salt) << np.uint64(32)))) % np.uint64(one_in) == 0]
+
+
+def _sets(docs: DataFrame, width: int, one_in: int = 1024) -> DataFrame:
+    """doc_id, row, n_shingles, set (null if empty); and with doc_id null: n-grams seen often in one run of batches
+    (kind 1), and those at one in so many places of it (kind 2), by which n-grams are found that are spread thinly over
+    very many runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, np.ndarray] = {}
         total = 0
 
-        def often() -> pa.RecordBatch:
-            token, count = np.unique(np.concatenate([*seen.values(), np.zeros(0, np.uint64)]), return_counts=True)
+        def counted(kind: int, token: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+            k = len(token)
+            return pa.RecordBatch.from_arrays([pa.array([kind] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(count, pa.int64()), pa.array(token.view(np.int64), pa.int64())], names=names)
+
+        def often() -> Iterator[pa.RecordBatch]:
+            every = np.concatenate([*seen.values(), np.zeros(0, np.uint64)])
+            yield counted(2, *np.unique(chosen_places(every, one_in, next(iter(seen), 0) & 0xFFFFFFFF), return_counts=True))
+            token, count = np.unique(every, return_counts=True)
             at = np.flatnonzero(count >= 4)
             if len(at) > 20_000:
                 at = at[np.argsort(-count[at], kind="stable")[:20_000]]
-            k = len(at)
-            return pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(count[at], pa.int64()), pa.array(token[at].view(np.int64), pa.int64())], names=names)
+            yield counted(1, token[at], count[at])
 
         for batch in slices(batches):
             sizes, ids = [], []
@@ -77,15 +93,24 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                     total += len(values)
             yield pa.RecordBatch.from_arrays([pa.array([0] * len(ids), pa.int32()), batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], names=names)
             if total > 1_000_000:
-                yield often()
+                yield from often()
                 seen.clear()
                 total = 0
-        yield often()
+        yield from often()
 
     names = ["kind", "doc_id", "row", "n_shingles", "set"]
     return docs.select("doc_id", "row", "text").mapInArrow(run, "kind int, doc_id long, row long, n_shingles long, set long")
 
 
+def _frequent(both: DataFrame, one_in: int = 1024) -> DataFrame:
+    """set (an n-gram) and n, about how often it is found, of the n-grams found often: the larger of what runs of batches
+    counted and what its chosen places stand for."""
+    by_kind = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n_shingles"))), F.lit(0))
+    counts = both.where("kind > 0").groupBy("set").agg(by_kind(1).alias("runs"), by_kind(2).alias("chosen"))
+    n = F.greatest("runs", F.when(F.col("chosen") >= LEAST_CHOSEN, F.col("chosen") * one_in).otherwise(0))
+    return counts.select("set", n.alias("n")).where("n >= 8")
+
+
 def _prefix(values: np.ndarray, percent: int, often: np.ndarray, rank: np.ndarray) -> np.ndarray:
     take = prefix_length(len(values), percent)
     if len(often):
@@ -442,7 +467,7 @@ def _classes(docs: DataFrame, width: int, percent: int, doc_id: str, text: str,
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("row", row_key("doc_id", "text"))
     both = materialise(_sets(base, width), "jaccard-sets")
     sets = both.where("kind = 0").select("doc_id", "row", "n_shingles", "set")
-    frequent = both.where("kind = 1").groupBy("set").agg(F.sum("n_shingles").alias("n")).where("n >= 8").orderBy(F.desc("n"), "set").limit(most_often).collect()
+    frequent = _frequent(both).orderBy(F.desc("n"), "set").limit(most_often).collect()
     often = np.array([r["set"] for r in frequent], np.int64).view(np.uint64)
     heavy = {r["set"] & ((1 << 64) - 1): -(-r["n"] // salt_from) for r in frequent if r["n"] > salt_from}
     order = np.argsort(often)

@@ -146,6 +146,18 @@ def test_one_shingle_in_all_documents(spark, make_docs):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == Counter((r[0], n, c) for r, n, c in zip(rows, sizes, expected, strict=True))
 
 
+def test_thin_shingles_are_found(spark, make_docs):
+    """A shingle once in each of many runs of batches is known to be frequent, as are others in proportion."""
+    rng = random.Random(18)
+    docs = make_docs([(k, prose(rng, 40) + " seen in every run") for k in range(64)]).repartition(64).withColumn("row", F.col("doc_id"))
+    (common,) = next(jaccard.shingle_sets([b"seen in every run"], 4)).view(np.int64).tolist()
+    for one_in in (1, 4):
+        sets = jaccard._sets(docs, 4, one_in)
+        assert sets.where("kind = 0").count() == 64 and sets.where("kind = 1").count() == 0
+        found = {r["set"]: r["n"] for r in jaccard._frequent(sets, one_in).collect()}
+        assert set(found) == {common} and (found[common] == 64 if one_in == 1 else 20 <= found[common] <= 140)
+
+
 def test_bitmaps_bound_the_difference():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64)) for n in (1, 40, 127, 128, 300, 2000, 5000)]
