@@ -29,39 +29,40 @@ def tile_id(x: Column | str, y: Column | str, z: int) -> Column:
     return F.aggregate(F.sequence(F.lit(z - 1), F.lit(0), F.lit(-1)), start, step, lambda t: t["d"])
 
 
+#: The lower 32 bits, as text of SQL.
+_EVERY = f"{(1 << 32) - 1}L"
+
+
 def with_tile_id(rows: DataFrame, x: str, y: str, z: int, name: str = "tile_id") -> DataFrame:
     """rows with the number of the tile in columns x and y, as plain arithmetic in generated code.
 
     The turns of the curve at all bits form a prefix product, taken in log2(32) steps over all bits at once: (a, b)
     say how the path is turned at each bit, (c, d) which parts of x and y the turns so far exchange. Each step reads
-    the step before several times, so steps are columns, not one nested expression.
+    the step before several times, so steps are columns, not one nested expression; and the number leaves as the one
+    element of an exploded array, through which the optimizer moves no filter: a predicate on the number (a filter, or
+    what a join infers) would otherwise be written out in terms of x and y, doubling at every step.
     """
     if z == 0:
         return rows.withColumn(name, F.lit(0).cast("long"))
-    every = F.lit((1 << 32) - 1).cast("long")
-    c = lambda n: F.col(f"_h{n}")
-    down = lambda v, k: F.shiftright(v, k)
-    keep = [F.col(f"`{n}`") for n in rows.columns if n != name]
+    keep = ["`" + n.replace("`", "``") + "`" for n in rows.columns if n != name]
     # an odd number of levels starts with its axes exchanged against the 32 levels that are computed
-    out = rows.withColumns({"_hx": F.col(y if z % 2 else x).cast("long"), "_hy": F.col(x if z % 2 else y).cast("long")})
-    out = out.withColumns({"_ha": c("x").bitwiseXOR(c("y")), "_hc": every.bitwiseXOR(c("x").bitwiseOR(c("y"))), "_hd": c("x").bitwiseAND(c("y").bitwiseXOR(every))}).withColumn("_hb", every.bitwiseXOR(c("a")))
-    first = {"_ha": c("a").bitwiseOR(down(c("b"), 1)), "_hb": down(c("a"), 1).bitwiseXOR(c("a"))}
-    first |= {"_hc": down(c("c"), 1).bitwiseXOR(c("b").bitwiseAND(down(c("d"), 1))).bitwiseXOR(c("c")), "_hd": c("a").bitwiseAND(down(c("c"), 1)).bitwiseXOR(down(c("d"), 1)).bitwiseXOR(c("d"))}
-    out = out.withColumns(first)
+    own = {"_hx": F.col(y if z % 2 else x).cast("long"), "_hy": F.col(x if z % 2 else y).cast("long")}
+    out = rows.withColumns(own).selectExpr(*keep, "_hx", "_hy", "_hx ^ _hy as _ha", f"{_EVERY} ^ (_hx | _hy) as _hc", f"_hx & (_hy ^ {_EVERY}) as _hd")
+    out = out.selectExpr("*", f"{_EVERY} ^ _ha as _hb")
+    turns = ["shiftright(_ha, 1) ^ _ha as _hb", "shiftright(_hc, 1) ^ (_hb & shiftright(_hd, 1)) ^ _hc as _hc", "(_ha & shiftright(_hc, 1)) ^ shiftright(_hd, 1) ^ _hd as _hd"]
+    out = out.selectExpr(*keep, "_hx", "_hy", "_ha | shiftright(_hb, 1) as _ha", *turns)
     for k in (2, 4, 8, 16):
-        both = c("a").bitwiseXOR(c("b"))
-        step = {"_hc": c("c").bitwiseXOR(c("a").bitwiseAND(down(c("c"), k)).bitwiseXOR(c("b").bitwiseAND(down(c("d"), k)))), "_hd": c("d").bitwiseXOR(c("b").bitwiseAND(down(c("c"), k)).bitwiseXOR(both.bitwiseAND(down(c("d"), k))))}
+        a, b, c, d = (f"shiftright(_h{v}, {k})" for v in "abcd")
+        turns = [f"_hc ^ (_ha & {c}) ^ (_hb & {d}) as _hc", f"_hd ^ (_hb & {c}) ^ ((_ha ^ _hb) & {d}) as _hd"]
         if k < 16:
-            step |= {"_ha": c("a").bitwiseAND(down(c("a"), k)).bitwiseXOR(c("b").bitwiseAND(down(c("b"), k))), "_hb": c("a").bitwiseAND(down(c("b"), k)).bitwiseXOR(c("b").bitwiseAND(down(both, k)))}
-        out = out.withColumns(step)
-    out = out.withColumns({"_ha": c("c").bitwiseXOR(down(c("c"), 1)), "_hb": c("d").bitwiseXOR(down(c("d"), 1))})
-    low = c("x").bitwiseXOR(c("y"))
-    out = out.withColumns({"_h0": low, "_h1": c("b").bitwiseOR(every.bitwiseXOR(low.bitwiseOR(c("a"))))})
+            turns += [f"(_ha & {a}) ^ (_hb & {b}) as _ha", f"(_ha & {b}) ^ (_hb & ({a} ^ {b})) as _hb"]
+        out = out.selectExpr(*keep, "_hx", "_hy", *turns)
+    out = out.selectExpr(*keep, "_hx ^ _hy as _h0", "_hc ^ shiftright(_hc, 1) as _ha", "_hd ^ shiftright(_hd, 1) as _hb")
+    out = out.selectExpr(*keep, "_h0", f"_hb | ({_EVERY} ^ (_h0 | _ha)) as _h1")
     for k, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        wide = lambda v: v.bitwiseOR(F.shiftleft(v, k)).bitwiseAND(F.lit(mask))  # noqa: B023, E731
-        out = out.withColumns({"_h0": wide(c("0")), "_h1": wide(c("1"))})
-    own = F.lit((1 << (2 * z)) - 1).cast("long")
-    return out.select(*keep, (F.shiftleft(c("1"), 1).bitwiseOR(c("0")).bitwiseAND(own) + F.lit(first_id(z))).alias(name))
+        out = out.selectExpr(*keep, *[f"(_h{v} | shiftleft(_h{v}, {k})) & {mask}L as _h{v}" for v in "01"])
+    out = out.selectExpr(*keep, f"((shiftleft(_h1, 1) | _h0) & {(1 << (2 * z)) - 1}L) + {first_id(z)}L as _ha")
+    return out.select(*keep, F.explode(F.array("_ha")).alias(name))
 
 
 def tile_xy(number: Column | str, z: int) -> Column:

@@ -1,4 +1,5 @@
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,3 +117,24 @@ def test_prefix_numbers(spark):
     assert [r[0] for r in found] == [5, 12, 0, -7, 0, 0, 1, 0, 0]
     assert [r[1] for r in found] == [5.0, 12.0, None, -7.0, 99999999999.0, None, 1500.0, 0.5, None]
     assert [r[0] for r in rows.select(text.filled("v")).collect()][5] == "NA"
+
+
+@pytest.mark.parametrize("z", [1, 6, 15, 31])
+def test_tile_numbers_meet_predicates(spark, z):
+    """Filters and joins on a computed number are planned at once, and are right."""
+    n = 1 << z
+    places = [(k * 7919 % n, k * 104729 % n) for k in range(50)]
+    rows = tileid.with_tile_id(spark.createDataFrame([(x, y, "t") for x, y in places], "`x` long, y long, `a b` string"), "x", "y", z)
+    numbers = sorted(tileid.id_of(z, x, y) for x, y in places)
+    low, high, some = numbers[10], numbers[40], numbers[::7]
+    began = time.monotonic()
+    found = lambda r: sorted(x["tile_id"] for x in r.select("tile_id").collect())
+    assert found(rows.where(F.col("tile_id") > low)) == [v for v in numbers if v > low]
+    assert found(rows.where(F.col("tile_id").between(low, high))) == [v for v in numbers if low <= v <= high]
+    assert found(rows.where(F.col("tile_id").isin(some))) == [v for v in numbers if v in some]
+    assert found(rows.where("tile_id = tile_id + 0 and x >= 0")) == numbers
+    other = spark.createDataFrame([(v,) for v in set(some)], "tile_id long")
+    assert found(rows.join(other, "tile_id")) == [v for v in numbers if v in some]
+    assert found(rows.join(other, "tile_id", "left_anti")) == [v for v in numbers if v not in some]
+    assert rows.columns == ["x", "y", "a b", "tile_id"]
+    assert time.monotonic() - began < 40
