@@ -62,6 +62,25 @@ class WaveletMatrix:
             at = np.where((symbols >> level) & 1, self.zeros[k] + ones, at - ones)
         return at
 
+    def _ones(self, k: int, at: np.ndarray) -> np.ndarray:
+        """How many of the first `at` numbers have a one in level k."""
+        return self.counts[k][at >> 6] + np.bitwise_count(self.bits[k][at >> 6] & ((_ONE << (at & 63).astype(np.uint64)) - _ONE))
+
+    def report(self, lo: np.ndarray, hi: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, number) for every distinct number in [least, most) at the places [lo, hi) of each query. All queries
+        go down the levels together; branches without places or without wanted numbers are left."""
+        query = np.flatnonzero((hi > lo) & (most > least))
+        lo, hi, base = lo[query].astype(np.int64), hi[query].astype(np.int64), np.zeros(len(query), np.int64)
+        for k, level in enumerate(range(self.levels - 1, -1, -1)):
+            ones_lo, ones_hi, half = self._ones(k, lo), self._ones(k, hi), base + (1 << level)
+            zero = (hi - ones_hi > lo - ones_lo) & (least[query] < half)
+            one = (ones_hi > ones_lo) & (most[query] > half)
+            lo, hi = np.concatenate([(lo - ones_lo)[zero], self.zeros[k] + ones_lo[one]]), np.concatenate([(hi - ones_hi)[zero], self.zeros[k] + ones_hi[one]])
+            base, query = np.concatenate([base[zero], half[one]]), np.concatenate([query[zero], query[one]])
+            wanted = (base < most[query]) & (base + (1 << level) > least[query])
+            lo, hi, base, query = lo[wanted], hi[wanted], base[wanted], query[wanted]
+        return query, base
+
 
 class FMIndex:
     """How often stretches of words occur in a text (numbers from 0; 0 separates), exact for stretches of up to `depth`

@@ -14,6 +14,7 @@ from .packing import op5_packing
 from .quality import OP1_SQL, op1_quality_rules
 from .sentencepiece_codec import op4_sentencepiece
 from .sharding import OP10_SQL, op10_sharding
+from .spelling import OP13_SQL, op13_spelling
 from .substring import OP8_SQL, op8_substring_dedup
 from .token_counts import op3_token_counts
 
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_sharding": op10_sharding,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -36,4 +38,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_substring_dedup": OP8_SQL,
     "op9_embedding_near_dedup": OP9_SQL,
     "op10_sharding": OP10_SQL,
+    "op13_spelling": OP13_SQL,
 }
