@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .conversation import OP12_SQL, op12_conversation_repair
 from .embedding import OP9_SQL, op9_embedding_near_dedup
+from .fingerprint import op11_fingerprints
 from .jaccard import OP7_SQL, op7_ngram_jaccard_join
 from .language import op6_language_id
 from .license import op2_license_scan
@@ -29,6 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_sharding": op10_sharding,
+    "op11_fingerprints": op11_fingerprints,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_spelling": op13_spelling,
 }
 
@@ -38,5 +42,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_substring_dedup": OP8_SQL,
     "op9_embedding_near_dedup": OP9_SQL,
     "op10_sharding": OP10_SQL,
+    "op12_conversation_repair": OP12_SQL,
     "op13_spelling": OP13_SQL,
 }
