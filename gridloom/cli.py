@@ -65,7 +65,8 @@ def _parser() -> argparse.ArgumentParser:
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = _parser().parse_args(args)
     if a.verb == "summarize":
-        print(commands.summary_text(a.source, a.hdr, a.meta, a.tile, a.all))
+        for line in commands.summary_lines(a.source, a.hdr, a.meta, a.tile, a.all, spark):
+            print(line)
         return 0
     spark = spark or SparkSession.builder.appName("gridloom").getOrCreate()
     if a.verb == "count-tiles":

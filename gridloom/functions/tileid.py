@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,3 +129,50 @@ def zxy_of(number: int) -> tuple[int, int, int]:
             x, y = y, x
         x, y, d = x + s * rx, y + s * ry, d >> 2
     return z, x, y
+
+
+def places_of(numbers: np.ndarray, z: int) -> tuple[np.ndarray, np.ndarray]:
+    """x and y of many tiles of one zoom level."""
+    d = numbers - first_id(z)
+    x, y = np.zeros_like(d), np.zeros_like(d)
+    for a in range(z):
+        s = 1 << a
+        rx = (d >> 1) & 1
+        ry = (d ^ rx) & 1
+        flip, turn = (ry == 0) & (rx == 1), ry == 0
+        x, y = np.where(flip, s - 1 - x, x), np.where(flip, s - 1 - y, y)
+        x, y = np.where(turn, y, x) + s * rx, np.where(turn, x, y) + s * ry
+        d = d >> 2
+    return x, y
+
+
+def box_spans(z: int, x: tuple[int, int], y: tuple[int, int], most: int = 256) -> list[tuple[int, int]]:
+    """Intervals of numbers that hold all tiles of a box (bounds included) at a zoom level, in order, about `most` or
+    fewer: a quarter of the plane is one interval of the curve, so quarters are split until they lie in the box, or
+    there are enough of them; what then juts out of the box is included."""
+    n = 1 << z
+    (x0, x1), (y0, y1) = (max(0, x[0]), min(n - 1, x[1])), (max(0, y[0]), min(n - 1, y[1]))
+    if x0 > x1 or y0 > y1:
+        return []
+    done, edge = [], [(0, 0, 0)]
+    for level in range(z + 1):
+        size, after = 1 << (z - level), []
+        for _, cx, cy in edge:
+            left, top = cx * size, cy * size
+            if left > x1 or top > y1 or left + size <= x0 or top + size <= y0:
+                continue
+            inside = x0 <= left and left + size - 1 <= x1 and y0 <= top and top + size - 1 <= y1
+            (done if inside or level == z else after).append((level, cx, cy))
+        if len(done) + 4 * len(after) > most:
+            done, after = done + after, []
+        edge = [(level + 1, 2 * cx + i, 2 * cy + j) for _, cx, cy in after for i in (0, 1) for j in (0, 1)]
+    spans = sorted((id_of(level, cx, cy) - first_id(level)) << (2 * (z - level)) for level, cx, cy in done)
+    lengths = {(id_of(level, cx, cy) - first_id(level)) << (2 * (z - level)): 1 << (2 * (z - level)) for level, cx, cy in done}
+    out: list[tuple[int, int]] = []
+    for start in spans:
+        first, last = first_id(z) + start, first_id(z) + start + lengths[start] - 1
+        if out and out[-1][1] + 1 == first:
+            out[-1] = out[-1][0], last
+        else:
+            out.append((first, last))
+    return out

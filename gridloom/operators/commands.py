@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import count_value
-from ..sources.archive import NAMES, Archive, open_archive
+from ..sources.archive import NAMES, Archive, open_front
 from ..sources.regions import Ring, read_regions
 from ..sources.tiles import count_features, read_points, read_polygons, read_tiles, typed
 from . import counts, density
@@ -16,7 +17,7 @@ from .build import build_points
 from .export import Box, filter_points, filter_polygons, polygon_rows, prune_tiles
 from .pyramid import build_pyramid
 
-__all__ = ["build_points", "build_pyramid", "count_tiles", "export", "export_polygon", "summarize", "summary_text", "tile_density_stats", "tile_density_stats_mt"]
+__all__ = ["build_points", "build_pyramid", "count_tiles", "export", "export_polygon", "summarize", "summary_lines", "summary_text", "tile_density_stats", "tile_density_stats_mt"]
 
 
 def _zoom(archive: Archive, zoom: int) -> int:
@@ -31,28 +32,32 @@ def _zoom(archive: Archive, zoom: int) -> int:
 
 def summarize(spark: SparkSession, path: str) -> tuple[DataFrame, dict, DataFrame]:
     """(header as one row, metadata, one row for each tile in the directory's order)."""
-    archive = open_archive(path)
+    archive = open_front(path)
     header = spark.createDataFrame([tuple(int(archive.header[n]) for n in NAMES)], ", ".join(f"{n} long" for n in NAMES))
-    tiles = spark.createDataFrame(archive.tiles(), "z int, x long, y long, tile_id long, offset long, length long")
-    return header, archive.metadata, tiles.orderBy("z", "x", F.desc("y"))
+    return header, archive.metadata, read_tiles(spark, path, data=False).orderBy("z", "x", F.desc("y"))
 
 
-def summary_text(path: str, hdr: bool = False, meta: bool = False, tile: bool = False, all: bool = False) -> str:
+def summary_lines(path: str, hdr: bool = False, meta: bool = False, tile: bool = False, all: bool = False, spark: SparkSession | None = None) -> Iterator[str]:
+    """What is asked for, line by line; the listing of tiles is sorted by Spark and passes through part by part."""
     if not (hdr or meta or tile or all):
         raise ValueError("ask for the header, the metadata, the tiles, or all")
-    archive, out = open_archive(path), []
+    archive = open_front(path)
     if hdr or all:
-        out += [f"{n}: {archive.header[n]}" for n in NAMES]
+        yield from (f"{n}: {archive.header[n]}" for n in NAMES)
     if meta or all:
-        out.append(json.dumps(archive.metadata, indent=2))
+        yield json.dumps(archive.metadata, indent=2)
     if tile or all:
-        out += ["\t".join(map(str, r)) for r in archive.tiles()]
-    return "\n".join(out)
+        listing = summarize(spark or SparkSession.builder.getOrCreate(), path)[2]
+        yield from ("\t".join(map(str, r)) for r in listing.toLocalIterator())
+
+
+def summary_text(path: str, hdr: bool = False, meta: bool = False, tile: bool = False, all: bool = False, spark: SparkSession | None = None) -> str:
+    return "\n".join(summary_lines(path, hdr, meta, tile, all, spark))
 
 
 def count_tiles(spark: SparkSession, path: str, zoom: int = -1) -> DataFrame:
     """Points per tile: of one zoom, or (-1) of all with the roll-up from the highest. Tiles are not decoded."""
-    archive = open_archive(path)
+    archive = open_front(path)
     tiles = read_tiles(spark, path)
     if zoom >= 0:
         tiles = tiles.where(F.col("z") == zoom)
@@ -63,7 +68,7 @@ def count_tiles(spark: SparkSession, path: str, zoom: int = -1) -> DataFrame:
 
 
 def _density(spark: SparkSession, path: str, preset: dict, count: str, feature: str, compact: bool, zoom: int) -> DataFrame:
-    archive = open_archive(path)
+    archive = open_front(path)
     z = _zoom(archive, zoom)
     points = read_points(read_tiles(spark, path).where(F.col("z") == z), archive.codec, [count, feature])
     there = F.map_contains_key("attrs", count) & F.map_contains_key("attrs", feature)
@@ -91,7 +96,7 @@ def _fields(archive: Archive) -> dict[str, str]:
 
 def export(spark: SparkSession, path: str, zoom: int = -1, xmin: float | None = None, xmax: float | None = None, ymin: float | None = None, ymax: float | None = None, polygon: str | list[Ring] | None = None, columns: list[str] | None = None) -> DataFrame:
     """Points with gx, gy and a text column for each attribute (in the metadata's order)."""
-    archive, box, rings = open_archive(path), Box(xmin, ymin, xmax, ymax), _regions(polygon)
+    archive, box, rings = open_front(path), Box(xmin, ymin, xmax, ymax), _regions(polygon)
     z, names = _zoom(archive, zoom), columns or list(_fields(archive))
     tiles = prune_tiles(read_tiles(spark, path), z, box, rings)
     points = typed(filter_points(read_points(tiles, archive.codec, names), box, rings), names)
@@ -101,7 +106,7 @@ def export(spark: SparkSession, path: str, zoom: int = -1, xmin: float | None =
 def export_polygon(spark: SparkSession, path: str, columns: list[str] | None = None, layer_name: str | None = None, remove_columns: tuple[str, ...] = ("lat", "lon"), missing_value: str = "NA", write_vertices: bool = False, zoom: int = -1, xmin: float | None = None, xmax: float | None = None, ymin: float | None = None, ymax: float | None = None, polygon: str | list[Ring] | None = None, precision: int = 3, unique_by: str | None = None) -> DataFrame:
     """Polygon rows as text: mean vertex, vertices if asked for, and columns. A polygon cut by tile edges gives a row
     for each tile; with unique_by one row for each value of that column stays (rows without a value all stay)."""
-    archive, box, rings = open_archive(path), Box(xmin, ymin, xmax, ymax), _regions(polygon)
+    archive, box, rings = open_front(path), Box(xmin, ymin, xmax, ymax), _regions(polygon)
     z, names = _zoom(archive, zoom), columns or [c for c in _fields(archive) if c not in remove_columns]
     polygons = read_polygons(prune_tiles(read_tiles(spark, path), z, box, rings), archive.codec, layer_name)
     rows = typed(filter_polygons(polygons, box, rings), names)

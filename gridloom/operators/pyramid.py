@@ -17,7 +17,7 @@ from ..functions.projection import origin_x, origin_y, scale
 from ..functions.tileid import with_tile_id
 from ..sources import mlt, mvt
 from ..sources.archive import COMPRESSION as PACKINGS
-from ..sources.archive import TILE_TYPES, compress, open_archive
+from ..sources.archive import TILE_TYPES, compress, open_front
 from ..sources.scratch import materialise
 from ..sources.tiles import read_stored_points, read_tiles, stored_schema, unpacked_value
 from ..sources.writer import write_archive
@@ -141,7 +141,7 @@ def build_pyramid(spark: SparkSession, source: str, out: str, min_zoom: int = 0,
     Tiles of the highest zoom are copied as they are. Below it, layers stay apart and values keep their stored form:
     the messages of row-oriented tiles, the column types of columnar ones.
     """
-    archive = open_archive(source)
+    archive = open_front(source)
     codec, top = archive.codec, archive.header["max_zoom"]
     low = min(min_zoom, top)
     at_top = read_tiles(spark, source).where(F.col("z") == top)

@@ -5,6 +5,7 @@ Layout: 127-byte header, root directory, metadata (JSON), leaf directories, tile
 
 from __future__ import annotations
 
+import bisect
 import gzip
 import http.client
 import json
@@ -13,7 +14,7 @@ import time
 import urllib.error
 import urllib.request
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import TypeVar
 
@@ -34,6 +35,8 @@ COMPRESSION = {"unknown": 0, "none": 1, "gzip": 2}
 TILE_TYPES = {"mvt": 1, "mlt": 6}
 ROOT_LIMIT = 16384 - HEADER_SIZE
 LEAF_START = 4096
+#: Directories below one another that readers follow.
+DEPTH = 5
 
 
 class ArchiveError(ValueError):
@@ -219,19 +222,24 @@ class RangeReader:
         self.close()
 
 
+def with_next(entries: list[Entry]) -> Iterator[tuple[Entry, int]]:
+    """Entries with the tile id at which the next one begins: a leaf holds nothing from there on."""
+    return zip(entries, [*[e.tile_id for e in entries[1:]], 1 << 63], strict=False)
+
+
 def open_archive(path: str, first: int = 0, last: int = (1 << 63) - 1) -> Archive:
     """Header, metadata and the directory: all of it, or the part in which the tile ids first to last lie. Leaves that
-    hold none of them are not read."""
+    hold none of them are not read. For directories that a process can hold; tables of tiles read leaves in tasks."""
     with RangeReader(path) as reader:
         header = decode_header(reader.read(0, HEADER_SIZE))
         kind = header["internal_compression"]
         found: list[Entry] = []
 
         def walk(offset: int, length: int, depth: int) -> None:
-            if depth > 4:
+            if depth >= DEPTH:
                 raise ArchiveError("directories are nested too deeply")
             here = decode_directory(decompress(reader.read(offset, length), kind))
-            for e, after in zip(here, [*[n.tile_id for n in here[1:]], 1 << 63], strict=True):
+            for e, after in with_next(here):
                 if e.run:
                     if e.tile_id <= last and e.tile_id + e.run > first:
                         found.append(e)
@@ -245,19 +253,49 @@ def open_archive(path: str, first: int = 0, last: int = (1 << 63) - 1) -> Archiv
     return Archive(header, metadata, found)
 
 
+def _last_from(entries: list[Entry], wanted: int) -> Entry | None:
+    """The last entry that begins at a tile id or before it."""
+    k = bisect.bisect_right(entries, wanted, key=lambda e: e.tile_id)
+    return entries[k - 1] if k else None
+
+
 def lookup(archive: Archive, z: int, x: int, y: int) -> Entry | None:
     """The entry that holds a tile, by binary search."""
-    wanted, low, high = id_of(z, x, y), 0, len(archive.entries)
-    while low < high:
-        mid = (low + high) // 2
-        if archive.entries[mid].tile_id <= wanted:
-            low = mid + 1
-        else:
-            high = mid
-    e = archive.entries[low - 1] if low else None
+    wanted = id_of(z, x, y)
+    e = _last_from(archive.entries, wanted)
     return e if e and wanted < e.tile_id + e.run else None
 
 
+def open_front(path: str) -> Archive:
+    """Header, metadata and the root directory alone: tile entries and pointers to leaves (run 0)."""
+    with RangeReader(path) as reader:
+        return read_front(reader)
+
+
+def read_front(reader: RangeReader) -> Archive:
+    header = decode_header(reader.read(0, HEADER_SIZE))
+    kind = header["internal_compression"]
+    root = decode_directory(decompress(reader.read(header["root_dir_offset"], header["root_dir_bytes"]), kind))
+    metadata = {}
+    if header["json_metadata_bytes"]:
+        metadata = json.loads(decompress(reader.read(header["json_metadata_offset"], header["json_metadata_bytes"]), kind))
+    return Archive(header, metadata, root)
+
+
+def find_tile(path: str, z: int, x: int, y: int) -> bytes | None:
+    """The bytes of a tile as stored, or None. Reads the header, the root, the leaf in which the tile would be, and it."""
+    wanted = id_of(z, x, y)
+    with RangeReader(path) as reader:
+        front = read_front(reader)
+        here, header = front.entries, front.header
+        for _ in range(DEPTH):
+            e = _last_from(here, wanted)
+            if e is None or e.run:
+                return reader.read(header["tile_data_offset"] + e.offset, e.length) if e and wanted < e.tile_id + e.run else None
+            here = decode_directory(decompress(reader.read(header["leaf_dirs_offset"] + e.offset, e.length), header["internal_compression"]))
+    raise ArchiveError("directories are nested too deeply")
+
+
 def front_of(header: dict[str, int], metadata: dict, entries: list[Entry]) -> bytes:
     """All bytes before the tile data."""
     kind = COMPRESSION["gzip"]

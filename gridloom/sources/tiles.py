@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import struct
 from collections.abc import Iterator
 
@@ -11,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
-from ..functions.tileid import first_id
+from ..functions.tileid import box_spans, first_id, places_of
 from . import mlt, mvt
-from .archive import COMPRESSION, RangeReader, decompress, open_archive
+from .archive import COMPRESSION, DEPTH, HEADER_SIZE, ArchiveError, RangeReader, decode_directory, decode_header, decompress, open_front, with_next
 
 TILES = "z int, x long, y long, tile_id long, offset long, length long, data binary"
 POINTS = "z int, tx long, ty long, layer string, fidx int, px int, py int, gx double, gy double, attrs map<string,string>"
@@ -23,18 +24,29 @@ POLYGONS = "z int, tx long, ty long, layer string, fidx int, ring array<struct<x
 _COLUMNS = {"z": 0, "x": 1, "y": 2, "tile_id": 3}
 
 
-class TileRange(InputPartition):
-    def __init__(self, rows: list[tuple]) -> None:
-        self.rows = rows
+#: Rows of a batch, bytes of a request, and the gap between tiles that a request reads over.
+ROWS, REQUEST, GAP = 2000, 1 << 20, 4096
+#: Tiles of a task beside its bytes, and slices of one directory.
+TASK_TILES, MOST_SLICES = 1_000_000, 1024
+
+
+class Slice(InputPartition):
+    """Parts of directories: (offset and length of a directory, its slice, of how many slices)."""
+
+    def __init__(self, directories: list[tuple[int, int, int, int]]) -> None:
+        self.directories = directories
 
 
 class TileArchiveReader(DataSourceReader):
-    """Reads the directory on the driver; tasks read neighbouring tiles in one request each."""
+    """The driver reads the root; tasks read the leaves that hold wanted tiles, and then neighbouring tiles in one
+    request each. Runs stay intervals until their tiles are rows: filters are intervals of tile ids too, and a long run
+    is cut among tasks."""
 
     def __init__(self, options: dict) -> None:
         self.path = options["path"]
         self.task_bytes = int(options.get("taskbytes", 8 << 20))
         self.stored = str(options.get("stored", "false")).lower() == "true"
+        self.data = str(options.get("data", "true")).lower() == "true"
         self.limits: list[tuple[int, str, object]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
@@ -46,69 +58,175 @@ class TileArchiveReader(DataSourceReader):
             else:
                 yield f
 
-    def _wanted(self, row: tuple) -> bool:
+    def _bounds(self, column: int, low: int, high: int) -> tuple[int, int]:
+        """The least and largest value that the filters on a column leave."""
         for at, kind, value in self.limits:
-            v = row[at]
-            if not {"=": v == value, ">": kind == ">" and v > value, ">=": kind == ">=" and v >= value, "<": kind == "<" and v < value, "<=": kind == "<=" and v <= value, "in": kind == "in" and v in value}[kind]:
-                return False
-        return True
-
-    def _span(self) -> tuple[int, int]:
-        """The least and largest tile id that the filters on zoom and id leave."""
-        first, last = 0, (1 << 63) - 1
+            if at != column:
+                continue
+            if kind in ("=", "in"):
+                values = [v for v in value if v is not None] if kind == "in" else [value]
+                low, high = max(low, min(values, default=high + 1)), min(high, max(values, default=low - 1))
+            elif kind in (">", ">="):
+                low = max(low, value + (kind == ">"))
+            else:
+                high = min(high, value - (kind == "<"))
+        return low, high
+
+    def spans(self) -> list[tuple[int, int]]:
+        """Intervals of tile ids, in order, outside which no tile is wanted."""
+        (z0, z1), (first, last) = self._bounds(0, 0, 31), self._bounds(3, 0, (1 << 63) - 1)
+        out = []
+        for z in range(z0, z1 + 1):
+            own = (1 << z) - 1
+            x, y = self._bounds(1, 0, own), self._bounds(2, 0, own)
+            out += [(first_id(z), first_id(z + 1) - 1)] if (x, y) == ((0, own), (0, own)) else box_spans(z, x, y)
+        return [(max(a, first), min(b, last)) for a, b in out if a <= last and b >= first]
+
+    def _keep(self, rows: dict[int, np.ndarray]) -> np.ndarray:
+        """Which tiles all filters want; rows: z, x, y and tile ids by their place among the columns."""
+        good = np.ones(len(rows[3]), bool)
         for at, kind, value in self.limits:
-            if at in (0, 3):
-                low = min(value) if kind == "in" else value
-                high = max(value) if kind == "in" else value
-                if kind in ("=", "in", ">", ">="):
-                    first = max(first, low if at == 3 else first_id(min(32, max(0, low))))
-                if kind in ("=", "in", "<", "<="):
-                    last = min(last, high if at == 3 else first_id(min(31, max(-1, high) + 1)) - 1)
-        return first, last
+            v = rows[at]
+            if kind == "in":
+                good &= np.isin(v, [w for w in value if w is not None])
+            else:
+                good &= {"=": v == value, ">": v > value, ">=": v >= value, "<": v < value, "<=": v <= value}[kind]
+        return good
 
     def partitions(self) -> list[InputPartition]:
-        rows = sorted((r for r in open_archive(self.path, *self._span()).tiles() if self._wanted(r)), key=lambda r: r[4])
-        out, part, size = [], [], 0
-        for r in rows:
-            if part and size + r[5] > self.task_bytes:
-                out.append(TileRange(part))
-                part, size = [], 0
-            part.append(r)
-            size += r[5]
-        return [*out, TileRange(part)] if part or not out else out
-
-    def read(self, partition: TileRange) -> Iterator[pa.RecordBatch]:
-        rows = partition.rows
-        if not rows:
+        front, spans = open_front(self.path), self.spans()
+        header, root = front.header, front.entries
+        leaves = [e for e, after in with_next(root) if not e.run and _meets(spans, e.tile_id, after - 1)]
+        own = [(max(a, e.tile_id), min(b, e.tile_id + e.run - 1), e.length) for e in root if e.run for a, b in _within(spans, e.tile_id, e.tile_id + e.run - 1)]
+        slices = lambda size, tiles: min(MOST_SLICES, max(1, -(-size // self.task_bytes), -(-tiles // TASK_TILES)))
+        parts = []
+        if own:
+            n = min(sum(b - a + 1 for a, b, _ in own), slices(sum(length for *_, length in own), sum(b - a + 1 for a, b, _ in own)))
+            parts += [Slice([(header["root_dir_offset"], header["root_dir_bytes"], k, n)]) for k in range(n)]
+        if leaves:
+            every = sum(1 for e in root if not e.run)
+            size, tiles = header["tile_data_bytes"] // every, header["addressed_tiles_count"] // every
+            n, many, held = slices(size, tiles), max(1, self.task_bytes // max(1, size)), []
+            for e in leaves:
+                place = header["leaf_dirs_offset"] + e.offset, e.length
+                if n > 1:
+                    parts += [Slice([(*place, k, n)]) for k in range(n)]
+                    continue
+                held.append((*place, 0, 1))
+                if len(held) >= many:
+                    parts.append(Slice(held))
+                    held = []
+            parts += [Slice(held)] if held else []
+        return parts or [Slice([])]
+
+    def _entries(self, reader: RangeReader, header: dict[str, int], offset: int, length: int, spans: list[tuple[int, int]], depth: int = 0) -> Iterator[tuple[int, int, int, int]]:
+        """(first id, last id, absolute offset, length) of wanted parts of a directory's entries, leaves below included."""
+        if depth >= DEPTH:
+            raise ArchiveError("directories are nested too deeply")
+        here = decode_directory(decompress(reader.read(offset, length), header["internal_compression"]))
+        root = offset == header["root_dir_offset"]
+        for e, after in with_next(here):
+            if e.run:
+                for a, b in _within(spans, e.tile_id, e.tile_id + e.run - 1):
+                    yield a, b, header["tile_data_offset"] + e.offset, e.length
+            elif not root and _meets(spans, e.tile_id, after - 1):  # leaves of the root have slices of their own
+                yield from self._entries(reader, header, header["leaf_dirs_offset"] + e.offset, e.length, spans, depth + 1)
+
+    def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
+        if not partition.directories:
             return
-        kind = COMPRESSION["none"] if self.stored else open_header(self.path)["tile_compression"]
+        spans = self.spans()
         with RangeReader(self.path) as reader:
-            start, chunk = 0, 1 << 20
-            while start < len(rows):
-                stop, end = start + 1, rows[start][4] + rows[start][5]
-                while stop < len(rows) and rows[stop][4] <= end + 4096 and rows[stop][4] + rows[stop][5] - rows[start][4] <= chunk:
-                    end = max(end, rows[stop][4] + rows[stop][5])
-                    stop += 1
-                base = rows[start][4]
-                raw = reader.read(base, end - base)
-                own = rows[start:stop]
-                # tiles of one run share their bytes; they are unpacked once
-                blobs: dict[int, bytes] = {}
-                for r in own:
-                    if r[4] not in blobs:
-                        blobs[r[4]] = decompress(raw[r[4] - base : r[4] - base + r[5]], kind)
-                columns = [list(c) for c in zip(*own, strict=True)]
-                types = (pa.int32(), *[pa.int64()] * 5)
-                arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)] + [pa.array([blobs[r[4]] for r in own], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["z", "x", "y", "tile_id", "offset", "length", "data"])
-                start = stop
-
-
-def open_header(path: str) -> dict[str, int]:
-    from .archive import HEADER_SIZE, decode_header
-
-    with RangeReader(path) as reader:
-        return decode_header(reader.read(0, HEADER_SIZE))
+            header = decode_header(reader.read(0, HEADER_SIZE))
+            kind = COMPRESSION["none"] if self.stored else header["tile_compression"]
+            for offset, length, nth, of in partition.directories:
+                entries = list(self._entries(reader, header, offset, length, spans))
+                for rows, places, lengths in self._rows(_sliced(entries, nth, of)):
+                    columns = [pa.array(rows[0], pa.int32()), *[pa.array(rows[k], pa.int64()) for k in (1, 2, 3)], pa.array(places, pa.int64()), pa.array(lengths, pa.int64())]
+                    names = ["z", "x", "y", "tile_id", "offset", "length"]
+                    if not self.data:
+                        yield pa.RecordBatch.from_arrays(columns, names=names)
+                        continue
+                    for start, stop in _requests(places, lengths):
+                        data = _unpacked(reader, places[start:stop], lengths[start:stop], kind)
+                        yield pa.RecordBatch.from_arrays([*[c.slice(start, stop - start) for c in columns], pa.array(data, pa.binary())], names=[*names, "data"])
+
+    def _rows(self, entries: list[tuple[int, int, int, int]]) -> Iterator[tuple[dict[int, np.ndarray], np.ndarray, np.ndarray]]:
+        """Tiles of entries in batches: columns by their place, absolute offsets, lengths."""
+        held: list[tuple[np.ndarray, int, int]] = []
+        size = 0
+        for first, last, offset, length in entries:
+            for a in range(first, last + 1, ROWS):
+                ids = np.arange(a, min(last + 1, a + ROWS))
+                held.append((ids, offset, length))
+                size += len(ids)
+                if size >= ROWS:
+                    yield self._batch(held)
+                    held, size = [], 0
+        if held:
+            yield self._batch(held)
+
+    def _batch(self, held: list[tuple[np.ndarray, int, int]]) -> tuple[dict[int, np.ndarray], np.ndarray, np.ndarray]:
+        counts = [len(h[0]) for h in held]
+        ids, places, lengths = np.concatenate([h[0] for h in held]), np.repeat([h[1] for h in held], counts), np.repeat([h[2] for h in held], counts)
+        z, x, y = (np.zeros(len(ids), np.int64) for _ in range(3))
+        for own in range(32):
+            at = np.flatnonzero((ids >= first_id(own)) & (ids < first_id(own + 1)))
+            if len(at):
+                z[at] = own
+                x[at], y[at] = places_of(ids[at], own)
+        if ids[-1] >= first_id(32):
+            raise ArchiveError(f"no tile has number {ids[-1]}")
+        rows = {0: z, 1: x, 2: y, 3: ids}
+        good = self._keep(rows)
+        return {k: v[good] for k, v in rows.items()}, places[good], lengths[good]
+
+
+def _within(spans: list[tuple[int, int]], first: int, last: int) -> Iterator[tuple[int, int]]:
+    """What of an interval lies in the spans."""
+    for a, b in spans[bisect.bisect_left(spans, first, key=lambda s: s[1]) :]:
+        if a > last:
+            return
+        yield max(a, first), min(b, last)
+
+
+def _meets(spans: list[tuple[int, int]], first: int, last: int) -> bool:
+    return next(_within(spans, first, last), None) is not None
+
+
+def _sliced(entries: list[tuple[int, int, int, int]], nth: int, of: int) -> list[tuple[int, int, int, int]]:
+    """The nth of equal parts of the tiles of entries, cutting runs."""
+    total = sum(b - a + 1 for a, b, *_ in entries)
+    low, high, seen, out = total * nth // of, total * (nth + 1) // of, 0, []
+    for a, b, offset, length in entries:
+        first, last = max(a, a + low - seen), min(b, a + high - seen - 1)
+        if first <= last:
+            out.append((first, last, offset, length))
+        seen += b - a + 1
+    return out
+
+
+def _requests(places: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of rows whose bytes lie close together."""
+    start = 0
+    while start < len(places):
+        low, end, stop = places[start], places[start] + lengths[start], start + 1
+        while stop < len(places) and low <= places[stop] <= end + GAP and places[stop] + lengths[stop] - low <= REQUEST:
+            end = max(end, places[stop] + lengths[stop])
+            stop += 1
+        yield start, stop
+        start = stop
+
+
+def _unpacked(reader: RangeReader, places: np.ndarray, lengths: np.ndarray, kind: int) -> list[bytes]:
+    """The tiles of a stretch; those of a run share their bytes, which are unpacked once."""
+    base, end = int(places.min()), int((places + lengths).max())
+    raw, known, out = reader.read(base, end - base), {}, []
+    for place, length in zip(places.tolist(), lengths.tolist(), strict=True):
+        if (place, length) not in known:
+            known[place, length] = decompress(raw[place - base : place - base + length], kind)
+        out.append(known[place, length])
+    return out
 
 
 class TileArchive(DataSource):
@@ -117,18 +235,19 @@ class TileArchive(DataSource):
         return "tilearchive"
 
     def schema(self) -> str:
-        return TILES
+        return TILES if str(self.options.get("data", "true")).lower() == "true" else TILES.removesuffix(", data binary")
 
     def reader(self, schema: object) -> DataSourceReader:
         return TileArchiveReader(self.options)
 
 
-def read_tiles(spark: SparkSession, path: str, task_bytes: int = 8 << 20, stored: bool = False) -> DataFrame:
-    """One row for each addressed tile, unpacked, or with the bytes as stored. Filters on z, x, y and tile_id are
-    applied to the directory; that needs spark.sql.python.filterPushdown.enabled in the session, which is set here."""
+def read_tiles(spark: SparkSession, path: str, task_bytes: int = 8 << 20, stored: bool = False, data: bool = True) -> DataFrame:
+    """One row for each addressed tile, unpacked, with the bytes as stored, or (data=False) without them. Filters on z,
+    x, y and tile_id are applied to the directory; that needs spark.sql.python.filterPushdown.enabled in the session,
+    which is set here."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(TileArchive)
-    return spark.read.format("tilearchive").option("path", path).option("taskBytes", task_bytes).option("stored", stored).load()
+    return spark.read.format("tilearchive").option("path", path).option("taskBytes", task_bytes).option("stored", stored).option("data", data).load()
 
 
 def _origin(z: int, tx: int, ty: int) -> tuple[float, float, float]:
