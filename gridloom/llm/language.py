@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,16 +59,33 @@ class _Sparse(dict):
         return 0
 
 
+class _Packed:
+    """Sorted steps, read one by one."""
+
+    def __init__(self, keys: np.ndarray, targets: np.ndarray) -> None:
+        self.keys, self.targets = memoryview(keys), memoryview(targets)
+
+    def __getitem__(self, place: int) -> int:
+        at = bisect_left(self.keys, place)
+        return self.targets[at] if at < len(self.keys) and self.keys[at] == place else 0
+
+
 class SuffixAutomaton:
     """All substrings of some texts. A state is a multiple of the number of symbols; step[state + symbol] is the state
-    after that symbol, 0 if there is none. A flat array for alphabets of letters, a dictionary for very large ones."""
+    after that symbol, 0 if there is none. A flat array of at most DENSE places; else, for very large alphabets or very
+    many languages, the steps there are in order (16 bytes each, at most three times as many as letters). Symbols are
+    numbered anew by those that the texts hold, so that what other languages write does not widen the array."""
 
     DENSE = 1 << 23
 
-    def __init__(self, texts: list[list[int]], width: int) -> None:
-        sample = [x for text in texts for x in (*text, _BETWEEN)]
+    def __init__(self, texts: list[list[int]], width: int, dense: int | None = None) -> None:
+        self.own = np.full(width, _UNSEEN, np.int32)
+        there = sorted({x for text in texts for x in text} - {_UNSEEN, _BETWEEN})
+        self.own[[_BETWEEN, *there]] = range(1, len(there) + 2)
+        self.own_of, width = self.own.tolist(), len(there) + 2
+        sample = [self.own_of[x] for text in texts for x in (*text, _BETWEEN)]
         most = 2 * (len(sample) + 1)
-        dense = most * width <= self.DENSE
+        dense = most * width <= (self.DENSE if dense is None else dense)
         self.step = step = array("i", bytes(4 * most * width)) if dense else _Sparse()
         out: list[list[int]] = [[]]  # symbols that leave a state
         link, length, last = [-1], [0], 0
@@ -97,14 +115,27 @@ class SuffixAutomaton:
                         p = link[p]
                     link[q] = link[cur] = copy
             last = cur
+        self.keys = None
         if dense:
             del step[len(link) * width :]
+            return
+        keys = np.fromiter(step.keys(), np.int64, len(step))
+        order = np.argsort(keys)
+        self.keys, self.targets = keys[order], np.fromiter(step.values(), np.int64, len(step))[order]
+        self.step = _Packed(self.keys, self.targets)
+
+    def _steps(self, places: np.ndarray) -> np.ndarray:
+        """step[places]."""
+        if self.keys is None:
+            return np.frombuffer(self.step, np.int32)[places]
+        at = np.minimum(np.searchsorted(self.keys, places), len(self.keys) - 1)
+        return np.where(self.keys[at] == places, self.targets[at], 0)
 
     def phrases(self, text: list[int], state: int = 0, count: int = 0) -> int:
         """Longest matches, one after the other, that cover text; a symbol never seen is a phrase of its own. A parse
         can go on from a state and a count."""
         step = self.step
-        for x in text:
+        for x in map(self.own_of.__getitem__, text):
             to = step[state + x]
             if not to:
                 if state:
@@ -122,15 +153,15 @@ class SuffixAutomaton:
         """phrases() of texts within flat, ordered from the longest on: a symbol of each at a time, while enough of
         them last."""
         n = len(starts)
-        state, count, done = np.zeros(n, np.int32), np.zeros(n, np.int64), 0
-        if n >= self.FEW and not isinstance(self.step, dict):
-            step, at, done = np.frombuffer(self.step, np.int32), starts.copy(), int(lengths[self.FEW - 1])
+        state, count, done = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
+        if n >= self.FEW:
+            at, done = starts.copy(), int(lengths[self.FEW - 1])
             for lasting in np.searchsorted(-lengths, -np.arange(done)).tolist():
-                x, before = flat[at[:lasting]], state[:lasting]
-                after = step[before + x]
+                x, before = self.own[flat[at[:lasting]]], state[:lasting]
+                after = self._steps(before + x)
                 (ended,) = np.nonzero(after == 0)
                 if len(ended):
-                    anew = step[x[ended]]
+                    anew = self._steps(x[ended])
                     count[ended] += (before[ended] != 0).astype(np.int64) + (anew == 0)
                     after[ended] = anew
                 state[:lasting] = after
@@ -144,14 +175,16 @@ class SuffixAutomaton:
 
 
 class Parser:
-    """Phrase counts of texts against each language."""
+    """Phrase counts of texts against each language. Flat tables of all languages take BUDGET bytes at most."""
 
     kept: dict[int, "Parser"] = {}
+    BUDGET = 512 << 20
 
     def __init__(self, samples: list[tuple[str, list[str]]]) -> None:
         self.langs = [lang for lang, _ in samples]
         self.alphabet = Alphabet([texts for _, texts in samples])
-        self.automata = [SuffixAutomaton([self.alphabet.codes(t) for t in texts], self.alphabet.width) for _, texts in samples]
+        dense = min(SuffixAutomaton.DENSE, self.BUDGET // 4 // max(1, len(samples)))
+        self.automata = [SuffixAutomaton([self.alphabet.codes(t) for t in texts], self.alphabet.width, dense) for _, texts in samples]
         self.weights = [math.log2(max(2, sum(map(len, texts)))) for _, texts in samples]
 
     @classmethod
@@ -203,7 +236,8 @@ def remainder(doc_id: str = "doc_id") -> F.Column:
 
 def sample_texts(docs: DataFrame, letters: int = 60_000, per_lang: int = 400, held_out: int = 2, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most_langs: int = 256) -> list[tuple[str, list[str]]]:
     """language and texts: a bounded sample to fit on: for each of the `most_langs` most frequent labels, whole documents in the order
-    of a hash of their id until `letters` letters are reached, at most per_lang documents. Rows of the held-out
+    of a hash of their id until `letters` letters are reached, at most per_lang documents (of each no more than the first
+    8 * letters code points leave the tasks, so that one very long text does not fill the driver). Rows of the held-out
     remainder, null labels and null texts take no part; rows of one id and label (null ids are one) count as one
     document, with the least of their texts. Of labels beyond `most_langs` none is learned: that number, like the
     others, bounds the sample that every task holds."""
@@ -220,7 +254,8 @@ def sample_texts(docs: DataFrame, letters: int = 60_000, per_lang: int = 400, he
     few = few.withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= per_lang)
     sofar = F.coalesce(F.sum("n").over(by_hash.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     few = few.withColumn("sofar", sofar).where(F.col("sofar") < letters).select("lang", "order")
-    got = rows.join(F.broadcast(few), ["lang", "order"]).groupBy("lang", "order").agg(F.min("text").alias("text")).collect()  # at most most_langs * per_lang rows
+    heads = rows.withColumn("text", F.substring("text", 1, 8 * letters))
+    got = heads.join(F.broadcast(few), ["lang", "order"]).groupBy("lang", "order").agg(F.min("text").alias("text")).collect()  # at most most_langs * per_lang rows
     out: dict[str, list[str]] = {}
     sizes: dict[str, int] = {}
     for r in sorted(got, key=lambda r: (r["lang"], r["order"])):
