@@ -5,9 +5,9 @@ on labelled good documents (the holdout) each stratum and rule tests its cutoffs
 exact binomial tail P(Bin(n, alpha) <= k) for k false rejections among n; it keeps the strictest cutoff before the
 first that fails. That fixed order needs no correction within a stratum and rule; over all strata and rules the level
 is divided by their number (Bonferroni), and the rules of a stratum share its alpha. So with probability 1 - delta
-at once for all strata, the rules reject at most the share alpha of good documents. Every value with so many labels
-that some cutoff could be certified is a stratum, however many there are; the others, whose holdouts are too small for
-any, form one stratum `other` together, and its guarantee holds for them together.
+at once for all strata, the rules reject at most the share alpha of good documents. The most frequent values are strata:
+as many as have so many labels each that some cutoff could be certified at the level that so many strata (and the pool)
+leave. All others are pooled in one stratum, whose guarantee holds for them together.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, SPACES, columns_of, materialise
@@ -23,6 +23,7 @@ from .common import SPACE_CLASS, SPACES, columns_of, materialise
 SYMBOLS = "#*$%&|<>"
 RULES = ("symbols", "dup_lines", "repeats")
 CUTOFFS = (900, 800, 700, 600, 500, 450, 400, 350, 300, 250, 200, 150, 120, 100, 80, 60, 50, 40, 30, 20, 10)
+#: How the pool is shown; a value of this name is a stratum or in the pool like any other.
 OTHER = "other"
 
 
@@ -106,31 +107,51 @@ def thresholds(holdout: DataFrame, alpha: float = 0.01, delta: float = 0.05) ->
     level, grid = F.lit(delta) / (F.col("strata") * len(RULES)), F.array(*[F.lit(c) for c in CUTOFFS])
     passes = F.transform(F.col("t.ks"), lambda k: binomial_tail(F.col("n"), k, alpha / len(RULES)) <= level)
     certified = F.when(F.array_position(passes, F.lit(False)) == 0, F.lit(len(CUTOFFS))).otherwise(F.array_position(passes, F.lit(False)) - 1)
-    rows = rows.select("stratum", "t.rule", F.when(certified > 0, F.element_at(grid, F.greatest(certified, F.lit(1)).cast("int"))).alias("cutoff"))
+    rows = rows.select("stratum", F.col("t.rule").alias("rule"), F.when(certified > 0, F.element_at(grid, F.greatest(certified, F.lit(1)).cast("int"))).alias("cutoff"))
     return rows.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"{r}_cutoff") for r in RULES])
 
 
 def fit(measured: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """(strata, thresholds) from measured documents (doc_id, stratum_value, _q) and labels (doc_id, quality). An id
     labelled more than once counts as good only if all its labels say so; documents that fail the base rules take no
-    part. Strata are chosen by the sizes of their holdouts alone, so the choice does not touch the guarantee."""
+    part. Strata are chosen by the sizes of their holdouts alone, so the choice does not touch the guarantee; the pool has
+    a null stratum in thresholds."""
     held = measured.where(~base_failed()).join(good_ids(labels), "doc_id").select("stratum_value", *[c.alias(r) for r, c in ratios().items()])
     held = materialise(held, "holdout")
-    strata = held.where("stratum_value is not null").groupBy(F.col("stratum_value").alias("stratum")).count().where(F.col("count") >= least_holdout(alpha, delta)).select("stratum")
-    strata = materialise(strata, "strata")
-    named = held.join(strata, F.col("stratum_value") == F.col("stratum"), "left").withColumn("stratum", F.coalesce("stratum", F.lit(OTHER)))
+    strata = materialise(chosen_strata(held, alpha, delta), "strata")
+    named = held.join(strata, F.col("stratum_value") == F.col("stratum"), "left")
     return strata, materialise(thresholds(named, alpha, delta), "thresholds")
 
 
+def chosen_strata(held: DataFrame, alpha: float, delta: float) -> DataFrame:
+    """stratum: the values (stratum_value) that are strata of their own. Of the values in order of their holdouts, the
+    first s are, for the largest s for which each has the labels that some cutoff takes at the level delta / strata; the
+    pool, if it has rows, is one of these strata.
+
+    Only values with the labels that a single stratum takes are put in order: at most one for each so many labels."""
+    needed = lambda strata: F.ceil(F.log(F.lit(delta / len(RULES)) / strata) / math.log1p(-alpha / len(RULES)))
+    sizes = held.where("stratum_value is not null").groupBy(F.col("stratum_value").alias("stratum")).count().where(F.col("count") >= least_holdout(alpha, delta))
+    ordered = Window.orderBy(F.desc("count"), "stratum")
+    ranked = sizes.select("stratum", "count", F.row_number().over(ordered).alias("nth"), F.sum("count").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("sofar"))
+    ranked = ranked.crossJoin(F.broadcast(held.agg(F.count(F.lit(1)).alias("total"))))  # one row
+    enough = F.col("count") >= needed(F.col("nth") + (F.col("total") > F.col("sofar")).cast("int"))
+    last = F.max(F.when(enough, F.col("nth"))).over(Window.partitionBy(F.lit(0)))
+    return ranked.withColumn("last", last).where(F.col("nth") <= F.col("last")).select("stratum")
+
+
 def good_ids(labels: DataFrame) -> DataFrame:
     return labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).where(F.col("quality") == 1).select("doc_id")
 
 
 def judge(measured: DataFrame, strata: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """measured with stratum, base_failed and kept. Strata and cutoffs are written tables, whose sizes are known: they
-    are broadcast if small, and joined by sorting otherwise."""
-    named = measured.join(strata, F.col("stratum_value") == F.col("stratum"), "left").withColumn("stratum", F.coalesce("stratum", F.lit(OTHER)))
-    named = named.join(cutoffs, "stratum", "left")
+    """measured with stratum, pooled, base_failed and kept. Strata and cutoffs are written tables, whose sizes are known:
+    they are broadcast if small, and joined by sorting otherwise."""
+    named = measured.join(strata, F.col("stratum_value") == F.col("stratum"), "left")
+    # the pool is the null key, in a column that holds no value as it is
+    key = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
+    own = cutoffs.select(key(F.col("stratum")).alias("key"), *[F.col(f"{r}_cutoff") for r in RULES])
+    named = named.withColumn("key", key(F.col("stratum"))).join(own, "key", "left").drop("key")
+    named = named.withColumns({"pooled": F.col("stratum").isNull(), "stratum": F.coalesce("stratum", F.lit(OTHER))})
     rejected = F.lit(False)
     for rule, ratio in ratios().items():
         rejected = rejected | F.coalesce(ratio > F.col(f"{rule}_cutoff"), F.lit(False))
@@ -138,20 +159,21 @@ def judge(measured: DataFrame, strata: DataFrame, cutoffs: DataFrame) -> DataFra
 
 
 def assess(docs: DataFrame, labels: DataFrame, stratum: str = "lang", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, stratum for each row.
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, stratum, pooled for each row.
 
-    Null text counts as empty and fails the base rules; null strata are in the stratum 'other'; equal rows and null ids
-    each give a row; without labels or with few, no cutoff is certified and kept is the base rules' verdict.
+    Null text counts as empty and fails the base rules; null strata are in the pool, which is shown as 'other'; equal rows
+    and null ids each give a row; without labels or with few, no cutoff is certified and kept is the base rules' verdict.
     """
     measured = features(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(stratum).cast("string").alias("stratum_value"))).drop("text")
     measured = materialise(measured, "quality")
     found = judge(measured, *fit(measured, labels))
-    return found.select("doc_id", *[F.col(f"_q.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept", "stratum")
+    return found.select("doc_id", *[F.col(f"_q.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept", "stratum", "pooled")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that assess() keeps, with their own columns. Only documents labelled good are measured for the
-    cutoffs, and then every document once for its verdict."""
+    cutoffs, and then every document once for its verdict. Null, empty and short texts go; equal rows stay or go together,
+    rows of one id are judged each by its text; a ratio equal to a cutoff stays; an empty table gives an empty one."""
     key, value, own_stratum = columns_of([doc_id, text, stratum])
     thin = docs.select(key.alias("doc_id"), value.alias("text"), own_stratum.cast("string").alias("stratum_value"))
     strata, cutoffs = fit(features(thin.join(materialise(good_ids(labels), "good-ids"), "doc_id", "left_semi")).drop("text"), labels)
@@ -179,8 +201,10 @@ m AS (SELECT f.* EXCLUDE ws, coalesce(n_repeat_words, 0) n_repeat_words FROM f L
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols * 1000 // greatest(word_chars, 1) AS symbols,
   n_dup_lines * 1000 // greatest(n_lines, 1) AS dup_lines, n_repeat_words * 1000 // greatest(n_words, 1) AS repeats FROM m),
 good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-s AS (SELECT lang AS stratum FROM b JOIN good USING (doc_id) WHERE NOT base_failed AND lang IS NOT NULL GROUP BY lang HAVING count(*) >= ceil(ln(0.05/3) / ln(1 - 0.01/3))),
-t AS (SELECT b.*, coalesce(s.stratum, 'other') stratum FROM b LEFT JOIN s ON b.lang = s.stratum),
+held AS (SELECT lang FROM b JOIN good USING (doc_id) WHERE NOT base_failed),
+z AS (SELECT lang, count(*) n, row_number() OVER (ORDER BY count(*) DESC, lang) nth, sum(count(*)) OVER (ORDER BY count(*) DESC, lang ROWS UNBOUNDED PRECEDING) sofar FROM held WHERE lang IS NOT NULL GROUP BY lang),
+s AS (SELECT lang AS stratum FROM z WHERE nth <= (SELECT max(nth) FROM z WHERE n >= ceil(ln(0.05 / 3 / (nth + CASE WHEN (SELECT count(*) FROM held) > sofar THEN 1 ELSE 0 END)) / ln(1 - 0.01/3)))),
+t AS (SELECT b.*, CASE WHEN s.stratum IS NULL THEN '' ELSE '=' || s.stratum END stratum FROM b LEFT JOIN s ON b.lang = s.stratum),
 h AS (UNPIVOT (SELECT t.stratum, t.symbols, t.dup_lines, t.repeats FROM t JOIN good USING (doc_id) WHERE NOT base_failed) ON symbols, dup_lines, repeats INTO NAME rule VALUE ratio),
 cut AS (SELECT unnest([900,800,700,600,500,450,400,350,300,250,200,150,120,100,80,60,50,40,30,20,10]) AS cutoff),
 k AS (SELECT stratum, rule, cutoff, count(*) n, sum(CASE WHEN ratio > cutoff THEN 1 ELSE 0 END)::BIGINT k FROM h, cut GROUP BY ALL),
@@ -190,6 +214,6 @@ q AS (SELECT *, bool_and(tail <= 0.05 / (strata * 3)) OVER (PARTITION BY stratum
 x AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM q WHERE ok GROUP BY ALL),
 y AS (SELECT stratum, max(CASE WHEN rule = 'symbols' THEN cutoff END) a, max(CASE WHEN rule = 'dup_lines' THEN cutoff END) b, max(CASE WHEN rule = 'repeats' THEN cutoff END) c FROM x GROUP BY stratum)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (coalesce(symbols > y.a, false) OR coalesce(dup_lines > y.b, false) OR coalesce(repeats > y.c, false)) AS kept, t.stratum
+  NOT base_failed AND NOT (coalesce(symbols > y.a, false) OR coalesce(dup_lines > y.b, false) OR coalesce(repeats > y.c, false)) AS kept, CASE t.stratum WHEN '' THEN 'other' ELSE substr(t.stratum, 2) END AS stratum, t.stratum = '' AS pooled
 FROM t LEFT JOIN y ON t.stratum = y.stratum
 """

@@ -1,5 +1,8 @@
+import math
+import os
 import random
 import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +71,56 @@ def test_small_strata_are_pooled(spark, make_docs):
     assert found.where("kept").agg(F.max("doc_id"), F.count("*")).first()[:] == (2999, 3000)
 
 
+def plain_cutoffs(sizes, above, alpha=0.01, delta=0.05):
+    """{stratum: cutoff of the rule on symbols}, and the strata, by trying every number of strata from the most on."""
+    values = sorted((v for v in sizes if v is not None), key=lambda v: (-sizes[v], v))
+    for s in range(len(values), -1, -1):
+        chosen = values[:s]
+        strata = s + (sum(sizes.values()) > sum(sizes[v] for v in chosen))
+        if all(sizes[v] >= quality.least_holdout(alpha, delta / strata) for v in chosen):
+            break
+    out, p = {}, alpha / 3
+    for own in [*chosen, None]:
+        members = [own] if own else [v for v in sizes if v not in chosen]
+        n = sum(sizes[v] for v in members)
+        for c in quality.CUTOFFS:
+            k = sum(x > c for v in members for x in above[v])
+            if k > n * p or sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1)) > delta / (3 * strata):
+                break
+            out[own] = c
+    return set(chosen), out
+
+
+@pytest.mark.parametrize("sizes", [{"a": 1700, "b": 1500, "other": 1300}, {"a": 1700, "b": 1600, "other": 1580}, {"a": 1700, "b": 1600, "other": 1640, None: 5}, {"a": 1300, "b": 1300, "c": 30}, {"a": 1250, None: 100}])
+def test_as_many_strata_as_can_be_certified(spark, sizes):
+    """No value is split off that its level leaves without a cutoff; a value called as the pool is none of it."""
+    above = {v: [800 - 100 * k for k in range(3)] if n > 1400 else [] for v, n in sizes.items()}
+    rows = [(v, above[v][k] if k < len(above[v]) else 0, 0, 0) for v, n in sizes.items() for k in range(n)]
+    held = spark.createDataFrame(rows, "stratum_value string, symbols long, dup_lines long, repeats long")
+    strata, expected = plain_cutoffs(sizes, above)
+    chosen = quality.chosen_strata(held, 0.01, 0.05)
+    assert {r["stratum"] for r in chosen.collect()} == strata
+    found = quality.thresholds(held.join(chosen, F.col("stratum_value") == F.col("stratum"), "left"))
+    assert {r["stratum"]: r["symbols_cutoff"] for r in found.collect() if r["symbols_cutoff"]} == expected and expected
+
+
+def test_certified_cutoffs_equal_sql(spark):
+    """On a table with labels enough that cutoffs are certified, and reject documents that the base rules keep."""
+    duckdb, folder = pytest.importorskip("duckdb"), "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("test tables are not here")
+    duck = duckdb.connect()
+    for t in ("documents", "labels"):
+        place = f"{folder}/{t}.parquet"
+        duck.execute(f"create view {t} as select * from '{place + '/*.parquet' if os.path.isdir(place) else place}'")
+    own = quality.op1_quality_rules(spark, folder)
+    columns = sorted(own.columns)
+    found = sorted(map(tuple, own.select(*columns).collect()))
+    assert found == sorted(duck.sql(quality.OP1_SQL).select(*columns).fetchall())
+    kept, failed = columns.index("kept"), columns.index("base_failed")
+    assert any(not r[kept] and not r[failed] for r in found)
+
+
 def test_false_rejections_stay_below_the_level(spark):
     """With 1.5 % of good documents above every cutoff and alpha 1 %, no cutoff is certified."""
     hold = spark.range(20_000).select(F.lit("en").alias("stratum"), F.when(F.col("id") % 67 == 0, 950).otherwise(0).alias("symbols"), F.lit(0).alias("dup_lines"), F.lit(0).alias("repeats"))
@@ -113,6 +166,28 @@ def test_texts_in_step_parse_alike():
         assert parser.predict(texts) == one_by_one and parser.predict(texts, most=500) == one_by_one
 
 
+def test_a_wide_script_does_not_widen_other_languages():
+    """Han beside Latin; and 200 labels in less than a gigabyte, with the same counts."""
+    rng = random.Random(15)
+    latin = [("x%03d" % k, ["".join(rng.choice("abcdefghij klmnop") for _ in range(2000))]) for k in range(200)]
+    han = ("han", ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(20_000))])
+    parser = language.Parser([*latin[:3], han])
+    assert all(a.keys is None and len(a.step) < 4 * 2002 * 20 for a in parser.automata[:3])
+    kind = type("Small", (language.Parser,), {"BUDGET": 1 << 20})
+    packed, flat = kind(latin), language.Parser(latin)
+    assert all(a.keys is not None for a in packed.automata) and sum(a.keys.nbytes + a.targets.nbytes for a in packed.automata) < 200 * 3 * 2002 * 16
+    texts = ["".join(rng.choice("abcdefghij klmnopq") for _ in range(rng.randint(0, 60))) for _ in range(80)]
+    assert packed.predict(texts) == flat.predict(texts)
+
+
+def test_one_very_long_text_in_the_sample(spark, make_docs):
+    """No more of it than the bound says comes to the driver."""
+    learned = next(k for k in range(100, 200) if zlib.crc32(b"%d" % k) % 4 != 2)
+    docs = make_docs([(k, "ab cd ef " * 20, "x") for k in range(20)] + [(learned, "gh ij " * 2_000_000, "y")])
+    found = dict(language.sample_texts(docs, letters=1000))
+    assert set(found) == {"x", "y"} and len(found["y"][0]) <= 2000
+
+
 LANGS = {"en": ["the", "thing", "with", "another", "house", "under"], "de": ["der", "schön", "über", "nicht", "haus", "zwischen"], "fr": ["être", "dans", "maison", "où", "leçon", "avec"]}
 
 
