@@ -455,7 +455,7 @@ def _join(sets: DataFrame, percent: int) -> DataFrame:
     return sets.groupBy("task", "left", "right").applyInArrow(run, "a long, b long")
 
 
-def _classes(docs: DataFrame, width: int, percent: int, doc_id: str, text: str, most_often: int = 200_000, block: int = 1_500_000, salt_from: int = 20_000, bucket_bytes: int = 64_000_000) -> DataFrame:
+def _classes(docs: DataFrame, width: int, percent: int, doc_id: str, text: str, most_often: int = 200_000, block: int = 1_500_000, salt_from: int = 20_000, bucket_bytes: int = 16_000_000) -> DataFrame:
     """doc_id, row, n_shingles, component_id, first_row (the row that stands for the component).
 
     most_often bounds the list of frequent n-grams, which only orders prefixes: results do not depend on it. Groups of
@@ -477,7 +477,7 @@ def _classes(docs: DataFrame, width: int, percent: int, doc_id: str, text: str,
     # 20 bytes a posting, and once in most of its buckets a set's name, size and bitmap
     length = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
     weight = sets.where("set is not null").agg(F.sum(length * (36 + F.col("n_shingles") / 8))).first()[0] or 0
-    buckets = max(64, partitions, int(weight // bucket_bytes) + 1)
+    buckets = max(partitions, int(weight // bucket_bytes) + 1)
     edges = materialise(_may_link(_postings(base, width, percent, often, rank, heavy, buckets), percent), "may-link")
     groups = materialise(components(edges), "groups")  # node: a set that may link
     # the sets of each group meet: one row stands for each set
