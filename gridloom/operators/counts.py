@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import general
 from ..functions.tileid import first_id, with_tile_id
+from .dyadic import dyadic_sums
 
 
 def count_zoom(counts: DataFrame, zoom: int) -> DataFrame:
@@ -19,14 +20,11 @@ def count_all(counts: DataFrame, min_zoom: int, max_zoom: int) -> DataFrame:
     """zoom, x, y, tile_id, total_count, tile_count, frac_in_tile: the points of the highest zoom summed over every
     ancestor, and what the tile itself holds. A total of 0 has no fraction.
 
-    Each level is summed from tiles first, so that the roll-up handles tiles, not points.
+    Each level is summed from a deeper one (see dyadic_sums), so that the roll-up handles tiles, not points.
     """
     per_tile = counts.groupBy("z", "x", "y").agg(F.sum("n").cast("long").alias("n"))
-    top = per_tile.where(F.col("z") == max_zoom)
-    up = top.select(F.explode(F.sequence(F.lit(min_zoom), F.lit(max_zoom))).alias("zoom"), "x", "y", "n")
-    shift = F.lit(max_zoom) - F.col("zoom")
-    up = up.select("zoom", F.call_function("shiftright", F.col("x"), shift).alias("x"), F.call_function("shiftright", F.col("y"), shift).alias("y"), "n")
-    total = up.groupBy("zoom", "x", "y").agg(F.sum("n").cast("long").alias("total_count"))
+    top = per_tile.where(F.col("z") == max_zoom).select(F.col("x").alias("bx"), F.col("y").alias("by"), F.col("n").alias("s"))
+    total = dyadic_sums(top, max_zoom - min_zoom + 1).select((F.lit(max_zoom) - F.col("i")).alias("zoom"), F.col("bx").alias("x"), F.col("by").alias("y"), F.col("s").alias("total_count"))
     own = per_tile.select(F.col("z").alias("zoom"), "x", "y", F.col("n").alias("tile_count"))
     out = total.join(own, ["zoom", "x", "y"], "left").withColumn("tile_count", F.coalesce("tile_count", F.lit(0).cast("long")))
     # the descendants of a tile at the highest zoom follow each other on the curve, the first one has its place times 4**levels

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .dyadic import dyadic_sums
+
 #: The two presets: widths, and whether counts of 0 or less are left out.
 SINGLE = {"widths": 20, "positive": False}
 THREADED = {"widths": 13, "positive": True}
@@ -13,13 +15,11 @@ THREADED = {"widths": 13, "positive": True}
 def bin_sums(points: DataFrame, widths: int, positive: bool, count: str = "cnt", key: tuple[str, ...] = ("z", "tx", "ty")) -> DataFrame:
     """key, i, bx, by, s: the sum of the count in each bin of 2**i pixels. Pixels shift as signed numbers.
 
-    Points are summed by pixel first; every width then starts from pixels.
+    Each width is summed from a narrower one (see dyadic_sums).
     """
-    rows = points.where(F.col(count) > 0) if positive else points
-    pixel = rows.groupBy(*key, "px", "py").agg(F.sum(F.col(count).cast("long")).alias("s"))
-    wide = pixel.select(*key, "px", "py", "s", F.explode(F.sequence(F.lit(0), F.lit(widths - 1))).alias("i"))
-    shift = lambda c: F.call_function("shiftright", F.col(c).cast("long"), F.col("i"))
-    return wide.select(*key, "i", shift("px").alias("bx"), shift("py").alias("by"), "s").groupBy(*key, "i", "bx", "by").agg(F.sum("s").alias("s"))
+    rows = points.where(F.col(count) > 0) if positive else points.where(F.col(count).isNotNull())
+    pixels = rows.select(*key, F.col("px").cast("long").alias("bx"), F.col("py").cast("long").alias("by"), F.col(count).cast("long").alias("s"))
+    return dyadic_sums(pixels, widths, key)
 
 
 def density(points: DataFrame, widths: int = 13, positive: bool = True, count: str = "cnt", compact: bool = False, tiles_only: bool = False) -> DataFrame:

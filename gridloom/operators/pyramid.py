@@ -53,12 +53,58 @@ def seed_of(z: int, x: str, y: str) -> F.Column:
     return F.pmod(F.lit(z * 1_000_000).cast("long") + F.col(x) * 1000 + F.col(y), F.lit(1 << 32))
 
 
-def sample(points: DataFrame, z: int, cap: str, key: tuple[str, str] = ("tx", "ty"), idx: str = "idx") -> DataFrame:
-    """The first `cap` points of each tile in the order of a hash of the tile's seed and the point's place, with `pick`
-    (1-based rank in that order). The same points come out however the input is partitioned."""
-    order = F.md5(F.concat_ws("|", seed_of(z, *key).cast("string"), F.col(idx).cast("string")))
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(order, idx))
-    return points.withColumn("pick", rank).where(F.col("pick") <= F.col(cap))
+#: Tiles up to so many points are ranked as they are; a step of the search looks at so many digits of the hash.
+RANKED, DIGITS, HASH_DIGITS = 100_000, 4, 32
+
+
+def _hashed(points: DataFrame, z: int, key: tuple[str, str], idx: str) -> DataFrame:
+    return points.withColumn("_order", F.md5(F.concat_ws("|", seed_of(z, *key).cast("string"), F.col(idx).cast("string"))))
+
+
+def thresholds(points: DataFrame, caps: DataFrame, z: int, key: tuple[str, str] = ("tx", "ty"), idx: str = "idx", ranked: int = RANKED) -> DataFrame:
+    """key, cap, prefix, before, size: the tile's first `cap` points by hash are the `before` points whose hash is below
+    the prefix and the first of the `size` points whose hash begins with it, of which there are at most about `ranked`.
+
+    caps: key, cap and n (the tile's points). Points of larger tiles are counted by the next digits of their hash, with
+    partial sums in each task; only points under the prefix so far are counted again. All passes read points, none sorts.
+    """
+    spark = points.sparkSession
+    now = materialise(caps.select(*key, "cap", F.lit("").alias("prefix"), F.lit(0).cast("long").alias("before"), F.col("n").cast("long").alias("size")), "thresholds")
+    hashed = _hashed(points.select(*key, idx), z, key, idx)
+    for length in range(0, HASH_DIGITS, DIGITS):
+        large = now.where((F.col("size") > ranked) & (F.length("prefix") == length))
+        if large.isEmpty():
+            break
+        under = hashed.join(large, list(key)).where(F.substring("_order", 1, length) == F.col("prefix")) if length else hashed.join(large, list(key))
+        found = under.groupBy(*key, F.substring("_order", 1, length + DIGITS).alias("next")).agg(F.count(F.lit(1)).alias("n"), F.first("cap").alias("cap"), F.first("before").alias("before"))
+        # at most 16**DIGITS rows a tile
+        upto = F.sum("n").over(Window.partitionBy(*key).orderBy("next")) + F.col("before")
+        found = found.withColumn("upto", upto).where(F.col("upto") >= F.col("cap"))
+        first = F.min_by(F.struct(F.col("next").alias("prefix"), (F.col("upto") - F.col("n")).alias("before"), F.col("n").alias("size")), "next")
+        deeper = found.groupBy(*key).agg(F.first("cap").alias("cap"), first.alias("to")).select(*key, "cap", "to.*")
+        # a tile with fewer points than its cap keeps them all: every hash is below this prefix
+        every = large.join(deeper.select(*key), list(key), "left_anti").select(*key, "cap", F.lit("~").alias("prefix"), F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("size"))
+        rest = now.join(large.select(*key), list(key), "left_anti")
+        now = materialise(rest.unionByName(deeper).unionByName(every), "thresholds")
+    return now
+
+
+def sample(points: DataFrame, caps: DataFrame, z: int, key: tuple[str, str] = ("tx", "ty"), idx: str = "idx", ranked: int = RANKED) -> DataFrame:
+    """The first points of each tile (as many as its cap) in the order of a hash of the tile's seed and the point's place,
+    equal hashes by place. caps: key, cap, n. The same points come out however the input is partitioned, and no task
+    ranks more of a tile than about `ranked` points: what lies below the tile's threshold stays without being sorted."""
+    wide = _hashed(points, z, key, idx).join(thresholds(points, caps, z, key, idx, ranked).drop("size"), list(key))
+    head = F.substring(F.col("_order"), F.lit(1), F.length("prefix"))
+    below = wide.where(head < F.col("prefix")).select(*points.columns)
+    order = Window.partitionBy(*key).orderBy("_order", idx)
+    edge = wide.where(head == F.col("prefix")).withColumn("_pick", F.row_number().over(order)).where(F.col("_pick") <= F.col("cap") - F.col("before"))
+    return below.unionByName(edge.select(*points.columns))
+
+
+def picked(kept: DataFrame, z: int, key: tuple[str, str] = ("tx", "ty"), idx: str = "idx") -> DataFrame:
+    """A sample with `pick`, the 1-based rank of each point in the order in which sample() takes them."""
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("_order", idx))
+    return _hashed(kept, z, key, idx).withColumn("pick", rank).drop("_order")
 
 
 def _row_cap(points: DataFrame, budget: float) -> DataFrame:
@@ -125,14 +171,14 @@ def level_up(points: DataFrame, tiles: DataFrame, z: int, codec: str, n_columns:
     # the place of a point among its parent's: lower half first, then left, then its own place
     quarter = (F.col("ty").bitwiseAND(1) * 2 + F.col("tx").bitwiseAND(1)).cast("long")
     moved = points.withColumn("idx", quarter * F.lit(1 << 40) + F.col("seq")).withColumns({"tx": F.shiftright("tx", 1), "ty": F.shiftright("ty", 1)})
-    kept = sample(moved.join(caps.select("tx", "ty", "cap"), ["tx", "ty"]), z, "cap")
+    kept = sample(moved, caps.select("tx", "ty", "cap", "n"), z)
     if codec == "mvt":
-        kept = materialise(kept, "picked")
+        kept = materialise(picked(kept, z), "picked")
         kept = kept.join(_row_cap(kept, max_bytes * compression), ["tx", "ty"]).where("pick <= keep").drop("keep")
     s = F.lit(scale(z))
     kept = kept.withColumn("seq", F.row_number().over(Window.partitionBy("tx", "ty").orderBy("layer", "idx")).cast("long") - 1)
     place = {"px": F.round((F.col("gx") - origin_x("tx", z)) / s).cast("int"), "py": F.round((origin_y("ty", z) - F.col("gy")) / s).cast("int")}
-    return with_tile_id(kept.withColumns(place).drop("idx", "pick", "cap"), "tx", "ty", z)
+    return with_tile_id(kept.withColumns(place).drop("idx", "pick"), "tx", "ty", z)
 
 
 def build_pyramid(spark: SparkSession, source: str, out: str, min_zoom: int = 0, max_tile_bytes: int = MAX_BYTES, max_tile_features: int = MAX_FEATURES, scale_factor_compression: float = COMPRESSION, est_bytes_per_column: int = BYTES_COLUMN, est_offset_per_point: int = BYTES_POINT) -> dict[int, int]:

@@ -303,8 +303,7 @@ def pyramid_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = _placed(spark, sf_dir, TOP - 1).join(_caps(spark, sf_dir).select("tx", "ty", "cap"), ["tx", "ty"])
-    return pyramid.sample(points, TOP - 1, "cap", idx="id")
+    return pyramid.sample(_placed(spark, sf_dir, TOP - 1), _caps(spark, sf_dir).select("tx", "ty", "cap", "n"), TOP - 1, idx="id")
 
 
 @query
