@@ -93,6 +93,8 @@ def sample(points: DataFrame, caps: DataFrame, z: int, key: tuple[str, str] = ("
     """The first points of each tile (as many as its cap) in the order of a hash of the tile's seed and the point's place,
     equal hashes by place. caps: key, cap, n. The same points come out however the input is partitioned, and no task
     ranks more of a tile than about `ranked` points: what lies below the tile's threshold stays without being sorted."""
+    if caps.where(F.col("n") > ranked).isEmpty():
+        return picked(points.join(caps.select(*key, F.col("cap").alias("_cap")), list(key)), z, key, idx).where("pick <= _cap").select(*points.columns)
     wide = _hashed(points, z, key, idx).join(thresholds(points, caps, z, key, idx, ranked).drop("size"), list(key))
     head = F.substring(F.col("_order"), F.lit(1), F.length("prefix"))
     below = wide.where(head < F.col("prefix")).select(*points.columns)
