@@ -169,6 +169,13 @@ select cast(zoom as integer) zoom, x, y, d tile_id, total_count, n tile_count, n
 
 
 # an archive gives back every point within half a pixel; its tiles are those of the points
-ORACLE_SQL["archive_roundtrip_mlt"] = ORACLE_SQL["archive_roundtrip_mvt"] = f"with p as ({data.POINTS_SQL}) select count(*) n, cast(0 as bigint) far from p"
+ORACLE_SQL["archive_roundtrip_mlt"] = ORACLE_SQL["archive_roundtrip_mvt"] = f"""with p as ({data.POINTS_SQL}) select count(*) n, cast(sum(id) as bigint) ids, cast(sum(cnt * (id % 1009)) as bigint) counts,
+ cast(sum((ascii(gene) * 31 + length(gene)) * (id % 1009)) as bigint) genes, count(distinct gene) kinds, cast(0 as bigint) far from p"""
+ORACLE_SQL["archive_header"] = f"""with {_placed(3)}, t as (select count(*) n from (select distinct tx, ty from p))
+select n addressed_tiles_count, n tile_entries_count, 1::bigint tile_type, 2::bigint tile_compression, 1::bigint clustered, 3::bigint min_zoom, 3::bigint max_zoom, 3::bigint center_zoom from t"""
+ORACLE_SQL["archive_tiles_in_box"] = f"with recursive {_placed(5)}, {_hilbert(5, 'p')} select 5 z, x0 x, y0 y, d tile_id from h where x0 between 3 and 21 and y0 <= 13 and y0 <> 7"
+ORACLE_SQL["archive_polygons"] = f"with p as ({data.POINTS_SQL}) select id, gene, true near from p"
+_PIXEL = _d(2 * HALF / (8 * 4096.0))
+ORACLE_SQL["archive_polygons_in_box"] = f"""with p as ({data.POINTS_SQL}) select gene, count(*) n from p where gx + 9 * {_PIXEL} > -9000100.5 + {_PIXEL} and gx < 7000100.5 - {_PIXEL} and gy - 6 * {_PIXEL} < 8000100.5 - {_PIXEL} group by gene"""
 ORACLE_SQL["archive_summary"] = f"with recursive {_placed(3)}, {_hilbert(3, 'p')} select 3 z, x0 x, y0 y, d tile_id from h"
 ORACLE_SQL["archive_pyramid"] = _pyramid(3, 500)

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, projection, text, tileid
 from ..operators import build, commands, counts, density, export, pyramid
-from ..sources import regions, sinks
+from ..sources import mvt, regions, sinks
+from ..sources.archive import COMPRESSION, TILE_TYPES, compress
 from ..sources.scratch import base, materialise
+from ..sources.tiles import read_tiles
+from ..sources.writer import write_archive
 from . import points as data
 
 Z = 10
@@ -333,7 +338,7 @@ def attr_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _archive(spark: SparkSession, sf_dir: str, codec: str, zoom: int = 3) -> str:
-    path = f"{base(spark)}/points-{codec}-{abs(hash((sf_dir, codec, zoom))):x}.archive"
+    path = f"{base(spark)}/points-{codec}-{uuid.uuid4().hex}.archive"
     rows = data.points(spark, sf_dir).select("gx", "gy", F.col("id").alias("seq"), "id", "gene", F.col("cnt").alias("count"))
     build.write_points(build.place(rows, zoom), path, zoom, codec, "points", {"id": "INT", "gene": "STRING", "count": "INT"})
     return path
@@ -343,7 +348,10 @@ def _roundtrip(spark: SparkSession, sf_dir: str, codec: str) -> DataFrame:
     found = commands.export(spark, _archive(spark, sf_dir, codec))
     own = data.points(spark, sf_dir).select(F.col("id").cast("string").alias("id"), F.col("gx").alias("x0"), F.col("gy").alias("y0"))
     near = projection.scale(3) * 0.51 + 0.01
-    return found.join(own, "id").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when((F.abs(F.col("gx") - F.col("x0")) <= near) & (F.abs(F.col("gy") - F.col("y0")) <= near), 0).otherwise(1)), F.lit(0)).cast("long").alias("far"))
+    number, count = F.col("id").cast("long"), F.col("count").cast("long")
+    # sums over products of a point's id and its attributes: a value lost or on another point changes them
+    kept = {"ids": F.sum(number), "counts": F.sum(count * (number % 1009)), "genes": F.sum((F.ascii("gene") * 31 + F.length("gene")) * (number % 1009)), "kinds": F.count_distinct("gene")}
+    return found.join(own, "id").agg(F.count(F.lit(1)).alias("n"), *[v.cast("long").alias(k) for k, v in kept.items()], F.coalesce(F.sum(F.when((F.abs(F.col("gx") - F.col("x0")) <= near) & (F.abs(F.col("gy") - F.col("y0")) <= near), 0).otherwise(1)), F.lit(0)).cast("long").alias("far"))
 
 
 @query
@@ -361,6 +369,55 @@ def archive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commands.summarize(spark, _archive(spark, sf_dir, "mlt"))[2].select("z", "x", "y", "tile_id")
 
 
+@query
+def archive_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return commands.summarize(spark, _archive(spark, sf_dir, "mvt"))[0].select("addressed_tiles_count", "tile_entries_count", "tile_type", "tile_compression", "clustered", "min_zoom", "max_zoom", "center_zoom")
+
+
+@query
+def archive_tiles_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters become intervals of the curve, which choose leaves and entries."""
+    found = read_tiles(spark, _archive(spark, sf_dir, "mlt", 5), data=False)
+    return found.where("z = 5 and x between 3 and 21 and y <= 13 and y <> 7").select("z", "x", "y", "tile_id")
+
+
+def _polygon_archive(spark: SparkSession, sf_dir: str, zoom: int) -> str:
+    """Triangles at the points of the plane, with an id and the point's category."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        xs, ys, ids, genes = (table.column(c).to_pylist() for c in ("px", "py", "id", "gene"))
+        data = mvt.encode_polygons("cells", [[[(x, y), (x + 9, y), (x, y + 6)]] for x, y in zip(xs, ys, strict=True)], [{"id": i, "gene": g} for i, g in zip(ids, genes, strict=True)])
+        return pa.table({"tile_id": table.column("tile_id")[:1], "data": pa.array([compress(data)], pa.binary())})
+
+    path = f"{base(spark)}/polygons-{uuid.uuid4().hex}.archive"
+    tiles = _placed(spark, sf_dir, zoom).select("tile_id", "px", "py", "id", "gene").groupBy("tile_id").applyInArrow(run, "tile_id long, data binary")
+    header = {"tile_type": TILE_TYPES["mvt"], "tile_compression": COMPRESSION["gzip"], "min_zoom": zoom, "max_zoom": zoom}
+    write_archive(tiles, path, header, {"vector_layers": [{"id": "cells", "fields": {"id": "Number", "gene": "String"}, "minzoom": zoom, "maxzoom": zoom}]})
+    return path
+
+
+@query
+def archive_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons written to an archive come back with their attributes, their mean vertex within half a pixel."""
+    found = commands.export_polygon(spark, _polygon_archive(spark, sf_dir, 3), ["id", "gene"])
+    s = projection.scale(3)
+    own = data.points(spark, sf_dir).select(F.col("id").cast("string").alias("id"), (F.col("gx") + 3 * s).alias("x0"), (F.col("gy") - 2 * s).alias("y0"))
+    near = (F.abs(F.col("X").cast("double") - F.col("x0")) <= s * 0.51 + 0.01) & (F.abs(F.col("Y").cast("double") - F.col("y0")) <= s * 0.51 + 0.01)
+    return found.join(own, "id").select(F.col("id").cast("long").alias("id"), "gene", near.alias("near"))
+
+
+@query
+def archive_polygons_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons of an archive whose box meets a box, counted by category; bounds lie between pixels."""
+    found = commands.export_polygon(spark, _polygon_archive(spark, sf_dir, 3), ["id", "gene"], xmin=-9_000_100.5, xmax=7_000_100.5, ymax=8_000_100.5)
+    own = data.points(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "gx", "gy")
+    s = projection.scale(3)
+    # those within a pixel of a bound may round to either side
+    sure = (F.col("gx") + 9 * s > -9_000_100.5 + s) & (F.col("gx") < 7_000_100.5 - s) & (F.col("gy") - 6 * s < 8_000_100.5 - s)
+    return found.join(own, "id").where(sure).groupBy("gene").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def archive_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = _archive(spark, sf_dir, "mlt")
