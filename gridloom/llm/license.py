@@ -1,16 +1,20 @@
 """License scans: a paragraph classifier over sparse word n-grams, in DataFrame expressions.
 
 A multinomial logistic regression over the presence of word 1- and 2-grams is trained on the driver from notice
-templates (whole and with words left out) against a bounded sample of the corpus's own paragraphs as the class
-`unknown`. Paragraphs of the sample that are notices themselves (a template covers them, or a first model finds a
-family) are left out of that class, in training and in calibration. Half of what remains, with half of a list of
-confusable sentences, is held out: a family's threshold lies above every probability that the model gives it there,
-and is 0.5 at least. With n held-out paragraphs none of which passes, at most a share 1 - 0.05 ** (1 / n) of such
-paragraphs would pass, at a confidence of 95 % (LicenseModel.false_share).
-
-Every paragraph (line) is judged. From the weights follow words of which any paragraph that reaches a threshold holds
-at least one: without them all other n-grams together fall short. Only paragraphs with such a word are scored in
-full; the rest is `unknown` by that bound. A family is confirmed by comparing the paragraph with its templates.
+templates (whole and with words left out) against a bounded sample of the corpus's own passages as the class `unknown`.
+An n-gram that notices of several families share is no evidence for any of them and not in the model. Passages of the
+sample that are notices themselves (a template covers them, or a first model finds a family) are left out of that class,
+in training and in calibration. Half of what remains, with half of a list of confusable sentences and of notices of
+families that are not known here, is held out: a family's threshold lies above every probability that the model gives it
+there, and is 0.5 at least. With n held-out passages none of which passes, at most a share 1 - 0.05 ** (1 / n) of such
+passages would pass, at a confidence of 95 % (LicenseModel.false_share).
+
+A text's paragraphs are what stands between lines without a letter or digit. Judged are all lines, and of paragraphs of
+several lines runs of 16 lines from every eighth one on, so that a notice that is wrapped (or set off by comment signs,
+which are no words) is read as a whole. From the weights follow words of which any passage that reaches a threshold
+holds at least one: without them all other n-grams together fall short. Only passages with such a word are scored in
+full; the rest is `unknown` by that bound. A family is confirmed if the passage holds most n-grams of one of its
+templates, and a document is named by the family with the most evidence over all its confirmed passages.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ NOTICES: dict[str, list[str]] = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "You should have received a copy of the GNU Affero General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
         "Licensed under the GNU Affero General Public License v3.0.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
         "SPDX-License-Identifier: AGPL-3.0-or-later",
         "AGPL-3.0-only",
     ],
@@ -43,6 +49,7 @@ NOTICES: dict[str, list[str]] = {
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
         "Licensed under the Apache License, Version 2.0.",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
         "This project is released under the Apache 2.0 license.",
         "SPDX-License-Identifier: Apache-2.0",
     ],
@@ -60,6 +67,7 @@ NOTICES: dict[str, list[str]] = {
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Released under the BSD 3-Clause License.",
         "BSD-2-Clause",
+        "BSD-3-Clause",
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
     "BSL-1.0": [
@@ -117,6 +125,8 @@ NOTICES: dict[str, list[str]] = {
         "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
         "This work is licensed under the GNU General Public License, version 3.",
         "Released under the GPLv3 license.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
         "GNU General Public License v2.0 or later",
         "SPDX-License-Identifier: GPL-2.0-only",
         "SPDX-License-Identifier: GPL-3.0-or-later",
@@ -129,6 +139,9 @@ NOTICES: dict[str, list[str]] = {
     "LGPL": [
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
         "You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation, Inc.",
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "Licensed under the GNU Lesser General Public License v3.0.",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
@@ -144,6 +157,7 @@ NOTICES: dict[str, list[str]] = {
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
         "Licensed under the Mozilla Public License 2.0.",
+        "Mozilla Public License Version 2.0",
         "SPDX-License-Identifier: MPL-2.0",
     ],
     "OFL": [
@@ -171,6 +185,22 @@ NOTICES: dict[str, list[str]] = {
 }
 TEMPLATES: list[tuple[str, str]] = [(family, text) for family, texts in NOTICES.items() for text in texts]
 
+#: Sentences of notices of several families, which tell nothing about which.
+SHARED = [
+    "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    "This program is free software: you can redistribute it and/or modify", "This program is free software; you can redistribute it and/or modify it under the terms of the license.",
+    "Copyright (C) Free Software Foundation, Inc.", "You may not use this file except in compliance with the License.", "All rights reserved.",
+    "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED", "Permission is hereby granted, free of charge, to any person", "Licensed under version 1.0 or version 2.0 of the license",
+]
+
+#: Notices of families that are not known here.
+OTHERS = [
+    "Academic Free License", "Licensed under the Academic Free License version 3.0.", "The software is licensed to you by the vendor under a commercial license agreement.", "Proprietary and confidential. Unauthorized copying of this file via any medium is strictly prohibited.",
+    "Licensed under the Open Software License version 3.0.", "As long as you retain this notice you can do whatever you want with this stuff.", "Licensed under the Microsoft Public License (Ms-PL).", "Licensed under the Q Public License, Version 1.0.",
+    "Business Source License 1.1", "Licensed under the Server Side Public License, version 1.", "Licensed under the Elastic License 2.0.", "This source code is governed by a license agreement between you and the company.",
+    "Your use of this product is subject to the end user license agreement.", "Licensed under the Common Public License Version 1.0.",
+]
+
 #: Sentences with words of notices that are none.
 CONFUSABLE = [
     "The license plate of the car was new.", "Permission to enter was denied.", "He asked for permission and a fishing licence.", "The redistribution of income is debated.",
@@ -178,6 +208,7 @@ CONFUSABLE = [
     "All rights reserved by the hotel.", "The software is provided by our partner in Boston.", "Creative people share a common interest.", "She won the attribution case in court.", "The mit of the boxer was torn.",
     "Copies of the letter were distributed to all members.", "The foundation published a version of the report.", "You may not use the lift without permission.", "A driving license is required to rent a car.",
     "The warranty covers any kind of damage to the engine.", "The artist retains the copyright of the painting.", "This file is large and it is subject to change.", "He works under a new contract with the public library.",
+    "Er kam mit dem Zug nach Hause.", "Mit freundlichen Grüßen", "The apache tribe lived in the south.", "Ein Haus mit Garten und Blick auf den See.",
 ]
 
 #: Words that are no n-grams of their own, and pairs of which are none.
@@ -195,11 +226,43 @@ def _grams(text: str) -> set[str]:
 _OWN = [(family, _grams(text)) for family, text in TEMPLATES]
 
 
+def evidence() -> list[str]:
+    """The n-grams that templates of one family alone hold, in order."""
+    of: dict[str, set[str]] = {}
+    for family, own in [*_OWN, *[(f"shared {k}", _grams(t)) for k, t in enumerate(SHARED)]]:
+        for g in own:
+            of.setdefault(g, set()).add(family)
+    return sorted(g for g, families in of.items() if len(families) == 1 and not next(iter(families)).startswith("shared"))
+
+
 def likeness(grams: set[str], family: str | None = None) -> float:
     """The largest share of n-grams in common with a template (of a family), of the smaller of both sets."""
     return max((len(grams & own) / max(1, min(len(own), len(grams))) for f, own in _OWN if family in (None, f)), default=0.0)
 
 
+def coverage(grams: set[str], family: str) -> float:
+    """The largest share of a template's n-grams (of the family's templates) that are among grams."""
+    return max((len(grams & own) / max(1, len(own)) for f, own in _OWN if f == family), default=0.0)
+
+
+#: A passage holds so large a part of a template.
+CONFIRMED = 0.6
+#: Lines of a run, and from one run's first line to the next one's.
+RUN, STEP = 16, 8
+_BLANK = r"\n(?:[^A-Za-z0-9\n]*\n)+"
+
+
+def passages(text: str) -> list[tuple[int, int, int, str]]:
+    """(paragraph, first line in it, lines, words' text) of what is judged, as in scan()."""
+    out = []
+    for k, paragraph in enumerate(re.split(_BLANK, text)):
+        lines = paragraph.split("\n")
+        out += [(k, j, 1, line) for j, line in enumerate(lines)]
+        if len(lines) > 1:
+            out += [(k, j, min(RUN, len(lines) - j), " ".join(lines[j : j + RUN])) for j in range(0, len(lines), STEP) if j == 0 or j + STEP < len(lines)]
+    return out
+
+
 class LicenseModel:
     """weights: n-gram -> one weight for each family (unknown is the baseline with weight 0 and bias 0); thresholds:
     the probability each family must reach; false_share: see the module."""
@@ -229,7 +292,7 @@ class LicenseModel:
 def _fit(rows: list[tuple[set[str], int]], families: list[str], rounds: int, rate: float, sparse: float) -> LicenseModel:
     """Proximal gradient descent with momentum and an L1 penalty, over the n-grams of templates."""
     unknown = len(families)
-    vocabulary = {g: i for i, g in enumerate(sorted(set().union(*[own for _, own in _OWN])))}
+    vocabulary = {g: i for i, g in enumerate(evidence())}
     x = np.zeros((len(rows), len(vocabulary)), np.float32)
     for i, (grams, _) in enumerate(rows):
         x[i, [vocabulary[g] for g in grams if g in vocabulary]] = 1.0
@@ -266,7 +329,7 @@ def train(negatives: list[str], seed: int = 7, copies: int = 12, rounds: int = 1
     unknown = len(families)
     order = rng.permutation(len(negatives))
     plain = [g for g in (_grams(negatives[i]) for i in order[:2000]) if likeness(g) < 0.5]
-    talk = [_grams(t) for t in CONFUSABLE]
+    talk = [_grams(t) for t in [*CONFUSABLE, *OTHERS, *SHARED]]
     fit, held = [*plain[::2], *talk[::2] * 8], [*plain[1::2], *talk[1::2]]
     first = _fit([*positive, *[(g, unknown) for g in talk]], families, rounds, rate, sparse)
     # notices that are like no template are no examples of `unknown` either
@@ -299,7 +362,7 @@ def judge(model: LicenseModel, text: str) -> tuple[str, float, bool]:
     k = int(np.argmax(own))
     if own[k] < model.thresholds[k]:
         return UNKNOWN, own[k], False
-    return model.families[k], own[k], likeness(_grams(text), model.families[k]) >= 0.6
+    return model.families[k], own[k], coverage(_grams(text), model.families[k]) >= CONFIRMED
 
 
 def pattern_of(words: Iterable[str]) -> str:
@@ -369,8 +432,8 @@ def _score(spark: SparkSession, model: LicenseModel, paragraph: Column, buckets:
 
             def named(family: Column) -> Column:
                 def confirmed(grams: Column) -> Column:
-                    share = lambda t: F.size(F.array_intersect(grams, t["g"])) / F.greatest(F.least(F.size(t["g"]), F.size(grams)), F.lit(1))
-                    return F.array_max(F.transform(F.filter(templates, lambda t: t["f"] == family), share)) >= 0.6
+                    share = lambda t: F.size(F.array_intersect(grams, t["g"])) / F.size(t["g"])
+                    return F.array_max(F.transform(F.filter(templates, lambda t: t["f"] == family), share)) >= CONFIRMED
 
                 return F.struct(family.alias("family"), probability.alias("probability"), let(_grams_of(words), confirmed).alias("confirmed"))
 
@@ -388,34 +451,52 @@ def sample_paragraphs(docs: DataFrame, text: str = "text", most: int = 2000) ->
     # a share of the rows by hash first, so that the ordered sample reads a few times `most` rows however many there are
     share = max(1, rows.count() // (4 * most))
     few = rows.where(F.pmod("h", F.lit(share)) == 0).orderBy("h", "text").limit(most)
-    rows = few.select(F.explode(F.split("text", "\n")).alias("p")).where(F.length("p") > 20).orderBy(F.xxhash64("p"), "p").limit(most)
+    rows = few.select(F.explode(_passages(F.col("text"))).alias("x")).select("x.p").where(F.length("p") > 20).orderBy(F.xxhash64("p"), "p").limit(most)
     return [r["p"] for r in rows.collect()]
 
 
+def _passages(text: Column) -> Column:
+    """Array of struct(paragraph, line, lines, p), as in passages()."""
+
+    def of(lines: Column, k: Column) -> Column:
+        entry = lambda j, n, p: F.struct(k.cast("int").alias("paragraph"), j.cast("int").alias("line"), n.cast("int").alias("lines"), p.alias("p"))
+        single = F.transform(lines, lambda p, j: entry(j, F.lit(1), p))
+        starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1, F.lit(STEP)), lambda j: (j == 0) | (j + STEP < F.size(lines)))
+        runs = F.transform(starts, lambda j: entry(j, F.least(F.lit(RUN), F.size(lines) - j), F.array_join(F.slice(lines, j + 1, F.lit(RUN)), " ")))
+        return F.when(F.size(lines) > 1, F.concat(single, runs)).otherwise(single)
+
+    return F.flatten(F.transform(F.split(text, _BLANK), lambda paragraph, k: let(F.split(paragraph, "\n"), lambda lines: of(lines, k))))
+
+
 def scan(docs: DataFrame, model: LicenseModel, text: str = "text", into: str = "licenses") -> DataFrame:
-    """docs with `into`: an array of struct(paragraph, family, probability, confirmed), one for each paragraph (line)
-    that the model finds a family in, with its number. Null, empty and blank texts have none, equal rows give a row
-    each, an empty table gives an empty table. A column of docs that is called `into` is replaced."""
+    """docs with `into`: an array of struct(paragraph, line, lines, family, probability, confirmed), one for each passage
+    that the model finds a family in: a line of a paragraph, or a run of several. Null, empty and blank texts have none,
+    equal rows give a row each, an empty table gives an empty table. A column of docs that is called `into` is replaced."""
     spark = docs.sparkSession
-    lines, scored = unused([*docs.columns, into], "lines", "scored")
+    held, scored = unused([*docs.columns, into], "passages", "scored")
     telling = model.telling_words()
-    line = lambda p: F.lower(p).rlike(pattern_of(telling)) if telling else F.lit(True)
-    every = F.transform(F.split(F.col(text), "\n"), lambda p, i: F.struct(i.alias("at"), p.alias("p")))
-    out = docs.withColumn(lines, F.filter(every, lambda x: line(x["p"])))
-    score = F.transform(lines, lambda x: F.struct(x["at"].alias("paragraph"), _score(spark, model, x["p"]).alias("s")))
-    out = out.withColumn(scored, F.when(F.size(lines) > 0, score))
-    flat = F.transform(F.filter(scored, lambda x: x["s"]["family"] != UNKNOWN), lambda x: F.struct(x["paragraph"].alias("paragraph"), x["s"]["family"].alias("family"), x["s"]["probability"].alias("probability"), x["s"]["confirmed"].alias("confirmed")))
-    return out.withColumn(into, F.coalesce(flat, F.array().cast("array<struct<paragraph:int,family:string,probability:double,confirmed:boolean>>"))).drop(lines, scored)
+    tells = lambda p: F.lower(p).rlike(pattern_of(telling)) if telling else F.lit(True)
+    out = docs.withColumn(held, F.when(tells(F.col(text)), F.filter(_passages(F.col(text)), lambda x: tells(x["p"]))))
+    fields = ("paragraph", "line", "lines")
+    score = F.transform(held, lambda x: F.struct(*[x[f].alias(f) for f in fields], _score(spark, model, x["p"]).alias("s")))
+    out = out.withColumn(scored, F.when(F.size(held) > 0, score))
+    flat = F.transform(F.filter(scored, lambda x: x["s"]["family"] != UNKNOWN), lambda x: F.struct(*[x[f].alias(f) for f in fields], *[x["s"][f].alias(f) for f in ("family", "probability", "confirmed")]))
+    return out.withColumn(into, F.coalesce(flat, F.array().cast("array<struct<paragraph:int,line:int,lines:int,family:string,probability:double,confirmed:boolean>>"))).drop(held, scored)
 
 
 def families_of(docs: DataFrame, model: LicenseModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_candidates, n_licenses, family, probability for each row of docs: the confirmed paragraph of the
-    highest probability (the first, if equal) names the family; `unknown` with probability 0 if none is confirmed.
-    Candidates are the paragraphs in which the model finds a family, licenses those that a template confirms too.
-    Equal rows and null ids give a row each; an empty table gives an empty table."""
+    """doc_id, n_candidates, n_licenses, family, probability for each row of docs: the family whose confirmed passages'
+    probabilities add up to most (the last by name, if equal) and the largest of them; `unknown` with probability 0 if
+    none is confirmed. Candidates are the passages in which the model finds a family, licenses those that hold a template
+    too. Equal rows and null ids give a row each; an empty table gives an empty table."""
     rows = scan(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), model)
     rows = rows.select("doc_id", F.size("licenses").cast("long").alias("n_candidates"), F.filter("licenses", lambda x: x["confirmed"]).alias("sure"))
-    best = F.array_max(F.transform("sure", lambda x: F.struct(x["probability"].alias("probability"), (-x["paragraph"]).alias("before"), x["family"].alias("family"))))
+
+    def weight(family: Column) -> Column:
+        own = F.transform(F.filter("sure", lambda x: x["family"] == family), lambda x: x["probability"])
+        return F.struct(F.round(F.aggregate(own, F.lit(0.0), lambda a, v: a + v), 9).alias("total"), family.alias("family"), F.array_max(own).alias("probability"))
+
+    best = F.array_max(F.transform(F.array_distinct(F.transform("sure", lambda x: x["family"])), weight))
     rows = rows.withColumn("best", best)
     return rows.select("doc_id", "n_candidates", F.size("sure").cast("long").alias("n_licenses"), F.coalesce("best.family", F.lit(UNKNOWN)).alias("family"), F.round(F.coalesce("best.probability", F.lit(0.0)), 9).alias("probability"))
 

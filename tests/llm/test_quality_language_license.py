@@ -249,15 +249,117 @@ def test_licenses(spark, make_docs, odd_rows, plain, model):
     assert sum(got[600 + k]["family"] == f for k, (f, _) in enumerate(OTHERS)) >= len(OTHERS) - 1
     assert all(got[i]["family"] == license.UNKNOWN for i, _ in clean) and got[1]["family"] == license.UNKNOWN and got[1]["n_candidates"] == 0
     for row in license.scan(docs, model).collect():
-        expected = [(k, *license.judge(model, line)) for k, line in enumerate((row["text"] or "").split("\n"))]
-        expected = [e for e in expected if e[1] != license.UNKNOWN]
-        assert [(x["paragraph"], x["family"], x["confirmed"]) for x in row["licenses"]] == [(k, f, c) for k, f, _, c in expected]
-        assert all(x["probability"] == pytest.approx(p, abs=1e-9) for x, (_, _, p, _) in zip(row["licenses"], expected, strict=True))
+        expected = [(k, line, lines, *license.judge(model, p)) for k, line, lines, p in license.passages(row["text"] or "")]
+        expected = [e for e in expected if e[3] != license.UNKNOWN]
+        assert [(x["paragraph"], x["line"], x["lines"], x["family"], x["confirmed"]) for x in row["licenses"]] == [(*e[:4], e[5]) for e in expected]
+        assert all(x["probability"] == pytest.approx(e[4], abs=1e-9) for x, e in zip(row["licenses"], expected, strict=True))
     assert license.families_of(make_docs([]), model).count() == 0
     named = docs.withColumn("lines", F.lit(1)).withColumn("a.b", F.lit(2))
     assert license.scan(named, model).columns == [*named.columns, "licenses"]
 
 
+#: Notices as they stand in files: wrapped, with comment signs, several paragraphs, heads of whole licence texts.
+FILES = {
+    "MIT": """Copyright (c) 2021 A. Nobody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+    "BSD": """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ *
+ * 1. Redistributions of source code must retain the above copyright notice,
+ *    this list of conditions and the following disclaimer.
+ * 2. Redistributions in binary form must reproduce the above copyright
+ *    notice, this list of conditions and the following disclaimer in the
+ *    documentation and/or other materials provided with the distribution.""",
+    "Apache-2.0": """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+    "GPL": """// This program is free software: you can redistribute it and/or modify
+// it under the terms of the GNU General Public License as published by
+// the Free Software Foundation, either version 3 of the License, or
+// (at your option) any later version.
+//
+// This program is distributed in the hope that it will be useful,
+// but WITHOUT ANY WARRANTY; without even the implied warranty of
+// MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+// GNU General Public License for more details.""",
+    "LGPL": """   This library is free software; you can redistribute it and/or
+   modify it under the terms of the GNU Lesser General Public
+   License as published by the Free Software Foundation; either
+   version 2.1 of the License, or (at your option) any later version.
+
+   This library is distributed in the hope that it will be useful,
+   but WITHOUT ANY WARRANTY; without even the implied warranty of
+   MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+   Lesser General Public License for more details.""",
+    "AGPL": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU Affero General Public License as published
+    by the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.""",
+    "MPL-2.0": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+}
+HEADS = [
+    ("GPL", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed."),
+    ("AGPL", "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed."),
+    ("LGPL", "                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999\n\n Copyright (C) 1991, 1999 Free Software Foundation, Inc.\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed."),
+    ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions"),
+]
+NOBODYS = [
+    "You may not use this file except in compliance with the License.", "This program is free software: you can redistribute it and/or modify", "The software is licensed to you by Contoso under a commercial license agreement",
+    "Boost your immune system now with version 1.0", "Apache web server, version 2.0, and a license plate reader", "Licensed under GPL v2", "Academic Free License", "Licensed under the Open Publication License, v1.0 or later",
+    "Everyone is permitted to copy and distribute verbatim copies of this license document", "The museum of modern art is open to the public", "See LICENSE for details", "Copyright 2020. All rights reserved.",
+]
+
+
+def test_notices_as_they_stand_in_files(spark, make_docs, plain, model):
+    """Real notices are named right wherever they stand, and what names no family here is unknown."""
+    rng = random.Random(8)
+    named = [(1000 + k, f, t) for k, (f, t) in enumerate([*FILES.items(), *HEADS])]
+    named += [(2000 + k, f, f"{prose(rng, 30)}\n{prose(rng, 9)}\n{t}\n{prose(rng, 200)}") for k, (f, t) in enumerate([*FILES.items(), *HEADS])]
+    none = [(3000 + k, "unknown", t) for k, t in enumerate(NOBODYS)] + [(4000 + k, "unknown", f"{plain[k]}\n\n{t}") for k, t in enumerate(NOBODYS)]
+    got = {r["doc_id"]: r["family"] for r in license.families_of(make_docs([(k, t) for k, _, t in [*named, *none]]), model).collect()}
+    assert {k: got[k] for k, *_ in [*named, *none]} == {k: f for k, f, _ in [*named, *none]}
+
+
+def test_passages_cover_every_line():
+    text = "\n".join(["a", "b", " * ", "", *[f"line {k}" for k in range(40)], "---", "é", "z"])
+    found = license.passages(text)
+    assert [p for *_, n, p in found if n == 1 and p in "abz"] == ["a", "b", "z"] and sum(n == 1 for *_, n, _ in found) == 43
+    runs = [(k, j, n) for k, j, n, _ in found if n > 1]
+    assert runs == [(0, 0, 2), (1, 0, 16), (1, 8, 16), (1, 16, 16), (1, 24, 16)]
+    assert license.passages("") == [(0, 0, 1, "")]
+
+
+def test_evidence_is_of_one_family():
+    grams = set(license.evidence())
+    for f, own in license._OWN:
+        assert not any(g in grams for g in own if any(g in other for h, other in license._OWN if h != f)) and own & grams
+
+
 def test_notices_in_the_sample_are_no_negatives(plain, model):
     poisoned = license.train(plain[:180] + ["Released under the MIT License."] * 60 + ["Licensed under the Apache License, Version 2.0."] * 60)
     for line, family in (("Released under the MIT License.", "MIT"), ("Licensed under the Apache License, Version 2.0.", "Apache-2.0")):
