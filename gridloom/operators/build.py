@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import math
 import os
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..functions.projection import in_plane, latitude, local_x, local_y, longitude, pixel, tile_x, tile_y
 from ..functions.text import MISSING, prefix_double
@@ -15,6 +19,7 @@ from ..functions.tileid import id_of, with_tile_id, zxy_of
 from ..sources import mlt, mvt
 from ..sources.archive import TILE_TYPES, compress
 from ..sources.delimited import read_delimited
+from ..sources.scratch import materialise
 from ..sources.writer import write_archive
 
 _FLOAT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+|0[xX][0-9a-fA-F]+|[iI][nN][fF]|[nN][aA][nN])"
@@ -76,13 +81,36 @@ def outside(rows: DataFrame, zoom: int, x: str = "gx", y: str = "gy") -> DataFra
     return rows.where(~F.coalesce(in_plane(x, y, zoom), F.lit(False)))
 
 
-def encode_tiles(placed: DataFrame, codec: str, layer: str, types: dict[str, str], nullable: dict[str, bool] | None = None, order: str = "seq", ids: bool = False) -> DataFrame:
-    """tile_id, n, data: packed tiles. A tile's points are encoded by one task, in order of `order`."""
-    columns = list(types)
-    kinds = {c: {"INT": "int", "FLOAT": "float", "STRING": "string"}[t] for c, t in types.items()}
+#: Tiles of more points than this are encoded in chunks by several tasks.
+CHUNK = 128 * mlt.ALIGN
+
+
+def encode_tiles(placed: DataFrame, codec: str, layer: str, types: dict[str, str], nullable: dict[str, bool] | None = None, order: str = "seq", ids: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """tile_id, n, data: packed tiles, their points in order of `order`. A tile is encoded by one task; columnar tiles of
+    more than `chunk` points (a multiple of mlt.ALIGN) by one for each so many, whose streams are then joined. Row-oriented
+    tiles have dictionaries over all their points and are not cut."""
+    if codec != "mlt":
+        return _whole_tiles(placed, codec, layer, types, nullable, order, ids)
+    large = materialise(placed.groupBy("tile_id").count().where(F.col("count") > chunk).select("tile_id"), "large-tiles")
+    if large.isEmpty():
+        return _whole_tiles(placed, codec, layer, types, nullable, order, ids)
+    small = _whole_tiles(placed.join(large, "tile_id", "left_anti"), codec, layer, types, nullable, order, ids)
+    return small.unionByName(_joined_tiles(placed.join(large, "tile_id", "left_semi"), layer, types, nullable, order, chunk))
+
+
+def _kinds(types: dict[str, str]) -> dict[str, str]:
+    return {c: {"INT": "int", "FLOAT": "float", "STRING": "string"}[t] for c, t in types.items()}
+
+
+def _columns(placed: DataFrame, order: str, columns: list[str], *more: str) -> DataFrame:
+    return placed.select("tile_id", "px", "py", F.col(order).alias("seq"), *more, *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)])
+
+
+def _whole_tiles(placed: DataFrame, codec: str, layer: str, types: dict[str, str], nullable: dict[str, bool] | None, order: str, ids: bool) -> DataFrame:
+    columns, kinds = list(types), _kinds(types)
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by(order)
+        table = table.sort_by("seq")
         xs, ys = table.column("px").to_pylist(), table.column("py").to_pylist()
         values = {c: table.column(f"c{k}").to_pylist() for k, c in enumerate(columns)}
         if codec == "mlt":
@@ -91,8 +119,64 @@ def encode_tiles(placed: DataFrame, codec: str, layer: str, types: dict[str, str
             data = mvt.encode_layer(layer, xs, ys, values, ids=ids)
         return pa.table({"tile_id": pa.array([table.column("tile_id")[0].as_py()], pa.int64()), "n": pa.array([len(xs)], pa.int64()), "data": pa.array([compress(data)], pa.binary())})
 
-    own = placed.select("tile_id", "px", "py", F.col(order), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)])
-    return own.groupBy("tile_id").applyInArrow(run, "tile_id long, n long, data binary")
+    return _columns(placed, order, columns).groupBy("tile_id").applyInArrow(run, "tile_id long, n long, data binary")
+
+
+def numbered(rows: DataFrame, key: str, order: str, name: str = "nth") -> DataFrame:
+    """rows with their place (from 0) among the rows of their key, in order. Rows are sorted by range, so that a key with
+    very many rows is spread over tasks; each task counts its own, and what came before is summed over tasks."""
+    own, part = f"_{name}", f"_{name}_part"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen, task = None, 0, TaskContext.get().partitionId()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(at).to_numpy(zero_copy_only=False)
+            begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            starts = np.repeat(begins, np.diff(np.append(begins, len(keys))))
+            places = np.arange(len(keys)) - starts
+            if keys[0] == last:
+                places[: begins[1] if len(begins) > 1 else len(keys)] += seen
+            last, seen = keys[-1], int(places[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64()), pa.array(np.full(len(keys), task, np.int32))], names=[*batch.schema.names, own, part])
+
+    at = rows.columns.index(key)
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = rows.repartitionByRange(parts, key, order).sortWithinPartitions(key, order)
+    schema = StructType([*rows.schema.fields, StructField(own, LongType()), StructField(part, IntegerType())])
+    table = materialise(ordered.mapInArrow(run, schema), "numbered")
+    before = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    runs = table.groupBy(key, part).agg(F.count(F.lit(1)).alias("_n"))  # a row for each key of each task
+    starts = runs.select(key, part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return table.join(starts, [key, part]).withColumn(name, F.col("_before") + F.col(own)).select(*rows.columns, name)
+
+
+def _joined_tiles(placed: DataFrame, layer: str, types: dict[str, str], nullable: dict[str, bool] | None, order: str, chunk: int) -> DataFrame:
+    """Columnar tiles from chunks of their points."""
+    if chunk % mlt.ALIGN:
+        raise ValueError(f"chunks hold a multiple of {mlt.ALIGN} points")
+    columns, kinds = list(types), _kinds(types)
+
+    def encode(table: pa.Table) -> pa.Table:
+        table = table.sort_by("nth")
+        values = {c: table.column(f"c{k}").to_pylist() for k, c in enumerate(columns)}
+        own = mlt.encode_chunk(table.column("px").to_pylist(), table.column("py").to_pylist(), values, kinds)
+        streams = [own.vertices, *[part for c in own.columns for part in c[:3]]]
+        row = {"tile_id": table.column("tile_id")[:1], "chunk": table.column("chunk")[:1], "streams": pa.array([streams], pa.list_(pa.binary())), "counts": pa.array([[own.n, *[c[3] for c in own.columns]]], pa.list_(pa.int64()))}
+        return pa.table(row)
+
+    def join(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk")
+        chunks = []
+        for streams, counts in zip(table.column("streams").to_pylist(), table.column("counts").to_pylist(), strict=True):
+            chunks.append(mlt.MltChunk(counts[0], streams[0], [(*streams[1 + 3 * k : 4 + 3 * k], counts[1 + k]) for k in range(len(columns))]))
+        data = compress(mlt.join_chunks(layer, chunks, kinds, nullable))
+        return pa.table({"tile_id": table.column("tile_id")[:1], "n": pa.array([sum(k.n for k in chunks)], pa.int64()), "data": pa.array([data], pa.binary())})
+
+    rows = numbered(_columns(placed, order, columns), "tile_id", "seq").withColumn("chunk", F.expr(f"nth div {chunk}"))
+    chunks = rows.groupBy("tile_id", "chunk").applyInArrow(encode, "tile_id long, chunk long, streams array<binary>, counts array<long>")
+    return chunks.groupBy("tile_id").applyInArrow(join, "tile_id long, n long, data binary")
 
 
 def metadata_of(layer: str, codec: str, types: dict[str, str], zoom: int, n: int) -> dict:
@@ -116,10 +200,7 @@ def layer_name(path: str) -> str:
 
 def write_points(placed: DataFrame, path: str, zoom: int, codec: str, layer: str, types: dict[str, str], nullable: dict[str, bool] | None = None, x: str = "gx", y: str = "gy") -> dict:
     """Encodes placed points and writes the archive; returns its header fields."""
-    tiles = encode_tiles(placed, codec, layer, types, nullable)
-    from ..sources.scratch import materialise
-
-    tiles = materialise(tiles, "encoded")
+    tiles = materialise(encode_tiles(placed, codec, layer, types, nullable), "encoded")
     span = placed.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
     lonlat = span.select(*[(f(c) * 1e7).cast("long").cast("int").alias(c) for c, f in (("x0", longitude), ("y0", latitude), ("x1", longitude), ("y1", latitude))]).first()
     best = busiest_tile(tiles).first()["tile_id"]

@@ -33,32 +33,65 @@ def _name(text: str) -> bytes:
     return put_varint(len(raw)) + raw
 
 
-def encode_layer(name: str, xs: list[int], ys: list[int], columns: dict[str, list], types: dict[str, str], nullable: dict[str, bool] | None = None, extent: int = 4096) -> bytes:
-    """A tile with one layer. types: int, float or string for each column; ints beyond 32 bits are written as 0."""
+#: Points of a chunk are a multiple of this, so that presence bits (literal runs of 128 bytes) follow one another.
+ALIGN = 1024
+
+
+@dataclass
+class MltChunk:
+    """The streams of some points of a tile: vertices, and of each column presence bits, lengths, data, and values there."""
+
+    n: int
+    vertices: bytes
+    columns: list[tuple[bytes, bytes, bytes, int]]
+
+
+def encode_chunk(xs: list[int], ys: list[int], columns: dict[str, list], types: dict[str, str]) -> MltChunk:
+    """Streams of points that stand one after the other in a tile, without their heads; ints beyond 32 bits are 0."""
     n = len(xs)
-    nulls = nullable or {c: any(v is None for v in values) for c, values in columns.items()}
-    code = {"int": INT, "float": FLOAT, "string": STRING}
-    out = [_name(name), put_varint(extent), put_varint(len(columns) + 1), put_varint(GEOMETRY)]
-    for c in columns:
-        out += [put_varint(code[types[c]] + bool(nulls[c])), _name(c)]
     xy = np.stack([np.array(xs, np.int64), np.array(ys, np.int64)], axis=1).ravel() if n else np.zeros(0, np.int64)
-    out += [put_varint(2), _stream(HEAD["type"], n, bytes(n)), _stream(HEAD["vertex"], 2 * n, put_varints(zigzags(xy)))]
+    out = []
     for c, values in columns.items():
         there = np.array([v is not None for v in values], bool)
-        own = [v for v in values if v is not None]
-        present = _stream(HEAD["present"], n, bools_encode(there)) if nulls[c] else b""
+        own, lengths = [v for v in values if v is not None], b""
         if types[c] == "string":
             raw = [str(v).encode() for v in own]
-            out += [put_varint(2 + bool(nulls[c])), present, _stream(HEAD["length"], len(raw), put_varints([len(r) for r in raw])), _stream(HEAD["data"], 0, b"".join(raw))]
+            lengths, data = put_varints([len(r) for r in raw]), b"".join(raw)
         elif types[c] == "int":
-            whole = np.array([int(v) if -(1 << 31) <= int(v) < 1 << 31 else 0 for v in own], np.int64)
-            out += [present, _stream(HEAD["int"], len(own), put_varints(zigzags(whole)))]
+            data = put_varints(zigzags(np.array([int(v) if -(1 << 31) <= int(v) < 1 << 31 else 0 for v in own], np.int64)))
         else:
-            out += [present, _stream(HEAD["float"], len(own), float32(np.array(own, np.float64)))]
+            data = float32(np.array(own, np.float64))
+        out.append((bools_encode(there), lengths, data, len(own)))
+    return MltChunk(n, put_varints(zigzags(xy)), out)
+
+
+def join_chunks(name: str, chunks: list[MltChunk], types: dict[str, str], nullable: dict[str, bool] | None = None, extent: int = 4096) -> bytes:
+    """A tile with one layer from its chunks in order; all but the last hold a multiple of ALIGN points. types: int, float
+    or string for each column; nullable: None for what the values say."""
+    n = sum(k.n for k in chunks)
+    there = [sum(k.columns[i][3] for k in chunks) for i in range(len(types))]
+    nulls = nullable or {c: there[i] < n for i, c in enumerate(types)}
+    code = {"int": INT, "float": FLOAT, "string": STRING}
+    out = [_name(name), put_varint(extent), put_varint(len(types) + 1), put_varint(GEOMETRY)]
+    for c in types:
+        out += [put_varint(code[types[c]] + bool(nulls[c])), _name(c)]
+    out += [put_varint(2), _stream(HEAD["type"], n, bytes(n)), _stream(HEAD["vertex"], 2 * n, b"".join(k.vertices for k in chunks))]
+    for i, c in enumerate(types):
+        present, lengths, data = (b"".join(k.columns[i][part] for k in chunks) for part in range(3))
+        present = _stream(HEAD["present"], n, present) if nulls[c] else b""
+        if types[c] == "string":
+            out += [put_varint(2 + bool(nulls[c])), present, _stream(HEAD["length"], there[i], lengths), _stream(HEAD["data"], 0, data)]
+        else:
+            out += [present, _stream(HEAD[types[c]], there[i], data)]
     body = b"\x01" + b"".join(out)
     return put_varint(len(body)) + body
 
 
+def encode_layer(name: str, xs: list[int], ys: list[int], columns: dict[str, list], types: dict[str, str], nullable: dict[str, bool] | None = None, extent: int = 4096) -> bytes:
+    """A tile with one layer, as one chunk."""
+    return join_chunks(name, [encode_chunk(xs, ys, columns, types)], {c: types[c] for c in columns}, nullable, extent)
+
+
 def _layers(data: bytes):
     at = 0
     while at < len(data):
