@@ -7,11 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import centroid, in_any_region, in_box, in_ring, ring_box, row_in_regions
-from ..functions.projection import HALF, _c, tile_width
+from ..functions.geometry import centroid, in_any_region, in_box, ring_box, row_in_regions
+from ..functions.projection import HALF, tile_width
 from ..functions.text import filled, fixed
 from ..sources.regions import Ring, boxes_of
+from ..sources.scratch import materialise
 from ..sources.sinks import vertices_text
+from . import cover
 
 
 @dataclass
@@ -70,30 +72,30 @@ def filter_points(points: DataFrame, box: Box | None = None, rings: list[Ring] |
 
 
 def points_in_regions(points: DataFrame, regions: DataFrame, x: str = "gx", y: str = "gy") -> DataFrame:
-    """Points in any of many regions, given as a table with a column `ring` (closed or not).
+    """Points in any of many regions, given as a table with a column `ring` (closed or not); all columns stay, each row
+    once. Null coordinates are in no region.
 
-    For region sets too large for literal expressions. Each region is put on the grid of a zoom level at which its box
-    is no wider or higher than a tile, so at most four tiles cover it; points meet regions on the tiles of each level in use (an
-    equi-join), and the even-odd test runs once for each point and region near it. No edges are multiplied, nothing
-    is grouped; a semi-join leaves each point once.
+    For region sets too large for literal expressions. Points meet the cells of regions (see cover) on the grid of each
+    level in use, by an equi-join; points in cells inside a region are found by that, and only those on its edge are
+    tested, against the edges that matter there. A semi-join leaves each point once.
     """
-    box = regions.select("ring", ring_box("ring").alias("b")).select("ring", "b.*")
-    extent = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"), F.lit(1e-3))
-    level = F.least(F.lit(20), F.greatest(F.lit(0), F.floor(F.log2(F.lit(2 * HALF) / extent)).cast("int")))
-    cell = lambda v, z: F.floor((_c(v) + F.lit(HALF)) / (F.lit(2 * HALF) / F.call_function("shiftleft", F.lit(1).cast("long"), z))).cast("long")
-    cover = box.withColumn("cz", level)
-    for c, low, high in (("cx", "xmin", "xmax"), ("cy", "ymin", "ymax")):
-        cover = cover.withColumn(c, F.explode(F.sequence(cell(low, F.col("cz")), cell(high, F.col("cz")))))
-    levels = [r["cz"] for r in cover.select("cz").distinct().collect()]  # 21 at most
+    cells = materialise(cover.cover(regions), "cover")
+    levels = sorted(r["cz"] for r in cells.select("cz").distinct().collect())  # one for each level of the grid at most
     if not levels:
         return points.limit(0)
     names = {c: f"_point{k}" for k, c in enumerate(points.columns)}
     px, py = names[x], names[y]
-    near = points.toDF(*names.values()).withColumn("_row", F.monotonically_increasing_id()) if len(levels) > 1 else points.toDF(*names.values())
-    near = near.withColumn("_z", F.explode(F.array(*[F.lit(z) for z in sorted(levels)]))).withColumns({"_cx": cell(px, F.col("_z")), "_cy": cell(py, F.col("_z"))})
-    inside = F.col(px).between(F.col("xmin"), F.col("xmax")) & F.col(py).between(F.col("ymin"), F.col("ymax")) & in_ring(px, py, "ring")
-    found = near.join(cover, (F.col("_z") == F.col("cz")) & (F.col("_cx") == F.col("cx")) & (F.col("_cy") == F.col("cy")) & inside, "left_semi")
-    found = found.dropDuplicates(["_row"]) if len(levels) > 1 else found  # a point may lie in regions of several levels
+    own = points.toDF(*names.values())
+    inside = F.col("inside") | (F.col(px).between(F.col("xmin"), F.col("xmax")) & F.col(py).between(F.col("ymin"), F.col("ymax")) & cover.in_edges(px, py, "edges"))
+    same = (F.col("_z") == F.col("cz")) & (F.col("_cx") == F.col("cx")) & (F.col("_cy") == F.col("cy"))
+    at = {"_cx": cover.cell(px, F.col("_z")), "_cy": cover.cell(py, F.col("_z"))}
+    if len(levels) == 1:
+        found = own.withColumn("_z", F.lit(levels[0])).withColumns(at).join(cells, same & inside, "left_semi")
+    else:
+        # a place is tried on the grid of each level, and may lie in regions of several: places are found first, once each
+        places = own.select(px, py).distinct().withColumn("_z", F.explode(F.array(*[F.lit(z) for z in levels]))).withColumns(at)
+        hits = places.join(cells, same & inside, "left_semi").select(F.col(px).alias("_hx"), F.col(py).alias("_hy")).distinct()
+        found = own.join(hits, (F.col(px) == F.col("_hx")) & (F.col(py) == F.col("_hy")), "left_semi")
     return found.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
