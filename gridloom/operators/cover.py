@@ -20,7 +20,7 @@ from ..functions.projection import HALF, _c
 
 #: Levels of the grid, halvings at most, and edges up to which a grid is halved once.
 DEEPEST, HALVINGS, FEW = 26, 5, 8
-COVER = "cz int, cx long, cy long, inside boolean, xmin double, ymin double, xmax double, ymax double, edges array<struct<xi:double,yi:double,xj:double,yj:double>>"
+COVER = "region long, cz int, cx long, cy long, inside boolean, xmin double, ymin double, xmax double, ymax double, edges array<struct<xi:double,yi:double,xj:double,yj:double>>"
 
 
 def _crossing(e: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> np.ndarray:
@@ -67,13 +67,14 @@ def cells_of(ring: np.ndarray) -> tuple[int, list[tuple[int, int, bool, np.ndarr
     return last, out
 
 
-def cover(regions: DataFrame, ring: str = "ring") -> DataFrame:
-    """cz, cx, cy, inside, the region's box, and edges (empty where inside) for the cells of each region; cells count from
-    the lower left. Null and empty rings have none."""
+def cover(regions: DataFrame, ring: str = "ring", key: str | None = None) -> DataFrame:
+    """region, cz, cx, cy, inside, the region's box, and edges (empty where inside) for the cells of each region; cells
+    count from the lower left. key: the column of whole numbers that names a region (null without). Null and empty rings
+    have no cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own in batch.column(0).to_pylist():
+            for own, region in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 vertices = np.array([(p["x"], p["y"]) for p in own or () if p and p["x"] is not None and p["y"] is not None], float).reshape(-1, 2)
                 if not len(vertices) or not np.isfinite(vertices).all():
                     continue
@@ -86,10 +87,10 @@ def cover(regions: DataFrame, ring: str = "ring") -> DataFrame:
                     values = pa.StructArray.from_arrays([pa.array(flat[:, c]) for c in range(4)], names=["xi", "yi", "xj", "yj"])
                     edges = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
                     n = len(part)
-                    columns = [pa.array([level] * n, pa.int32()), pa.array([c[0] for c in part], pa.int64()), pa.array([c[1] for c in part], pa.int64()), pa.array([c[2] for c in part]), *[pa.array([v] * n, pa.float64()) for v in box], edges]
-                    yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in ("cz int", "cx long", "cy long", "inside boolean", "xmin double", "ymin double", "xmax double", "ymax double", "edges array")])
+                    columns = [pa.array([region] * n, pa.int64()), pa.array([level] * n, pa.int32()), pa.array([c[0] for c in part], pa.int64()), pa.array([c[1] for c in part], pa.int64()), pa.array([c[2] for c in part]), *[pa.array([v] * n, pa.float64()) for v in box], edges]
+                    yield pa.RecordBatch.from_arrays(columns, names=["region", "cz", "cx", "cy", "inside", "xmin", "ymin", "xmax", "ymax", "edges"])
 
-    return regions.select(F.col(ring)).mapInArrow(run, COVER)
+    return regions.select(F.col(ring), (F.col(key) if key else F.lit(None)).cast("long").alias("_key")).mapInArrow(run, COVER)
 
 
 def in_edges(x: Column | str, y: Column | str, edges: Column | str) -> Column:

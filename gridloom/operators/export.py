@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import centroid, in_any_region, in_box, ring_box, row_in_regions
@@ -80,25 +80,64 @@ def points_in_regions(points: DataFrame, regions: DataFrame, x: str = "gx", y: s
     tested, against the edges that matter there. A semi-join leaves each point once.
     """
     cells = materialise(cover.cover(regions), "cover")
-    levels = sorted(r["cz"] for r in cells.select("cz").distinct().collect())  # one for each level of the grid at most
+    levels = _levels(cells)
     if not levels:
         return points.limit(0)
     names = {c: f"_point{k}" for k, c in enumerate(points.columns)}
     px, py = names[x], names[y]
     own = points.toDF(*names.values())
-    inside = F.col("inside") | (F.col(px).between(F.col("xmin"), F.col("xmax")) & F.col(py).between(F.col("ymin"), F.col("ymax")) & cover.in_edges(px, py, "edges"))
-    same = (F.col("_z") == F.col("cz")) & (F.col("_cx") == F.col("cx")) & (F.col("_cy") == F.col("cy"))
-    at = {"_cx": cover.cell(px, F.col("_z")), "_cy": cover.cell(py, F.col("_z"))}
     if len(levels) == 1:
-        found = own.withColumn("_z", F.lit(levels[0])).withColumns(at).join(cells, same & inside, "left_semi")
+        found = _on_grid(own, px, py, levels).join(cells, _meets(px, py), "left_semi")
     else:
         # a place is tried on the grid of each level, and may lie in regions of several: places are found first, once each
-        places = own.select(px, py).distinct().withColumn("_z", F.explode(F.array(*[F.lit(z) for z in levels]))).withColumns(at)
-        hits = places.join(cells, same & inside, "left_semi").select(F.col(px).alias("_hx"), F.col(py).alias("_hy")).distinct()
+        places = _on_grid(own.select(px, py).distinct(), px, py, levels)
+        hits = places.join(cells, _meets(px, py), "left_semi").select(F.col(px).alias("_hx"), F.col(py).alias("_hy")).distinct()
         found = own.join(hits, (F.col(px) == F.col("_hx")) & (F.col(py) == F.col("_hy")), "left_semi")
     return found.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
+def _levels(cells: DataFrame) -> list[int]:
+    """The levels of the grid in use, of which there are 27 at most."""
+    return sorted(r["cz"] for r in cells.select("cz").distinct().collect())
+
+
+def _on_grid(places: DataFrame, x: str, y: str, levels: list[int]) -> DataFrame:
+    """places with _z, _cx, _cy: their cell at each level."""
+    each = places.withColumn("_z", F.explode(F.array(*[F.lit(z) for z in levels])))
+    return each.withColumns({"_cx": cover.cell(x, F.col("_z")), "_cy": cover.cell(y, F.col("_z"))})
+
+
+def _meets(x: str, y: str) -> Column:
+    """A place on the grid lies in the region of a cell."""
+    tested = F.col(x).between(F.col("xmin"), F.col("xmax")) & F.col(y).between(F.col("ymin"), F.col("ymax")) & cover.in_edges(x, y, "edges")
+    return (F.col("_z") == F.col("cz")) & (F.col("_cx") == F.col("cx")) & (F.col("_cy") == F.col("cy")) & (F.col("inside") | tested)
+
+
+def polygons_in_regions(polygons: DataFrame, regions: DataFrame, ring: str = "ring") -> DataFrame:
+    """Polygon rows that match any of many regions, given as a table with a column `ring`: any vertex lies in a region, or
+    both corners of the polygon's box lie in the same one (what filter_polygons does with a few). All columns stay, each
+    row once; null and empty rings match nothing.
+
+    Vertices and corners meet the cells of regions (see cover); a pair of polygon and region is known by its two numbers,
+    so corners found in several cells or levels count once.
+    """
+    names = {c: f"_column{k}" for k, c in enumerate(polygons.columns)}
+    own = materialise(polygons.toDF(*names.values()).withColumn("_row", F.monotonically_increasing_id()), "polygons")
+    cells = materialise(cover.cover(materialise(regions.select("ring").withColumn("_id", F.monotonically_increasing_id()), "regions"), "ring", "_id"), "cover")
+    levels = _levels(cells)
+    if not levels:
+        return polygons.limit(0)
+    shape = F.col(names[ring])
+    vertices = own.select("_row", F.explode(shape).alias("v")).select("_row", F.col("v.x").alias("_x"), F.col("v.y").alias("_y"))
+    by_vertex = _on_grid(vertices, "_x", "_y", levels).join(cells, _meets("_x", "_y"), "left_semi").select("_row")
+    box = ring_box(shape)
+    corners = own.where(F.size(shape) > 0).select("_row", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), box[f"x{side}"].alias("x"), box[f"y{side}"].alias("y")) for k, side in enumerate(("min", "max"))])).alias("v"))
+    placed = _on_grid(corners.select("_row", "v.k", F.col("v.x").alias("_x"), F.col("v.y").alias("_y")), "_x", "_y", levels)
+    pairs = placed.join(cells, _meets("_x", "_y")).groupBy("_row", "region").agg(F.bit_or(F.col("k") + 1).alias("both"))
+    hits = by_vertex.unionByName(pairs.where("both = 3").select("_row")).distinct()
+    return own.join(hits, "_row", "left_semi").select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def filter_polygons(polygons: DataFrame, box: Box | None = None, rings: list[Ring] | None = None, ring: str = "ring") -> DataFrame:
     """Polygon rows whose box overlaps the box, and that match the regions."""
     out = polygons

@@ -122,6 +122,7 @@ ORACLE_SQL: dict[str, str] = {
     "polygon_bbox": f"{_POLY} select id, xmin, ymin, xmax, ymax from b",
     "polygon_bbox_overlap": f"{_POLY} select id from b where xmax >= {_d(-1e6)} and xmin <= {_d(2e6)} and ymax >= {_d(-1.5e6)} and ymin <= {_d(2.5e6)}",
     "polygon_region_match": f"{_POLY} select id from b where {_MATCH}",
+    "polygon_region_table": f"{_POLY} select id from b where {_MATCH}",
     "polygon_vertices_text": f"{_POLY} select id, '[' || array_to_string(list_transform(ring[1:len(ring) - 1], lambda v: '[' || {_fixed('v.x')} || ',' || {_fixed('v.y')} || ']'), ',') || ']' as \"Vertices\" from p",
     "column_select_fill": f"{_POLY} select {_fixed(_SUM.format(c='x'))} \"X\", {_fixed(_SUM.format(c='y'))} \"Y\", id::varchar as key, case when label is null or label = '' then 'NA' else label end as label from p",
     "type_infer": """with t as (select cast(l_linenumber as varchar) a, case when l_orderkey % 11 = 0 then 'NA' else cast(l_partkey as varchar) end b, case when l_orderkey % 3 = 0 then '' else concat(cast(l_suppkey as varchar), '.5') end c,

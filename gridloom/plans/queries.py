@@ -212,6 +212,13 @@ def polygon_region_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.filter_polygons(data.polygons(spark, sf_dir), rings=data.PARTS).select("id")
 
 
+@query
+def polygon_region_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the regions as a table, by their cells."""
+    rings = spark.createDataFrame([(r,) for r in data.PARTS], "ring array<struct<x:double,y:double>>")
+    return export.polygons_in_regions(data.polygons(spark, sf_dir), rings).select("id")
+
+
 @query
 def polygon_vertices_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data.polygons(spark, sf_dir).select("id", sinks.vertices_text("ring").alias("Vertices"))

@@ -55,3 +55,16 @@ def test_few_points_of_a_large_region_are_tested():
         wrong += inside != cover._inside(np.concatenate([np.array(ring), np.roll(np.array(ring), 1, axis=0)], axis=1), x, y)
     assert not wrong and tests < 600 and edges_seen < 3000 * 10_000 / 100
     assert sum(len(e) for *_, e in cells if e is not None) < 20 * len(ring)
+
+
+def test_polygons_of_many_regions(spark):
+    """The same rows as with literal rings, one by one."""
+    rng = random.Random(8)
+    rings = [star(rng, rng.choice([3, 5, 40]), rng.uniform(-1e6, 1e6), rng.uniform(-1e6, 1e6), rng.choice([2e3, 1e5, 4e5])) for _ in range(25)]
+    shapes = [(k, star(rng, rng.choice([3, 6, 20]), rng.uniform(-1.3e6, 1.3e6), rng.uniform(-1.3e6, 1.3e6), rng.choice([1e3, 3e4, 9e5]))) for k in range(150)] + [(900, None), (901, []), (902, rings[0])]
+    polygons = spark.createDataFrame(shapes, f"id long, {RINGS}").withColumn("region", F.lit("x")).repartition(4)
+    for some in (rings, rings[:1], []):
+        found = export.polygons_in_regions(polygons, spark.createDataFrame([(r,) for r in some], RINGS))
+        expected = export.filter_polygons(polygons.where(F.size("ring") > 0), rings=some) if some else polygons.limit(0)
+        assert found.columns == polygons.columns
+        assert sorted(r["id"] for r in found.collect()) == sorted(r["id"] for r in expected.collect())
