@@ -455,6 +455,17 @@ def _join(sets: DataFrame, percent: int) -> DataFrame:
     return sets.groupBy("task", "left", "right").applyInArrow(run, "a long, b long")
 
 
+def _buckets(sets: DataFrame, percent: int, least: int, bucket_bytes: int) -> int:
+    """The number of buckets, least or its double, fourfold, ..., from which on a bucket holds bucket_bytes or less. A
+    posting takes 20 bytes in its bucket, and a set's name, size and bitmap go once to each bucket that has some of its
+    postings: a set of l postings meets b * (1 - exp(-l / b)) of b buckets."""
+    length = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
+    numbers = [least << k for k in range(30)]
+    met = lambda b: F.lit(float(b)) * (1 - F.exp(-length / F.lit(float(b))))
+    size = sets.agg(*[F.coalesce(F.sum(20 * length + (16 + F.col("n_shingles") / 8) * met(b)), F.lit(0.0)).alias(f"b{k}") for k, b in enumerate(numbers)]).first()
+    return next((b for k, b in enumerate(numbers) if size[f"b{k}"] <= b * bucket_bytes), numbers[-1])
+
+
 def _classes(docs: DataFrame, width: int, percent: int, doc_id: str, text: str, most_often: int = 200_000, block: int = 1_500_000, salt_from: int = 20_000, bucket_bytes: int = 64_000_000) -> DataFrame:
     """doc_id, row, n_shingles, component_id, first_row (the row that stands for the component).
 
@@ -474,10 +485,7 @@ def _classes(docs: DataFrame, width: int, percent: int, doc_id: str, text: str,
     rank = np.arange(len(often), 0, -1)[order]  # the most frequent comes last
     often = often[order]
     partitions = shuffle_partitions(spark)
-    # 20 bytes a posting, and once in most of its buckets a set's name, size and bitmap
-    length = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
-    weight = sets.where("set is not null").agg(F.sum(length * (36 + F.col("n_shingles") / 8))).first()[0] or 0
-    buckets = max(64, partitions, int(weight // bucket_bytes) + 1)
+    buckets = _buckets(sets.where("set is not null"), percent, max(64, partitions), bucket_bytes)
     edges = materialise(_may_link(_postings(base, width, percent, often, rank, heavy, buckets), percent), "may-link")
     groups = materialise(components(edges), "groups")  # node: a set that may link
     # the sets of each group meet: one row stands for each set

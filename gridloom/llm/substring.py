@@ -313,7 +313,9 @@ def cut(text: bytes, out: np.ndarray) -> bytes:
 
 
 def cut_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str = "text", hot_from: int = 20_000) -> DataFrame:
-    """docs with repeated words (as dedup() finds them) cut out of the text column; all rows and columns stay."""
+    """docs with repeated words (as dedup() finds them) cut out of the text column, each with the white space after it; all
+    rows and columns stay. Equal rows repeat each other, so both lose all words of repeated windows; no copy is preferred,
+    so there are no ties. Null and empty texts stay as they are, a text may become empty, an empty table gives an empty one."""
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("row", row_key("doc_id", "text"))
     _, found = _find(base, width, hot_from, False)
     row, marked, marks = unused(docs.columns, "row", "marked", "marks")

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 from collections import Counter
 
@@ -301,3 +302,16 @@ def test_recall_of_vectors(spark):
         links += int((v[a : a + 2000] @ v.T >= 0.9).sum())
     links = (links - len(v)) // 2
     assert links >= 4000 and 0.99 <= found.sum() / 2 / links <= 1
+
+
+def test_buckets_of_lists_hold_what_they_should(spark):
+    """As many buckets as keep each under its bytes, counted once for every set that a bucket holds."""
+    from gridloom.llm import jaccard
+
+    sizes = [1, 50, 600, 600, 6000, 20_000]
+    sets = spark.createDataFrame([(n,) for n in sizes], "n_shingles long")
+    for each in (200, 5_000, 80_000, 10**9):
+        b = jaccard._buckets(sets, 80, 4, each)
+        held = lambda b: sum(20 * k + (16 + n / 8) * b * (1 - math.exp(-k / b)) for n in sizes for k in [n - math.ceil(n * 80 / 100) + 1])
+        assert held(b) <= b * each and (b == 4 or held(b // 2) > b // 2 * each)
+    assert jaccard._buckets(sets.limit(0), 80, 64, 1000) == 64
