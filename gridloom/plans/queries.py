@@ -6,6 +6,7 @@ import json
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -393,8 +394,9 @@ def _polygon_archive(spark: SparkSession, sf_dir: str, zoom: int) -> str:
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
-        xs, ys, ids, genes = (table.column(c).to_pylist() for c in ("px", "py", "id", "gene"))
-        data = mvt.encode_polygons("cells", [[[(x, y), (x + 9, y), (x, y + 6)]] for x, y in zip(xs, ys, strict=True)], [{"id": i, "gene": g} for i, g in zip(ids, genes, strict=True)])
+        x, y = (table.column(c).to_numpy().astype(np.int64) for c in ("px", "py"))
+        xs, ys = np.column_stack([x, x + 9, x]).ravel(), np.column_stack([y, y, y + 6]).ravel()
+        data = mvt.encode_rings("cells", xs, ys, np.full(len(x), 3), {"id": table.column("id"), "gene": table.column("gene")})
         return pa.table({"tile_id": table.column("tile_id")[:1], "data": pa.array([compress(data)], pa.binary())})
 
     path = f"{base(spark)}/polygons-{uuid.uuid4().hex}.archive"

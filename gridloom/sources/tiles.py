@@ -15,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from ..functions.tileid import box_spans, first_id, places_of
 from . import mlt, mvt
 from .archive import COMPRESSION, DEPTH, HEADER_SIZE, ArchiveError, RangeReader, decode_directory, decode_header, decompress, open_front, with_next
+from .wire import ragged
 
 TILES = "z int, x long, y long, tile_id long, offset long, length long, data binary"
 POINTS = "z int, tx long, ty long, layer string, fidx int, px int, py int, gx double, gy double, attrs map<string,string>"
@@ -263,37 +264,62 @@ def read_points(tiles: DataFrame, codec: str, attrs: list[str] | None = None, st
     keep = None if attrs is None else set(attrs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for z, tx, ty, data in zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True):
-                ox, oy, s = _origin(z, tx, ty)
-                for layer, px, py, own in _points_of(data, codec, keep, strict):
-                    n = len(px)
-                    px, py = np.array(px, np.int64), np.array(py, np.int64)
-                    columns = [pa.array(np.full(n, z, np.int32)), pa.array(np.full(n, tx)), pa.array(np.full(n, ty)), pa.array([layer] * n, pa.string()), pa.array(np.arange(n, dtype=np.int32)), pa.array(px.astype(np.int32)), pa.array(py.astype(np.int32)), pa.array(ox + s * px), pa.array(oy - s * py), pa.array(own, pa.map_(pa.string(), pa.string()))]
-                    yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in POINTS.split(", ")])
+        for z, tx, ty, data in _tiles(batches):
+            ox, oy, s = _origin(z, tx, ty)
+            for layer, first, px, py, own in _points_of(data, codec, keep, strict):
+                n = len(px)
+                columns = [pa.array(np.full(n, z, np.int32)), pa.array(np.full(n, tx)), pa.array(np.full(n, ty)), pa.array([layer] * n, pa.string()), pa.array(np.arange(first, first + n, dtype=np.int32)), pa.array(px.astype(np.int32)), pa.array(py.astype(np.int32)), pa.array(ox + s * px), pa.array(oy - s * py), own]
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in POINTS.split(", ")])
 
     return tiles.select("z", "x", "y", "data").mapInArrow(run, POINTS)
 
 
-def _points_of(data: bytes, codec: str, keep: set[str] | None, strict: bool) -> Iterator[tuple]:
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
+    """z, x, y and bytes of tiles, of which one at a time leaves its batch."""
+    for batch in batches:
+        for k, place in enumerate(zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True)):
+            yield *place, batch.column(3)[k].as_py()
+
+
+def _points_of(data: bytes, codec: str, keep: set[str] | None, strict: bool) -> Iterator[tuple[str, int, np.ndarray, np.ndarray, pa.Array]]:
+    """(layer, number of the first point, pixels, attributes) of some points of a tile at a time."""
     if codec == "mlt":
         layer = mlt.decode(data)
         if layer:
             names = [c for c in layer.columns if keep is None or c in keep]
-            rows = [[(c, mlt.text_of(layer.columns[c][i])) for c in names] for i in range(len(layer.xs))]
-            yield layer.name, layer.xs, layer.ys, rows
+            for a in range(0, len(layer.xs), mvt.PART):
+                part = slice(a, a + mvt.PART)
+                rows = [[(c, mlt.text_of(layer.columns[c][i])) for c in names] for i in range(a, min(a + mvt.PART, len(layer.xs)))]
+                yield layer.name, a, np.array(layer.xs[part], np.int64), np.array(layer.ys[part], np.int64), pa.array(rows, pa.map_(pa.string(), pa.string()))
         return
-    for layer in mvt.decode(data):
-        px, py, rows = [], [], []
-        for f in layer.features:
-            if f.kind != mvt.POINT or len(f.rings) != 1 or len(f.rings[0]) != 1:
-                if strict:
-                    raise mvt.TileError("a feature is not a single point")
-                continue
-            px.append(f.rings[0][0][0])
-            py.append(f.rings[0][0][1])
-            rows.append([(k, mvt.text_of(v)) for k, v in f.attrs.items() if keep is None or k in keep])
-        yield layer.name, px, py, rows
+    for layer in mvt.decode_columns(data):
+        texts, first = layer.texts(), 0
+        for part in layer.parts():
+            single = (part.kinds == mvt.POINT) & (part.rings == 1)
+            at = (np.cumsum(part.rings) - part.rings)[single]
+            single[single] = part.sizes[at] == 1
+            if strict and not single.all():
+                raise mvt.TileError("a feature is not a single point")
+            vertex = _first_vertices(part, single)
+            yield layer.name, first, part.xs[vertex], part.ys[vertex], _attributes(layer, part, texts, single, keep)
+            first += len(vertex)
+
+
+def _first_vertices(part: mvt.Part, chosen: np.ndarray) -> np.ndarray:
+    """Where the first vertex of each chosen feature is; each has one."""
+    return (np.cumsum(part.sizes) - part.sizes)[(np.cumsum(part.rings) - part.rings)[chosen]]
+
+
+def _attributes(layer: mvt.LayerColumns, part: mvt.Part, values: pa.Array, chosen: np.ndarray, keep: set[str] | None = None) -> pa.Array:
+    """A map for each chosen feature; values: of the layer, by their numbers."""
+    wanted = np.repeat(chosen, part.tags)
+    if keep is not None:
+        wanted &= np.array([k in keep for k in layer.keys], bool)[part.keys] if layer.keys else wanted
+    rows = np.repeat(np.arange(len(chosen)), part.tags)[wanted]
+    sizes = np.bincount(rows, minlength=len(chosen))[chosen]
+    offsets = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+    keys = pa.array(layer.keys, pa.string()).take(pa.array(part.keys[wanted]))
+    return pa.MapArray.from_arrays(offsets, keys, values.take(pa.array(part.values[wanted])))
 
 
 #: How values of columnar tiles are packed, by type.
@@ -313,25 +339,28 @@ def read_stored_points(tiles: DataFrame, codec: str) -> DataFrame:
     that are not points are left out, of several points in one feature the first counts."""
 
     def layers(data: bytes) -> Iterator[tuple]:
+        kind = pa.map_(pa.string(), pa.binary())
         if codec == "mlt":
             own = mlt.decode(data)
             if own:
                 rows = [[(c, packed_value(v[i], own.types[c])) for c, v in own.columns.items() if v[i] is not None] for i in range(len(own.xs))]
-                yield own.name, own.xs.tolist(), own.ys.tolist(), rows
+                yield own.name, own.xs, own.ys, pa.array(rows, kind)
             return
-        for layer in mvt.decode(data, raw=True):
-            points = [f for f in layer.features if f.kind == mvt.POINT and f.rings]
-            yield layer.name, [f.rings[0][0][0] for f in points], [f.rings[0][0][1] for f in points], [list(f.attrs.items()) for f in points]
+        for layer in mvt.decode_columns(data):
+            values = layer.messages()
+            for part in layer.parts():
+                points = (part.kinds == mvt.POINT) & (part.rings > 0)
+                vertex = _first_vertices(part, points)
+                yield layer.name, part.xs[vertex], part.ys[vertex], _attributes(layer, part, values, points)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for z, tx, ty, data in zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True):
-                (ox, oy, s), first = _origin(z, tx, ty), 0
-                for name, px, py, rows in layers(data):
-                    n = len(px)
-                    arrays = [pa.array(np.full(n, tx)), pa.array(np.full(n, ty)), pa.array([name] * n, pa.string()), pa.array(np.arange(first, first + n)), pa.array(ox + s * np.array(px, float)), pa.array(oy - s * np.array(py, float)), pa.array(rows, pa.map_(pa.string(), pa.binary()))]
-                    yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in STORED.split(", ")])
-                    first += n
+        for z, tx, ty, data in _tiles(batches):
+            (ox, oy, s), first = _origin(z, tx, ty), 0
+            for name, px, py, own in layers(data):
+                n = len(px)
+                arrays = [pa.array(np.full(n, tx)), pa.array(np.full(n, ty)), pa.array([name] * n, pa.string()), pa.array(np.arange(first, first + n)), pa.array(ox + s * np.array(px, float)), pa.array(oy - s * np.array(py, float)), own]
+                yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in STORED.split(", ")])
+                first += n
 
     return tiles.select("z", "x", "y", "data").mapInArrow(run, STORED)
 
@@ -365,22 +394,25 @@ def read_polygons(tiles: DataFrame, codec: str = "mvt", layer_name: str | None =
         raise mvt.TileError("polygons are read from row-oriented tiles only")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for z, tx, ty, data in zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True):
-                ox, oy, s = _origin(z, tx, ty)
-                for layer in mvt.decode(data):
-                    if layer_name and layer.name != layer_name:
-                        continue
-                    for k, f in enumerate(layer.features):
-                        if f.kind != mvt.POLYGON:
-                            raise mvt.TileError("a feature is not a polygon")
-                        if len(f.rings) == 1 and len(f.rings[0]) > 1:
-                            ring = [{"x": ox + s * x, "y": oy - s * y} for x, y in f.rings[0]]
-                            rows.append((z, tx, ty, layer.name, k, ring, [(a, mvt.text_of(v)) for a, v in f.attrs.items()]))
-            types = (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])), pa.map_(pa.string(), pa.string()))
-            columns = zip(*rows, strict=True) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["z", "tx", "ty", "layer", "fidx", "ring", "attrs"])
+        for z, tx, ty, data in _tiles(batches):
+            ox, oy, s = _origin(z, tx, ty)
+            for layer in mvt.decode_columns(data):
+                if layer_name and layer.name != layer_name:
+                    continue
+                texts = layer.texts()
+                for part in layer.parts():
+                    if (part.kinds != mvt.POLYGON).any():
+                        raise mvt.TileError("a feature is not a polygon")
+                    single = part.rings == 1
+                    ring = (np.cumsum(part.rings) - part.rings)[single]
+                    single[single] = part.sizes[ring] > 1
+                    ring = ring[part.sizes[ring] > 1]
+                    n, sizes = len(ring), part.sizes[ring]
+                    at = ragged((np.cumsum(part.sizes) - part.sizes)[ring], sizes)
+                    vertices = pa.StructArray.from_arrays([pa.array(ox + s * part.xs[at]), pa.array(oy - s * part.ys[at])], names=["x", "y"])
+                    rings = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), vertices)
+                    columns = [pa.array(np.full(n, z, np.int32)), pa.array(np.full(n, tx)), pa.array(np.full(n, ty)), pa.array([layer.name] * n, pa.string()), pa.array((part.first + np.flatnonzero(single)).astype(np.int32)), rings, _attributes(layer, part, texts, single)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["z", "tx", "ty", "layer", "fidx", "ring", "attrs"])
 
     return tiles.select("z", "x", "y", "data").mapInArrow(run, POLYGONS)
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gridloom.sources import archive, mlt, mvt, wire
@@ -150,3 +151,76 @@ def test_mlt_edges():
     assert mlt.count(empty) == 0 and mlt.decode(empty).columns["c"] == []
     assert mlt.decode(b"") is None and mlt.count(b"") == 0
     assert mlt.text_of(0.1) == "0.1" and mlt.text_of(None) is None
+
+
+def _plain(tile):
+    """What decode finds: layers with kinds, rings and attributes as text."""
+    return [(layer.name, [(f.kind, f.rings, {k: mvt.text_of(v) for k, v in f.attrs.items()}) for f in layer.features]) for layer in mvt.decode(tile)]
+
+
+def _columnar(tile):
+    out = []
+    for layer in mvt.decode_columns(tile):
+        texts, features = layer.texts().to_pylist(), []
+        for part in layer.parts():
+            ring = vertex = tag = 0
+            for kind, rings, tags in zip(part.kinds.tolist(), part.rings.tolist(), part.tags.tolist(), strict=True):
+                shape = []
+                for size in part.sizes[ring : ring + rings].tolist():
+                    shape.append(list(zip(part.xs[vertex : vertex + size].tolist(), part.ys[vertex : vertex + size].tolist(), strict=True)))
+                    vertex += size
+                own = {layer.keys[k]: texts[v] for k, v in zip(part.keys[tag : tag + tags], part.values[tag : tag + tags], strict=True)}
+                features.append((kind, shape, own))
+                ring, tag = ring + rings, tag + tags
+        out.append((layer.name, features))
+    return out
+
+
+def test_columns_of_tiles_equal_features(monkeypatch):
+    """Bytes and features of whole columns are those of one feature after the other, whatever the parts."""
+    rng = np.random.default_rng(5)
+    n = 300
+    xs, ys = rng.integers(-300, 5000, n), rng.integers(-300, 5000, n)
+    some = lambda make: [None if rng.random() < 0.2 else make() for _ in range(n)]
+    columns = {"a": some(lambda: int(rng.integers(-9, 9))), "b": some(lambda: int(rng.integers(-(1 << 62), 1 << 62))), "none": [None] * n, "c": some(lambda: int(rng.integers(-9, 30))), "f": some(lambda: float(rng.integers(4)) / 4), "s": some(lambda: "é" * int(rng.integers(0, 200)))}
+    types = {"a": pa.int32(), "b": pa.int64(), "none": pa.int64(), "c": pa.int64(), "f": pa.float64(), "s": pa.string()}
+    tables = {k: pa.array(v, types[k]) for k, v in columns.items()}
+    sizes = rng.integers(2, 9, n)
+    vx, vy = rng.integers(-30, 4200, sizes.sum()), rng.integers(-30, 4200, sizes.sum())
+    ends = np.cumsum(sizes)
+    rings = [[list(zip(vx[e - k : e].tolist(), vy[e - k : e].tolist(), strict=True))] for e, k in zip(ends, sizes, strict=True)]
+    attrs = [{"a": columns["c"][i] or 0, "s": columns["s"][i] or "x"} for i in range(n)]
+    whole = {"a": pa.array([r["a"] for r in attrs], pa.int64()), "s": pa.array([r["s"] for r in attrs])}
+    for size in (7, n, 1 << 14):
+        monkeypatch.setattr(mvt, "PART", size)
+        for ids in (False, True):
+            tile = mvt.encode_layer("p", xs.tolist(), ys.tolist(), columns, ids=ids)
+            assert mvt.encode_points("p", xs, ys, tables, ids=ids) == tile
+            assert _columnar(tile) == _plain(tile)
+        tile = mvt.encode_polygons("q", rings, attrs)
+        assert mvt.encode_rings("q", vx, vy, sizes, whole) == tile
+        mixed = tile + mvt.encode_layer("o", [1], [2], {}) + mvt.encode_polygons("r", [[rings[0][0], rings[1][0]], rings[2]], [{"k": 1.5}, {"k": True}])
+        # a key twice in a feature, two equal keys, an empty feature, an empty value
+        odd = b"".join([wire.field(15, 0, b"\x02"), wire.field(1, 2, b"s"), wire.field(2, 2, wire.field(2, 2, bytes([0, 0, 1, 1, 0, 1])) + wire.field(3, 0, b"\x01")), wire.field(2, 2, b""), wire.field(3, 2, b"k"), wire.field(3, 2, b"k"), wire.field(4, 2, b""), wire.field(4, 2, wire.field(5, 0, b"\x07")), wire.field(5, 0, b"\x10")])
+        assert _columnar(mixed + wire.field(3, 2, odd)) == _plain(mixed + wire.field(3, 2, odd))
+    with pytest.raises(mvt.TileError):
+        next(mvt.decode_columns(mvt.encode_layer("p", [40000], [1], {}))[0].parts())
+
+
+def test_memory_of_a_large_tile():
+    """A tile of 200,000 features is encoded and decoded in a few times its bytes (before: over 1,000 bytes a feature)."""
+    import tracemalloc
+
+    n = 200_000
+    x = np.arange(n) % 4000
+    tracemalloc.start()
+    try:
+        tile = mvt.encode_rings("p", np.column_stack([x, x + 9, x]).ravel(), np.column_stack([x, x, x + 6]).ravel(), np.full(n, 3), {"id": pa.array(np.arange(n)), "gene": pa.array(["a", "b"] * (n // 2))})
+        wrote = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        layer = mvt.decode_columns(tile)[0]
+        seen = sum(len(part.kinds) for part in layer.parts()), len(layer.texts())
+        read = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert seen == (n, n + 2) and wrote < 300 * n and read < 300 * n, (wrote / n, read / n)
