@@ -111,13 +111,12 @@ def _whole_tiles(placed: DataFrame, codec: str, layer: str, types: dict[str, str
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("seq")
-        xs, ys = table.column("px").to_pylist(), table.column("py").to_pylist()
-        values = {c: table.column(f"c{k}").to_pylist() for k, c in enumerate(columns)}
         if codec == "mlt":
-            data = mlt.encode_layer(layer, xs, ys, values, kinds, nullable)
+            values = {c: table.column(f"c{k}").to_pylist() for k, c in enumerate(columns)}
+            data = mlt.encode_layer(layer, table.column("px").to_pylist(), table.column("py").to_pylist(), values, kinds, nullable)
         else:
-            data = mvt.encode_layer(layer, xs, ys, values, ids=ids)
-        return pa.table({"tile_id": pa.array([table.column("tile_id")[0].as_py()], pa.int64()), "n": pa.array([len(xs)], pa.int64()), "data": pa.array([compress(data)], pa.binary())})
+            data = mvt.encode_points(layer, table.column("px").to_numpy(), table.column("py").to_numpy(), {c: table.column(f"c{k}") for k, c in enumerate(columns)}, ids=ids)
+        return pa.table({"tile_id": pa.array([table.column("tile_id")[0].as_py()], pa.int64()), "n": pa.array([len(table)], pa.int64()), "data": pa.array([compress(data)], pa.binary())})
 
     return _columns(placed, order, columns).groupBy("tile_id").applyInArrow(run, "tile_id long, n long, data binary")
 
