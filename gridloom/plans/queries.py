@@ -394,7 +394,7 @@ def _polygon_archive(spark: SparkSession, sf_dir: str, zoom: int) -> str:
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
-        x, y = (table.column(c).to_numpy().astype(np.int64) for c in ("px", "py"))
+        x, y = (table.column(c).to_numpy() for c in ("px", "py"))
         xs, ys = np.column_stack([x, x + 9, x]).ravel(), np.column_stack([y, y, y + 6]).ravel()
         data = mvt.encode_rings("cells", xs, ys, np.full(len(x), 3), {"id": table.column("id"), "gene": table.column("gene")})
         return pa.table({"tile_id": table.column("tile_id")[:1], "data": pa.array([compress(data)], pa.binary())})
