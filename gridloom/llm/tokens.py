@@ -75,8 +75,11 @@ class Encoder:
         self.ends = np.zeros(max(vocab.values(), default=0) + 2 + len(self.special), bool)
         for token, i in vocab.items():
             self.ends[i] = bool(suffix) and token.endswith(suffix)
+        #: chunks encoded since the last change of generations, at most about `most`, and those of the one before: what
+        #: is seen again is kept, what was seen once is dropped after two
         self.most = most
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     @staticmethod
     def of(path: str, most: int = 250_000) -> "Encoder":
@@ -135,6 +138,15 @@ class Encoder:
         except KeyError:
             pass
         if len(known) > self.most:
-            known.clear()
-        self._encode_chunks([c for c in set(chunks) if c not in known])
+            self.before, self.known = known, {}
+            known = self.known
+        new = []
+        for c in set(chunks):
+            if c not in known:
+                if (own := self.before.get(c)) is None:
+                    new.append(c)
+                else:
+                    known[c] = own
+        if new:
+            self._encode_chunks(new)
         return b"".join(map(known.__getitem__, chunks))

@@ -136,3 +136,15 @@ def test_pack_does_not_depend_on_partitions(spark, make_docs):
     a, b = packing.pack(docs.repartition(7), 256), packing.pack(docs.coalesce(1), 256)
     assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0
     assert a.where(F.col("length") > 256).count() == 0
+
+
+def test_frequent_chunks_outlive_rare_ones(monkeypatch):
+    """A word of every text is encoded once, however many others fill the memory of chunks."""
+    encoder, seen = tokens.Encoder(tokens.tokenizer_path(), 20), []
+    encode = encoder._encode_chunks
+    monkeypatch.setattr(encoder, "_encode_chunks", lambda chunks: (seen.extend(chunks), encode(chunks)))
+    for k in range(200):
+        text = f"always w{k} x{k} y{k}"
+        assert encoder.ids(text.encode()) == np.array(encoder.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert len(encoder.known) + len(encoder.before) <= 2 * (20 + 4)
+    assert seen.count(b"always") == 1
