@@ -89,19 +89,25 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def cut_pieces(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each piece of each document: the ids of its text, then end_id, cut every `capacity` ids."""
     small_batches(docs.sparkSession)
-    path, end = tokenizer or tokenizer_path(), np.array([end_id], "<u4").tobytes()
+    path = tokenizer or tokenizer_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, width = Encoder.of(path), 4 * capacity
+        encoder = Encoder.of(path)
         for batch in slices(batches):
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for own, value in zip(batch.column(0).to_pylist(), byte_values(batch.column(1)), strict=True):
-                ids = encoder.ids(value) + end
-                for k, at in enumerate(range(0, len(ids), width)):
-                    part = ids[at : at + width]
-                    for column, x in zip(out, (own, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            first = 0
+            for ids, ends in encoder.runs(byte_values(batch.column(1))):
+                raw = memoryview(np.insert(ids, ends, end_id).astype("<u4", copy=False).tobytes())
+                n = np.diff(ends, prepend=0) + 1
+                pieces = -(-n // capacity)
+                row = np.repeat(np.arange(len(n)), pieces)
+                piece = np.arange(len(row)) - (np.cumsum(pieces) - pieces)[row]
+                start = piece * capacity
+                length = np.minimum(n[row] - start, capacity)
+                at = 4 * ((np.cumsum(n) - n)[row] + start)
+                sums = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+                own = batch.column(0).take(pa.array(first + row))
+                yield pa.RecordBatch.from_arrays([own, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                first += len(n)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, PIECES)
 

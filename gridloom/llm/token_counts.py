@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,12 +59,13 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str | None = None, limi
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = Encoder.of(path), set()
         for batch in slices(batches):
-            digests, counts = [], []
+            digests, texts = [], []
             for digest, value in zip(batch.column(0).to_pylist(), byte_values(batch.column(1)), strict=True):
                 if digest not in seen:
                     seen.add(digest)
                     digests.append(digest)
-                    counts.append(len(encoder.ids(value)) // 4)
+                    texts.append(value)
+            counts = [n for _, ends in encoder.runs(texts) for n in np.diff(ends, prepend=0).tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())], names=["digest", "tokenizer", "n_tokens"])
 
     found.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)

@@ -148,3 +148,38 @@ def test_frequent_chunks_outlive_rare_ones(monkeypatch):
         assert encoder.ids(text.encode()) == np.array(encoder.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         assert len(encoder.known) + len(encoder.before) <= 2 * (20 + 4)
     assert seen.count(b"always") == 1
+
+
+def whole(library, texts):
+    return [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def by_runs(encoder, texts):
+    return [ids[a:b].tolist() for ids, ends in encoder.runs([None if t is None else t.encode() for t in texts]) for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+
+
+def test_capitals_with_marks_are_not_folded_first(library):
+    """A small t composes with a diaeresis, a capital one does not, and the library composes before it lower-cases."""
+    encoder, texts = tokens.Encoder(tokens.tokenizer_path(), 50), ["T\u0308e", "J\u030c", "H\u0331 W\u030a", "T\u0344", "E\u0301 A, B."]
+    assert [np.frombuffer(encoder.ids(t.encode()), "<u4").tolist() for t in texts] == whole(library, texts)
+
+
+def test_words_are_encoded_once_whatever_stands_beside_them(monkeypatch, library):
+    encoder, seen = tokens.Encoder(tokens.tokenizer_path(), 1000), []
+    encode = encoder._encode_chunks
+    monkeypatch.setattr(encoder, "_encode_chunks", lambda chunks: (seen.extend(chunks), encode(chunks)))
+    texts = ["tataga&&& tataga### (tataga) tataga, Tataga.$$$ tataga-12", "r\u00e9r\u00e9%%% 555-7134 tataga's r\u00e9r\u00e9!"]
+    assert [np.frombuffer(encoder.ids(t.encode()), "<u4").tolist() for t in texts] == whole(library, texts)
+    assert seen.count(b"tataga") == seen.count("r\u00e9r\u00e9".encode()) == 1 and not any(c[0:1].isalpha() and b"'" not in c and not c.decode().isalpha() for c in seen)
+
+
+@pytest.mark.parametrize("most", [1, 40, 400, 4_000_000])
+def test_runs_match_library(monkeypatch, library, most):
+    """Texts of a run, runs of one text, texts cut into stretches, chunks of two generations."""
+    monkeypatch.setattr(tokens, "RUN", most)
+    rng, encoder = random.Random(most), tokens.Encoder(tokens.tokenizer_path(), 60)
+    atoms = [*"abeTZ019.,!'\"-_<>|=$ \n\t\r\x1c\x85\u00a0", "'s", "'LL", "<|", "<|endoftext|>", "\u00e9", "\u00c9", "\u00d7", "\u00f7", "\u0301", "\u0338", "\u0308", "\u0130", "\u212a", "\ufb01", "\u65e5", "\u00b2", "\u201d", "\u00ba", "foo", "Bar", "don't", " ", " "]
+    texts = [None, "", " ", *("".join(rng.choice(atoms) for _ in range(rng.choice([0, 1, 5, 60]))) for _ in range(150))]
+    assert by_runs(encoder, texts) == whole(library, texts)
+    assert by_runs(encoder, texts[3:90]) == whole(library, texts[3:90])
+    assert list(encoder.runs([])) == []
